@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import packing, tokens
+from . import decontaminate, langid, packing, quality, tokens
 
 QUERIES = {
     "op3_token_counts": tokens.op3_token_counts,
+    "op5_decontaminate": decontaminate.op5_decontaminate,
+    "op7_language_id": langid.op7_language_id,
+    "op9_quality_rules": quality.op9_quality_rules,
     "op10_packing": packing.op10_packing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {**decontaminate.ORACLE}
