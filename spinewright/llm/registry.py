@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import decontaminate, langid, packing, quality, tokens
+from . import decontaminate, langid, packing, quality, tokens, urlfilter, warc
 
 QUERIES = {
     "op3_token_counts": tokens.op3_token_counts,
+    "op4_url_filter": urlfilter.op4_url_filter,
     "op5_decontaminate": decontaminate.op5_decontaminate,
+    "op6_warc": warc.op6_warc,
     "op7_language_id": langid.op7_language_id,
     "op9_quality_rules": quality.op9_quality_rules,
     "op10_packing": packing.op10_packing,
 }
 
-ORACLE_SQL: dict[str, str] = {**decontaminate.ORACLE}
+ORACLE_SQL: dict[str, str] = {**urlfilter.ORACLE, **decontaminate.ORACLE, **warc.ORACLE}
