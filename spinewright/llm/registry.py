@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontaminate, langid, packing, quality, tokens, urlfilter, warc
+from . import decontaminate, langid, neardup, packing, quality, suffixdedup, tokens, urlfilter, warc
 
 QUERIES = {
+    "op1_suffix_dedup": suffixdedup.op1_suffix_dedup,
+    "op2_near_dedup": neardup.op2_near_dedup,
     "op3_token_counts": tokens.op3_token_counts,
     "op4_url_filter": urlfilter.op4_url_filter,
     "op5_decontaminate": decontaminate.op5_decontaminate,
