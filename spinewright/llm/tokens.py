@@ -6,21 +6,26 @@ boundaries lies a pre-token, and the pieces of a text are those of its
 pre-tokens one after another. So the corpus is counted in three steps, and no
 list of ids is made:
 
-1. each block of documents yields its distinct pre-tokens, and a packed table
-   of how often each of its documents holds each of them;
-2. the distinct pre-tokens of the whole corpus are counted once each;
-3. counts are joined to the blocks' pre-tokens, and summed per document.
+1. each block of documents yields its distinct pre-tokens, dealt by their hash
+   into as many buckets as there are shuffle partitions, and a packed table of
+   how often each of its documents holds each of them;
+2. bucket by bucket, the distinct pre-tokens of the whole corpus are counted
+   once each, and the counts go back to the blocks that asked;
+3. they are joined to the blocks' tables and summed per document.
+
+Keys and counts travel packed, a row for each block and bucket, so that what is
+shuffled is a fraction of the text.
 """
 
 from __future__ import annotations
 
 import os
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,7 +35,8 @@ from .shared import written
 #: Bytes of text in a block at most, unless one document alone is longer.
 BLOCK_BYTES = 16 << 20
 BLANK = "▁"
-_BLOCK = "block string, keys array<string>, ids array<bigint>, bytes array<bigint>, docs binary, places binary, times binary"
+_BLOCK = "block bigint, keys array<struct<bucket:int,packed:binary>>, ids array<bigint>, bytes array<bigint>, docs binary, places binary, times binary"
+_models: dict = {}
 
 
 def public_tokenizer(name: str) -> str:
@@ -64,10 +70,41 @@ def pretokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return starts + inner, ends, bounds
 
 
-def _block(ids: list, data: np.ndarray, offsets: np.ndarray, sizes: np.ndarray) -> dict:
-    """One row: the distinct pre-tokens of some documents, and who holds which how often."""
-    found, texts, pairs = np.zeros(0, np.uint64), [], []
-    heads = []
+def squeeze(a: np.ndarray) -> bytes:
+    """Integers as compressed byte planes."""
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(a.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes())
+
+
+def unsqueeze(b: bytes) -> np.ndarray:
+    import zstandard
+
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(b, max_output_size=1 << 31), np.uint8)
+    return np.ascontiguousarray(raw.reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+
+
+def _pack(keys: pa.Array) -> bytes:
+    import zstandard
+
+    data, off = K.column_bytes(keys)
+    lengths = np.diff(off).astype("<u4")
+    return zstandard.ZstdCompressor(level=3).compress(np.uint32(len(lengths)).tobytes() + lengths.tobytes() + data.tobytes())
+
+
+def _unpack(b: bytes) -> pa.Array:
+    import zstandard
+
+    raw = zstandard.ZstdDecompressor().decompress(b, max_output_size=1 << 31)
+    n = int(np.frombuffer(raw, "<u4", 1)[0])
+    off = np.zeros(n + 1, np.int32)
+    np.cumsum(np.frombuffer(raw, "<u4", n, 4), out=off[1:])
+    return pa.StringArray.from_buffers(n, pa.py_buffer(off), pa.py_buffer(raw[4 + 4 * n :]))
+
+
+def _block(data: np.ndarray, offsets: np.ndarray, buckets: int) -> dict:
+    """The distinct pre-tokens of some documents by bucket, and who holds which how often."""
+    texts, pairs, heads = [], [], []
     for d, e in K.runs(offsets):
         part, off = data[offsets[d] : offsets[e]], offsets[d : e + 1] - offsets[d]
         starts, ends, bounds = pretokens(part, off)
@@ -82,55 +119,65 @@ def _block(ids: list, data: np.ndarray, offsets: np.ndarray, sizes: np.ndarray)
         u, where = np.unique(h, return_index=True)
         heads.append(u)
         texts.append(K.pack_strings(part, starts[where], ends[where]))
-    if heads:
-        every = np.concatenate(heads)
-        found, where = np.unique(every, return_index=True)
-        keys = pa.concat_arrays(texts).take(pa.array(where))
-    else:
-        keys = pa.array([], pa.string())
-    doc, h, times = (np.concatenate([p[k] for p in pairs]) if pairs else np.zeros(0, np.int64) for k in range(3))
+    doc, h, times = (np.concatenate([p[k] for p in pairs]) for k in range(3))
+    found, where = np.unique(np.concatenate(heads), return_index=True)
+    keys = pa.concat_arrays(texts).take(pa.array(where))
+    # The buckets are ranges of the hash, so that the order by hash is one by bucket.
+    bucket = ((found >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+    edge = np.searchsorted(bucket, np.arange(buckets + 1).astype(np.uint64))
+    places = np.searchsorted(found, h)
+    docs = np.bincount(doc, minlength=len(offsets) - 1)
+    first = np.append(0, np.cumsum(docs))[:-1][docs > 0]
+    steps = np.diff(places, prepend=0)
+    steps[first] = places[first]  # of each document, the first place and then the steps between places
     return {
-        "block": uuid.uuid4().hex, "keys": keys, "ids": ids, "bytes": sizes.tolist(),
-        "docs": np.bincount(doc.astype(np.int64), minlength=len(ids)).astype(np.uint32).tobytes(),
-        "places": np.searchsorted(found, h.astype(np.uint64)).astype(np.uint32).tobytes(), "times": times.astype(np.uint32).tobytes(),
+        "keys": [{"bucket": b, "packed": _pack(keys.slice(edge[b], edge[b + 1] - edge[b]))} for b in np.flatnonzero(np.diff(edge)).tolist()],
+        "docs": squeeze(docs), "places": squeeze(steps), "times": squeeze(times),
     }
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("block", pa.string()), ("keys", pa.list_(pa.string())), ("ids", pa.list_(pa.int64())), ("bytes", pa.list_(pa.int64())), ("docs", pa.binary()), ("places", pa.binary()), ("times", pa.binary())])
-    for batch in batches:
-        ids, text = batch.column(0), batch.column(1)
-        _, off = K.column_bytes(text)
-        sizes = np.diff(off)
-        for d, e in K.runs(off, BLOCK_BYTES):
-            part = text.slice(d, e - d)
-            data, offsets = K.column_bytes(part)
-            if b"\xe2\x96\x81" in data.tobytes():  # the mark itself counts as a blank
-                data, offsets = K.column_bytes(pc.replace_substring(part, BLANK, " "))
-            row = _block(ids.slice(d, e - d).to_pylist(), data, offsets, sizes[d:e])
-            keys = row.pop("keys")
-            columns = {"keys": pa.ListArray.from_arrays(pa.array([0, len(keys)], pa.int32()), keys)} | {k: pa.array([v], schema.field(k).type) for k, v in row.items()}
-            yield pa.RecordBatch.from_arrays([columns[f.name] for f in schema], schema=schema)
-
-
-class PieceCounter:
-    """Counts a pre-token's pieces; made once in each worker."""
-
-    def __init__(self, path: str):
-        self.path, self.model = path, None
-
-    def __getstate__(self):
-        return {"path": self.path, "model": None}
+class Blocks:
+    def __init__(self, buckets: int):
+        self.buckets = buckets
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if self.model is None:
+        keys = pa.list_(pa.struct([("bucket", pa.int32()), ("packed", pa.binary())]))
+        schema = pa.schema([("block", pa.int64()), ("keys", keys), ("ids", pa.list_(pa.int64())), ("bytes", pa.list_(pa.int64())), ("docs", pa.binary()), ("places", pa.binary()), ("times", pa.binary())])
+        context = TaskContext.get()
+        number = (context.partitionId() if context else 0) << 32
+        for batch in batches:
+            ids, text = batch.column(0), batch.column(1)
+            _, off = K.column_bytes(text)
+            sizes = np.diff(off)
+            for d, e in K.runs(off, BLOCK_BYTES):
+                part = text.slice(d, e - d)
+                data, offsets = K.column_bytes(part)
+                if b"\xe2\x96\x81" in data.tobytes():  # the mark itself counts as a blank
+                    data, offsets = K.column_bytes(pc.replace_substring(part, BLANK, " "))
+                row = {"block": number, "ids": ids.slice(d, e - d).to_pylist(), "bytes": sizes[d:e].tolist()} | _block(data, offsets, self.buckets)
+                number += 1
+                yield pa.RecordBatch.from_arrays([pa.array([row[f.name]], f.type) for f in schema], schema=schema)
+
+
+def piece_counter(path: str):
+    """Counts the pieces of one bucket's pre-tokens, each distinct one once, for all blocks."""
+
+    def count(bucket: pa.Table) -> pa.Table:
+        model = _models.get(path)
+        if model is None:
             import sentencepiece
 
-            self.model = sentencepiece.SentencePieceProcessor(model_file=self.path)
-        for batch in batches:
-            words = batch.column(0).to_pylist()
-            n = [len(x) if w else 1 for w, x in zip(words, self.model.encode(words, num_threads=1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int32())], names=["key", "pieces"])
+            model = _models[path] = sentencepiece.SentencePieceProcessor(model_file=path)
+        lists = [_unpack(b) for b in bucket.column("packed").to_pylist()]
+        coded = pa.concat_arrays(lists).dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        # The library gives no piece for an empty string, but a blank alone is one.
+        pieces = np.array([len(model.encode(w)) if w else 1 for w in words], np.int64)[coded.indices.to_numpy()]
+        ends = np.cumsum([len(x) for x in lists])
+        packed = [squeeze(pieces[b - len(x) : b]) for x, b in zip(lists, ends.tolist())]
+        return pa.table({"home": bucket.column("block"), "bucket": bucket.column("bucket"), "pieces": pa.array(packed, pa.binary())})
+
+    return count
 
 
 def separable(path: str) -> bool:
@@ -144,12 +191,16 @@ def separable(path: str) -> bool:
 
 def _summed(_key, block: pa.Table, counts: pa.Table) -> pa.Table:
     row = {k: block.column(k)[0] for k in block.column_names}
-    pieces = np.zeros(max(1, counts.num_rows), np.int64)
-    pieces[counts.column("place").to_numpy()] = counts.column("pieces").to_numpy()
-    docs, places, times = (np.frombuffer(row[k].as_py(), np.uint32) for k in ("docs", "places", "times"))
-    bounds = np.zeros(len(docs) + 1, np.int64)
-    np.cumsum(docs, out=bounds[1:])
-    n = K.sum_by(bounds, pieces[places] * times.astype(np.int64)) if len(places) else np.zeros(len(docs), np.int64)
+    pieces = [unsqueeze(b) for _, b in sorted(zip(counts.column("bucket").to_pylist(), counts.column("pieces").to_pylist()))]
+    docs, steps, times = (unsqueeze(row[k].as_py()) for k in ("docs", "places", "times"))
+    bounds = np.append(0, np.cumsum(docs))
+    n = np.zeros(len(docs), np.int64)
+    if len(steps):
+        # Places of a document: the running sum of its steps.
+        c = np.cumsum(steps)
+        first = bounds[:-1][docs > 0]
+        places = c - np.repeat(c[first] - steps[first], docs[docs > 0])
+        n = K.sum_by(bounds, np.concatenate(pieces)[places] * times)
     return pa.table({"id": row["ids"].values, "n_bytes": row["bytes"].values, "n_tokens": pa.array(n, pa.int64())})
 
 
@@ -161,11 +212,12 @@ def count_tokens(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_
     """
     if not separable(model_path):
         raise ValueError(f"{os.path.basename(model_path)}: its pieces cross pre-tokens")
-    blocks = written(docs.select(F.col(id_col).cast("bigint"), F.col(text_col)).mapInArrow(_blocks, _BLOCK), "token-blocks")
-    keys = blocks.select("block", F.posexplode("keys").alias("place", "key"))
-    counted = keys.select("key").distinct().mapInArrow(PieceCounter(model_path), "key string, pieces int")
-    places = keys.join(counted, "key").select(F.col("block").alias("home"), "place", "pieces")
-    rows = blocks.drop("keys").groupBy("block").cogroup(places.groupBy("home"))
+    spark = docs.sparkSession
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    blocks = written(docs.select(F.col(id_col).cast("bigint"), F.col(text_col)).mapInArrow(Blocks(buckets), _BLOCK), "token-blocks")
+    keys = blocks.select("block", F.explode("keys").alias("k")).select("block", "k.bucket", "k.packed")
+    counts = keys.groupBy("bucket").applyInArrow(piece_counter(model_path), "home bigint, bucket int, pieces binary")
+    rows = blocks.drop("keys").groupBy("block").cogroup(counts.groupBy("home"))
     return rows.applyInArrow(_summed, "id bigint, n_bytes bigint, n_tokens bigint").withColumnRenamed("id", id_col)
 
 
