@@ -237,6 +237,27 @@ class Search:
                 yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
 
+class Dropper:
+    """Lets through the rows whose text, in the first column, one chunk of the benchmark doesn't hit."""
+
+    def __init__(self, texts: list, window: int):
+        self.texts, self.window, self.tests = texts, window, None
+
+    def __getstate__(self):
+        return self.__dict__ | {"tests": None}
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        self.tests = self.tests or Tests([None] * len(self.texts), self.texts, self.window)
+        for batch in batches:
+            data, offsets = K.column_bytes(batch.column(0))
+            clean = np.ones(batch.num_rows, bool)
+            for d, e in K.runs(offsets):
+                words, bounds = word_hashes(data[offsets[d] : offsets[e]], offsets[d : e + 1] - offsets[d])
+                _, place = occurrences(words, bounds, self.tests)
+                clean[d + np.searchsorted(bounds, place, "right") - 1] = False
+            yield batch.filter(pa.array(clean))
+
+
 def chunks(tests: DataFrame, id_col: str, text_col: str) -> list[tuple[list, list]]:
     """The test items in chunks of bounded size. They go to every task, so their number is bounded too."""
     out, size = [([], [])], 0
@@ -283,6 +304,16 @@ def find_matches(docs: DataFrame, tests: DataFrame, window: int = WINDOW, id_col
     return out.withColumnRenamed("id", id_col)
 
 
+def drop_contaminated(docs: DataFrame, tests: DataFrame, window: int = WINDOW, text_col: str = "text", test_id_col: str = "item_id", test_text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns, that hold no window of a test item."""
+    columns = [text_col, *(c for c in docs.columns if c != text_col)]
+    out = docs.select(*columns)
+    schema = ", ".join(f"`{c}` {k}" for c, k in out.dtypes)
+    for _, texts in chunks(tests, test_id_col, test_text_col):
+        out = out.mapInArrow(Dropper(texts, window), schema)
+    return out.select(*docs.columns)
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_contamination(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), "items_sha256", (F.col("n_hit") > 0).alias("contaminated"))

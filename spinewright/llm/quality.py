@@ -78,19 +78,24 @@ def text_counts(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        data, offsets = K.column_bytes(batch.column(1))
+        data, offsets = K.column_bytes(batch.column(0))
         for d, e in K.runs(offsets):
             c = text_counts(data[offsets[d] : offsets[e]], offsets[d : e + 1] - offsets[d])
-            rest = [batch.column(k).slice(d, e - d) for k in range(2, batch.num_columns)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(d, e - d), *(pa.array(c[k].astype(np.int64)) for k in COUNTS), *rest], names=[batch.schema.names[0], *COUNTS, *batch.schema.names[2:]])
+            rest = batch.slice(d, e - d)
+            yield pa.RecordBatch.from_arrays([*(pa.array(c[k].astype(np.int64)) for k in COUNTS), *rest.columns], names=[*COUNTS, *rest.schema.names])
 
 
-def with_counts(docs: DataFrame, id_col: str, text_col: str, keep: tuple[str, ...] = ()) -> DataFrame:
-    """The id, the COUNTS and the columns in keep of each document; null texts count as empty."""
-    chosen = docs.select(id_col, F.col(text_col), *keep)
-    kinds = dict(chosen.dtypes)
-    schema = ", ".join([f"`{id_col}` {kinds[id_col]}", *(f"{c} bigint" for c in COUNTS), *(f"`{c}` {kinds[c]}" for c in keep)])
-    return chosen.mapInArrow(_counted, schema)
+def _counted_alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in _counted(batches):
+        yield batch.select([n for n in batch.schema.names if n != "own_text"])
+
+
+def with_counts(docs: DataFrame, text_col: str, keep: list[str], keep_text: bool = False) -> DataFrame:
+    """The COUNTS of each document's text, the columns in keep as own_..., and if asked the text as own_text; null texts count as empty."""
+    chosen = docs.select(F.col(text_col).alias("own_text"), *(F.col(c).alias(f"own_{c}") for c in keep))
+    kinds = [(c, k) for c, k in chosen.dtypes if keep_text or c != "own_text"]
+    schema = ", ".join([*(f"{c} bigint" for c in COUNTS), *(f"`{c}` {k}" for c, k in kinds)])
+    return chosen.mapInArrow(_counted if keep_text else _counted_alone, schema)
 
 
 def feature(name: str) -> Column:
@@ -192,7 +197,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, id_col: str
     order = [F.xxhash64("_id"), F.col("_id")]
     own = own.orderBy(*order).limit(max_rows)
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(own, "_id")
-    rows = with_counts(rows, "_id", "_text", ("_label",)).select("_id", "_label", *(feature(n).alias(n) for n in FEATURES))
+    rows = with_counts(rows, "_text", ["_id", "_label"]).select(F.col("own__id").alias("_id"), F.col("own__label").alias("_label"), *(feature(n).alias(n) for n in FEATURES))
     rows = rows.orderBy(*order, *FEATURES).limit(max_rows).toPandas()
     if rows.empty:
         return []
@@ -212,14 +217,21 @@ def verdict(rules: list[Rule]) -> Column:
     return F.lit(None).cast("int") if out is None else out
 
 
-def judge(docs: DataFrame, rules: list[Rule], id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """The id, the counts, base_failed, the rule that rejects and kept of each document, and the columns in keep.
+def judge(docs: DataFrame, rules: list[Rule], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The id, the COUNTS, base_failed, the rule that rejects and kept of each document.
 
     Null and empty texts have no words and fail the base; repeated rows keep a
-    row each.
+    row each, and extra columns aren't looked at.
     """
-    out = with_counts(docs, id_col, text_col, keep).withColumn("base_failed", base_failed()).withColumn("rule", verdict(rules))
-    return out.withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull())
+    out = with_counts(docs, text_col, [id_col]).withColumn("base_failed", base_failed()).withColumn("rule", verdict(rules))
+    return out.select(F.col(f"own_{id_col}").alias(id_col), *COUNTS, "base_failed", "rule", (~F.col("base_failed") & F.col("rule").isNull()).alias("kept"))
+
+
+def keep_good(docs: DataFrame, rules: list[Rule], text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns, that neither fail the base nor fit a rule."""
+    out = with_counts(docs, text_col, [c for c in docs.columns if c != text_col], keep_text=True)
+    out = out.where(~base_failed() & verdict(rules).isNull())
+    return out.select(*(F.col("own_text" if c == text_col else f"own_{c}").alias(c) for c in docs.columns))
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

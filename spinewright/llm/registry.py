@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, langid, neardup, packing, quality, suffixdedup, tokens, urlfilter, warc
+from . import decontaminate, langid, lmscore, neardup, packing, quality, suffixdedup, tokens, urlfilter, warc
 
 QUERIES = {
     "op1_suffix_dedup": suffixdedup.op1_suffix_dedup,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_decontaminate": decontaminate.op5_decontaminate,
     "op6_warc": warc.op6_warc,
     "op7_language_id": langid.op7_language_id,
+    "op8_lm_scoring": lmscore.op8_lm_scoring,
     "op9_quality_rules": quality.op9_quality_rules,
     "op10_packing": packing.op10_packing,
 }
