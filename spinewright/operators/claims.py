@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,25 +25,39 @@ def _free(base: str, ext: str, taken) -> str:
     return f"{base}.{n}{ext}"
 
 
-def fold(family: pd.DataFrame) -> pd.DataFrame:
-    """The rule itself, over the files of one family in the order of their paths; rows without a path are what is there already."""
-    there = family["path"].isna()
-    disk = dict(zip(family.loc[there, "dest_file"], family.loc[there, "fp"]))
+def fold(rows: list[tuple]) -> list[tuple]:
+    """The rule itself, over the (path, dest_file, fp, base, suffix) of one family in the order of their paths; rows without a path are what is there already."""
+    disk = {dest: fp for path, dest, fp, _, _ in rows if path is None}
     claimed: dict[str, str] = {}
     taken, out = set(disk), []
-    for r in family[~there].sort_values("path").itertuples():
-        dest = r.dest_file
+    for path, dest, fp, base, suffix in rows:
+        if path is None:
+            continue
+        final = dest
         if dest in claimed or dest in disk:
-            if r.fp == (claimed[dest] if dest in claimed else disk[dest]):
-                out.append((r.path, dest, "quarantine" if dest in claimed else "skip", dest))
+            if fp == (claimed[dest] if dest in claimed else disk[dest]):
+                out.append((path, dest, "quarantine" if dest in claimed else "skip", dest))
                 continue
-            final = _free(r.base, r.suffix, taken)
-        else:
-            final = dest
-        claimed[final] = r.fp
+            final = _free(base, suffix, taken)
+        claimed[final] = fp
         taken.add(final)
-        out.append((r.path, dest, "proceed", final))
-    return pd.DataFrame(out, columns=["path", "dest_file", "action", "final"])
+        out.append((path, dest, "proceed", final))
+    return out
+
+
+def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Folds each family of rows (family, path, dest_file, fp, base, suffix) sorted by family and path."""
+    family, held = None, []
+    arrow = lambda rows: pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.string()) for k in range(4)], names=["path", "dest_file", "action", "final"])
+    for batch in batches:
+        for key, *row in zip(*(c.to_pylist() for c in batch.columns)):
+            if key != family and held:
+                yield arrow(fold(held))
+                held = []
+            family = key
+            held.append(tuple(row))
+    if held:
+        yield arrow(fold(held))
 
 
 def claims(files: DataFrame, listing: DataFrame) -> DataFrame:
@@ -68,4 +84,5 @@ def claims(files: DataFrame, listing: DataFrame) -> DataFrame:
     number = F.sum((F.col("action") == "rename").cast("int")).over(order) + 1
     final = F.when(F.col("action") == "rename", F.concat("base", F.lit("."), number.cast("string"), "suffix")).otherwise(F.col("dest_file"))
     plain = plain.select("path", "dest_file", F.when(F.col("action") == "rename", "proceed").otherwise(F.col("action")).alias("action"), final.alias("final"))
-    return plain.union(rows.where("odd").groupBy("family").applyInPandas(fold, OUT))
+    hard = rows.where("odd").select("family", "path", "dest_file", "fp", "base", "suffix").repartition("family").sortWithinPartitions("family", F.col("path").asc_nulls_first())
+    return plain.union(hard.mapInArrow(_folded, OUT))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,34 +13,37 @@ from ..functions.text import has_copy_suffix
 from .inventory import EDITION
 
 
+class Anchors:
+    """Adds each row's cluster_start to rows sorted by key and duration, one after another; only the last row is kept in mind."""
+
+    def __init__(self, tolerance: float):
+        self.tolerance = tolerance
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key = start = None
+        for batch in batches:
+            starts = []
+            for k, d in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if k != key or d - start > self.tolerance:
+                    key, start = k, d
+                starts.append(start)
+            yield pa.RecordBatch.from_arrays([*batch.columns[2:], pa.array(starts, pa.float64())], names=[*batch.schema.names[2:], "cluster_start"])
+
+
 def clusters(keyed: DataFrame, known: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
-    """(path, name, duration, edition, ext, cluster_start) of files with a cluster of two or more.
+    """(edition, ext, path, name, duration, suffixed, cluster_start, size) of files with a cluster of two or more.
 
     A cluster begins at its shortest file and takes those at most tolerance
-    longer than that one. No cluster reaches over a gap beyond the tolerance,
-    so files are first cut at such gaps by a window, and only the islands
-    between, with two files or more and a copy's suffix among them, are folded.
+    longer than that one, so it isn't a session, which would go on from file
+    to file: one pass over files sorted by length finds where each begins.
     """
-    own = keyed.where(F.col("duration") > 0).join(known.select(*EDITION), list(EDITION), "left_semi").select(*EDITION, "ext", "path", "name", "duration", has_copy_suffix(F.col("name")).alias("suffixed"))
     group = [*EDITION, "ext"]
-    order = Window.partitionBy(*group).orderBy("duration", "path")
-    own = own.withColumn("gap", F.coalesce(F.col("duration") - F.lag("duration").over(order) > tolerance, F.lit(True)).cast("int")).withColumn("island", F.sum("gap").over(order))
-    whole = Window.partitionBy(*group, "island")
-    own = own.withColumns({"n": F.count("*").over(whole), "evidence": F.max("suffixed").over(whole)}).where((F.col("n") > 1) & F.col("evidence"))
-
-    def anchored(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["duration", "path"], kind="stable")
-        starts, start = [], None
-        for d in pdf["duration"]:
-            if start is None or d - start > tolerance:
-                start = d
-            starts.append(start)
-        return pdf.assign(cluster_start=starts)
-
-    folded = own.groupBy(*group, "island").applyInPandas(anchored, own.withColumn("cluster_start", F.lit(0.0)).schema)
-    cluster = Window.partitionBy(*group, "cluster_start")
-    out = folded.withColumn("size", F.count("*").over(cluster))
-    return out.where(F.col("size") > 1).select(*group, "path", "name", "duration", "suffixed", "cluster_start", "size")
+    own = keyed.where(F.col("duration") > 0).join(known.select(*EDITION), list(EDITION), "left_semi")
+    own = own.select(F.concat_ws("\x01", *group).alias("key"), "duration", *group, "path", "name", F.col("duration").alias("d"), has_copy_suffix(F.col("name")).alias("suffixed"))
+    own = own.repartition("key").sortWithinPartitions("key", "duration", "path")
+    schema = "edition_dir string, tag_author_key string, tag_book_key string, ext string, path string, name string, duration double, suffixed boolean, cluster_start double"
+    folded = own.mapInArrow(Anchors(tolerance), schema)
+    return folded.withColumn("size", F.count("*").over(Window.partitionBy(*group, "cluster_start"))).where(F.col("size") > 1)
 
 
 def intra_duplicates(found: DataFrame) -> DataFrame:

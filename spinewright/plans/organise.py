@@ -32,12 +32,16 @@ class BookDedup:
 
 
 def book_dedup(files: DataFrame) -> BookDedup:
-    """Copies within editions first, then competing editions on what is left."""
-    keyed = with_edition(files)
-    known = editions(keyed)
-    intra = intra_duplicates(clusters(keyed, known))
-    rank = ranked(recalculated(known, keyed, intra))
-    return BookDedup(keyed, known, intra, rank, cross_quarantine(rank, keyed, intra))
+    """Copies within editions first, then competing editions on what is left.
+
+    Each step is used several times below it, and so kept: without that, tags
+    would be resolved and folded anew for every use.
+    """
+    keyed = with_edition(files).persist()
+    known = editions(keyed).persist()
+    intra = intra_duplicates(clusters(keyed, known)).persist()
+    rank = ranked(recalculated(known, keyed, intra)).persist()
+    return BookDedup(keyed, known, intra, rank, cross_quarantine(rank, keyed, intra).persist())
 
 
 def with_destination(files: DataFrame, root: str) -> DataFrame:
@@ -51,7 +55,7 @@ def plan(files: DataFrame, listing: DataFrame, root: str, dedup: BookDedup | Non
     Files kept out within or between editions never claim a destination, and
     neither do files that are in place already.
     """
-    left = with_destination(files, root).select("path", "dest_file", "no_meta", "fp")
+    left = with_destination(files, root).select("path", "dest_file", "no_meta", "fp").persist()
     parts = []
     if dedup:
         for outcome, paths in (("intra", dedup.intra), ("cross", dedup.cross)):

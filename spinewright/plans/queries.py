@@ -22,7 +22,7 @@ def audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files with an audio extension and their fields."""
     files = library(spark, sf_dir).withColumn("ext", T.extension(F.col("name"))).where(F.col("ext").isin(*EXTENSIONS))
     tags = F.create_map(*(x for k, c in TAGS.items() for x in (F.lit(k), F.col(c))))
-    return files.withColumn("tags", tags).withColumns(resolve(F.col("tags")))
+    return files.withColumn("tags", tags).withColumns(resolve(F.col("tags"))).persist()
 
 
 def listing(files: DataFrame) -> DataFrame:
@@ -33,7 +33,11 @@ def listing(files: DataFrame) -> DataFrame:
 def plan_files(files: DataFrame) -> DataFrame:
     from .organise import with_destination
 
-    return with_destination(files, "/out")
+    return with_destination(files, "/out").persist()
+
+
+def keyed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_edition(audio(spark, sf_dir)).persist()
 
 
 def ext_filter_scan(spark, d):
@@ -89,13 +93,13 @@ def fingerprint_text(spark, d):
 
 
 def edition_inventory(spark, d):
-    known = editions(with_edition(audio(spark, d)))
+    known = editions(keyed_files(spark, d))
     return known.select(*EDITION, "author", "book", "year", "format", F.round("total_duration", 3).alias("total_duration"), "avg_bitrate", "file_count", "total_size", "group_author", "group_book")
 
 
 def _clusters(spark, d):
-    keyed = with_edition(audio(spark, d))
-    return clusters(keyed, editions(keyed))
+    keyed = keyed_files(spark, d)
+    return clusters(keyed, editions(keyed)).persist()
 
 
 def intra_cluster(spark, d):
@@ -109,28 +113,28 @@ def intra_duplicate_files(spark, d):
 
 
 def edition_stats_recalc(spark, d):
-    keyed = with_edition(audio(spark, d))
-    known = editions(keyed)
+    keyed = keyed_files(spark, d)
+    known = editions(keyed).persist()
     new = recalculated(known, keyed, intra_duplicates(clusters(keyed, known)))
     return new.select(*EDITION, "format", "file_count", "avg_bitrate", F.round("total_duration", 3).alias("total_duration"), "total_size")
 
 
 def edition_score_rank(spark, d):
-    rank = ranked(editions(with_edition(audio(spark, d))))
+    rank = ranked(editions(keyed_files(spark, d)))
     return rank.select("group_author", "group_book", "edition_dir", "first_path", "format_score", "year_score", "avg_bitrate", "root_loose", "placeholder_hits", "author_mismatch", "depth", "rank")
 
 
 def edition_reason(spark, d):
-    return reasons(ranked(editions(with_edition(audio(spark, d)))))
+    return reasons(ranked(editions(keyed_files(spark, d))))
 
 
 def cross_quarantine_files(spark, d):
-    keyed = with_edition(audio(spark, d))
+    keyed = keyed_files(spark, d)
     return cross_quarantine(ranked(editions(keyed)), keyed)
 
 
 def kept_files(spark, d):
-    keyed = with_edition(audio(spark, d))
+    keyed = keyed_files(spark, d)
     lost = cross_quarantine(ranked(editions(keyed)), keyed)
     return keyed.join(lost, "path", "left_anti").groupBy("ext").agg(F.count("*").alias("files"), F.sum("size").alias("bytes"))
 
@@ -163,7 +167,7 @@ def format_quality(spark, d):
 
 
 def edition_summary(spark, d):
-    known = editions(with_edition(audio(spark, d)))
+    known = editions(keyed_files(spark, d))
     return known.select(*EDITION, T.edition_summary(F.col("format"), F.col("year"), F.col("avg_bitrate"), F.col("total_duration"), F.col("file_count")).alias("summary"))
 
 
