@@ -78,7 +78,7 @@ class Writer:
         archive, index = f"{name}.warc.gz", f"{name}.cdx"
         out = found = None
         at = end = 0
-        lines, directory = [], []
+        lines, directory, note = [], [], None
 
         def close_block():
             nonlocal end, lines
@@ -91,6 +91,10 @@ class Writer:
 
         for batch in batches:
             for r in batch.to_pylist():
+                if r["row"] == 0:  # the pages of this key, id and digest come next
+                    note = r
+                    continue
+                same = note is not None and all(note[k] == r[k] for k in ("key", "page_id", "digest"))
                 if out is None:
                     out, found = store.open_output_stream(f"{root}/{archive}", compression=None), store.open_output_stream(f"{root}/{index}", compression=None)
                     info = _member(_record("warcinfo", None, None, self.date, "", b"format: WARC File Format 1.1\r\n"))
@@ -98,10 +102,10 @@ class Writer:
                     at = len(info)
                 payload = (r["html"] or "").encode()
                 http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
-                if r["refers_to"] is None:
+                if not same:
                     raw = _record("response", r["page_id"], r["url"], self.date, r["digest"], http + b"Content-Length: %d\r\n\r\n" % len(payload) + payload)
                 else:
-                    raw = _record("revisit", r["page_id"], r["url"], self.date, r["digest"], http + b"\r\n", (r["refers_to"], r["refers_key"]))
+                    raw = _record("revisit", r["page_id"], r["url"], self.date, r["digest"], http + b"\r\n", (note["refers_to"], note["refers_key"]))
                 member = _member(raw)
                 out.write(member)
                 lines.append(f"{r['key']} {'' if r['page_id'] is None else r['page_id']} {at} {len(member)}")
@@ -246,14 +250,17 @@ def archive(pages: DataFrame, folder: str, min_revisit: int = MIN_REVISIT, date:
     response. Extra columns aren't looked at.
     """
     own = pages.select(F.col("page_id").cast("bigint").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html")).withColumn("digest", F.sha1("html")).withColumn("key", url_key(F.col("url")))
-    kept = own.where(F.octet_length("html") >= min_revisit)
-    first = kept.groupBy("digest").agg(F.max(F.struct("page_id", "key")).alias("first")).select("digest", "first")
-    rows = own.join(first, "digest", "left")
-    again = (F.octet_length("html") >= min_revisit) & (F.col("page_id") < F.col("first.page_id"))
-    rows = rows.select("page_id", "url", "key", "digest", F.when(again, F.lit(None)).otherwise(F.col("html")).alias("html"), F.when(again, F.col("first.page_id")).alias("refers_to"), F.when(again, F.col("first.key")).alias("refers_key"))
+    # Which rows revisit another is found from ids alone. That and the pages meet in the sort by key, so that payloads are shuffled once.
+    again = own.where((F.octet_length("html") >= min_revisit) & F.col("page_id").isNotNull()).select("key", "page_id", "digest")
+    first = again.groupBy("digest").agg(F.max(F.struct("page_id", "key")).alias("first"), F.count("*").alias("n")).where(F.col("n") > 1).select(F.col("digest").alias("of"), "first")
+    again = again.join(first, F.col("digest") == F.col("of")).where(F.col("page_id") < F.col("first.page_id"))
+    nothing = F.lit(None).cast("string")
+    notes = again.select("key", "page_id", "digest", F.lit(0).alias("row"), nothing.alias("url"), nothing.alias("html"), F.col("first.page_id").alias("refers_to"), F.col("first.key").alias("refers_key"))
+    rows = own.select("key", "page_id", "digest", F.lit(1).alias("row"), "url", "html", F.lit(None).cast("bigint").alias("refers_to"), nothing.alias("refers_key"))
     spark = pages.sparkSession
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.repartitionByRange(tasks, "key", "page_id").sortWithinPartitions("key", "page_id")
+    order = ["key", "page_id", "digest"]
+    rows = notes.union(rows).repartitionByRange(tasks, *order).sortWithinPartitions(*order, "row")
     return Archive(folder, written(rows.mapInArrow(Writer(folder, date, block_lines), _RANGES), "warc-ranges"))
 
 
