@@ -196,7 +196,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, id_col: str
     own = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).alias("_label"))
     order = [F.xxhash64("_id"), F.col("_id")]
     own = own.orderBy(*order).limit(max_rows)
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(own, "_id")
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(own), "_id")  # at most max_rows ids, so that no text is shuffled
     rows = with_counts(rows, "_text", ["_id", "_label"]).select(F.col("own__id").alias("_id"), F.col("own__label").alias("_label"), *(feature(n).alias(n) for n in FEATURES))
     rows = rows.orderBy(*order, *FEATURES).limit(max_rows).toPandas()
     if rows.empty:
