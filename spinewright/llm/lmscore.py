@@ -187,7 +187,7 @@ def score_documents(docs: DataFrame, target_ids: DataFrame, order: int = ORDER,
     hits = blocks.select(F.col("block").alias("home"), F.posexplode("ids").alias("k", "id")).join(wanted, F.col("id") == F.col("wanted"))
     hits = hits.groupBy("home").agg(F.collect_list("k").alias("hits"))
     tasks = max(buckets, spark.sparkContext.defaultParallelism)
-    rows = blocks.join(hits, F.col("block") == F.col("home"), "left").select("block", "place", "sizes", "hits").repartition(tasks, "block")
+    rows = blocks.join(hits, F.col("block") == F.col("home"), "left").select("block", "place", "sizes", "hits").repartition(tasks)  # few and short rows with much work each: not to be coalesced
     counted = written(rows.mapInArrow(Counter(order, buckets, folder), _COUNTED), "lm-counts")
     singles = np.zeros(512)
     for r in counted.where(F.col("bucket") < 0).select(F.posexplode("singles").alias("k", "n")).groupBy("k").agg(F.sum("n").alias("n")).collect():
