@@ -44,7 +44,8 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality_rules", quality_rules), ("near_dedup", near_dedup), ("suffix_dedup", suffix_dedup), ("decontamination", decontamination), ("packing", pack)]
 
-#: Learned rules, tokenization and components of links aren't for SQL; the tests hold run() against a brute-force version.
+#: Learned rules, tokenization and components of links aren't for SQL. The tests hold each operator against brute force, and of the
+#: stages only that they keep the columns and take effect.
 ORACLE_SQL = None
 
 
