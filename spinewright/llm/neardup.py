@@ -202,8 +202,8 @@ def _groups(docs: DataFrame, words: int, percent: int, id_col: str, text_col: st
     own = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col), *(F.col(c).alias(f"own_{c}") for c in keep))
     kinds = dict(own.dtypes)
     signed = written(own.mapInArrow(Signer(words, folder, all_texts), _SIGNED + "".join(f", `own_{c}` {kinds[f'own_{c}']}" for c in keep)), "signed")
-    nodes = signed.where(F.col("n_shingles") > 0).groupBy("set_a", "set_b").agg(F.min("uid").alias("node"), F.min("doc_id").alias("first"), F.min_by(F.struct("signature", "place"), "uid").alias("own"))
-    nodes = written(nodes.select("set_a", "set_b", "node", "first", "own.signature", "own.place"), "nodes")
+    nodes = signed.where(F.col("n_shingles") > 0).groupBy("set_a", "set_b").agg(F.min("uid").alias("node"), F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "uid")).alias("lead"), F.min_by(F.struct("signature", "place"), "uid").alias("own"))
+    nodes = written(nodes.select("set_a", "set_b", "node", "lead", "own.signature", "own.place"), "nodes")
     places = nodes.select("node", "place")
     links, joined = None, nodes.select("node", "signature", F.col("node").alias("component"))
     for trees in (range(FIRST_TREES), range(FIRST_TREES, TREES)):
@@ -212,13 +212,13 @@ def _groups(docs: DataFrame, words: int, percent: int, id_col: str, text_col: st
         new = written(pairs.repartitionByRange(tasks, "b", "a").sortWithinPartitions("b", "a").mapInArrow(Confirmer(words, percent, folder), "a bigint, b bigint"), "confirmed")
         links = new if links is None else links.union(new)
         parts = written(connected_components(links).toDF("of", "component"), "components")
-        joined = nodes.join(parts, F.col("node") == F.col("of"), "left").select("set_a", "set_b", "node", "first", "signature", F.coalesce("component", "node").alias("component"))
-    joined = joined.drop("signature")
-    least = joined.groupBy("component").agg(F.min("first").alias("least"))
-    known = joined.join(least, "component").select("set_a", "set_b", "component", "least")
+        joined = nodes.join(parts, F.col("node") == F.col("of"), "left").select("set_a", "set_b", "node", "lead", "signature", F.coalesce("component", "node").alias("component"))
+    # The row with the smallest id leads, wherever it stands in the files.
+    leads = joined.groupBy("component").agg(F.min("lead").alias("lead"))
+    known = joined.select("set_a", "set_b", "component").join(leads, "component").select("set_a", "set_b", "lead")
     rows = signed.drop("signature").join(known, ["set_a", "set_b"], "left")
     wordy = F.col("n_shingles") > 0
-    return rows.select("uid", "doc_id", "n_shingles", F.when(wordy, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"), F.when(wordy, F.col("component")).otherwise(F.col("uid")).alias("group"), "place", *(f"own_{c}" for c in keep))
+    return rows.select("uid", "doc_id", "n_shingles", F.when(wordy, F.col("lead.doc_id")).otherwise(F.col("doc_id")).alias("component_id"), F.when(wordy, F.col("lead.uid")).otherwise(F.col("uid")).alias("group"), "place", *(f"own_{c}" for c in keep))
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -229,8 +229,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     shingle, and a null text or one without words is linked with nothing.
     component_id is the smallest id that a row is linked with over any number
     of links, itself included (null ids count only where there are no others),
-    and leader is true for exactly one row of each component, repeated rows
-    and ids or not. Extra columns aren't looked at.
+    and leader is true for exactly one row of each component, one with that
+    id, repeated rows and ids or not. Extra columns aren't looked at.
     """
     folder = scratch_path(docs.sparkSession, "texts")
     found = _groups(docs, words, percent, id_col, text_col, (), folder, False)

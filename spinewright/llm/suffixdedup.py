@@ -375,15 +375,18 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id",
     return rows.mapInArrow(Cutter(length, folder, False), "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string").withColumnRenamed("doc_id", id_col)
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs, all columns, with repeated spans cut out of their texts, beside n_removed, the bytes of the spans."""
+def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", removed_col: str = "n_removed") -> DataFrame:
+    """The rows of docs, all columns, with repeated spans cut out of their texts, beside removed_col, the bytes of the spans.
+
+    A null text stays null; removed_col mustn't be a column of docs.
+    """
     folder = scratch_path(docs.sparkSession, "texts")
     keep = tuple(c for c in docs.columns if c != text_col)
     rows = _spans(docs, length, folder, keep, id_col, text_col, MAX_GROUP).select(*_COLUMNS, *(f"own_{c}" for c in keep))
     kinds = dict(rows.dtypes)
     schema = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, text string" + "".join(f", `own_{c}` {kinds[f'own_{c}']}" for c in keep)
     out = rows.mapInArrow(Cutter(length, folder, True), schema)
-    return out.select(*(F.col("text").alias(c) if c == text_col else F.col(f"own_{c}").alias(c) for c in docs.columns), "n_removed")
+    return out.select(*(F.col("text").alias(c) if c == text_col else F.col(f"own_{c}").alias(c) for c in docs.columns), F.col("n_removed").alias(removed_col))
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
