@@ -27,8 +27,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that occur again are cut out; a document with nothing else goes."""
-    cut = suffixdedup.remove_repeats(docs).where((F.col("n_removed") == 0) | (F.length("text") > 0))
-    n_chars = F.when(F.col("n_removed") > 0, F.length("text").cast("bigint")).otherwise(F.col("n_chars"))
+    n_removed = "n_removed" + "_" * max(map(len, docs.columns))  # a name that no column has
+    cut = suffixdedup.remove_repeats(docs, removed_col=n_removed).where((F.col(n_removed) == 0) | (F.length("text") > 0))
+    n_chars = F.when(F.col(n_removed) > 0, F.length("text").cast("bigint")).otherwise(F.col("n_chars"))
     return cut.withColumn("n_chars", n_chars).select(*docs.columns)
 
 
@@ -44,8 +45,8 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality_rules", quality_rules), ("near_dedup", near_dedup), ("suffix_dedup", suffix_dedup), ("decontamination", decontamination), ("packing", pack)]
 
-#: Learned rules, tokenization and components of links aren't for SQL. The tests hold each operator against brute force, and of the
-#: stages only that they keep the columns and take effect.
+#: Learned rules, tokenization and components of links aren't for SQL. tests/llm/test_pipeline.py holds run() against a
+#: brute-force version.
 ORACLE_SQL = None
 
 
