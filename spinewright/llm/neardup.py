@@ -7,6 +7,11 @@ with a common prefix around it, so that the depth follows how crowded the
 region is, and each node has a handful of candidates however large its group.
 Candidates are confirmed on the full sets. The first trees join most of every
 group; the others then look only at nodes that aren't joined yet.
+
+The forest leaves links out, so an exact join settles the rest. Shingles have
+one order, those rare in a sample first. Two linked sets share one of the first
+shingles of both, and their first shared one stands so early that enough are
+left behind it. All nodes of different components that meet so are candidates.
 """
 
 from __future__ import annotations
@@ -16,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,10 +32,14 @@ from .shared import scratch_path, written
 from .textstore import StoreReader, StoreWriter
 
 TREES, FIRST_TREES, DEPTH, MIN_DEPTH = 16, 2, 6, 3
+#: Bits of a set's parities, and of the table that counts shingles of SAMPLE nodes, and its tasks.
+PARITIES, COUNTED_BITS, SAMPLE, SAMPLE_TASKS = 2048, 22, 20_000, 16
+#: Rows of the exact join looked at together, those of a shingle compared row by row, and pairs compared at once.
+MEET, SMALL, AT_ONCE = 500_000, 32, 2_000_000
 _rng = np.random.default_rng(0xF0E57)
 _FLIP = _rng.integers(0, 2**32, TREES * DEPTH, dtype=np.uint32)
 _ODD = _rng.integers(0, 2**31, TREES * DEPTH, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
-_SIGNED = "uid bigint, doc_id bigint, n_shingles bigint, set_a bigint, set_b bigint, signature binary, place string"
+_SIGNED = "uid bigint, doc_id bigint, n_shingles bigint, set_a bigint, set_b bigint, signature binary, parities binary, place string"
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -66,6 +76,21 @@ def signatures(sets: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return out
 
 
+def parities(sets: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Of each set that isn't empty, whether an odd number of its shingles has each of PARITIES hashes, packed.
+
+    Two sets have at least as many different shingles as parities.
+    """
+    size = np.diff(bounds)
+    full = np.flatnonzero(size)
+    ends, out = np.append(0, np.cumsum(size[full])), np.zeros((len(full), PARITIES // 8), np.uint8)
+    for d in range(0, len(full), 512):
+        e = min(d + 512, len(full))
+        at = np.repeat(np.arange(e - d), size[full[d:e]]) * PARITIES + (sets[ends[d] : ends[e]] % np.uint64(PARITIES)).astype(np.int64)
+        out[d:e] = np.packbits((np.bincount(at, minlength=(e - d) * PARITIES) & 1).astype(np.uint8).reshape(-1, PARITIES), axis=1)
+    return out
+
+
 class Signer:
     def __init__(self, n: int, folder: str, all_texts: bool):
         self.n, self.folder, self.all_texts = n, folder, all_texts
@@ -88,17 +113,17 @@ class Signer:
                     if len(full):
                         mark[k][full] = np.add.reduceat(mixed, bounds[full]).view(np.int64)
                 signs = signatures(sets, bounds).astype(">u4")
-                signed, places, view = [None] * (e - d), [None] * (e - d), memoryview(part)
-                for k, row in zip(full.tolist(), signs):
-                    signed[k] = row.tobytes()
+                signed, odd, places, view = [None] * (e - d), [None] * (e - d), [None] * (e - d), memoryview(part)
+                for k, row, bits in zip(full.tolist(), signs, parities(sets, bounds)):
+                    signed[k], odd[k] = row.tobytes(), bits.tobytes()
                     places[k] = store.add(view[off[k] : off[k + 1]])
                 if self.all_texts:
                     for k in np.flatnonzero(size == 0).tolist():
                         places[k] = store.add(view[off[k] : off[k + 1]]) if batch.column(1)[d + k].is_valid else None
                 rest = [batch.column(k).slice(d, e - d) for k in range(2, batch.num_columns)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(uid + np.arange(e - d)), batch.column(0).slice(d, e - d), pa.array(size), *map(pa.array, mark), pa.array(signed, pa.binary()), pa.array(places, pa.string()), *rest],
-                    names=["uid", "doc_id", "n_shingles", "set_a", "set_b", "signature", "place", *batch.schema.names[2:]],
+                    [pa.array(uid + np.arange(e - d)), batch.column(0).slice(d, e - d), pa.array(size), *map(pa.array, mark), pa.array(signed, pa.binary()), pa.array(odd, pa.binary()), pa.array(places, pa.string()), *rest],
+                    names=["uid", "doc_id", "n_shingles", "set_a", "set_b", "signature", "parities", "place", *batch.schema.names[2:]],
                 )
                 uid += e - d
         if store:
@@ -149,6 +174,158 @@ def _candidates(nodes: DataFrame, trees: range, tasks: int) -> DataFrame:
     return pairs.union(spark.createDataFrame(over, "a bigint, b bigint")) if over else pairs
 
 
+def _read_sets(store: StoreReader, places: list[str], n: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first, last, sets, bounds) of some texts at a time."""
+    texts, first, held = [], 0, 0
+    for k, place in enumerate(places):
+        texts.append(store.get(place))
+        held += len(texts[-1])
+        if held > 1 << 22 or k == len(places) - 1:
+            offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+            yield first, k + 1, *shingle_sets(np.frombuffer(b"".join(texts), np.uint8), offsets, n)
+            texts, first, held = [], k + 1, 0
+
+
+class Counter:
+    """How many of the texts at (place) have shingles of each bucket."""
+
+    def __init__(self, n: int, folder: str):
+        self.n, self.folder = n, folder
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, counts = StoreReader(self.folder), np.zeros(1 << COUNTED_BITS, np.int64)
+        for batch in batches:
+            for *_, sets, _ in _read_sets(store, batch.column(0).to_pylist(), self.n):
+                counts += np.bincount((sets >> np.uint64(64 - COUNTED_BITS)).astype(np.int64), minlength=len(counts))
+        store.close()
+        data = zstandard.ZstdCompressor(level=1).compress(np.minimum(counts, 65535).astype("<u2").tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array([data], pa.binary())], names=["counts"])
+
+
+def _ranks(nodes: DataFrame, words: int, folder: str) -> np.ndarray:
+    """The place of each bucket of shingles in the order of the exact join, by logarithms of counts; any order gives the same links."""
+    share = max(1, nodes.count() // SAMPLE)
+    some = nodes.where(F.pmod(F.xxhash64("node"), F.lit(share)) == 0).select("place").repartition(SAMPLE_TASKS)
+    counts, tool = np.zeros(1 << COUNTED_BITS, np.int64), zstandard.ZstdDecompressor()
+    for row in some.mapInArrow(Counter(words, folder), "counts binary").toLocalIterator():
+        counts += np.frombuffer(tool.decompress(bytes(row.counts)), "<u2")
+    return np.minimum(12 * np.log2(1 + counts), 255).astype(np.uint8)
+
+
+class Prefixer:
+    """(shingle, node, component, size, at) of the first shingles of each node (node, component, place): as many as can be the first that it shares with a linked one."""
+
+    def __init__(self, n: int, percent: int, folder: str, ranks: np.ndarray):
+        self.n, self.percent, self.folder, self.ranks = n, percent, folder, ranks
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store = StoreReader(self.folder)
+        for batch in batches:
+            node, component = (batch.column(k).to_numpy() for k in range(2))
+            for first, last, sets, bounds in _read_sets(store, batch.column(2).to_pylist(), self.n):
+                doc, size = K.owner(bounds), np.diff(bounds)
+                rank = self.ranks[(sets >> np.uint64(64 - COUNTED_BITS)).astype(np.int64)]
+                order = np.argsort(doc.astype(np.int64) << 8 | rank, kind="stable")
+                at = np.arange(len(sets)) - bounds[doc]
+                own = np.flatnonzero(at <= size[doc] + (-self.percent * size[doc] // 100))
+                d = doc[own]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(sets[order[own]].view(np.int64)), pa.array(node[first:last][d]), pa.array(component[first:last][d]), pa.array(size[d].astype(np.int32)), pa.array(at[own].astype(np.int32))],
+                    names=["shingle", "node", "component", "size", "at"],
+                )
+        store.close()
+
+
+class Meeting:
+    """Candidates (a, b) among rows of Prefixer sorted by shingle.
+
+    If a shingle is the first that two sets share, no more are shared than
+    either has from there on; linked sets share percent * (x + y) / (100 + percent).
+    """
+
+    def __init__(self, percent: int):
+        self.percent = percent
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows, limit = [], 0, MEET
+        for batch in batches:
+            held.append([c.to_numpy() for c in batch.columns])
+            rows += batch.num_rows
+            if rows >= limit:
+                table = [np.concatenate(c) for c in zip(*held)]
+                done = np.flatnonzero(table[0] != table[0][-1])
+                cut = done[-1] + 1 if len(done) else 0
+                yield from self.meet(*(c[:cut] for c in table))
+                held, rows = [[c[cut:] for c in table]], rows - cut
+                limit = max(MEET, 2 * rows)
+        if rows:
+            yield from self.meet(*(np.concatenate(c) for c in zip(*held)))
+
+    def near(self, i, j, component, size, left):
+        return (component[i] != component[j]) & ((100 + self.percent) * np.minimum(left[i], left[j]) >= self.percent * (size[i] + size[j]))
+
+    def meet(self, shingle, node, component, size, at) -> Iterator[pa.RecordBatch]:
+        if not len(shingle):
+            return
+        size, left = size.astype(np.int64), size.astype(np.int64) - at
+        starts = np.flatnonzero(np.append(True, shingle[1:] != shingle[:-1]))
+        ends = np.append(starts[1:], len(shingle))
+        several = np.minimum.reduceat(component, starts) != np.maximum.reduceat(component, starts)
+        small = several & (ends - starts <= SMALL)
+        alive = np.flatnonzero(np.repeat(small, ends - starts))
+        start = np.repeat(starts, ends - starts)
+        k, found = 1, []
+        while len(alive := alive[alive - k >= start[alive]]):
+            own = alive[self.near(alive, alive - k, component, size, left)]
+            found.append(np.stack([node[own], node[own - k]]))
+            k += 1
+        yield from self.pairs(found)
+        for s, e in zip(starts[several & ~small].tolist(), ends[several & ~small].tolist()):
+            # All but those of the largest component meet all.
+            names, of, n = np.unique(component[s:e], return_inverse=True, return_counts=True)
+            other, j = s + np.flatnonzero(of != n.argmax()), np.arange(s, e)
+            step = max(1, AT_ONCE // (e - s))
+            for d in range(0, len(other), step):
+                i = other[d : d + step, None]
+                x, y = np.nonzero(self.near(i, j[None, :], component, size, left))
+                yield from self.pairs([np.stack([node[i[x, 0]], node[j[y]]])])
+
+    @staticmethod
+    def pairs(found: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        if sum(x.shape[1] for x in found):
+            both = np.concatenate(found, axis=1)
+            a, b = both.max(axis=0), both.min(axis=0)
+            order = np.lexsort((b, a))
+            a, b = a[order], b[order]
+            new = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))
+            yield pa.RecordBatch.from_arrays([pa.array(a[new]), pa.array(b[new])], names=["a", "b"])
+
+
+class Differing:
+    """Drops the pairs (a, b, size and parities of both) with more different parities than linked sets have different shingles."""
+
+    def __init__(self, percent: int):
+        self.percent = percent
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size = batch.column(2).to_numpy() + batch.column(3).to_numpy()
+            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint64).reshape(len(size), PARITIES // 64) for k in (4, 5))
+            differ = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+            keep = pa.array((100 + self.percent) * differ <= (100 - self.percent) * size)
+            yield pa.RecordBatch.from_arrays([batch.column(k).filter(keep) for k in range(2)], names=["a", "b"])
+
+
+def _unmet(nodes: DataFrame, joined: DataFrame, words: int, percent: int, folder: str, tasks: int) -> DataFrame:
+    """(a, b) pairs of nodes of different components, with all that are linked among them."""
+    rows = joined.select("node", "component", "place").mapInArrow(Prefixer(words, percent, folder, _ranks(nodes, words, folder)), "shingle bigint, node bigint, component bigint, size int, at int")
+    rows = rows.repartition(tasks, "shingle").sortWithinPartitions("shingle")
+    pairs = rows.mapInArrow(Meeting(percent), "a bigint, b bigint").distinct()
+    own = nodes.select("node", "n_shingles", "parities")
+    pairs = pairs.join(own.toDF("a", "size_a", "parities_a"), "a").join(own.toDF("b", "size_b", "parities_b"), "b")
+    return pairs.select("a", "b", "size_a", "size_b", "parities_a", "parities_b").mapInArrow(Differing(percent), "a bigint, b bigint")
+
+
 class Confirmer:
     def __init__(self, n: int, percent: int, folder: str):
         self.n, self.percent, self.folder = n, percent, folder
@@ -202,21 +379,26 @@ def _groups(docs: DataFrame, words: int, percent: int, id_col: str, text_col: st
     own = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col), *(F.col(c).alias(f"own_{c}") for c in keep))
     kinds = dict(own.dtypes)
     signed = written(own.mapInArrow(Signer(words, folder, all_texts), _SIGNED + "".join(f", `own_{c}` {kinds[f'own_{c}']}" for c in keep)), "signed")
-    nodes = signed.where(F.col("n_shingles") > 0).groupBy("set_a", "set_b").agg(F.min("uid").alias("node"), F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "uid")).alias("lead"), F.min_by(F.struct("signature", "place"), "uid").alias("own"))
-    nodes = written(nodes.select("set_a", "set_b", "node", "lead", "own.signature", "own.place"), "nodes")
+    nodes = signed.where(F.col("n_shingles") > 0).groupBy("set_a", "set_b").agg(F.min("uid").alias("node"), F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "uid")).alias("lead"), F.min_by(F.struct("n_shingles", "signature", "parities", "place"), "uid").alias("own"))
+    nodes = written(nodes.select("set_a", "set_b", "node", "lead", "own.n_shingles", "own.signature", "own.parities", "own.place"), "nodes")
     places = nodes.select("node", "place")
     links, joined = None, nodes.select("node", "signature", F.col("node").alias("component"))
-    for trees in (range(FIRST_TREES), range(FIRST_TREES, TREES)):
-        pairs = _candidates(joined, trees, tasks).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    for trees in (range(FIRST_TREES), range(FIRST_TREES, TREES), None):
+        if trees:
+            pairs = _candidates(joined, trees, tasks).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+        else:
+            pairs = _unmet(nodes, joined, words, percent, folder, tasks)
         pairs = pairs.join(places.toDF("a", "place_a"), "a").join(places.toDF("b", "place_b"), "b").select("a", "b", "place_a", "place_b")
         new = written(pairs.repartitionByRange(tasks, "b", "a").sortWithinPartitions("b", "a").mapInArrow(Confirmer(words, percent, folder), "a bigint, b bigint"), "confirmed")
+        if trees is None and new.isEmpty():
+            break
         links = new if links is None else links.union(new)
         parts = written(connected_components(links).toDF("of", "component"), "components")
-        joined = nodes.join(parts, F.col("node") == F.col("of"), "left").select("set_a", "set_b", "node", "lead", "signature", F.coalesce("component", "node").alias("component"))
+        joined = nodes.join(parts, F.col("node") == F.col("of"), "left").select("set_a", "set_b", "node", "lead", "signature", "place", F.coalesce("component", "node").alias("component"))
     # The row with the smallest id leads, wherever it stands in the files.
     leads = joined.groupBy("component").agg(F.min("lead").alias("lead"))
     known = joined.select("set_a", "set_b", "component").join(leads, "component").select("set_a", "set_b", "lead")
-    rows = signed.drop("signature").join(known, ["set_a", "set_b"], "left")
+    rows = signed.drop("signature", "parities").join(known, ["set_a", "set_b"], "left")
     wordy = F.col("n_shingles") > 0
     return rows.select("uid", "doc_id", "n_shingles", F.when(wordy, F.col("lead.doc_id")).otherwise(F.col("doc_id")).alias("component_id"), F.when(wordy, F.col("lead.uid")).otherwise(F.col("uid")).alias("group"), "place", *(f"own_{c}" for c in keep))
 

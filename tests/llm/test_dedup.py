@@ -108,6 +108,55 @@ def test_near_duplicates_equal_brute_force(spark):
     assert got.loc[got["leader"], "doc_id"].is_unique and got["leader"].sum() == got["component_id"].nunique()
 
 
+def star(r, copies, at, name):
+    """Copies of an original that are linked with it (0.82) but hardly with each other, the original in place at."""
+    base = [f"{name}{r.randint(0, 10**9)}" for _ in range(200)]
+    texts = []
+    for k in range(copies):
+        own, first = list(base), r.randrange(38)
+        for j in range(5):
+            own[first + 39 * j if first + 39 * j > 3 else 4] = f"{name}{k}own{j}"
+        texts.append(" ".join(own))
+    return [*texts[:at], " ".join(base), *texts[at:]]
+
+
+def test_stars_with_their_original_anywhere_equal_brute_force(spark):
+    r = random.Random(5)
+    texts = [*star(r, 600, 300, "m"), *star(r, 300, 300, "e"), *star(r, 40, 20, "s")]
+    sets = [shingles(t, 4) for t in texts]
+    leader = list(range(len(texts)))
+    find = lambda i: i if leader[i] == i else find(leader[i])
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            both = len(a & b)
+            if 100 * both >= 80 * (len(a) + len(b) - both):
+                x, y = find(i), find(j)
+                leader[max(x, y)] = min(x, y)
+    df = spark.createDataFrame(list(enumerate(texts)), DOCS)
+    got = neardup.near_duplicates(df, words=4).toPandas().sort_values("doc_id")
+    assert got["component_id"].tolist() == [find(i) for i in range(len(texts))]
+
+
+@pytest.mark.parametrize("small", [0, 32])
+def test_the_exact_join_meets_all_links_without_the_forest(spark, tmp_path, monkeypatch, small):
+    monkeypatch.setattr(neardup, "SMALL", small)
+    texts = [t for t in dict.fromkeys(near_texts()) if shingles(t, 4)]
+    raw = [t.encode() for t in texts]
+    store = neardup.StoreWriter(f"file://{tmp_path}")
+    places = [store.add(t) for t in raw]
+    store.close()
+    sets, bounds = neardup.shingle_sets(np.frombuffer(b"".join(raw), np.uint8), np.append(0, np.cumsum([len(t) for t in raw])), 4)
+    read = [pa.RecordBatch.from_arrays([pa.array(range(len(raw))), pa.array(range(len(raw))), pa.array(places)], names=["node", "component", "place"])]
+    rows = pa.Table.from_batches(neardup.Prefixer(4, 80, f"file://{tmp_path}", np.zeros(1 << neardup.COUNTED_BITS, np.uint8))(iter(read))).sort_by("shingle")
+    met = {tuple(sorted(x.values())) for b in neardup.Meeting(80)(iter(rows.to_batches(7))) for x in b.to_pylist()}
+    known = [set(sets[bounds[k] : bounds[k + 1]].tolist()) for k in range(len(raw))]
+    linked = {(j, i) for i, a in enumerate(known) for j, b in enumerate(known[:i]) if 100 * len(a & b) >= 80 * len(a | b)}
+    assert linked and linked <= met
+    odd = neardup.parities(sets, bounds)
+    for i, j in met:
+        assert np.bitwise_count(odd[i] ^ odd[j]).sum() <= len(known[i] ^ known[j])
+
+
 def test_near_duplicates_of_repeated_rows_and_null_ids(spark):
     df = spark.createDataFrame([(5, "a b c d e f"), (5, "a b c d e f"), (None, "a b c d e f"), (None, None)], DOCS)
     rows = neardup.near_duplicates(df).collect()
