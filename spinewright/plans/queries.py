@@ -177,16 +177,24 @@ def organise_plan(spark, d):
 
 
 def run_counters(spark, d):
+    """Counters of the files of claim_window, without book-level deduplication: SQL can say these. run_counters_all has the whole run."""
     files = audio(spark, d).where(~F.col("title").endswith(".2") & ~T.has_copy_suffix(F.col("name")))
     there = plan_files(files).where(F.col("e") % 17 == 0).groupBy(F.col("dest_file").alias("dest")).agg(F.min("fp").alias("disk_fp"))
     return counters(plan(files, there, "/out"))
 
 
+def run_counters_all(spark, d):
+    """Counters of all audio files, those kept out within and between editions included."""
+    files = audio(spark, d)
+    dedup = book_dedup(files)
+    return counters(plan(files, listing(files), "/out", dedup), dedup)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         edition_score_rank, ext_filter_scan, tag_chain_coalesce, parse_int_leading, sanitise_component, prefix_strip, normalise_author_key, normalise_book_key, accent_fold, infer_path, infer_filename, build_dest, fingerprint_text,
-        edition_inventory, intra_cluster, intra_duplicate_files, edition_stats_recalc, edition_reason, cross_quarantine_files, kept_files, claim_window, claim_family, format_duration, format_quality, edition_summary, organise_plan, run_counters,
+        edition_inventory, intra_cluster, intra_duplicate_files, edition_stats_recalc, edition_reason, cross_quarantine_files, kept_files, claim_window, claim_family, format_duration, format_quality, edition_summary, organise_plan, run_counters, run_counters_all,
     )
 }
 

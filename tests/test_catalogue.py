@@ -79,6 +79,27 @@ def test_every_file_has_one_outcome(spark, sf):
     assert dedup.intra.join(dedup.cross, "path").count() == 0
 
 
+def test_counters_of_all_files_follow_the_sequential_rule(spark, sf):
+    files = queries.audio(spark, sf)
+    dedup = organise.book_dedup(files)
+    intra, cross = ({r.path for r in x.select("path").collect()} for x in (dedup.intra, dedup.cross))
+    rows = queries.plan_files(files).select("path", "dest_file", "fp", "no_meta", "e", "title", "name").collect()
+    disk = {}
+    for r in rows:
+        if r.e % 17 == 0:
+            disk[r.dest_file] = min(r.fp, disk.get(r.dest_file, r.fp))
+    left = [r for r in rows if r.path not in intra | cross]
+    done = sequential([(r.path, r.dest_file, r.fp) for r in left], disk)
+    moved = [r for r in left if done[r.path][0] == "proceed"]
+    skipped = sum(a == "skip" for a, _ in done.values())
+    want = {
+        "files": len(rows), "moved": len(moved), "skipped": skipped, "dupe": skipped + sum(a == "quarantine" for a, _ in done.values()), "conflict": sum(done[r.path][1] != r.dest_file for r in moved),
+        "intra_dedup": len(intra), "book_dedup": len(cross), "no_meta": sum(r.no_meta for r in moved),
+    }
+    assert queries.QUERIES["run_counters_all"](spark, sf).first().asDict() == want
+    assert intra and cross and any(r.title.endswith(".2") for r in rows)
+
+
 def test_queries_equal_their_sql(spark, sf):
     con = duckdb.connect()
     for t in ("part", "supplier", "events", "orders", "pages", "documents"):
