@@ -139,6 +139,23 @@ def kept_files(spark, d):
     return keyed.join(lost, "path", "left_anti").groupBy("ext").agg(F.count("*").alias("files"), F.sum("size").alias("bytes"))
 
 
+def book_reasons(spark, d):
+    """edition_reason after copies within editions are out."""
+    return book_dedup(audio(spark, d)).decisions
+
+
+def book_quarantine_files(spark, d):
+    """cross_quarantine_files after copies within editions are out."""
+    return book_dedup(audio(spark, d)).cross
+
+
+def book_kept_files(spark, d):
+    """kept_files without copies within editions too."""
+    dedup = book_dedup(audio(spark, d))
+    lost = dedup.intra.select("path").union(dedup.cross)
+    return dedup.keyed.join(lost, "path", "left_anti").groupBy("ext").agg(F.count("*").alias("files"), F.sum("size").alias("bytes"))
+
+
 def _claims(spark, d):
     files = audio(spark, d)
     return claims(plan_files(files), listing(files))
@@ -194,7 +211,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         edition_score_rank, ext_filter_scan, tag_chain_coalesce, parse_int_leading, sanitise_component, prefix_strip, normalise_author_key, normalise_book_key, accent_fold, infer_path, infer_filename, build_dest, fingerprint_text,
-        edition_inventory, intra_cluster, intra_duplicate_files, edition_stats_recalc, edition_reason, cross_quarantine_files, kept_files, claim_window, claim_family, format_duration, format_quality, edition_summary, organise_plan, run_counters, run_counters_all,
+        edition_inventory, intra_cluster, intra_duplicate_files, edition_stats_recalc, edition_reason, cross_quarantine_files, kept_files, book_reasons, book_quarantine_files, book_kept_files, claim_window, claim_family, format_duration, format_quality, edition_summary, organise_plan, run_counters, run_counters_all,
     )
 }
 

@@ -100,6 +100,17 @@ def test_counters_of_all_files_follow_the_sequential_rule(spark, sf):
     assert intra and cross and any(r.title.endswith(".2") for r in rows)
 
 
+def test_book_queries_take_copies_within_editions_out_first(spark, monkeypatch):
+    copies = [row(f"/lib/A/Long/x{end}.mp3", "A", "B", "2001", rate) for end, rate in (("", 64000), (".2", 256000), (".3", 256000))]
+    rival = [row("/lib/A/Other/y.mp3", "A", "B", "2001", 128000)]
+    monkeypatch.setattr(queries, "audio", lambda *_: spark.createDataFrame(copies + rival, FILES))
+    got = {name: queries.QUERIES[name](spark, "").collect() for name in ("book_reasons", "book_quarantine_files", "book_kept_files")}
+    # Counted with its copies, the first edition would have the higher bitrate and win.
+    assert [(r.kept_dir, r.losers, r.reason) for r in got["book_reasons"]] == [("/lib/A/Other", 1, "higher bitrate (128kbps vs 64kbps)")]
+    assert [r.path for r in got["book_quarantine_files"]] == ["/lib/A/Long/x.mp3"]
+    assert [(r.ext, r.files, r.bytes) for r in got["book_kept_files"]] == [("mp3", 1, 10)]
+
+
 def test_queries_equal_their_sql(spark, sf):
     con = duckdb.connect()
     for t in ("part", "supplier", "events", "orders", "pages", "documents"):
