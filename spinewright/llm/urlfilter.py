@@ -16,6 +16,22 @@ from pyspark.sql import DataFrame, SparkSession
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
 #: Suffixes of two labels under which domains are registered.
 TWO_LABEL_SUFFIXES = ("co.uk", "com.au", "co.jp", "com.br", "co.nz")
+#: What most countries with such suffixes call them, by country; sites' own suffixes, like github.io, aren't among them.
+_COUNTRIES = {
+    "ac com edu gov mil net org": "ag ai am ar bd bh bo br by cn co cu cy do ec eg et fj ge gh gi gt hk hn jm jo kh kw kz lb lk lv ly mm mo mt mx my na ng ni np om pa pe ph pk pr ps py qa ro ru sa sg sl sv sy tj tn tr tt tw ua uy uz ve vn",
+    "ac co go ne or": "ao cr id jp ke kr th tz ug",
+    "ac co gov net nom org": "il im in nz uk za zm zw",
+    "com edu gov id net org asn": "au",
+    "com edu gov net org": "al ba cy gr mk pl pt",
+    "co gv or ac": "at",
+}
+PUBLIC_SUFFIXES = tuple(
+    sorted(
+        {f"{k}.{c}" for kinds, countries in _COUNTRIES.items() for c in countries.split() for k in kinds.split()}
+        | {*TWO_LABEL_SUFFIXES}
+        | set("ltd.uk me.uk nhs.uk plc.uk police.uk sch.uk geek.nz govt.nz iwi.nz kiwi.nz maori.nz school.nz ad.jp ed.jp gr.jp lg.jp firm.in gen.in ind.in nic.in res.in edu.in mil.in k12.il muni.il law.za school.za web.za blog.br eco.br ind.br art.br adv.br gob.ar gob.mx gob.es gob.pe gub.uy gob.ve gob.ec gob.bo gob.gt idv.tw idv.hk gen.tr bel.tr k12.tr web.tr biz.tr info.tr in.th mi.th sch.id web.id re.kr pe.kr mil.kr waw.pl asso.fr com.fr gouv.fr nom.fr com.es edu.es nom.es org.es com.hr ac.rs co.rs edu.rs gov.rs in.rs org.rs co.hu org.hu in.ua kiev.ua kyiv.ua".split())
+    )
+)
 MIN_BOUND, Z = 0.5, 1.645
 #: Limits of the correlation that a level's moments may give; they keep strengths between 1/9 and 999.
 LEAST_RHO, MOST_RHO = 0.001, 0.9
@@ -44,9 +60,9 @@ def _strength(table: str) -> str:
 _SUMS = "CAST(sum(n) AS DOUBLE) AS n, CAST(sum(s) AS DOUBLE) AS s, CAST(sum(CASE WHEN n > 0 THEN 1 ELSE 0 END) AS DOUBLE) AS k, CAST(sum(n * n) AS DOUBLE) AS w2, sum(CASE WHEN n > 0 THEN s * s / n ELSE 0 END) AS q"
 
 
-def filter_sql(pages: str, labels: str, rules=RULES, min_bound: float = MIN_BOUND, z: float = Z) -> str:
+def filter_sql(pages: str, labels: str, rules=RULES, min_bound: float = MIN_BOUND, z: float = Z, two_label_suffixes=TWO_LABEL_SUFFIXES) -> str:
     """The statement, in SQL that Spark and other engines share."""
-    two = ", ".join(map(_text, TWO_LABEL_SUFFIXES))
+    two = ", ".join(map(_text, two_label_suffixes)) or "''"
     labels_of = lambda n: " || '.' || ".join(f"split_part(host, '.', {-k})" for k in range(n, 0, -1))
     dots = "length(host) - length(replace(host, '.', ''))"
     return f"""
@@ -86,17 +102,18 @@ FROM urls LEFT JOIN reputation ON host = known
 """
 
 
-def filter_urls(pages: DataFrame, labels: DataFrame, rules=RULES, min_bound: float = MIN_BOUND, z: float = Z) -> DataFrame:
+def filter_urls(pages: DataFrame, labels: DataFrame, rules=RULES, min_bound: float = MIN_BOUND, z: float = Z, two_label_suffixes=PUBLIC_SUFFIXES) -> DataFrame:
     """(page_id, host, path, rule, verdict) of each row of pages.
 
     labels (doc_id, quality, toxic) judge pages by id; of several labels of
     one page the worst holds, and null ids or qualities say nothing. A url that
     is null or lacks ``://`` has an empty host and path, and that host has a
     reputation like any other. Repeated rows keep a row each, extra columns
-    aren't looked at, and without labels the means are one half.
+    aren't looked at, and without labels the means are one half. Domains are
+    registered under two_label_suffixes, and else under the last label.
     """
     own = pages.select("page_id", "url"), labels.select("doc_id", "quality", "toxic")
-    return pages.sparkSession.sql(filter_sql("{pages}", "{labels}", rules, min_bound, z), pages=own[0], labels=own[1])
+    return pages.sparkSession.sql(filter_sql("{pages}", "{labels}", rules, min_bound, z, two_label_suffixes), pages=own[0], labels=own[1])
 
 
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

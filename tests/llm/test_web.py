@@ -32,6 +32,17 @@ def test_reputation_takes_after_the_domain(spark):
     assert (got[0], got[50], got[91]) == ("allow", "block", "block")
 
 
+def test_sites_below_country_suffixes_have_domains_of_their_own(spark):
+    names = ["org.uk", "ac.uk", "co.in", "com.cn", "co.uk"]
+    for suffix in names:
+        urls = [f"http://www.s{k}.{suffix}/{i}" for k in range(10) for i in range(20)]
+        pages = spark.createDataFrame([*enumerate(urls), (900, f"http://new.s0.{suffix}/"), (901, f"http://new.s9.{suffix}/")], "page_id bigint, url string")
+        labels = spark.createDataFrame([(i, int(i < 100), 0) for i in range(200)], "doc_id bigint, quality int, toxic int")
+        got = {r.page_id: r.verdict for r in urlfilter.filter_urls(pages, labels, rules=()).collect()}
+        assert (got[0], got[199], got[900], got[901]) == ("allow", "block", "allow", "block"), suffix
+    assert set(names) <= set(urlfilter.PUBLIC_SUFFIXES) and set(urlfilter.TWO_LABEL_SUFFIXES) <= set(urlfilter.PUBLIC_SUFFIXES)
+
+
 def test_archives_read_back(spark, tmp_path):
     big, same = "é" * 600, "s" * 1000
     rows = [(1, "http://b.com/1", big), (2, "http://a.com/ x\n", big), (3, None, big), (4, "http://a.com/", same), (5, "http://a.com/", same), (5, "http://a.com/", same), (6, "http://a.com/", "s" * 999), (7, "http://a.com/", "s" * 999), (8, "u", None), (9, "u", ""), (None, "u", big)]
