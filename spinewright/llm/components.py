@@ -26,10 +26,11 @@ def connected_components(links: DataFrame) -> DataFrame:
             break
         before = now
         both = stars.union(stars.select("b", "a"))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"))
+        # Minima are written, so that the join deals a node with very many links anew.
+        least = written(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m")), "links")
         large = both.join(least, F.col("a") == F.col("u")).where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).union(stars.where(F.col("a") == F.col("b")))
         large = written(large.distinct(), "links")
-        least = large.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m"))
+        least = written(large.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m")), "links")
         small = large.join(least, F.col("a") == F.col("u")).select(F.col("b").alias("a"), F.col("m").alias("b")).where(F.col("a") > F.col("b"))
         stars = written(small.union(least.select("u", "m")).distinct(), "links")
     else:

@@ -5,32 +5,51 @@ over the codes is sorted by prefix doubling that goes on only where suffixes
 are still tied. Every suffix of the benchmark is looked for in every shard by
 binary search; an interval that still matches after a window is a verbatim
 occurrence, and narrowing it further gives the longest match and its place.
-Shards are never gathered: the benchmark, in chunks of bounded size, goes to
-the documents.
+Shards are never gathered: the benchmark goes to the documents, in chunks of
+bounded size that tasks read from the shared folder one after another. A
+shard's array is built once and serves all chunks. Digests order the words;
+whether two words are the same is decided by their bytes.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textkernel as K
+from .shared import scratch_path
+from .textstore import StoreReader, StoreWriter
 
 WINDOW = 10
-#: Bytes of benchmark text that one pass over the documents looks for, and passes at most.
-CHUNK_BYTES, MAX_CHUNKS = 4 << 20, 64
+#: Bytes of benchmark text in a chunk, bytes of documents that a chunk is read for if there are several, words of a shard,
+#: and pairs of places followed at once.
+CHUNK_BYTES, RUN_BYTES, SHARD_WORDS, AT_ONCE = 4 << 20, 4 << 20, 1 << 18, 1 << 20
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words, A-Z lower-cased, and each document's bounds among them."""
-    low = K.LOWER[data]
-    starts, ends, bounds = K.segments(K.ALNUM[low], offsets)
-    return K.segment_hash(K.prefix_hash(low), starts, ends), bounds
+class Words:
+    """The words of some texts, A-Z lower-cased: digests, numbers and what they stand for, and each text's bounds."""
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+        low = K.LOWER[data]
+        starts, ends, self.bounds = K.segments(K.ALNUM[low], offsets)
+        self.code, self.distinct = K.codes(low, starts, ends)
+        self.digest = K.digests(self.distinct)[self.code] if len(starts) else np.zeros(0, np.uint64)
+
+    def __len__(self) -> int:
+        return len(self.code)
+
+    def within(self, distinct: pa.Array) -> np.ndarray:
+        """Each word's number among these distinct ones, -1 if it isn't among them."""
+        if not len(self) or not len(distinct):
+            return np.full(len(self), -1, np.int64)
+        return pc.fill_null(pc.index_in(self.distinct, value_set=distinct), -1).to_numpy().astype(np.int64)[self.code]
 
 
 def codes(words: np.ndarray) -> np.ndarray:
@@ -74,23 +93,23 @@ class Tests:
 
     def __init__(self, ids: list, texts: list, window: int = WINDOW):
         self.ids, self.window = ids, window
-        data, offsets = K.column_bytes(pa.array(texts, pa.string()))
-        words, bounds = word_hashes(data, offsets)
-        item, size = K.owner(bounds), np.diff(bounds)
-        left = bounds[1:][item] - np.arange(len(words))
+        own = Words(*K.column_bytes(pa.array(texts, pa.large_string())))
+        self.words, self.code, self.distinct, self.bounds = own.digest, own.code, own.distinct, own.bounds
+        item, size = K.owner(self.bounds), np.diff(self.bounds)
+        left = self.bounds[1:][item] - np.arange(len(own))
         depth = np.minimum(window, size[item])
         at = np.flatnonzero((left >= depth) & (depth > 0))
         # Windows of equal words are looked for once.
-        h, d = np.zeros(len(at), np.uint64), depth[at]
+        d = depth[at]
+        same = d
         for k in range(window):
-            more = d > k
-            h[more] = K.mix(h[more] + words[at[more] + k])
-        _, first, self.same = np.unique(h, return_index=True, return_inverse=True)
-        self.words, self.at, self.depth = words, at[first], d[first]
+            same, _ = K.pairs(same, np.where(d > k, own.code[np.minimum(at + k, len(own) - 1)] + 1, 0) if len(own) else at)
+        _, first, self.same = np.unique(same, return_index=True, return_inverse=True)
+        self.at, self.depth = at[first], d[first]
         order = np.argsort(self.same, kind="stable")
         self.places, self.items = at[order], item[at][order]
         self.items_from = np.searchsorted(self.same[order], np.arange(len(first) + 1))
-        self.left, self.item, self.bounds = left, item, bounds
+        self.left, self.item = left, item
 
 
 def _narrow(code: np.ndarray, order: np.ndarray, lo: np.ndarray, hi: np.ndarray, k: int, want: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -110,211 +129,254 @@ def _narrow(code: np.ndarray, order: np.ndarray, lo: np.ndarray, hi: np.ndarray,
     return bound(False), bound(True)
 
 
-def occurrences(words: np.ndarray, bounds: np.ndarray, tests: Tests) -> tuple[np.ndarray, np.ndarray]:
-    """(window, place) pairs of every verbatim occurrence of the windows within a document."""
-    none = np.zeros(0, np.int64)
-    if not len(words) or not len(tests.at):
-        return none, none
-    code, want = codes(words), codes(tests.words)
-    order, head = suffix_array(code)
-    first = want[tests.at] << np.uint64(32)
-    second = np.where(tests.depth > 1, want[np.minimum(tests.at + 1, len(want) - 1)], 0)
-    lo = np.searchsorted(head, first | second, "left")
-    hi = np.searchsorted(head, first | np.where(tests.depth > 1, second, np.uint64(0xFFFFFFFF)), "right")
-    live = np.flatnonzero(hi > lo)
-    lo, hi = lo[live], hi[live]
-    for k in range(2, tests.window):
-        deep = np.flatnonzero(tests.depth[live] > k)
-        if not len(deep):
-            break
-        lo[deep], hi[deep] = _narrow(code, order, lo[deep], hi[deep], k, want[tests.at[live[deep]] + k])
-        alive = hi > lo
-        live, lo, hi = live[alive], lo[alive], hi[alive]
-    size = hi - lo
-    window = np.repeat(live, size)
-    place = order[np.arange(int(size.sum())) + np.repeat(lo - (np.cumsum(size) - size), size)]
-    end = np.repeat(bounds[1:], np.diff(bounds))
-    fits = place + tests.depth[window] <= end[place]
-    window, place = window[fits], place[fits]
-    for k in range(tests.window):  # codes only order; the words must be equal
-        deep = tests.depth[window] > k
-        fits = ~deep
-        fits[deep] = words[place[deep] + k] == tests.words[tests.at[window[deep]] + k]
+class Shards:
+    """Suffix arrays of a run's words, each of SHARD_WORDS at most and a window more, so that none is lost between them."""
+
+    def __init__(self, words: Words, window: int):
+        self.words, self.window, self.parts = words, window, []
+        code = codes(words.digest)
+        for a in range(0, len(code), SHARD_WORDS):
+            part = code[a : a + SHARD_WORDS + window - 1]
+            self.parts.append((a, part, *suffix_array(part)))
+        self.end = np.repeat(words.bounds[1:], np.diff(words.bounds))
+
+    def occurrences(self, tests: Tests) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(window, place) pairs of every verbatim occurrence of the windows within a document; and the words' numbers in the tests."""
+        same = self.words.within(tests.distinct)
+        found = [np.zeros((2, 0), np.int64)]
+        if len(tests.at):
+            found += [self._search(*part, tests, same) for part in self.parts]
+        window, place = np.concatenate(found, axis=1)
+        if len(self.parts) > 1:
+            window, place = np.unique(np.stack([window, place]), axis=1)
+        return window, place, same
+
+    def _search(self, a: int, code: np.ndarray, order: np.ndarray, head: np.ndarray, tests: Tests, same: np.ndarray) -> np.ndarray:
+        want = codes(tests.words)
+        first = want[tests.at] << np.uint64(32)
+        second = np.where(tests.depth > 1, want[np.minimum(tests.at + 1, len(want) - 1)], 0)
+        lo = np.searchsorted(head, first | second, "left")
+        hi = np.searchsorted(head, first | np.where(tests.depth > 1, second, np.uint64(0xFFFFFFFF)), "right")
+        live = np.flatnonzero(hi > lo)
+        lo, hi = lo[live], hi[live]
+        for k in range(2, tests.window):
+            deep = np.flatnonzero(tests.depth[live] > k)
+            if not len(deep):
+                break
+            lo[deep], hi[deep] = _narrow(code, order, lo[deep], hi[deep], k, want[tests.at[live[deep]] + k])
+            alive = hi > lo
+            live, lo, hi = live[alive], lo[alive], hi[alive]
+        size = hi - lo
+        window = np.repeat(live, size)
+        place = order[np.arange(int(size.sum())) + np.repeat(lo - (np.cumsum(size) - size), size)] + a
+        fits = place + tests.depth[window] <= self.end[place]
         window, place = window[fits], place[fits]
-    return window, place
+        for k in range(tests.window):  # codes only order; the words must be equal
+            deep = tests.depth[window] > k
+            fits = ~deep
+            fits[deep] = same[place[deep] + k] == tests.code[tests.at[window[deep]] + k]
+            window, place = window[fits], place[fits]
+        return np.stack([window, place])
 
 
-def longest(words: np.ndarray, bounds: np.ndarray, tests: Tests, window: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Test word, document word and length of each match that can't begin earlier, as long as it goes on."""
-    size = tests.items_from[window + 1] - tests.items_from[window]
-    t = tests.places[np.arange(int(size.sum())) + np.repeat(tests.items_from[window] - (np.cumsum(size) - size), size)]
-    p, n = np.repeat(place, size), np.repeat(tests.depth[window], size)
+def longest(same: np.ndarray, bounds: np.ndarray, tests: Tests, window: np.ndarray, place: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Test word, document word and length of each match that can't begin earlier, as long as it goes on; a bounded number at a time.
+
+    same: the document words' numbers in the tests.
+    """
     doc = K.owner(bounds)
-    before = (t > 0) & (p > 0)
-    before &= (tests.item[t - 1] == tests.item[t]) & (doc[p - 1] == doc[p])
-    before[before] = tests.words[t[before] - 1] == words[p[before] - 1]
-    t, p, n = t[~before], p[~before], n[~before]
-    room = np.minimum(tests.left[t], bounds[1:][doc[p]] - p)
-    going = np.flatnonzero(n < room)
-    while len(going):
-        going = going[tests.words[t[going] + n[going]] == words[p[going] + n[going]]]
-        n[going] += 1
-        going = going[n[going] < room[going]]
-    return t, p, n
+    size = tests.items_from[window + 1] - tests.items_from[window]
+    total = np.cumsum(size)
+    a = 0
+    while a < len(window):
+        b = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + AT_ONCE, "right")))
+        w, s = window[a:b], size[a:b]
+        t = tests.places[np.arange(int(s.sum())) + np.repeat(tests.items_from[w] - (np.cumsum(s) - s), s)]
+        p, n = np.repeat(place[a:b], s), np.repeat(tests.depth[w], s)
+        before = (t > 0) & (p > 0)
+        before &= (tests.item[t - 1] == tests.item[t]) & (doc[p - 1] == doc[p])
+        before[before] = tests.code[t[before] - 1] == same[p[before] - 1]
+        t, p, n = t[~before], p[~before], n[~before]
+        room = np.minimum(tests.left[t], bounds[1:][doc[p]] - p)
+        going = np.flatnonzero(n < room)
+        while len(going):
+            going = going[tests.code[t[going] + n[going]] == same[p[going] + n[going]]]
+            n[going] += 1
+            going = going[n[going] < room[going]]
+        yield t, p, n
+        a = b
+
+
+class Benchmark:
+    """Chunks of test items in the shared folder; the last one read is kept."""
+
+    def __init__(self, folder: str, places: list[str], window: int):
+        self.folder, self.places, self.window, self.last = folder, places, window, (None, None)
 
+    def __getstate__(self):
+        return self.__dict__ | {"last": (None, None)}
 
-class Matches:
-    """Rows of one chunk's longest matches in each document."""
+    def chunks(self) -> Iterator[Tests]:
+        for place in self.places:
+            if self.last[0] != place:
+                store = StoreReader(self.folder)
+                self.last = place, Tests(*json.loads(store.get(place)), self.window)
+                store.close()
+            yield self.last[1]
 
-    def __init__(self, ids: list, texts: list, window: int):
-        self.ids, self.texts, self.window, self.tests = ids, texts, window, None
+    def runs(self, column: pa.Array) -> Iterator[tuple[int, int, Words, Shards]]:
+        """(first and last document, words, shards) of a column's texts, a run at a time."""
+        data, offsets = K.column_bytes(column)
+        for d, e in K.runs(offsets, RUN_BYTES if len(self.places) > 1 else 0):
+            words = Words(data[offsets[d] : offsets[e]], offsets[d : e + 1] - offsets[d])
+            yield d, e, words, Shards(words, self.window)
 
-    def __getstate__(self):
-        return self.__dict__ | {"tests": None}
+
+class Matches:
+    """Rows of the longest matches in each document."""
+
+    def __init__(self, tests: Benchmark):
+        self.tests = tests
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        self.tests = self.tests or Tests(self.ids, self.texts, self.window)
         for batch in batches:
-            data, offsets = K.column_bytes(batch.column(1))
-            for d, e in K.runs(offsets):
-                words, bounds = word_hashes(data[offsets[d] : offsets[e]], offsets[d : e + 1] - offsets[d])
-                t, p, n = longest(words, bounds, self.tests, *occurrences(words, bounds, self.tests))
-                doc = np.searchsorted(bounds, p, "right") - 1
-                item = self.tests.item[t]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(d, e - d).take(pa.array(doc, pa.int64())), pa.array(self.ids, pa.string()).take(pa.array(item, pa.int64())), *(pa.array(x, pa.int64()) for x in (p - bounds[doc], t - self.tests.bounds[item], n))],
-                    names=["id", "test_id", "word", "test_word", "length"],
-                )
+            for d, e, words, shards in self.tests.runs(batch.column(1)):
+                bounds = words.bounds
+                for tests in self.tests.chunks():
+                    window, place, same = shards.occurrences(tests)
+                    for t, p, n in longest(same, bounds, tests, window, place):
+                        doc = np.searchsorted(bounds, p, "right") - 1
+                        item = tests.item[t]
+                        yield pa.RecordBatch.from_arrays(
+                            [batch.column(0).slice(d, e - d).take(pa.array(doc, pa.int64())), pa.array(tests.ids, pa.string()).take(pa.array(item, pa.int64())), *(pa.array(x, pa.int64()) for x in (p - bounds[doc], t - tests.bounds[item], n))],
+                            names=["id", "test_id", "word", "test_word", "length"],
+                        )
+        K.tidy()
 
 
-class Search:
-    """Adds what one chunk of the benchmark finds to (id, text, n_words, hits, items)."""
+_FOUND = "n_words bigint, n_hit bigint, hits binary, items array<string>, items_sha256 string, longest bigint, longest_at bigint, longest_item string"
 
-    def __init__(self, ids: list, texts: list, window: int, last: bool):
-        self.ids, self.texts, self.window, self.last, self.tests = ids, texts, window, last, None
 
-    def __getstate__(self):
-        return self.__dict__ | {"tests": None}
+class Search:
+    """What the benchmark finds in (id, text) rows."""
+
+    def __init__(self, tests: Benchmark):
+        self.tests = tests
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if self.tests is None:
-            self.tests = Tests(self.ids, self.texts, self.window)
-        tests = self.tests
         for batch in batches:
-            data, offsets = K.column_bytes(batch.column(1))
-            for d, e in K.runs(offsets):
-                words, bounds = word_hashes(data[offsets[d] : offsets[e]], offsets[d : e + 1] - offsets[d])
-                window, place = occurrences(words, bounds, tests)
+            for d, e, words, shards in self.tests.runs(batch.column(1)):
+                bounds = words.bounds
                 mark = np.zeros(len(words) + 1, np.int64)
-                np.add.at(mark, place, 1)
-                np.add.at(mark, place + tests.depth[window], -1)
-                hit = np.cumsum(mark[:-1]) > 0
-                before = batch.column(2).slice(d, e - d)
-                for k, old in enumerate(before.to_pylist()):
-                    if old:  # the runs that earlier chunks hit
-                        for a, b in np.frombuffer(old, np.int64).reshape(-1, 2):
-                            hit[bounds[k] + a : bounds[k] + b] = True
-                found = {}
-                if len(window):
+                found: dict[int, set] = {}
+                best = [(0, None, None)] * (e - d)  # length, place and item of the longest match; the first of equal ones
+                for tests in self.tests.chunks():
+                    window, place, same = shards.occurrences(tests)
+                    if not len(window):
+                        continue
+                    np.add.at(mark, place, 1)
+                    np.add.at(mark, place + tests.depth[window], -1)
                     doc = np.searchsorted(bounds, place, "right") - 1
                     for k, g in np.unique(np.stack([doc, window]), axis=1).T.tolist():
-                        found.setdefault(k, set()).update(tests.items[tests.items_from[g] : tests.items_from[g + 1]].tolist())
-                old_items = batch.column(3).slice(d, e - d).to_pylist()
-                items = [sorted({*(old or ()), *(tests.ids[i] for i in found.get(k, ()) if tests.ids[i] is not None)}) for k, old in enumerate(old_items)]
+                        found.setdefault(k, set()).update(tests.ids[i] for i in tests.items[tests.items_from[g] : tests.items_from[g + 1]].tolist())
+                    for t, p, n in longest(same, bounds, tests, window, place):
+                        order = np.lexsort((p, -n))
+                        doc, first = np.unique(np.searchsorted(bounds, p[order], "right") - 1, return_index=True)
+                        for k, i in zip(doc.tolist(), order[first].tolist()):
+                            if n[i] > best[k][0]:
+                                best[k] = int(n[i]), int(p[i] - bounds[k]), tests.ids[tests.item[t[i]]]
+                hit = np.cumsum(mark[:-1]) > 0
+                items = [sorted(i for i in found.get(k, ()) if i is not None) for k in range(e - d)]
                 starts, ends, at = K.segments(hit, bounds)
                 doc_of = K.owner(at)
-                starts, ends = starts - bounds[doc_of], ends - bounds[doc_of]
-                spans = np.stack([starts, ends], axis=1)
-                hits = [spans[at[k] : at[k + 1]].tobytes() or None for k in range(e - d)]
-                columns = {"id": batch.column(0).slice(d, e - d)}
-                if self.last:
-                    columns |= {"n_words": pa.array(np.diff(bounds), pa.int64()), "n_hit": pa.array(K.sum_by(bounds, hit), pa.int64())}
-                else:
-                    columns["text"] = batch.column(1).slice(d, e - d)
-                columns |= {"hits": pa.array(hits, pa.binary()), "items": pa.array(items, pa.list_(pa.string()))}
-                if self.last:
-                    columns["items_sha256"] = pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in items], pa.string())
+                spans = np.stack([starts - bounds[doc_of], ends - bounds[doc_of]], axis=1)
+                columns = {
+                    "id": batch.column(0).slice(d, e - d), "n_words": pa.array(np.diff(bounds), pa.int64()), "n_hit": pa.array(K.sum_by(bounds, hit), pa.int64()),
+                    "hits": pa.array([spans[at[k] : at[k + 1]].tobytes() or None for k in range(e - d)], pa.binary()), "items": pa.array(items, pa.list_(pa.string())),
+                    "items_sha256": pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in items], pa.string()),
+                    **{name: pa.array([x[k] for x in best], kind) for k, (name, kind) in enumerate((("longest", pa.int64()), ("longest_at", pa.int64()), ("longest_item", pa.string())))},
+                }
                 yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+            K.tidy()
 
 
 class Dropper:
-    """Lets through the rows whose text, in the first column, one chunk of the benchmark doesn't hit."""
+    """Lets through the rows whose text, in the first column, the benchmark doesn't hit."""
 
-    def __init__(self, texts: list, window: int):
-        self.texts, self.window, self.tests = texts, window, None
-
-    def __getstate__(self):
-        return self.__dict__ | {"tests": None}
+    def __init__(self, tests: Benchmark):
+        self.tests = tests
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        self.tests = self.tests or Tests([None] * len(self.texts), self.texts, self.window)
         for batch in batches:
-            data, offsets = K.column_bytes(batch.column(0))
             clean = np.ones(batch.num_rows, bool)
-            for d, e in K.runs(offsets):
-                words, bounds = word_hashes(data[offsets[d] : offsets[e]], offsets[d : e + 1] - offsets[d])
-                _, place = occurrences(words, bounds, self.tests)
-                clean[d + np.searchsorted(bounds, place, "right") - 1] = False
+            for d, _, words, shards in self.tests.runs(batch.column(0)):
+                for tests in self.tests.chunks():
+                    _, place, _ = shards.occurrences(tests)
+                    clean[d + np.searchsorted(words.bounds, place, "right") - 1] = False
             yield batch.filter(pa.array(clean))
+            K.tidy()
 
 
-def chunks(tests: DataFrame, id_col: str, text_col: str) -> list[tuple[list, list]]:
-    """The test items in chunks of bounded size. They go to every task, so their number is bounded too."""
-    out, size = [([], [])], 0
+def benchmark(tests: DataFrame, window: int = WINDOW, id_col: str = "item_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES) -> Benchmark:
+    """The test items, written to the shared folder in chunks, of which the driver holds one at a time."""
+    spark = tests.sparkSession
+    folder = scratch_path(spark, "tests")
+    store, places, ids, texts, size = StoreWriter(folder), [], [], [], 0
     for r in tests.select(F.col(id_col).cast("string"), F.col(text_col)).where(F.col(text_col).isNotNull()).toLocalIterator():
-        n = len(r[1].encode())
-        if size + n > CHUNK_BYTES and out[-1][0]:
-            if len(out) == MAX_CHUNKS:
-                raise ValueError(f"the benchmark has more than {MAX_CHUNKS * CHUNK_BYTES} bytes")
-            out.append(([], []))
-            size = 0
-        out[-1][0].append(r[0])
-        out[-1][1].append(r[1])
-        size += n
-    return out
+        ids.append(r[0])
+        texts.append(r[1])
+        size += len(r[1].encode())
+        if size >= chunk_bytes:
+            places.append(store.add(json.dumps([ids, texts]).encode()))
+            ids, texts, size = [], [], 0
+    if ids:
+        places.append(store.add(json.dumps([ids, texts]).encode()))
+    store.close()
+    return Benchmark(folder, places, window)
 
 
-def find_contamination(docs: DataFrame, tests: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", test_id_col: str = "item_id", test_text_col: str = "text") -> DataFrame:
-    """(id, n_words, n_hit, hits, items, items_sha256) of each row of docs.
+def find_contamination(docs: DataFrame, tests: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", test_id_col: str = "item_id", test_text_col: str = "text", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """(id, n_words, n_hit, hits, items, items_sha256, longest, longest_at, longest_item) of each row of docs.
 
     hits: runs of hit words as pairs of 64-bit word numbers; items: the ids, as
-    sorted strings, of the test items with windows in the document. Null and
-    empty texts have no words, and a test item without words no window; items
-    without an id hit but aren't listed; repeated ids of items count once and
-    repeated documents keep a row each; other columns aren't looked at.
+    sorted strings, of the test items with windows in the document; longest:
+    the words of its longest verbatim match of a window or more, where that
+    begins, and the item. Null and empty texts have no words, and a test item
+    without words no window; items without an id hit but aren't listed;
+    repeated ids of items count once and repeated documents keep a row each;
+    texts of any length are searched whole; other columns aren't looked at.
     """
-    parts = chunks(tests, test_id_col, test_text_col)
-    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.lit(None).cast("binary").alias("hits"), F.lit(None).cast("array<string>").alias("items"))
-    kind = dict(out.dtypes)["id"]
-    for k, (ids, texts) in enumerate(parts):
-        last = k == len(parts) - 1
-        schema = f"id {kind}, " + ("n_words bigint, n_hit bigint, hits binary, items array<string>, items_sha256 string" if last else "text string, hits binary, items array<string>")
-        out = out.mapInArrow(Search(ids, texts, window, last), schema)
-    return out.withColumnRenamed("id", id_col)
+    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    found = out.mapInArrow(Search(benchmark(tests, window, test_id_col, test_text_col, chunk_bytes)), f"id {dict(out.dtypes)['id']}, {_FOUND}")
+    return found.withColumnRenamed("id", id_col)
 
 
 def find_matches(docs: DataFrame, tests: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", test_id_col: str = "item_id", test_text_col: str = "text") -> DataFrame:
     """(id, test_id, word, test_word, length) of each longest verbatim match of a window or more: where it begins in both, and its words."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     schema = f"id {dict(rows.dtypes)['id']}, test_id string, word bigint, test_word bigint, length bigint"
-    out = None
-    for ids, texts in chunks(tests, test_id_col, test_text_col):
-        found = rows.mapInArrow(Matches(ids, texts, window), schema)
-        out = found if out is None else out.unionAll(found)
-    return out.withColumnRenamed("id", id_col)
+    return rows.mapInArrow(Matches(benchmark(tests, window, test_id_col, test_text_col)), schema).withColumnRenamed("id", id_col)
 
 
 def drop_contaminated(docs: DataFrame, tests: DataFrame, window: int = WINDOW, text_col: str = "text", test_id_col: str = "item_id", test_text_col: str = "text") -> DataFrame:
-    """The rows of docs, all columns, that hold no window of a test item."""
+    """The rows of docs, all columns, that hold no window of a test item.
+
+    Null and empty texts stay, as do rows when there are no tests; repeated
+    rows stay or go each.
+    """
     columns = [text_col, *(c for c in docs.columns if c != text_col)]
     out = docs.select(*columns)
     schema = ", ".join(f"`{c}` {k}" for c, k in out.dtypes)
-    for _, texts in chunks(tests, test_id_col, test_text_col):
-        out = out.mapInArrow(Dropper(texts, window), schema)
-    return out.select(*docs.columns)
+    return out.mapInArrow(Dropper(benchmark(tests, window, test_id_col, test_text_col)), schema).select(*docs.columns)
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document against every benchmark item, in windows of ten words.
+
+    Null and empty texts have no words; texts of any length are searched whole;
+    repeated rows keep a row each; an empty benchmark hits nothing and empty
+    documents give no row; columns beside ids and texts aren't looked at.
+    """
     found = find_contamination(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), "items_sha256", (F.col("n_hit") > 0).alias("contaminated"))
 

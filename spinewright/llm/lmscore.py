@@ -9,9 +9,10 @@ the lower, the more it is like the target.
 
 Counting and scoring go by blocks of documents whose texts are kept in the
 shared folder. A block sends its distinct n-grams, dealt by context into as
-many buckets as there are shuffle partitions; each bucket adds up its contexts
-over the corpus, and gives the blocks the loss differences that they asked for.
-The models are never gathered in one place.
+many buckets as there are shuffle partitions. The rows of a bucket are read one
+after another: first its grams are added up over the corpus and get their loss
+differences, then these go to the blocks that asked. A task holds the distinct
+grams of one bucket and a few rows; the models are never gathered in one place.
 """
 
 from __future__ import annotations
@@ -67,6 +68,7 @@ class BlockWriter:
                 number += 1
         if store:
             store.close()
+        K.tidy()
 
 
 def _split(x: np.ndarray) -> bytes:
@@ -115,6 +117,7 @@ class Counter:
                     rows.append({"block": r["block"], "bucket": b, "grams": _split(u[own]), "background": squeeze(both[0][own]), "target": squeeze(both[1][own])})
                 yield pa.RecordBatch.from_pylist(rows, schema=schema)
         store.close()
+        K.tidy()
 
 
 def gram_losses(gram: np.ndarray, background: np.ndarray, target: np.ndarray, singles: np.ndarray, strength: float = STRENGTH) -> np.ndarray:
@@ -134,16 +137,65 @@ def gram_losses(gram: np.ndarray, background: np.ndarray, target: np.ndarray, si
     return (logs[1] - logs[0]).astype(np.float32)
 
 
-def _bucket_solver(singles: np.ndarray, strength: float):
-    def solve(t: pa.Table) -> pa.Table:
-        grams = [_join(b) for b in t.column("grams").to_pylist()]
-        u, which = np.unique(np.concatenate(grams), return_inverse=True)
-        n = [np.bincount(which, weights=np.concatenate([unsqueeze(b) for b in t.column(k).to_pylist()]), minlength=len(u)) for k in ("background", "target")]
-        loss = gram_losses(u, *n, singles, strength)[which]
-        ends = np.cumsum([len(g) for g in grams])
-        return pa.table({"home": t.column("block"), "packed": t.column("grams"), "losses": pa.array([loss[b - len(g) : b].tobytes() for g, b in zip(grams, ends.tolist())], pa.binary())})
+#: Grams that wait for being added up, and grams in a row of what is solved.
+WAITING, SOLVED_ROW = 1 << 20, 1 << 20
 
-    return solve
+
+class Sums:
+    """(bucket, grams, losses) of (bucket, grams, background, target) rows sorted by bucket: all distinct grams of each, in order."""
+
+    def __init__(self, singles: np.ndarray, strength: float):
+        self.singles, self.strength = singles, strength
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, waiting, n = None, [], 0
+
+        def added(parts: list) -> list:
+            u, which = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+            return [u, *(np.bincount(which, weights=np.concatenate([p[k] for p in parts]), minlength=len(u)) for k in (1, 2))]
+
+        def solved() -> Iterator[pa.RecordBatch]:
+            u, background, target = added(waiting)
+            losses = gram_losses(u, background, target, self.singles, self.strength)
+            for a in range(0, len(u), SOLVED_ROW):
+                part = slice(a, a + SOLVED_ROW)
+                yield pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([_split(u[part])], pa.binary()), pa.array([losses[part].tobytes()], pa.binary())], names=["bucket", "grams", "losses"])
+
+        for batch in batches:
+            for bucket, *packed in zip(*(batch.column(k) for k in range(4))):
+                if bucket.as_py() != now:
+                    if waiting:
+                        yield from solved()
+                    now, waiting, n = bucket.as_py(), [], 0
+                waiting.append([_join(packed[0].as_buffer()), *(unsqueeze(p.as_buffer()).astype(np.float64) for p in packed[1:])])
+                n += len(waiting[-1][0])
+                if n > WAITING + 2 * len(waiting[0][0]):
+                    waiting, n = [added(waiting)], 0
+        if waiting:
+            yield from solved()
+        K.tidy()
+
+
+class Answers:
+    """(home, packed, losses) for the (bucket, block, grams, losses) rows with a block; those without one, first in each bucket, say what its grams lose."""
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, known, losses = None, [], []
+        for batch in batches:
+            for bucket, block, packed, loss in zip(*(batch.column(k) for k in range(4))):
+                if bucket.as_py() != now:
+                    now, known, losses = bucket.as_py(), [], []
+                grams = _join(packed.as_buffer())
+                if not block.is_valid:
+                    known.append(grams)
+                    losses.append(np.frombuffer(loss.as_buffer(), np.float32))
+                    continue
+                if len(known) > 1:
+                    known, losses = np.concatenate(known), np.concatenate(losses)
+                    order = np.argsort(known)
+                    known, losses = [known[order]], [losses[order]]
+                yield pa.RecordBatch.from_arrays([pa.array([block.as_py()]), pa.array([packed.as_py()], pa.binary()), pa.array([losses[0][np.searchsorted(known[0], grams)].tobytes()], pa.binary())], names=["home", "packed", "losses"])
+        K.tidy()
 
 
 def _scorer(order: int, folder: str):
@@ -192,13 +244,24 @@ def score_documents(docs: DataFrame, target_ids: DataFrame, order: int = ORDER,
     singles = np.zeros(512)
     for r in counted.where(F.col("bucket") < 0).select(F.posexplode("singles").alias("k", "n")).groupBy("k").agg(F.sum("n").alias("n")).collect():
         singles[r.k] = r.n
-    solved = counted.where(F.col("bucket") >= 0).select("block", "bucket", "grams", "background", "target").groupBy("bucket").applyInArrow(_bucket_solver(singles.reshape(2, 256), strength), "home bigint, packed binary, losses binary")
+    grams = counted.where(F.col("bucket") >= 0)
+    solved = grams.select("bucket", "grams", "background", "target").repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    solved = written(solved.mapInArrow(Sums(singles.reshape(2, 256), strength), "bucket int, grams binary, losses binary"), "lm-losses")
+    both = solved.select("bucket", F.lit(None).cast("bigint").alias("block"), "grams", "losses").union(grams.select("bucket", "block", "grams", F.lit(None).cast("binary")))
+    solved = both.repartition(buckets, "bucket").sortWithinPartitions("bucket", F.col("block").asc_nulls_first()).mapInArrow(Answers(), "home bigint, packed binary, losses binary")
     out = blocks.groupBy("block").cogroup(solved.groupBy("home")).applyInArrow(_scorer(order, folder), "id bigint, n_tokens bigint, score double")
     return out.withColumnRenamed("id", id_col)
 
 
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Target: labelled documents of good quality that aren't toxic."""
+    """Every document's score; target: labelled documents of good quality that aren't toxic.
+
+    Null and empty texts score 0; texts of any length are counted and scored
+    whole; repeated rows count each; empty tables give no rows, or an even
+    target; columns beside doc_id, text and the labels aren't looked at. The
+    score compares a document with a target: documents that occur twice get
+    the same score, and nothing marks them as such.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     target = labels.where((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).select("doc_id")
     return score_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), target)

@@ -12,12 +12,17 @@ The forest leaves links out, so an exact join settles the rest. Shingles have
 one order, those rare in a sample first. Two linked sets share one of the first
 shingles of both, and their first shared one stands so early that enough are
 left behind it. All nodes of different components that meet so are candidates.
+
+Shingles of one document are told apart by their bytes, and a link counts only
+if the words themselves confirm it. Sets are taken as the same by a 128-bit
+BLAKE2b digest of their shingles' hashes, which rest on digests of the words.
 """
 
 from __future__ import annotations
 
 from collections import OrderedDict
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -42,15 +47,26 @@ _ODD = _rng.integers(0, 2**31, TREES * DEPTH, dtype=np.uint32) * np.uint32(2) +
 _SIGNED = "uid bigint, doc_id bigint, n_shingles bigint, set_a bigint, set_b bigint, signature binary, parities binary, place string"
 
 
-def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct n-word shingles of each document, sorted, and their bounds; a document of fewer words has them as one."""
+def _low_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """The words' codes, what they stand for, and each document's bounds; A-Z lower-cased."""
     low = K.LOWER[data]
     starts, ends, bounds = K.segments(K.NOT_SPACE[low], offsets)
-    words, size = K.segment_hash(K.prefix_hash(low), starts, ends), np.diff(bounds)
-    doc = K.owner(bounds)
-    grams = K.gram_hash(words, n)
-    own = np.flatnonzero(doc[n - 1 :] == doc[: len(grams)]) if len(grams) else np.zeros(0, np.int64)
-    h, d = grams[own], doc[own]
+    return *K.codes(low, starts, ends), bounds
+
+
+def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of the distinct n-word shingles of each document, sorted, and their bounds; a document of fewer words has them as one.
+
+    Shingles are distinct if their words' bytes are; the hashes say which are
+    the same in other documents.
+    """
+    code, distinct, bounds = _low_words(data, offsets)
+    words, size, doc = K.digests(distinct)[code] if len(code) else np.zeros(0, np.uint64), np.diff(bounds), K.owner(bounds)
+    own = np.flatnonzero(doc[n - 1 :] == doc[: max(0, len(doc) - n + 1)]) if len(doc) >= n else np.zeros(0, np.int64)
+    same = K.shingles(code, n)
+    _, first = np.unique(doc[own].astype(np.uint64) << np.uint64(32) | same[own].astype(np.uint64), return_index=True)
+    own = own[first]
+    h, d = K.gram_hash(words, n)[own], doc[own]
     short = np.flatnonzero((size > 0) & (size < n))
     if len(short):
         one = np.zeros(len(short), np.uint64)
@@ -59,10 +75,19 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndar
             one[more] = K.mix(one[more] * np.uint64(K.BASE) + words[bounds[short[more]] + k])
         h, d = np.concatenate([h, K.mix(one + size[short].astype(np.uint64))]), np.concatenate([d, short])
     order = np.lexsort((h, d))
-    h, d = h[order], d[order]
-    new = np.ones(len(h), bool)
-    new[1:] = (h[1:] != h[:-1]) | (d[1:] != d[:-1])
-    return h[new], np.searchsorted(d[new], np.arange(len(offsets)))
+    return h[order], np.searchsorted(d[order], np.arange(len(offsets)))
+
+
+def linked(a: bytes, b: bytes, n: int, percent: int) -> bool:
+    """Whether two texts are linked, by their words themselves."""
+    code, _, bounds = _low_words(np.frombuffer(a + b, np.uint8), np.array([0, len(a), len(a) + len(b)]))
+    k = bounds[1]
+    if k < n or len(code) - k < n:
+        return k == len(code) - k and k > 0 and bool((code[:k] == code[k:]).all())
+    same = K.shingles(code, n)
+    x, y = np.unique(same[: k - n + 1]), np.unique(same[k:])
+    common = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * common >= percent * (len(x) + len(y) - common)
 
 
 def signatures(sets: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -108,10 +133,9 @@ class Signer:
                 sets, bounds = shingle_sets(part, off, self.n)
                 size = np.diff(bounds)
                 full = np.flatnonzero(size)
-                mark = [np.zeros(e - d, np.int64) for _ in range(2)]
-                for k, mixed in enumerate((K.mix(sets + np.uint64(1)), K.mix(sets ^ np.uint64(K.BASE)))):
-                    if len(full):
-                        mark[k][full] = np.add.reduceat(mixed, bounds[full]).view(np.int64)
+                mark = np.zeros((e - d, 2), np.int64)
+                for k in full.tolist():
+                    mark[k] = np.frombuffer(blake2b(sets[bounds[k] : bounds[k + 1]].tobytes(), digest_size=16).digest(), np.int64)
                 signs = signatures(sets, bounds).astype(">u4")
                 signed, odd, places, view = [None] * (e - d), [None] * (e - d), [None] * (e - d), memoryview(part)
                 for k, row, bits in zip(full.tolist(), signs, parities(sets, bounds)):
@@ -122,38 +146,70 @@ class Signer:
                         places[k] = store.add(view[off[k] : off[k + 1]]) if batch.column(1)[d + k].is_valid else None
                 rest = [batch.column(k).slice(d, e - d) for k in range(2, batch.num_columns)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(uid + np.arange(e - d)), batch.column(0).slice(d, e - d), pa.array(size), *map(pa.array, mark), pa.array(signed, pa.binary()), pa.array(odd, pa.binary()), pa.array(places, pa.string()), *rest],
+                    [pa.array(uid + np.arange(e - d)), batch.column(0).slice(d, e - d), pa.array(size), *map(pa.array, np.ascontiguousarray(mark.T)), pa.array(signed, pa.binary()), pa.array(odd, pa.binary()), pa.array(places, pa.string()), *rest],
                     names=["uid", "doc_id", "n_shingles", "set_a", "set_b", "signature", "parities", "place", *batch.schema.names[2:]],
                 )
                 uid += e - d
+            K.tidy()
         if store:
             store.close()
 
 
+def _prefixes(column: pa.Array) -> np.ndarray:
+    """A binary column of one width as a table of min-hashes."""
+    raw, n = column.buffers()[2], len(column)
+    return np.frombuffer(raw, ">u4", n * DEPTH, 4 * DEPTH * column.offset).reshape(n, DEPTH) if n else np.zeros((0, DEPTH), ">u4")
+
+
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of one task's rows (tree, prefix, node, component), sorted; and its first and last row, as edges."""
-    table = pa.Table.from_batches(list(batches))
-    n = table.num_rows
-    if not n:
-        return
-    tree, node, component = (table.column(k).to_numpy() for k in ("tree", "node", "component"))
-    prefix = np.frombuffer(b"".join(table.column("prefix").to_pylist()), ">u4").reshape(n, DEPTH)
-    same = np.logical_and.accumulate((prefix[1:] == prefix[:-1]) & (tree[1:] == tree[:-1])[:, None], axis=1).sum(axis=1)
-    common = np.append(0, same)
-    at = np.arange(n)
-    pairs = [np.stack([at[1:], at[:-1]])[:, common[1:] >= MIN_DEPTH]]
-    for depth in range(MIN_DEPTH, DEPTH + 1):
-        first = np.maximum.accumulate(np.where(common < depth, at, 0))
-        pairs.append(np.stack([at, first])[:, first < at])
-    i, j = np.unique(np.concatenate(pairs, axis=1), axis=1)
-    keep = component[i] != component[j]
-    a, b = node[i[keep]], node[j[keep]]
-    m = len(a)
-    ends = [0, n - 1]
-    yield pa.RecordBatch.from_arrays(
-        [pa.array(np.concatenate([a, node[ends]])), pa.array(np.concatenate([b, component[ends]])), pa.array(np.append(np.full(m, -1), tree[ends]).astype(np.int32)), pa.array([None] * m + [prefix[k].tobytes() for k in ends], pa.binary()), pa.array([None] * m + [0, 1], pa.int32()), pa.array(np.full(m + 2, TaskContext.get().partitionId(), np.int32))],
-        names=["a", "b", "tree", "prefix", "last", "task"],
-    )
+    """Pairs of one task's rows (tree, prefix, node, component), sorted; and its first and last row, as edges.
+
+    Of the batches before, only the last row and the first one of the run at
+    each depth are kept.
+    """
+    depths = range(MIN_DEPTH, DEPTH + 1)
+    names = ["a", "b", "tree", "prefix", "last", "task"]
+    task = TaskContext.get().partitionId()
+
+    def edge(tree, prefix, node, component, last):
+        return pa.RecordBatch.from_arrays([pa.array([node]), pa.array([component]), pa.array([tree], pa.int32()), pa.array([prefix.tobytes()], pa.binary()), pa.array([last], pa.int32()), pa.array([task], pa.int32())], names=names)
+
+    held = None  # the first row of the run at each depth, and the last row
+    for batch in batches:
+        n = batch.num_rows
+        if not n:
+            continue
+        tree, node, component = (batch.column(batch.schema.get_field_index(k)).to_numpy() for k in ("tree", "node", "component"))
+        prefix = _prefixes(batch.column(batch.schema.get_field_index("prefix")))
+        if held is None:
+            yield edge(tree[0], prefix[0], node[0], component[0], 0)
+        else:
+            tree, prefix, node, component = (np.concatenate(x) for x in zip(held, (tree, prefix, node, component)))
+        k = len(tree) - n  # rows from before
+        at = np.arange(len(tree))
+        common = np.zeros(len(tree), np.int64)
+        common[1:] = np.logical_and.accumulate((prefix[1:] == prefix[:-1]) & (tree[1:] == tree[:-1])[:, None], axis=1).sum(axis=1)
+        new = at[max(k, 1) :]
+        found = [np.stack([new, new - 1])[:, common[new] >= MIN_DEPTH]]
+        firsts = []
+        for j, depth in enumerate(depths):
+            begins = np.where((common < depth) & (at >= k), at, -1)
+            if k:
+                begins[k - 1] = j  # a run that goes on from the batch before
+            else:
+                begins[0] = 0
+            first = np.maximum.accumulate(begins[max(k - 1, 0) :])[-n:]
+            found.append(np.stack([at[k:], first])[:, first < at[k:]])
+            firsts.append(first[-1])
+        i, j = np.unique(np.concatenate(found, axis=1), axis=1)
+        keep = component[i] != component[j]
+        a, b = node[i[keep]], node[j[keep]]
+        m = len(a)
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.full(m, -1, np.int32)), pa.nulls(m, pa.binary()), pa.nulls(m, pa.int32()), pa.array(np.full(m, task, np.int32))], names=names)
+        kept = [*firsts, len(tree) - 1]
+        held = tree[kept], prefix[kept], node[kept], component[kept]
+    if held is not None:
+        yield edge(*(x[-1] for x in held), 1)
 
 
 def _candidates(nodes: DataFrame, trees: range, tasks: int) -> DataFrame:
@@ -352,14 +408,16 @@ class Confirmer:
                     continue
                 both = np.sort(np.concatenate([x, y]))
                 common = int((both[1:] == both[:-1]).sum())
-                if 100 * common >= self.percent * (len(x) + len(y) - common):
+                # The hashes find the link, the words decide.
+                if 100 * common >= self.percent * (len(x) + len(y) - common) and linked(store.get(pa_), store.get(pb), self.n, self.percent):
                     links.append((a, b))
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in range(2)], names=["a", "b"])
         store.close()
+        K.tidy()
 
 
 class Restorer:
-    """Puts the texts back in place of where they are."""
+    """Puts the texts back in place of where they are, a few megabytes at a time."""
 
     def __init__(self, folder: str):
         self.folder = folder
@@ -368,9 +426,15 @@ class Restorer:
         store = StoreReader(self.folder)
         for batch in batches:
             at = batch.schema.get_field_index("text")
-            texts = pa.array([None if p is None else store.get(p).decode() for p in batch.column(at).to_pylist()], pa.string())
-            yield batch.set_column(at, "text", texts)
+            texts, first, held = [], 0, 0
+            for k, place in enumerate(batch.column(at).to_pylist()):
+                texts.append(None if place is None else store.get(place))
+                held += len(texts[-1] or b"")
+                if held > K.RUN_BYTES or k + 1 == batch.num_rows:
+                    yield batch.slice(first, len(texts)).set_column(at, "text", pa.array(texts, pa.binary()).cast(pa.string()))
+                    texts, first, held = [], k + 1, 0
         store.close()
+        K.tidy()
 
 
 def _groups(docs: DataFrame, words: int, percent: int, id_col: str, text_col: str, keep: tuple[str, ...], folder: str, all_texts: bool) -> DataFrame:
@@ -396,7 +460,7 @@ def _groups(docs: DataFrame, words: int, percent: int, id_col: str, text_col: st
         parts = written(connected_components(links).toDF("of", "component"), "components")
         joined = nodes.join(parts, F.col("node") == F.col("of"), "left").select("set_a", "set_b", "node", "lead", "signature", "place", F.coalesce("component", "node").alias("component"))
     # The row with the smallest id leads, wherever it stands in the files.
-    leads = joined.groupBy("component").agg(F.min("lead").alias("lead"))
+    leads = written(joined.groupBy("component").agg(F.min("lead").alias("lead")), "leads")
     known = joined.select("set_a", "set_b", "component").join(leads, "component").select("set_a", "set_b", "lead")
     rows = signed.drop("signature", "parities").join(known, ["set_a", "set_b"], "left")
     wordy = F.col("n_shingles") > 0
@@ -430,5 +494,12 @@ def drop_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_
 
 
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents by four-word shingles.
+
+    Null texts and texts without words are linked with nothing; texts of any
+    length count whole; repeated rows and ids keep a row each (kept is then
+    true for each of the smallest id); an empty table gives no row; columns
+    beside doc_id and text aren't looked at.
+    """
     found = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), words=4)
     return found.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))

@@ -8,6 +8,7 @@ documents and none needs padding.
 The ids are those of a byte-level BPE. A worker finds the pre-tokens of a run
 of documents with numpy, has each distinct one encoded once, and puts the ids
 together by an index, so that encoding is paid for per distinct pre-token.
+Pre-tokens are the same if their bytes are.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from .tokens import public_tokenizer
 
 SIZE = 1024
 #: Distinct pre-tokens whose ids a worker keeps from run to run.
-KEEP_PRETOKENS = 1_000_000
+KEEP_PRETOKENS = 200_000
 _LETTER, _NUMBER, _SPACE, _OTHER = 0, 1, 2, 3
 _classes: np.ndarray | None = None
 
@@ -108,11 +109,10 @@ class Encoder:
 
     def _load(self) -> None:
         import tiktoken
-        from tokenizers import Tokenizer
 
         spec = json.load(open(self.path, encoding="utf-8"))
         self.special = [t["content"].encode() for t in spec["added_tokens"]]
-        self.library = Tokenizer.from_file(self.path)
+        self.library = None  # read when a special string turns up
         # The printable stand-ins for bytes, by the rule of byte-level BPE.
         plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         rest = [b for b in range(256) if b not in plain]
@@ -124,29 +124,28 @@ class Encoder:
         self.ready = True
 
     def _forget(self) -> None:
-        self.known, self.at, self.size, self.flat, self.used = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(1 << 16, np.uint32), 0
-
-    def _learn(self, h: np.ndarray, where: np.ndarray, starts: np.ndarray, ends: np.ndarray, raw: bytes) -> None:
-        """Make known the pre-tokens of these distinct, sorted hashes; where: an example of each."""
-        seat = np.searchsorted(self.known, h)
-        new = np.ones(len(h), bool)
-        inside = seat < len(self.known)
-        new[inside] = self.known[seat[inside]] != h[inside]
-        if not new.any():
-            return
-        if len(self.known) + new.sum() > KEEP_PRETOKENS:
+        self.known, self.at, self.size, self.flat, self.used = {}, np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(1 << 16, np.uint32), 0
+
+    def _seats(self, words: list[bytes]) -> np.ndarray:
+        """The place of each of these distinct pre-tokens in at and size; unknown ones are encoded."""
+        new = [w for w in words if w not in self.known]
+        if len(self.known) + len(new) > KEEP_PRETOKENS and self.known:
             self._forget()
-            new[:], seat[:] = True, 0
-        encode = self.bpe._core_bpe.encode_single_piece
-        got = [encode(raw[a:b]) for a, b in zip(starts[where[new]].tolist(), ends[where[new]].tolist())]
-        size = np.fromiter(map(len, got), np.int64, len(got))
-        total = int(size.sum())
-        if self.used + total > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros(len(self.flat) + total, np.uint32)])
-        self.flat[self.used : self.used + total] = list(chain.from_iterable(got))
-        at = self.used + np.cumsum(size) - size
-        self.used += total
-        self.known, self.at, self.size = (np.insert(old, seat[new], add) for old, add in ((self.known, h[new]), (self.at, at), (self.size, size)))
+            new = words
+        if new:
+            got = [self.bpe.encode_ordinary(w.decode()) for w in new]
+            size = np.fromiter(map(len, got), np.int64, len(got))
+            first, total = len(self.known), int(size.sum())
+            last = first + len(new)
+            if last > len(self.at):
+                self.at, self.size = (np.concatenate([x, np.zeros(last, np.int64)]) for x in (self.at, self.size))
+            if self.used + total > len(self.flat):
+                self.flat = np.concatenate([self.flat, np.zeros(len(self.flat) + total, np.uint32)])
+            self.flat[self.used : self.used + total] = np.fromiter(chain.from_iterable(got), np.uint32, total)
+            self.at[first:last], self.size[first:last] = self.used + np.cumsum(size) - size, size
+            self.used += total
+            self.known.update(zip(new, range(first, last)))
+        return np.fromiter((self.known[w] for w in words), np.int64, len(words))
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids, one document after another, and their n + 1 offsets."""
@@ -162,15 +161,18 @@ class Encoder:
             starts = place[pretoken_starts(points, first)]
             ends = np.append(starts[1:], len(data))
             bounds = np.searchsorted(starts, offsets)
-            h, where, which = np.unique(K.segment_hash(K.prefix_hash(data), starts, ends), return_index=True, return_inverse=True)
-            self._learn(h, where, starts, ends, raw)
-            seat = np.searchsorted(self.known, h)
-            from_, size = self.at[seat][which], self.size[seat][which]
+            which, distinct = K.codes(data, starts, ends)
+            seat = self._seats(distinct.to_pylist())[which]  # pre-tokens touch, so that no gaps are among them but empty ones
+            from_, size = self.at[seat], self.size[seat]
             flat = _take_runs(self.flat, from_, size)
             at = np.append(0, np.cumsum(size))[bounds]
         else:
             flat, at = np.zeros(0, np.uint32), np.zeros(n + 1, np.int64)
         if any(s in raw for s in self.special):
+            if self.library is None:
+                from tokenizers import Tokenizer
+
+                self.library = Tokenizer.from_file(self.path)
             parts = [flat[a:b] for a, b in zip(at[:-1], at[1:])]
             for d in range(n):
                 own = raw[offsets[d] : offsets[d + 1]]
@@ -232,6 +234,7 @@ class Packer:
                 if self.keep_ids:
                     columns["ids"] = pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(flat.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+            K.tidy()
 
 
 def pack(docs: DataFrame, json_path: str, size: int = SIZE, end_id: int = 0, keep_ids: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -254,5 +257,11 @@ def write_buckets(packed: DataFrame, path: str) -> None:
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document packed at 1,024 tokens, without the ids themselves.
+
+    Null and empty texts give one piece of length 1, the end id; texts of any
+    length are packed whole; repeated rows are packed each; an empty table
+    gives no row; columns beside doc_id and text aren't looked at.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return pack(docs, public_tokenizer("byte_bpe_50k.json"), keep_ids=False)

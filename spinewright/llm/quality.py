@@ -32,47 +32,41 @@ FEATURES = ("n_words", *RATIOS)
 
 
 def _within(mask: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    if len(offsets) == 2:  # a long text has a run of its own
+        return np.array([np.count_nonzero(mask)])
     c = np.zeros(len(mask) + 1, np.int64)
     np.cumsum(mask, out=c[1:])
     return np.diff(c[offsets])
 
 
-def _distinct(h: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
-    """Distinct scoped hashes of each document."""
-    if not len(h):
-        return np.zeros(n, np.int64)
-    order = np.argsort(h)
-    new = np.ones(len(h), bool)
-    new[1:] = h[order][1:] != h[order][:-1]
-    return np.bincount(doc[order][new], minlength=n)
+def _distinct(code: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
+    """Distinct codes of each document."""
+    both = pa.array(doc.astype(np.uint64) << np.uint64(32) | code.astype(np.uint64)).unique().to_numpy()
+    return np.bincount((both >> np.uint64(32)).astype(np.int64), minlength=n)
 
 
 def text_counts(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
-    """The COUNTS of each document."""
+    """The COUNTS of each document; lines and words are the same if their bytes are."""
     n = len(offsets) - 1
     inside = K.NOT_SPACE[data]
     starts, ends, bounds = K.segments(inside, offsets)
     out = {"n_words": np.diff(bounds), "word_chars": _within(inside & ((data & 0xC0) != 0x80), offsets), "n_symbols": _within(_SYMBOL[data], offsets)}
-    prefix = K.prefix_hash(data)
     line_starts, line_ends, line_bounds = K.segments(data != 10, offsets)
-    seen = np.zeros(len(data) + 1, np.int64)
-    np.cumsum(inside, out=seen[1:])
-    wordy = seen[line_ends] > seen[line_starts]
+    wordy = np.searchsorted(starts, line_ends) > np.searchsorted(starts, line_starts)
     line_doc = K.owner(line_bounds)[wordy]
-    lines = K.scoped(K.segment_hash(prefix, line_starts[wordy], line_ends[wordy]), line_doc)
     out["n_lines"] = np.bincount(line_doc, minlength=n)
-    out["n_dup_lines"] = out["n_lines"] - _distinct(lines, line_doc, n)
-    words, doc = K.segment_hash(prefix, starts, ends), K.owner(bounds)
+    out["n_dup_lines"] = out["n_lines"] - _distinct(K.codes(data, line_starts[wordy], line_ends[wordy])[0], line_doc, n)
+    words, doc = K.codes(data, starts, ends)[0], K.owner(bounds)
     hit = np.zeros(len(words) + 2, bool)
     if len(words) > 2:
         own = np.flatnonzero(doc[2:] == doc[:-2])
-        again = own[K.repeated(K.scoped(K.gram_hash(words, 3)[own], doc[own]))]
+        again = own[K.often(K.pairs(doc[own], K.shingles(words, 3)[own])[0])]
         for k in range(3):
             hit[again + k] = True
     out["n_repeat_words"] = K.sum_by(bounds, hit[: len(words)])
     out["n_upper"] = _within((data >= 65) & (data <= 90), offsets)
     out["n_digits"] = _within((data >= 48) & (data <= 57), offsets)
-    out["n_distinct_words"] = _distinct(K.scoped(words, doc), doc, n)
+    out["n_distinct_words"] = _distinct(words, doc, n)
     return out
 
 
@@ -83,6 +77,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             c = text_counts(data[offsets[d] : offsets[e]], offsets[d : e + 1] - offsets[d])
             rest = batch.slice(d, e - d)
             yield pa.RecordBatch.from_arrays([*(pa.array(c[k].astype(np.int64)) for k in COUNTS), *rest.columns], names=[*COUNTS, *rest.schema.names])
+        K.tidy()
 
 
 def _counted_alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,5 +230,12 @@ def keep_good(docs: DataFrame, rules: list[Rule], text_col: str = "text") -> Dat
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document judged by rules that the labels teach.
+
+    Null and empty texts have no words and fail the base; texts of any length
+    are counted whole; repeated rows keep a row each; of several labels of an
+    id the best holds; empty tables give no rules and no rows; columns beside
+    doc_id, text and the labels aren't looked at.
+    """
     docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
     return judge(docs, fit(docs, labels)).select("doc_id", *COUNTS[:5], "base_failed", "kept", "rule")

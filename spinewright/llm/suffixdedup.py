@@ -4,26 +4,33 @@ Two equal strings of the least length hold the same anchors: in each window,
 the 64-byte gram with the smallest hash. Only the suffixes that begin at
 anchors are compared, and only with those of the same gram:
 
-1. each document gives its anchors, and a hash of the bytes around each;
-2. grams that occur once drop out; anchors whose surroundings are the same are
-   one suffix with a count;
+1. each document gives its anchors, and a digest of the bytes around each;
+2. grams that occur once drop out; anchors whose surroundings are the same, by
+   128 bits of BLAKE2b, are one suffix with a count;
 3. the suffixes of a gram are sorted, and so are their reversed left sides, by
    a mergesort whose comparisons find the common extension by binary search
-   over prefix polynomial hashes; neighbours are then verified byte by byte;
+   over prefix polynomial hashes; neighbours are then verified byte by byte,
+   and sorted again by their bytes if a collision has put one out of order;
 4. from the common extensions on both sides follows which windows around each
    anchor occur again, and the documents put their spans together.
 
-No string is compared with all others: a gram's group is sorted, and groups
-beyond a size, exactly as well, are dealt out window by window.
+No string is compared with all others, and no group need go to one task: a
+group of more than max_group suffixes is split by what its windows have in
+common. Windows with a to b bytes before the anchor all hold the a bytes before
+it and the length - b bytes from it on. Halves of the range hold more, so that
+fewer suffixes share them; those that share nothing drop out, small groups are
+sorted as any other, and a range of one window is settled by its digest.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,8 +41,10 @@ from .textstore import StoreReader, StoreWriter
 
 LENGTH, GRAM = 400, 64
 #: Suffixes sorted together in one group at most, and in one batch of groups.
-MAX_GROUP, BATCH = 32_000, 8_000
-_SCANNED = "uid bigint, doc_id bigint, n_bytes bigint, sha256 string, place string, anchors array<struct<gram:bigint,around:bigint,pos:int>>"
+MAX_GROUP, BATCH = 4_000, 8_000
+#: Bits of a place in a slice of a text, and bytes of a slice: windows that lie in no slice alone are in the next one whole.
+_AT_BITS, SLICE = 28, 1 << 20
+_SCANNED = "uid bigint, doc_id bigint, n_bytes bigint, sha256 string, place string, anchors array<struct<gram:bigint,around:binary,pos:int>>"
 
 
 def window_minima(v: np.ndarray, w: int) -> np.ndarray:
@@ -50,27 +59,43 @@ def window_minima(v: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(back[: n - w + 1], ahead[w - 1 : n])
 
 
-def anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Document, place, gram hash and hash of the surroundings of every anchor."""
-    none = np.zeros(0, np.int64)
-    if len(data) < length:
-        return none, none, none, none
-    width = length - GRAM + 1
+def _slice_anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of anchors, and their gram hashes."""
     prefix = K.prefix_hash(data)
     at = np.arange(len(data) - GRAM + 1)
     h = K.segment_hash(prefix, at, at + GRAM)
     # The smallest hash, and the first of equal ones: hash above, place below.
-    low = window_minima((h & ~np.uint64((1 << 28) - 1)) | at.astype(np.uint64), width)
+    below = np.uint64((1 << _AT_BITS) - 1)
+    low = window_minima((h & ~below) | at.astype(np.uint64), length - GRAM + 1)
     inside = np.zeros(len(low), bool)
     for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
         if b - a >= length:
             inside[a : b - length + 1] = True
-    p = np.unique(low[inside] & np.uint64((1 << 28) - 1)).astype(np.int64)
+    p = np.unique(low[inside] & below).astype(np.int64)
+    return p, h[p].view(np.int64)
+
+
+def anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+    """Document, place, gram hash and digest of the surroundings of every anchor."""
+    if len(data) < length:
+        none = np.zeros(0, np.int64)
+        return none, none, none, []
+    if len(offsets) == 2 and len(data) > SLICE + length:
+        found = []
+        for a in range(0, len(data) - length + 1, SLICE):
+            part = data[a : a + SLICE + length - 1]
+            p, gram = _slice_anchors(part, np.array([0, len(part)]), length)
+            found.append((p + a, gram))
+        p, first = np.unique(np.concatenate([x for x, _ in found]), return_index=True)
+        gram = np.concatenate([x for _, x in found])[first]
+    else:
+        p, gram = _slice_anchors(data, offsets, length)
     doc = np.searchsorted(offsets, p, "right") - 1
     left = np.minimum(length - GRAM, p - offsets[doc])
     right = np.minimum(length, offsets[doc + 1] - p)
-    around = K.mix(K.segment_hash(prefix, p - left, p + right) + left.astype(np.uint64) * np.uint64(K.BASE))
-    return doc, p - offsets[doc], h[p].view(np.int64), around.view(np.int64)
+    view = memoryview(data)
+    around = [blake2b(view[x - a : x + b], digest_size=16, salt=a.to_bytes(8, "little")).digest() for x, a, b in zip(p.tolist(), left.tolist(), right.tolist())]
+    return doc, p - offsets[doc], gram, around
 
 
 class Scanner:
@@ -90,34 +115,69 @@ class Scanner:
                 bounds = np.searchsorted(doc, np.arange(e - d + 1)).astype(np.int32)
                 view = memoryview(part)
                 texts = [view[a:b] for a, b in zip(off[:-1].tolist(), off[1:].tolist())]
-                found = pa.StructArray.from_arrays([pa.array(gram), pa.array(around), pa.array(pos.astype(np.int32))], names=["gram", "around", "pos"])
+                found = pa.StructArray.from_arrays([pa.array(gram), pa.array(around, pa.binary()), pa.array(pos.astype(np.int32))], names=["gram", "around", "pos"])
                 rest = [batch.column(k).slice(d, e - d) for k in range(2, batch.num_columns)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(uid + np.arange(e - d)), batch.column(0).slice(d, e - d), pa.array(np.diff(off)), pa.array([hashlib.sha256(t).hexdigest() for t in texts]), pa.array([store.add(t) if batch.column(1)[d + k].is_valid else None for k, t in enumerate(texts)], pa.string()), pa.ListArray.from_arrays(pa.array(bounds), found), *rest],
                     names=["uid", "doc_id", "n_bytes", "sha256", "place", "anchors", *batch.schema.names[2:]],
                 )
                 uid += e - d
+            K.tidy()
         if store:
             store.close()
 
 
-class Surroundings:
-    """Bytes around (gram, around, n, place, pos) rows, which are sorted by place."""
+class Fetched:
+    """The bytes before (reversed) and from anchors on in (..., place, pos) rows, which are sorted by place; a thousand rows at a time."""
 
     def __init__(self, length: int, folder: str):
         self.length, self.folder = length, folder
 
-    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sides(self, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[bytes], list[bytes]]]:
         store, last, text = StoreReader(self.folder), None, b""
-        for batch in batches:
-            left, right = [], []
-            for place, pos in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist()):
-                if place != last:
-                    last, text = place, store.get(place)
-                left.append(text[max(0, pos - self.length + GRAM) : pos][::-1])
-                right.append(text[pos : pos + self.length])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(left, pa.binary()), pa.array(right, pa.binary())], names=["gram", "around", "n", "left", "right"])
+        for whole in batches:
+            for first in range(0, whole.num_rows, 1000):
+                batch = whole.slice(first, 1000)
+                left, right = [], []
+                for place, pos in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("place", "pos"))):
+                    if place != last:
+                        last, text = place, store.get(place)
+                    left.append(text[max(0, pos - self.length + GRAM) : pos][::-1])
+                    right.append(text[pos : pos + self.length])
+                yield batch, left, right
         store.close()
+        K.tidy()
+
+
+class Surroundings(Fetched):
+    """(key, gram, around, range, left, right) of (key, gram, around, range, place, pos) rows."""
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, left, right in self.sides(batches):
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(left, pa.binary()), pa.array(right, pa.binary())], names=["key", "gram", "around", "range", "left", "right"])
+
+
+class Halves(Fetched):
+    """Splits the range of (key, gram, around, range, place, pos) rows: a row for each half that a window of the suffix lies in.
+
+    A range [a, b] of bytes before the anchor is one number, a * 2**32 + b; the
+    new key is the digest of what its windows have in common.
+    """
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, left, right in self.sides(batches):
+            row, keys, ranges = [], [], []
+            for k, (key, both, l, r) in enumerate(zip(batch.column(0).to_pylist(), batch.column(3).to_pylist(), left, right)):
+                a, b = both >> 32, both & 0xFFFFFFFF
+                mid = (a + b) >> 1
+                for x, y in ((a, mid), (mid + 1, b)):
+                    if x <= y and len(l) >= x and len(r) >= self.length - y:
+                        row.append(k)
+                        keys.append(blake2b(key + l[:x] + b"|" + r[: self.length - y], digest_size=16, salt=(x << 32 | y).to_bytes(8, "little")).digest())
+                        ranges.append(x << 32 | y)
+            at = pa.array(row, pa.int64())
+            gram, around, place, pos = (batch.column(k).take(at) for k in (1, 2, 4, 5))
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), gram, around, pa.array(ranges, pa.int64()), place, pos], names=["key", "gram", "around", "range", "place", "pos"])
 
 
 class Suffixes:
@@ -191,9 +251,22 @@ class Suffixes:
             out[s : s + len(a)] = np.where(self.group[a] == self.group[b], n, 0)
         return out
 
+    def checked(self) -> tuple[np.ndarray, np.ndarray]:
+        """The order and its extensions; by the bytes themselves if hashes that collide have spoilt it."""
+        order = self.order()
+        common = self.extensions(order)
+        a, b, n = order[:-1], order[1:], common[1:]
+        last = len(self.bytes) - 1
+        fits = (n >= self.size[a]) | ((n < self.size[b]) & (self.bytes[np.minimum(self.at[a] + n, last)] < self.bytes[np.minimum(self.at[b] + n, last)]))
+        if not (fits | (self.group[a] != self.group[b])).all():
+            text = self.bytes.tobytes()
+            order = np.array(sorted(range(self.n), key=lambda k: (self.group[k], text[self.at[k] : self.at[k] + self.size[k]])))
+            common = self.extensions(order)
+        return order, common
 
-def windows_again(group: np.ndarray, count: np.ndarray, left: pa.Array, right: pa.Array, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """The least and most bytes that windows found again have before each suffix's anchor; most below least: none.
+
+def windows_again(group: np.ndarray, first: np.ndarray, last: np.ndarray, left: pa.Array, right: pa.Array, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """The least and most bytes, of the range from first to last, that windows found again have before each suffix's anchor; most below least: none.
 
     All these windows hold the anchor, so that together they cover the bytes
     from the most before it on to the last of the window with the least.
@@ -201,41 +274,35 @@ def windows_again(group: np.ndarray, count: np.ndarray, left: pa.Array, right: p
     n, deep = len(group), length - GRAM
     l, r = Suffixes(left, group, deep), Suffixes(right, group, length)
     lo, hi = np.full(n, length), np.full(n, -1)
-    # A suffix that occurs twice with all that is around it: every window that fits in its document.
-    least = length - r.size
-    whole = (count > 1) & (least <= l.size)
-    lo[whole], hi[whole] = np.maximum(least[whole], 0), l.size[whole]
-    by_left, by_right = l.order(), r.order()
-    common_left, common_right = l.extensions(by_left), r.extensions(by_right)
+    by_left, common_left = l.checked()
+    by_right, common_right = r.checked()
     class_left, class_right = np.empty(n, np.int64), np.empty(n, np.int64)
-    for o in range(deep + 1):
+    first, last = np.maximum(first, length - r.size), np.minimum(last, l.size)
+    for o in range(max(0, int(first.min(initial=length))), int(last.max(initial=-1)) + 1):
         class_right[by_right] = np.cumsum(common_right < length - o)
-        if o:
-            class_left[by_left] = np.cumsum(common_left < o)
-        else:
-            class_left[:] = 0
-        hit = np.flatnonzero((r.size >= length - o) & (l.size >= o))
-        again = hit[K.repeated(class_right[hit] * (n + 1) + class_left[hit])]
+        class_left[by_left] = np.cumsum(common_left < o)
+        hit = np.flatnonzero((first <= o) & (o <= last))
+        again = hit[K.often(K.pairs(class_right[hit], class_left[hit])[0])]
         lo[again] = np.minimum(lo[again], o)
         hi[again] = np.maximum(hi[again], o)
     return lo, hi
 
 
 class Solver:
-    """Solves groups of one gram; a task's rows are sorted by gram."""
+    """Solves groups of one key; a task's rows are sorted by key."""
 
     def __init__(self, length: int, batch: int):
         self.length, self.batch = length, batch
 
     def _solve(self, t: pa.Table) -> pa.RecordBatch:
         t = t.combine_chunks()
-        chunk = lambda k: t.column(k).combine_chunks() if isinstance(t.column(k), pa.ChunkedArray) else t.column(k)
-        gram = t.column("gram").to_numpy()
-        group = np.cumsum(np.append(True, gram[1:] != gram[:-1]))
-        left, right = (x.chunk(0) if isinstance(x, pa.ChunkedArray) else x for x in (chunk("left"), chunk("right")))
-        lo, hi = windows_again(group, t.column("n").to_numpy(), left, right, self.length)
-        keep = np.flatnonzero(hi >= lo)
-        return pa.RecordBatch.from_arrays([pa.array(gram[keep]), pa.array(t.column("around").to_numpy()[keep]), pa.array(lo[keep].astype(np.int32)), pa.array(hi[keep].astype(np.int32))], names=["gram", "around", "least", "most"])
+        one = lambda name: t.column(name).chunk(0)
+        key = one("key")
+        group = np.cumsum(np.append(True, pc.not_equal(key[1:], key[:-1]).to_numpy(zero_copy_only=False)))
+        ranges = one("range").to_numpy()
+        lo, hi = windows_again(group, ranges >> 32, ranges & 0xFFFFFFFF, one("left"), one("right"), self.length)
+        keep = pa.array(np.flatnonzero(hi >= lo))
+        return pa.RecordBatch.from_arrays([one("gram").take(keep), one("around").take(keep), pa.array(lo.astype(np.int32)).take(keep), pa.array(hi.astype(np.int32)).take(keep)], names=["gram", "around", "least", "most"])
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list = []
@@ -243,9 +310,9 @@ class Solver:
             held.append(batch)
             if sum(b.num_rows for b in held) < self.batch:
                 continue
-            t = pa.Table.from_batches(held)
-            gram = t.column("gram").to_numpy()
-            edge = np.flatnonzero(gram[1:] != gram[:-1]) + 1
+            t = pa.Table.from_batches(held).combine_chunks()
+            key = t.column("key").chunk(0)
+            edge = np.flatnonzero(pc.not_equal(key[1:], key[:-1]).to_numpy(zero_copy_only=False)) + 1
             if len(edge):  # all groups but the last, which may go on
                 done = 0
                 for stop in (*edge[np.searchsorted(edge, np.arange(self.batch, int(edge[-1]), self.batch))].tolist(), int(edge[-1])):
@@ -255,27 +322,35 @@ class Solver:
                 held = t.slice(done).combine_chunks().to_batches()
         if held:
             yield self._solve(pa.Table.from_batches(held))
-
-
-class WindowHashes:
-    """All windows of suffixes of a very large group: their hash and their place before the anchor."""
-
-    def __init__(self, length: int):
-        self.length = length
-
-    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = batch.to_pylist()
-            for r in rows:
-                text = np.frombuffer(r["left"][::-1] + r["right"], np.uint8)
-                o = np.arange(max(0, self.length - len(r["right"])), len(r["left"]) + 1)
-                if len(o):
-                    s = len(r["left"]) - o
-                    text = text.tobytes()
-                    # 128 bits: these windows meet by hash alone.
-                    h = [hashlib.blake2b(text[a : a + self.length], digest_size=16).digest() for a in s.tolist()]
-                    m = len(o)
-                    yield pa.RecordBatch.from_arrays([pa.array(h, pa.binary()), pa.array(np.full(m, r["gram"])), pa.array(np.full(m, r["around"])), pa.array(np.full(m, r["n"])), pa.array(o.astype(np.int32))], names=["window", "gram", "around", "n", "o"])
+        K.tidy()
+
+
+_FOUND = "gram bigint, around binary, least int, most int"
+
+
+def _again(rows: DataFrame, length: int, folder: str, tasks: int, max_group: int) -> DataFrame:
+    """(gram, around, least, most) of the suffixes in rows (gram, around, place, pos) that share windows with others; a suffix may have several rows."""
+    level = rows.select(F.unhex(F.hex("gram")).alias("key"), "gram", "around", F.lit(length - GRAM).cast("bigint").alias("range"), "place", "pos")
+    wide = F.shiftright("range", 32) < F.col("range").bitwiseAND(F.lit(0xFFFFFFFF))
+    found = None
+    while True:
+        # Counts are written, so that the join deals a key with very many rows anew.
+        counts = written(level.groupBy("key").agg(F.count("*").alias("kinds")).where(F.col("kinds") > 1), "counts")
+        # A range of one window: all that share it have it again.
+        parts = [level.where(~wide).join(counts, "key").select("gram", "around", F.shiftright("range", 32).cast("int").alias("least"), F.shiftright("range", 32).cast("int").alias("most"))]
+        large = not counts.where(F.col("kinds") > max_group).isEmpty()
+        level = level.where(wide).join(counts, "key")
+        if large:
+            level = written(level, "shared")
+        few = level.where(F.col("kinds") <= max_group).drop("kinds").repartitionByRange(tasks, "place", "pos").sortWithinPartitions("place", "pos")
+        around = "key binary, gram bigint, around binary, range bigint, left binary, right binary"
+        parts.append(few.mapInArrow(Surroundings(length, folder), around).repartition(tasks, "key").sortWithinPartitions("key").mapInArrow(Solver(length, BATCH), _FOUND))
+        for part in parts:
+            found = part if found is None else found.union(part)
+        if not large:
+            return found
+        many = level.where(F.col("kinds") > max_group).drop("kinds").repartitionByRange(tasks, "place", "pos").sortWithinPartitions("place", "pos")
+        level = written(many.mapInArrow(Halves(length, folder), "key binary, gram bigint, around binary, range bigint, place string, pos int"), "halves")
 
 
 def _spans(docs: DataFrame, length: int, folder: str, keep: tuple[str, ...], id_col: str, text_col: str, max_group: int) -> DataFrame:
@@ -286,23 +361,10 @@ def _spans(docs: DataFrame, length: int, folder: str, keep: tuple[str, ...], id_
     scanned = written(own.mapInArrow(Scanner(length, folder), _SCANNED + "".join(f", `own_{c}` {kinds[f'own_{c}']}" for c in keep)), "scanned")
     at = scanned.select("uid", "place", F.explode("anchors").alias("k")).select("uid", "place", "k.gram", "k.around", "k.pos")
     suffixes = at.groupBy("gram", "around").agg(F.count("*").alias("n"), F.min(F.struct("uid", "pos", "place")).alias("one"))
-    suffixes = suffixes.select("gram", "around", "n", "one.place", "one.pos")
-    grams = suffixes.groupBy("gram").agg(F.sum("n").alias("total"), F.count("*").alias("kinds")).where(F.col("total") > 1).select(F.col("gram").alias("g"), "kinds")
-    suffixes = written(suffixes.join(grams, F.col("gram") == F.col("g")).drop("g"), "suffixes")
-    fetched = suffixes.where(F.col("kinds") > 1).repartitionByRange(tasks, "place", "pos").sortWithinPartitions("place", "pos")
-    around = "gram bigint, around bigint, n bigint, left binary, right binary"
-    few, many = (fetched.where(c).select("gram", "around", "n", "place", "pos").mapInArrow(Surroundings(length, folder), around) for c in (F.col("kinds") <= max_group, F.col("kinds") > max_group))
-    result = "gram bigint, around bigint, least int, most int"
-    found = few.repartition(tasks, "gram").sortWithinPartitions("gram").mapInArrow(Solver(length, BATCH), result)
-    # One suffix alone, occurring twice or more with all that is around it: its windows are clipped by the document below.
-    alone = suffixes.where(F.col("kinds") == 1).select("gram", "around", F.lit(0).alias("least"), F.lit(length - GRAM).alias("most"))
-    found = found.union(alone)
-    if suffixes.where(F.col("kinds") > max_group).limit(1).count():
-        windows = many.mapInArrow(WindowHashes(length), "window binary, gram bigint, around bigint, n bigint, o int")
-        # A window holds several anchors; it meets others by the same one at the same place.
-        same = ["window", "gram", "o"]
-        again = windows.groupBy(*same).agg(F.sum("n").alias("total")).where(F.col("total") > 1).select(*same)
-        found = found.union(windows.join(again, same, "left_semi").groupBy("gram", "around").agg(F.min("o").alias("least"), F.max("o").alias("most")))
+    suffixes = written(suffixes.select("gram", "around", "n", "one.place", "one.pos"), "suffixes")
+    # A suffix that occurs twice or more with all that is around it: its windows are clipped by the document below.
+    copies = suffixes.where(F.col("n") > 1).select("gram", "around", F.lit(0).alias("least"), F.lit(length - GRAM).alias("most"))
+    found = copies.union(_again(suffixes.drop("n"), length, folder, tasks, max_group))
     parts = at.select("uid", "gram", "around", "pos").join(found, ["gram", "around"]).groupBy("uid").agg(F.collect_list(F.struct("pos", "least", "most")).alias("spans"))
     return scanned.drop("anchors").join(parts, "uid", "left")
 
@@ -326,23 +388,34 @@ class Cutter:
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store = StoreReader(self.folder)
-        for batch in batches:
-            removed, count, digests, texts = [], [], [], []
-            for n, sha, place, spans in zip(*(batch.column(k).to_pylist() for k in ("n_bytes", "sha256", "place", "spans"))):
-                spans = self._merge(spans or [], n)
-                removed.append(sum(b - a for a, b in spans))
-                count.append(len(spans))
-                text = store.get(place) if place is not None and (self.texts or spans) else None
-                if self.texts:
-                    texts.append(text if text is None else cut_text(text, spans))
-                elif spans:
-                    edges = [0, *(x for s in spans for x in s), n]
-                    sha = hashlib.sha256(b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2]))).hexdigest()
-                digests.append(sha)
-            rest = batch.columns[5:]
-            last = [pa.array(texts, pa.string())] if self.texts else [pa.array(digests)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), pa.array(removed, pa.int64()), pa.array(count, pa.int64()), *last, *rest], names=["doc_id", "n_bytes", "n_removed", "n_spans", "text" if self.texts else "kept_sha256", *batch.schema.names[5:]])
+        for whole in batches:
+            for batch in self._slices(whole):
+                removed, count, digests, texts = [], [], [], []
+                for n, sha, place, spans in zip(*(batch.column(k).to_pylist() for k in ("n_bytes", "sha256", "place", "spans"))):
+                    spans = self._merge(spans or [], n)
+                    removed.append(sum(b - a for a, b in spans))
+                    count.append(len(spans))
+                    text = store.get(place) if place is not None and (self.texts or spans) else None
+                    if self.texts:
+                        texts.append(text if text is None else cut_text(text, spans))
+                    elif spans:
+                        edges = [0, *(x for s in spans for x in s), n]
+                        sha = hashlib.sha256(b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2]))).hexdigest()
+                    digests.append(sha)
+                rest = batch.columns[5:]
+                last = [pa.array(texts, pa.string())] if self.texts else [pa.array(digests)]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), pa.array(removed, pa.int64()), pa.array(count, pa.int64()), *last, *rest], names=["doc_id", "n_bytes", "n_removed", "n_spans", "text" if self.texts else "kept_sha256", *batch.schema.names[5:]])
         store.close()
+        K.tidy()
+
+    @staticmethod
+    def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        """Rows whose texts are a few megabytes together."""
+        total, a = np.cumsum(batch.column("n_bytes").to_numpy() + 100), 0
+        while a < batch.num_rows:
+            b = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + K.RUN_BYTES)))
+            yield batch.slice(a, b - a)
+            a = b
 
 
 def cut_text(text: bytes, spans: list[list[int]]) -> str:
@@ -390,4 +463,11 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the 400-byte strings that also start elsewhere.
+
+    n_bytes is the text's length before. Null and empty texts have no bytes;
+    texts of any length are taken whole; repeated rows and ids keep a row each
+    and cover each other; an empty table gives no row; columns beside doc_id
+    and text aren't looked at.
+    """
     return find_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -1,16 +1,20 @@
 """Vectorised text kernels over Arrow string buffers.
 
 Every kernel here looks at a run of documents as one byte array plus offsets,
-so the cost per byte is a handful of numpy passes and no Python string is made
-for a word. Segments (words, lines, pre-tokens) are identified by a 64-bit
-hash: a prefix polynomial over random byte codes, modulo 2**64, finished by an
-avalanche of content and length. All constants are fixed, so that any worker
-gives any segment the same hash.
+so the cost per byte is a handful of passes and no Python string is made for a
+word. Segments (words, lines, pre-tokens) are told apart by their bytes: codes
+gives equal segments of a run, and no others, one number. What must be known in
+other runs by a number alone is a 64-bit BLAKE2b digest, one for each distinct
+segment. The polynomial prefix hash is for strings of one short length that are
+compared byte by byte later on. All constants are fixed, so that any worker
+gives any segment the same digest.
 """
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +28,7 @@ _M1, _M2, _M3 = (np.uint64(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB,
 
 #: Documents are worked on in runs of about this many bytes, which bounds the
 #: arrays of eight bytes a byte; one longer document makes a run of its own.
-RUN_BYTES = 2 << 20
+RUN_BYTES = 1 << 20
 
 _pow = np.ones(1, np.uint64)
 _inv = np.ones(1, np.uint64)
@@ -34,7 +38,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers of BASE and of its inverse."""
     global _pow, _inv
     if len(_pow) < n:
-        size = max(n, RUN_BYTES + (RUN_BYTES >> 2))
+        size = max(n, RUN_BYTES + 4096)
         for name, base in (("_pow", BASE), ("_inv", BASE_INVERSE)):
             a = np.full(size, base, np.uint64)
             a[0] = 1
@@ -111,8 +115,72 @@ def segments(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+def codes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """A number for each segment, the same for equal ones alone, and the distinct ones that the numbers stand for.
+
+    Segments and the gaps between them go as they lie into a dictionary that
+    compares bytes; they must be in order and may touch, not overlap. What only
+    gaps hold is among the distinct ones too.
+    """
+    n = len(starts)
+    if not n:
+        return np.zeros(0, np.int64), pa.array([], pa.large_binary())
+    off = np.empty(2 * n, np.int64)
+    off[::2], off[1::2] = starts, ends
+    coded = pa.LargeBinaryArray.from_buffers(pa.large_binary(), 2 * n - 1, [None, pa.py_buffer(off), pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
+    return coded.indices.to_numpy()[::2].astype(np.int64), coded.dictionary
+
+
+def digests(distinct: pa.Array) -> np.ndarray:
+    """A 64-bit digest of each string."""
+    return np.frombuffer(b"".join([blake2b(x, digest_size=8).digest() for x in distinct.to_pylist()]), "<u8").astype(np.uint64)
+
+
+def segment_digests(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The digest of each segment's bytes, wherever it stands."""
+    code, distinct = codes(data, starts, ends)
+    return digests(distinct)[code] if len(code) else np.zeros(0, np.uint64)
+
+
+def ranks(x: np.ndarray) -> tuple[np.ndarray, int]:
+    """A number for each value, the same for equal ones alone, and how many there are."""
+    coded = pa.array(x).dictionary_encode()
+    return coded.indices.to_numpy().astype(np.int64), len(coded.dictionary)
+
+
+def pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, int]:
+    """ranks of pairs of numbers below 2**32."""
+    return ranks(a.astype(np.uint64) << np.uint64(32) | b.astype(np.uint64))
+
+
+def shingles(code: np.ndarray, n: int) -> np.ndarray:
+    """A number for each n consecutive codes, the same for equal sequences alone; the last n - 1 places have none."""
+    out = code
+    for k in range(1, n):
+        out = pairs(out[: len(out) - 1], code[k:])[0] if len(out) > 1 else out[:0]
+    return out
+
+
+def often(rank: np.ndarray) -> np.ndarray:
+    """Whether each rank occurs twice or more."""
+    return np.bincount(rank)[rank] > 1 if len(rank) else np.zeros(0, bool)
+
+
+def tidy() -> None:
+    """Give memory that isn't used back to the machine: workers live on and would keep it."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not the C library that has it
+        return
+
+
 def prefix_hash(data: np.ndarray) -> np.ndarray:
-    """n + 1 values; those of a segment follow by segment_hash."""
+    """n + 1 values of a polynomial modulo 2**64; those of a segment follow by segment_hash.
+
+    Long strings that collide are easy to construct, so that equal values must
+    be followed by a look at the bytes.
+    """
     h = np.zeros(len(data) + 1, np.uint64)
     if len(data):
         h[1:] = BYTE_CODE[data]
@@ -130,13 +198,14 @@ def segment_hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np
 
 
 def gram_hash(words: np.ndarray, n: int) -> np.ndarray:
-    """The hash of each n consecutive values; the last n - 1 places have none."""
+    """The hash of each n consecutive digests; the last n - 1 places have none."""
     m = max(0, len(words) - n + 1)
     h = np.zeros(m, np.uint64)
     for k in range(n):
         h *= np.uint64(BASE)
         h += words[k : k + m]
-    return mix(h)
+        h = mix(h)
+    return h
 
 
 def owner(bounds: np.ndarray) -> np.ndarray:
@@ -144,32 +213,6 @@ def owner(bounds: np.ndarray) -> np.ndarray:
     return np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
 
 
-def scoped(h: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """Hashes that are equal only within one document."""
-    return mix(h + mix(doc.astype(np.uint64) + np.uint64(1)))
-
-
-def repeated(h: np.ndarray) -> np.ndarray:
-    """Whether each value occurs twice or more."""
-    out = np.zeros(len(h), bool)
-    if len(h) > 1:
-        order = np.argsort(h)
-        s = h[order]
-        same = s[1:] == s[:-1]
-        out[order[1:][same]] = True
-        out[order[:-1][same]] = True
-    return out
-
-
-def pack_strings(flat: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
-    """A string array of some segments, copied without Python strings."""
-    lengths = ends - starts
-    off = np.zeros(len(starts) + 1, np.int64)
-    np.cumsum(lengths, out=off[1:])
-    at = np.arange(off[-1]) + np.repeat(starts - off[:-1], lengths)
-    return pa.StringArray.from_buffers(len(starts), pa.py_buffer(off.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(flat[at])))
-
-
 def sum_by(bounds: np.ndarray, values: np.ndarray) -> np.ndarray:
     """Sums of values per document; bounds as segments gives them."""
     c = np.zeros(len(values) + 1, np.int64)

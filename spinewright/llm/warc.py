@@ -3,9 +3,10 @@
 Pages are sorted by reversed-host URL key; each range of keys becomes one
 archive, a gzip member a record, and one index file beside it: compressed
 blocks of sorted index lines, and at its end the block directory, which holds
-each block's first key. A look-up searches by bisection the list of ranges,
-then the range's directory, then one block, and reads that record's bytes
-alone; a scan goes block by block.
+each block's first key. A root file lists the ranges in the same way, in blocks
+of ROOT_LINES. A look-up searches by bisection the root, then the range's
+directory, then one block, and reads that record's bytes alone; a scan goes
+block by block. Blocks end at a number of lines or of bytes in the archive.
 
 Files are opened by pyarrow.fs from the URI of the folder, so that a folder in
 any store that it knows will do. A task that is run again writes new files, and
@@ -28,13 +29,14 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import textkernel as K
 from .shared import scratch_path, written
 
 #: Payloads of at least this many bytes are written once.
 MIN_REVISIT = 1000
-BLOCK_LINES = 200
-#: Ranges, and so archives, at most: their first keys go to every task that looks captures up.
-MAX_RANGES = 100_000
+BLOCK_LINES, BLOCK_BYTES, ROOT_LINES = 200, 4 << 20, 1000
+#: Rows of pages made into records, and bytes of records handed on, at once.
+ROWS, HANDED_BYTES = 50, 4 << 20
 DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _RANGES = "first_key string, archive string, index string, at bigint, length bigint, blocks bigint"
@@ -48,14 +50,19 @@ def url_key(url: Column) -> Column:
     return F.regexp_replace(F.concat(F.array_join(F.reverse(F.split(host, r"\.")), ","), F.lit(")"), F.regexp_replace(rest, "^[^/?#]*", "")), r"\s", "%20")
 
 
-def _record(kind: str, page_id, url, date: str, digest: str, block: bytes, refers: tuple | None = None) -> bytes:
-    head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:x-page:{'' if page_id is None else page_id}>", f"WARC-Date: {date}"]
+def _name(page_id, key: str, digest: str, number: int) -> str:
+    """A record's id: the page, and what tells it from others with that page_id; number: of rows equal in all of it."""
+    return f"<urn:x-page:{'' if page_id is None else page_id}:{hashlib.sha1(key.encode()).hexdigest()[:16]}:{digest[:16]}:{number}>"
+
+
+def _record(kind: str, name: str, url, date: str, digest: str, block: bytes, refers: tuple | None = None) -> bytes:
+    head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {name}", f"WARC-Date: {date}"]
     if url is not None:
         head.append("WARC-Target-URI: " + url.replace("\r", "%0D").replace("\n", "%0A"))
     if digest:
         head.append("WARC-Payload-Digest: sha1:" + base64.b32encode(bytes.fromhex(digest)).decode())
     if refers:
-        head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: <urn:x-page:{refers[0]}>", "X-Refers-To-Key: " + refers[1]]
+        head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {_name(refers[0], refers[1], digest, 0)}", "X-Refers-To-Key: " + refers[1]]
     head += [f"Content-Type: {'application/warc-fields' if kind == 'warcinfo' else 'application/http; msgtype=response'}", f"Content-Length: {len(block)}", "", ""]
     return "\r\n".join(head).encode() + block + b"\r\n\r\n"
 
@@ -77,11 +84,12 @@ class Writer:
         name = uuid.uuid4().hex
         archive, index = f"{name}.warc.gz", f"{name}.cdx"
         out = found = None
-        at = end = 0
-        lines, directory, note = [], [], None
+        at = end = begun = number = 0
+        lines, directory, note, before = [], [], None, None
 
         def close_block():
-            nonlocal end, lines
+            nonlocal end, lines, begun
+            begun = at
             if lines:
                 block = zlib.compress("\n".join(lines).encode(), 6)
                 found.write(block)
@@ -89,29 +97,31 @@ class Writer:
                 end += len(block)
                 lines = []
 
-        for batch in batches:
-            for r in batch.to_pylist():
-                if r["row"] == 0:  # the pages of this key, id and digest come next
-                    note = r
-                    continue
-                same = note is not None and all(note[k] == r[k] for k in ("key", "page_id", "digest"))
-                if out is None:
-                    out, found = store.open_output_stream(f"{root}/{archive}", compression=None), store.open_output_stream(f"{root}/{index}", compression=None)
-                    info = _member(_record("warcinfo", None, None, self.date, "", b"format: WARC File Format 1.1\r\n"))
-                    out.write(info)
-                    at = len(info)
-                payload = (r["html"] or "").encode()
-                http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
-                if not same:
-                    raw = _record("response", r["page_id"], r["url"], self.date, r["digest"], http + b"Content-Length: %d\r\n\r\n" % len(payload) + payload)
-                else:
-                    raw = _record("revisit", r["page_id"], r["url"], self.date, r["digest"], http + b"\r\n", (note["refers_to"], note["refers_key"]))
-                member = _member(raw)
-                out.write(member)
-                lines.append(f"{r['key']} {'' if r['page_id'] is None else r['page_id']} {at} {len(member)}")
-                at += len(member)
-                if len(lines) == self.block_lines:
-                    close_block()
+        for r in (r for batch in batches for first in range(0, batch.num_rows, ROWS) for r in batch.slice(first, ROWS).to_pylist()):
+            if r["row"] == 0:  # the pages of this key, id and digest come next
+                note = r
+                continue
+            same = note is not None and all(note[k] == r[k] for k in ("key", "page_id", "digest"))
+            if out is None:
+                out, found = store.open_output_stream(f"{root}/{archive}", compression=None), store.open_output_stream(f"{root}/{index}", compression=None)
+                info = _member(_record("warcinfo", f"<urn:uuid:{uuid.UUID(name)}>", None, self.date, "", b"format: WARC File Format 1.1\r\n"))
+                out.write(info)
+                at = begun = len(info)
+            now = r["key"], r["page_id"], r["digest"]
+            number = number + 1 if now == before else 0
+            before, own = now, _name(r["page_id"], r["key"], r["digest"], number)
+            payload = (r["html"] or "").encode()
+            http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
+            if not same:
+                raw = _record("response", own, r["url"], self.date, r["digest"], http + b"Content-Length: %d\r\n\r\n" % len(payload) + payload)
+            else:
+                raw = _record("revisit", own, r["url"], self.date, r["digest"], http + b"\r\n", (note["refers_to"], note["refers_key"]))
+            member = _member(raw)
+            out.write(member)
+            lines.append(f"{r['key']} {'' if r['page_id'] is None else r['page_id']} {at} {len(member)}")
+            at += len(member)
+            if len(lines) == self.block_lines or at - begun >= BLOCK_BYTES:
+                close_block()
         if out is None:
             return
         close_block()
@@ -134,7 +144,7 @@ def parse(member: bytes) -> dict:
     head, _, block = raw.partition(b"\r\n\r\n")
     fields = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
     block = block[: int(fields["Content-Length"])]
-    page = lambda name: int(x) if (x := fields.get(name, "<urn:x-page:>")[12:-1]) else None
+    page = lambda name: int(x) if (x := fields.get(name, "<urn:x-page:>")[12:-1].split(":")[0]) else None
     digest = base64.b32decode(fields["WARC-Payload-Digest"][5:]).hex()
     out = {"page_id": page("WARC-Record-ID"), "record_type": fields["WARC-Type"], "payload_digest": digest, "refers_to": page("WARC-Refers-To"), "refers_key": fields.get("X-Refers-To-Key"), "payload_bytes": None, "url": fields.get("WARC-Target-URI")}
     if out["record_type"] == "response":
@@ -159,8 +169,12 @@ class BlockReader:
                 lines = [x.rsplit(" ", 2) for x in zlib.decompress(_read(store, f"{root}/{b['index']}", b["at"], b["length"])).decode().split("\n")]
                 first, last = int(lines[0][1]), int(lines[-1][1]) + int(lines[-1][2])
                 raw = _read(store, f"{root}/{b['archive']}", first, last - first)
-                rows = [parse(raw[int(at) - first : int(at) - first + int(n)]) for _, at, n in lines]
-                yield pa.RecordBatch.from_pylist([{k: r[k] for k in schema.names} for r in rows], schema=schema)
+                rows = []
+                for _, at, n in lines:
+                    r = parse(raw[int(at) - first : int(at) - first + int(n)])
+                    rows.append({k: r[k] for k in schema.names})  # not the payload
+                yield pa.RecordBatch.from_pylist(rows, schema=schema)
+        K.tidy()
 
 
 def _directories(folder: str):
@@ -175,48 +189,64 @@ def _directories(folder: str):
 
 
 class Lookup:
-    """Finds the captures of (key, page_id) rows by bisection: range, block, line, then the record's own bytes."""
+    """Finds the captures of (key, page_id) rows by bisection: root, range, block, line, then the record's own bytes.
 
-    def __init__(self, folder: str, ranges: list[tuple]):
-        self.folder, self.ranges = folder, ranges
+    top: (first key, start, length) of the root's blocks.
+    """
+
+    def __init__(self, folder: str, root: str, top: list[tuple], payloads: bool):
+        self.folder, self.root, self.top, self.payloads = folder, root, top, payloads
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = fs.FileSystem.from_uri(self.folder)
-        firsts = [r[0] for r in self.ranges]
+        schema = pa.schema([("key", pa.string()), ("page_id", pa.int64()), ("record_type", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("payload", pa.binary())])
+        tops = [t[0] for t in self.top]
+
+        @lru_cache(16)
+        def ranges(t: int) -> list:
+            _, at, length = self.top[t]
+            return json.loads(zlib.decompress(_read(store, f"{root}/{self.root}", at, length)))
 
         @lru_cache(64)
-        def directory(k: int) -> list:
-            _, _, index, at, length = self.ranges[k]
+        def directory(t: int, k: int) -> list:
+            _, _, index, at, length = ranges(t)[k]
             return json.loads(zlib.decompress(_read(store, f"{root}/{index}", at, length)))
 
         @lru_cache(64)
-        def block(k: int, b: int) -> list:
-            _, at, length = directory(k)[b]
-            return [(x[0], x[1], int(x[2]), int(x[3])) for x in (line.split(" ") for line in zlib.decompress(_read(store, f"{root}/{self.ranges[k][2]}", at, length)).decode().split("\n"))]
+        def block(t: int, k: int, b: int) -> list:
+            _, at, length = directory(t, k)[b]
+            return [(x[0], x[1], int(x[2]), int(x[3])) for x in (line.split(" ") for line in zlib.decompress(_read(store, f"{root}/{ranges(t)[k][2]}", at, length)).decode().split("\n"))]
+
+        def from_(heads: list[str], key: str) -> Iterator[int]:
+            """A key may go on over several: begin in the one before the first that starts with it."""
+            for k in range(max(0, bisect.bisect_left(heads, key) - 1), len(heads)):
+                if heads[k] > key:
+                    return
+                yield k
 
         def captures(key: str):
-            """A key may go on over blocks and ranges: begin in the one before the first that starts with it."""
-            for k in range(max(0, bisect.bisect_left(firsts, key) - 1), len(firsts)):
-                if firsts[k] > key:
-                    return
-                heads = [d[0] for d in directory(k)]
-                for b in range(max(0, bisect.bisect_left(heads, key) - 1), len(heads)):
-                    if heads[b] > key:
-                        return
-                    lines = block(k, b)
-                    for i in range(bisect.bisect_left(lines, (key,)), len(lines)):
-                        if lines[i][0] != key:
-                            break
-                        yield self.ranges[k][1], lines[i]
+            for t in from_(tops, key):
+                for k in from_([r[0] for r in ranges(t)], key):
+                    for b in from_([d[0] for d in directory(t, k)], key):
+                        lines = block(t, k, b)
+                        for i in range(bisect.bisect_left(lines, (key,)), len(lines)):
+                            if lines[i][0] != key:
+                                break
+                            yield ranges(t)[k][1], lines[i]
 
         for batch in batches:
-            rows = []
+            rows, held = [], 0
             for q in batch.to_pylist():
                 for archive, (_, page, at, n) in captures(q["key"]):
                     if q["page_id"] is None or page == str(q["page_id"]):
                         r = parse(_read(store, f"{root}/{archive}", at, n))
-                        rows.append({"key": q["key"], "page_id": r["page_id"], "record_type": r["record_type"], "payload_bytes": r["payload_bytes"], "payload_digest": r["payload_digest"], "payload": r.get("payload")})
-            yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("key", pa.string()), ("page_id", pa.int64()), ("record_type", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("payload", pa.binary())]))
+                        rows.append({"key": q["key"]} | {k: r[k] for k in schema.names[1:-1]} | {"payload": r.get("payload") if self.payloads else None})
+                        held += len(rows[-1]["payload"] or b"") + 200
+                        if held > HANDED_BYTES:
+                            yield pa.RecordBatch.from_pylist(rows, schema=schema)
+                            rows, held = [], 0
+            yield pa.RecordBatch.from_pylist(rows, schema=schema)
+        K.tidy()
 
 
 class Archive:
@@ -232,12 +262,31 @@ class Archive:
         blocks = self.ranges.mapInArrow(_directories(self.folder), "archive string, index string, at bigint, length bigint")
         return blocks.repartition(tasks).mapInArrow(BlockReader(self.folder), _PARSED)
 
-    def lookup(self, keys: DataFrame) -> DataFrame:
-        """The captures of (key, page_id) rows; a null page_id stands for all captures of the key."""
-        ranges = self.ranges.select("first_key", "archive", "index", "at", "length").limit(MAX_RANGES + 1).collect()
-        if len(ranges) > MAX_RANGES:
-            raise ValueError("too many ranges")
-        tool = Lookup(self.folder, sorted(map(tuple, ranges)))
+    def write_root(self) -> tuple[str, list[tuple]]:
+        """Write the root: all ranges by first key, in blocks; its file and (first key, start, length) of each block."""
+        store, root = fs.FileSystem.from_uri(self.folder)
+        store.create_dir(root, recursive=True)
+        name, top, at, held = f"{uuid.uuid4().hex}.root", [], 0, []
+        with store.open_output_stream(f"{root}/{name}", compression=None) as out:
+
+            def close_block():
+                nonlocal at, held
+                if held:
+                    block = zlib.compress(json.dumps(held).encode(), 6)
+                    out.write(block)
+                    top.append((held[0][0], at, len(block)))
+                    at, held = at + len(block), []
+
+            for r in self.ranges.select("first_key", "archive", "index", "at", "length").orderBy("first_key", "archive").toLocalIterator():
+                held.append(list(r))
+                if len(held) == ROOT_LINES:
+                    close_block()
+            close_block()
+        return name, top
+
+    def lookup(self, keys: DataFrame, payloads: bool = True) -> DataFrame:
+        """The captures of (key, page_id) rows, with or without their payloads; a null page_id stands for all captures of the key."""
+        tool = Lookup(self.folder, *self.write_root(), payloads)
         return keys.select("key", "page_id").mapInArrow(tool, "key string, page_id bigint, record_type string, payload_bytes bigint, payload_digest string, payload binary")
 
 
@@ -265,10 +314,17 @@ def archive(pages: DataFrame, folder: str, min_revisit: int = MIN_REVISIT, date:
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written as a record, and read back block by block.
+
+    Null html counts as empty, null urls have the empty key; pages of any size
+    are written whole; repeated rows and ids have a record each, and of repeated
+    rows with the largest page_id all are responses; an empty table gives no
+    row; columns beside page_id, url and html aren't looked at.
+    """
     made = archive(spark.read.parquet(f"{sf_dir}/pages.parquet"), scratch_path(spark, "warc"))
     records = written(made.scan(), "warc-records")
     targets = records.where(F.col("refers_to").isNotNull()).groupBy(F.col("refers_key").alias("key"), F.col("refers_to").alias("page_id")).agg(F.count("*").alias("n"))
-    sizes = made.lookup(targets).where(F.col("record_type") == "response").groupBy(F.col("page_id").alias("target")).agg(F.max("payload_bytes").alias("full"))
+    sizes = made.lookup(targets, payloads=False).where(F.col("record_type") == "response").groupBy(F.col("page_id").alias("target")).agg(F.max("payload_bytes").alias("full"))
     out = records.join(sizes, F.col("refers_to") == F.col("target"), "left")
     return out.select("page_id", F.coalesce("payload_bytes", "full").alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
 
