@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textkernel as K
-from .shared import scratch_path
+from .shared import bounded, scratch_path
 from .textstore import StoreReader, StoreWriter
 
 WINDOW = 10
@@ -103,7 +103,7 @@ class Tests:
         d = depth[at]
         same = d
         for k in range(window):
-            same, _ = K.pairs(same, np.where(d > k, own.code[np.minimum(at + k, len(own) - 1)] + 1, 0) if len(own) else at)
+            same = K.ranks(K.combine((same, len(same) + window + 1), (np.where(d > k, own.code[np.minimum(at + k, len(own) - 1)] + 1, 0) if len(own) else at, len(own.distinct) + 1))[0])[0]
         _, first, self.same = np.unique(same, return_index=True, return_inverse=True)
         self.at, self.depth = at[first], d[first]
         order = np.argsort(self.same, kind="stable")
@@ -320,6 +320,7 @@ class Dropper:
 def benchmark(tests: DataFrame, window: int = WINDOW, id_col: str = "item_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES) -> Benchmark:
     """The test items, written to the shared folder in chunks, of which the driver holds one at a time."""
     spark = tests.sparkSession
+    bounded(spark)
     folder = scratch_path(spark, "tests")
     store, places, ids, texts, size = StoreWriter(folder), [], [], [], 0
     for r in tests.select(F.col(id_col).cast("string"), F.col(text_col)).where(F.col(text_col).isNotNull()).toLocalIterator():

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import textkernel as K
+from .shared import bounded
 
 #: Bounds of what is learned from: snippets of each language, characters of each, and snippets of all languages; with more
 #: languages than that allows, each has fewer, one at least.
@@ -99,6 +100,7 @@ def identify(docs: DataFrame, dictionaries: list[tuple[str, bytes]], min_margin:
     Null texts and texts without a letter are ``und`` with score 0, as is all
     when nothing was learned. On a tie the more frequent language wins.
     """
+    bounded(docs.sparkSession)
     out = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col)).mapInArrow(Classifier(dictionaries), "id bigint, lang_pred string, score double")
     return out.select(F.col("id").alias(id_col), "lang_pred", "score", (F.col("score") < min_margin).alias("rejected"))
 

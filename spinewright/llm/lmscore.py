@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textkernel as K
-from .shared import scratch_path, written
+from .shared import bounded, scratch_path, written
 from .textstore import StoreReader, StoreWriter
 from .tokens import squeeze, unsqueeze
 
@@ -233,6 +233,7 @@ def score_documents(docs: DataFrame, target_ids: DataFrame, order: int = ORDER,
     looked at.
     """
     spark = docs.sparkSession
+    bounded(spark)
     folder, buckets = scratch_path(spark, "texts"), int(spark.conf.get("spark.sql.shuffle.partitions"))
     blocks = written(docs.select(F.col(id_col).cast("bigint"), F.col(text_col)).mapInArrow(BlockWriter(folder), _BLOCK), "lm-blocks")
     wanted = target_ids.select(F.col(id_col).cast("bigint").alias("wanted")).where(F.col("wanted").isNotNull()).distinct()

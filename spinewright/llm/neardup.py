@@ -15,7 +15,7 @@ left behind it. All nodes of different components that meet so are candidates.
 
 Shingles of one document are told apart by their bytes, and a link counts only
 if the words themselves confirm it. Sets are taken as the same by a 128-bit
-BLAKE2b digest of their shingles' hashes, which rest on digests of the words.
+BLAKE2b digest of their shingles' hashes, which rest on 64-bit digests of words.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from . import textkernel as K
 from .components import connected_components
-from .shared import scratch_path, written
+from .shared import bounded, scratch_path, written
 from .textstore import StoreReader, StoreWriter
 
 TREES, FIRST_TREES, DEPTH, MIN_DEPTH = 16, 2, 6, 3
@@ -61,30 +61,42 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndar
     the same in other documents.
     """
     code, distinct, bounds = _low_words(data, offsets)
-    words, size, doc = K.digests(distinct)[code] if len(code) else np.zeros(0, np.uint64), np.diff(bounds), K.owner(bounds)
-    own = np.flatnonzero(doc[n - 1 :] == doc[: max(0, len(doc) - n + 1)]) if len(doc) >= n else np.zeros(0, np.int64)
-    same = K.shingles(code, n)
-    _, first = np.unique(doc[own].astype(np.uint64) << np.uint64(32) | same[own].astype(np.uint64), return_index=True)
-    own = own[first]
-    h, d = K.gram_hash(words, n)[own], doc[own]
-    short = np.flatnonzero((size > 0) & (size < n))
-    if len(short):
-        one = np.zeros(len(short), np.uint64)
-        for k in range(n - 1):
-            more = size[short] > k
-            one[more] = K.mix(one[more] * np.uint64(K.BASE) + words[bounds[short[more]] + k])
-        h, d = np.concatenate([h, K.mix(one + size[short].astype(np.uint64))]), np.concatenate([d, short])
-    order = np.lexsort((h, d))
-    return h[order], np.searchsorted(d[order], np.arange(len(offsets)))
+    words, size = K.digests(distinct)[code] if len(code) else np.zeros(0, np.uint64), np.diff(bounds)
+    grams, sets = K.gram_hash(words, n), []
+    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+        if b - a >= n:
+            sets.append(_distinct(grams[a : b - n + 1], code[a:b], n))
+        elif b > a:
+            one = np.zeros(1, np.uint64)
+            for k in range(a, b):
+                one = K.mix(one * np.uint64(K.BASE) + words[k])
+            sets.append(K.mix(one + np.uint64(b - a)))
+        else:
+            sets.append(words[:0])
+    return np.concatenate([words[:0], *sets]), np.append(0, np.cumsum([len(x) for x in sets], dtype=np.int64))
+
+
+def _distinct(grams: np.ndarray, code: np.ndarray, n: int) -> np.ndarray:
+    """The hashes of the distinct shingles of one document, sorted; code: its words."""
+    order = np.argsort(grams, kind="stable")
+    h = grams[order]
+    new = np.ones(len(h), bool)
+    new[1:] = h[1:] != h[:-1]
+    again = np.flatnonzero(~new)
+    # Where hashes say that a shingle comes again, its words must agree.
+    if len(again) and any((code[order[again] + k] != code[order[again - 1] + k]).any() for k in range(n)):
+        h = grams[np.unique(K.shingles(code, int(code.max()) + 1, n)[0], return_index=True)[1]]
+        return np.sort(h)
+    return h[new]
 
 
 def linked(a: bytes, b: bytes, n: int, percent: int) -> bool:
     """Whether two texts are linked, by their words themselves."""
-    code, _, bounds = _low_words(np.frombuffer(a + b, np.uint8), np.array([0, len(a), len(a) + len(b)]))
+    code, distinct, bounds = _low_words(np.frombuffer(a + b, np.uint8), np.array([0, len(a), len(a) + len(b)]))
     k = bounds[1]
     if k < n or len(code) - k < n:
         return k == len(code) - k and k > 0 and bool((code[:k] == code[k:]).all())
-    same = K.shingles(code, n)
+    same = K.shingles(code, len(distinct), n)[0]
     x, y = np.unique(same[: k - n + 1]), np.unique(same[k:])
     common = len(np.intersect1d(x, y, assume_unique=True))
     return 100 * common >= percent * (len(x) + len(y) - common)
@@ -439,6 +451,7 @@ class Restorer:
 
 def _groups(docs: DataFrame, words: int, percent: int, id_col: str, text_col: str, keep: tuple[str, ...], folder: str, all_texts: bool) -> DataFrame:
     """(uid, doc_id, n_shingles, component_id, group, place) and the columns in keep of each row."""
+    bounded(docs.sparkSession)
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     own = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col), *(F.col(c).alias(f"own_{c}") for c in keep))
     kinds = dict(own.dtypes)

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textkernel as K
+from .shared import bounded
 from .tokens import public_tokenizer
 
 SIZE = 1024
@@ -162,7 +163,7 @@ class Encoder:
             ends = np.append(starts[1:], len(data))
             bounds = np.searchsorted(starts, offsets)
             which, distinct = K.codes(data, starts, ends)
-            seat = self._seats(distinct.to_pylist())[which]  # pre-tokens touch, so that no gaps are among them but empty ones
+            seat = self._seats(K.strings(distinct))[which]  # pre-tokens touch, so that no gaps are among them but empty ones
             from_, size = self.at[seat], self.size[seat]
             flat = _take_runs(self.flat, from_, size)
             at = np.append(0, np.cumsum(size))[bounds]
@@ -246,6 +247,7 @@ def pack(docs: DataFrame, json_path: str, size: int = SIZE, end_id: int = 0, kee
     """
     if size & (size - 1):
         raise ValueError("size must be a power of two")
+    bounded(docs.sparkSession)
     schema = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, bucket int" + ", ids array<int>" * keep_ids
     out = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(Packer(json_path, size, end_id, keep_ids), schema)
     return out.withColumnRenamed("doc_id", id_col)

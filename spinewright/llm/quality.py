@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textkernel as K
+from .shared import bounded
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_digits", "n_distinct_words")
 _SYMBOL = np.zeros(256, bool)
@@ -32,41 +33,39 @@ FEATURES = ("n_words", *RATIOS)
 
 
 def _within(mask: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    if len(offsets) == 2:  # a long text has a run of its own
-        return np.array([np.count_nonzero(mask)])
-    c = np.zeros(len(mask) + 1, np.int64)
-    np.cumsum(mask, out=c[1:])
-    return np.diff(c[offsets])
+    return np.diff(np.searchsorted(np.flatnonzero(mask), offsets))
 
 
-def _distinct(code: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
+def _distinct(code: np.ndarray, below: int, doc: np.ndarray, n: int) -> np.ndarray:
     """Distinct codes of each document."""
-    both = pa.array(doc.astype(np.uint64) << np.uint64(32) | code.astype(np.uint64)).unique().to_numpy()
-    return np.bincount((both >> np.uint64(32)).astype(np.int64), minlength=n)
+    both, _ = K.combine((doc, n), (code, below))
+    return np.bincount(pa.array(both).unique().to_numpy() // max(1, below), minlength=n)
 
 
 def text_counts(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     """The COUNTS of each document; lines and words are the same if their bytes are."""
     n = len(offsets) - 1
-    inside = K.NOT_SPACE[data]
-    starts, ends, bounds = K.segments(inside, offsets)
-    out = {"n_words": np.diff(bounds), "word_chars": _within(inside & ((data & 0xC0) != 0x80), offsets), "n_symbols": _within(_SYMBOL[data], offsets)}
+    starts, ends, bounds = K.segments(K.NOT_SPACE[data], offsets)
+    # All bytes that go on with a character are in words.
+    out = {"n_words": np.diff(bounds), "word_chars": K.sum_by(bounds, ends - starts) - _within((data & 0xC0) == 0x80, offsets), "n_symbols": _within(_SYMBOL[data], offsets)}
     line_starts, line_ends, line_bounds = K.segments(data != 10, offsets)
     wordy = np.searchsorted(starts, line_ends) > np.searchsorted(starts, line_starts)
     line_doc = K.owner(line_bounds)[wordy]
     out["n_lines"] = np.bincount(line_doc, minlength=n)
-    out["n_dup_lines"] = out["n_lines"] - _distinct(K.codes(data, line_starts[wordy], line_ends[wordy])[0], line_doc, n)
-    words, doc = K.codes(data, starts, ends)[0], K.owner(bounds)
+    lines, known = K.codes(data, line_starts[wordy], line_ends[wordy])
+    out["n_dup_lines"] = out["n_lines"] - _distinct(lines, len(known), line_doc, n)
+    (words, known), doc = K.codes(data, starts, ends), K.owner(bounds)
     hit = np.zeros(len(words) + 2, bool)
     if len(words) > 2:
         own = np.flatnonzero(doc[2:] == doc[:-2])
-        again = own[K.often(K.pairs(doc[own], K.shingles(words, 3)[own])[0])]
+        threes, below = K.shingles(words, len(known), 3)
+        again = own[K.often(K.ranks(K.combine((threes[own], below), (doc[own], n))[0])[0])]
         for k in range(3):
             hit[again + k] = True
     out["n_repeat_words"] = K.sum_by(bounds, hit[: len(words)])
     out["n_upper"] = _within((data >= 65) & (data <= 90), offsets)
     out["n_digits"] = _within((data >= 48) & (data <= 57), offsets)
-    out["n_distinct_words"] = _distinct(words, doc, n)
+    out["n_distinct_words"] = _distinct(words, len(known), doc, n)
     return out
 
 
@@ -87,6 +86,7 @@ def _counted_alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 def with_counts(docs: DataFrame, text_col: str, keep: list[str], keep_text: bool = False) -> DataFrame:
     """The COUNTS of each document's text, the columns in keep as own_..., and if asked the text as own_text; null texts count as empty."""
+    bounded(docs.sparkSession)
     chosen = docs.select(F.col(text_col).alias("own_text"), *(F.col(c).alias(f"own_{c}") for c in keep))
     kinds = [(c, k) for c, k in chosen.dtypes if keep_text or c != "own_text"]
     schema = ", ".join([*(f"{c} bigint" for c in COUNTS), *(f"`{c}` {k}" for c, k in kinds)])

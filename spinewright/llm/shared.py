@@ -22,6 +22,17 @@ def shared_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir().rstrip("/")
 
 
+#: Bytes of an Arrow batch that goes to a worker, unless the session has a limit of its own.
+BATCH_BYTES = 8 << 20
+_LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bounded(spark: SparkSession) -> None:
+    """Let batches for workers be small: Spark's own limit of 64 MB counts several times in an executor, in the JVM and in each worker."""
+    if spark.conf.get(_LIMIT, None) is None:
+        spark.conf.set(_LIMIT, str(BATCH_BYTES))
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder, removed when the application ends."""
     path = f"{shared_folder(spark)}/spinewright/{name}-{uuid.uuid4().hex}"

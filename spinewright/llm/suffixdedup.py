@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textkernel as K
-from .shared import scratch_path, written
+from .shared import bounded, scratch_path, written
 from .textstore import StoreReader, StoreWriter
 
 LENGTH, GRAM = 400, 64
@@ -109,7 +109,7 @@ class Scanner:
             store = store or StoreWriter(self.folder)
             data, offsets = K.column_bytes(batch.column(1))
             data = np.ascontiguousarray(data)
-            for d, e in K.runs(offsets):
+            for d, e in K.runs(offsets, SLICE):
                 off, part = offsets[d : e + 1] - offsets[d], data[offsets[d] : offsets[e]]
                 doc, pos, gram, around = anchors(part, off, self.length)
                 bounds = np.searchsorted(doc, np.arange(e - d + 1)).astype(np.int32)
@@ -282,7 +282,7 @@ def windows_again(group: np.ndarray, first: np.ndarray, last: np.ndarray, left:
         class_right[by_right] = np.cumsum(common_right < length - o)
         class_left[by_left] = np.cumsum(common_left < o)
         hit = np.flatnonzero((first <= o) & (o <= last))
-        again = hit[K.often(K.pairs(class_right[hit], class_left[hit])[0])]
+        again = hit[K.often(K.ranks(class_right[hit] * (n + 1) + class_left[hit])[0])]
         lo[again] = np.minimum(lo[again], o)
         hi[again] = np.maximum(hi[again], o)
     return lo, hi
@@ -355,6 +355,7 @@ def _again(rows: DataFrame, length: int, folder: str, tasks: int, max_group: int
 
 def _spans(docs: DataFrame, length: int, folder: str, keep: tuple[str, ...], id_col: str, text_col: str, max_group: int) -> DataFrame:
     """(uid, doc_id, n_bytes, sha256, place, spans) of each row, and the columns in keep; spans: what occurs again, not yet merged."""
+    bounded(docs.sparkSession)
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     own = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col), *(F.col(c).alias(f"own_{c}") for c in keep))
     kinds = dict(own.dtypes)

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textkernel as K
-from .shared import written
+from .shared import bounded, written
 
 #: Bytes of text in a block at most, unless one document alone is longer.
 BLOCK_BYTES = 16 << 20
@@ -93,7 +93,7 @@ def _pack(keys: pa.Array) -> bytes:
     import zstandard
 
     lengths = pc.binary_length(keys).to_numpy().astype("<u4")
-    return zstandard.ZstdCompressor(level=3).compress(b"".join([np.uint32(len(lengths)).tobytes(), lengths.tobytes(), *keys.to_pylist()]))
+    return zstandard.ZstdCompressor(level=3).compress(b"".join([np.uint32(len(lengths)).tobytes(), lengths.tobytes(), *K.strings(keys)]))
 
 
 def _unpack(b: bytes) -> pa.Array:
@@ -214,7 +214,7 @@ class PieceCounter:
     @staticmethod
     def count(model, held: list[pa.Array], known: dict[bytes, int]) -> list[bytes]:
         coded = pa.concat_arrays(held).dictionary_encode()
-        words = coded.dictionary.to_pylist()
+        words = K.strings(coded.dictionary)
         new = [w for w in words if w not in known]
         if len(known) + len(new) > KEEP_PRETOKENS:
             known.clear()
@@ -259,6 +259,7 @@ def count_tokens(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_
     if not separable(model_path):
         raise ValueError(f"{os.path.basename(model_path)}: its pieces cross pre-tokens")
     spark = docs.sparkSession
+    bounded(spark)
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     blocks = written(docs.select(F.col(id_col).cast("bigint"), F.col(text_col)).mapInArrow(Blocks(buckets), _BLOCK), "token-blocks")
     keys = blocks.select("block", F.explode("keys").alias("k")).select("block", "k.bucket", "k.packed")

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textkernel as K
-from .shared import scratch_path, written
+from .shared import bounded, scratch_path, written
 
 #: Payloads of at least this many bytes are written once.
 MIN_REVISIT = 1000
@@ -307,6 +307,7 @@ def archive(pages: DataFrame, folder: str, min_revisit: int = MIN_REVISIT, date:
     notes = again.select("key", "page_id", "digest", F.lit(0).alias("row"), nothing.alias("url"), nothing.alias("html"), F.col("first.page_id").alias("refers_to"), F.col("first.key").alias("refers_key"))
     rows = own.select("key", "page_id", "digest", F.lit(1).alias("row"), "url", "html", F.lit(None).cast("bigint").alias("refers_to"), nothing.alias("refers_key"))
     spark = pages.sparkSession
+    bounded(spark)
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = ["key", "page_id", "digest"]
     rows = notes.union(rows).repartitionByRange(tasks, *order).sortWithinPartitions(*order, "row")
