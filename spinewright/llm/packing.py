@@ -30,7 +30,7 @@ from .tokens import public_tokenizer
 
 SIZE = 1024
 #: Distinct pre-tokens whose ids a worker keeps from run to run.
-KEEP_PRETOKENS = 200_000
+KEEP_PRETOKENS = 100_000
 _LETTER, _NUMBER, _SPACE, _OTHER = 0, 1, 2, 3
 _classes: np.ndarray | None = None
 

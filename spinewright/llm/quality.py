@@ -186,9 +186,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, id_col: str
 
     At most max_rows labelled documents are learned from, those whose ids have
     the smallest hashes. Null labels and ids are left out; if an id has several
-    labels, the best one holds; without labelled rows there are no rules.
+    labels, the worst one holds; without labelled rows there are no rules.
     """
-    own = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).alias("_label"))
+    own = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.min(label_col).alias("_label"))
     order = [F.xxhash64("_id"), F.col("_id")]
     own = own.orderBy(*order).limit(max_rows)
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(own), "_id")  # at most max_rows ids, so that no text is shuffled
@@ -234,7 +234,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Null and empty texts have no words and fail the base; texts of any length
     are counted whole; repeated rows keep a row each; of several labels of an
-    id the best holds; empty tables give no rules and no rows; columns beside
+    id the worst holds; empty tables give no rules and no rows; columns beside
     doc_id, text and the labels aren't looked at.
     """
     docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")

@@ -43,7 +43,7 @@ LENGTH, GRAM = 400, 64
 #: Suffixes sorted together in one group at most, and in one batch of groups.
 MAX_GROUP, BATCH = 4_000, 8_000
 #: Bits of a place in a slice of a text, and bytes of a slice: windows that lie in no slice alone are in the next one whole.
-_AT_BITS, SLICE = 28, 1 << 20
+_AT_BITS, SLICE = 28, 1 << 19
 _SCANNED = "uid bigint, doc_id bigint, n_bytes bigint, sha256 string, place string, anchors array<struct<gram:bigint,around:binary,pos:int>>"
 
 

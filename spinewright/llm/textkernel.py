@@ -28,7 +28,7 @@ _M1, _M2, _M3 = (np.uint64(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB,
 
 #: Documents are worked on in runs of about this many bytes, which bounds the
 #: arrays of eight bytes a byte; one longer document makes a run of its own.
-RUN_BYTES = 2 << 20
+RUN_BYTES = 1 << 19
 
 _pow = np.ones(1, np.uint64)
 _inv = np.ones(1, np.uint64)

@@ -5,13 +5,16 @@ count of good pages among its labelled ones. Every level, from suffix to
 registered domain to host, is a beta-binomial whose mean is the posterior mean
 of the level above and whose strength comes from the data by moments; so a
 host without labels takes after its domain. A page passes if the lower bound
-of its host's posterior does. All of it is one SQL statement.
+of its host's posterior does. All of it is SQL: pages are read once to count by
+host, the tree is worked out over hosts alone, and one join gives the verdicts.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .shared import written
+
 #: (host and path prefix, verdict): a rule fits its host and what is below it.
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
 #: Suffixes of two labels under which domains are registered.
@@ -60,24 +63,29 @@ def _strength(table: str) -> str:
 _SUMS = "CAST(sum(n) AS DOUBLE) AS n, CAST(sum(s) AS DOUBLE) AS s, CAST(sum(CASE WHEN n > 0 THEN 1 ELSE 0 END) AS DOUBLE) AS k, CAST(sum(n * n) AS DOUBLE) AS w2, sum(CASE WHEN n > 0 THEN s * s / n ELSE 0 END) AS q"
 
 
-def filter_sql(pages: str, labels: str, rules=RULES, min_bound: float = MIN_BOUND, z: float = Z, two_label_suffixes=TWO_LABEL_SUFFIXES) -> str:
-    """The statement, in SQL that Spark and other engines share."""
-    two = ", ".join(map(_text, two_label_suffixes)) or "''"
-    labels_of = lambda n: " || '.' || ".join(f"split_part(host, '.', {-k})" for k in range(n, 0, -1))
-    dots = "length(host) - length(replace(host, '.', ''))"
-    return f"""
-WITH outcomes AS (
+def _outcomes(labels: str) -> str:
+    return f"""outcomes AS (
   SELECT doc_id AS id, min(CASE WHEN quality >= 1 AND coalesce(toxic, 0) = 0 THEN 1 ELSE 0 END) AS good
-  FROM {labels} WHERE quality IS NOT NULL AND doc_id IS NOT NULL GROUP BY doc_id),
-parts AS (
+  FROM {labels} WHERE quality IS NOT NULL AND doc_id IS NOT NULL GROUP BY doc_id)"""
+
+
+def _urls(pages: str) -> str:
+    return f"""parts AS (
   SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM {pages}),
 urls AS (
   SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*', 0), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
-    regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM parts),
-counts AS (
-  SELECT host, CAST(count(good) AS DOUBLE) AS n, CAST(coalesce(sum(good), 0) AS DOUBLE) AS s FROM urls LEFT JOIN outcomes ON page_id = id GROUP BY host),
-suffixed AS (
-  SELECT host, n, s, {dots} AS dots, CASE WHEN {dots} >= 1 AND {labels_of(2)} IN ({two}) THEN 2 ELSE 1 END AS width FROM counts),
+    regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM parts)"""
+
+
+_COUNTS = "SELECT host, CAST(count(good) AS DOUBLE) AS n, CAST(coalesce(sum(good), 0) AS DOUBLE) AS s FROM urls LEFT JOIN outcomes ON page_id = id GROUP BY host"
+
+
+def _tree(counts: str, min_bound: float, z: float, two_label_suffixes) -> str:
+    two = ", ".join(map(_text, two_label_suffixes)) or "''"
+    labels_of = lambda n: " || '.' || ".join(f"split_part(host, '.', {-k})" for k in range(n, 0, -1))
+    dots = "length(host) - length(replace(host, '.', ''))"
+    return f"""suffixed AS (
+  SELECT host, n, s, {dots} AS dots, CASE WHEN {dots} >= 1 AND {labels_of(2)} IN ({two}) THEN 2 ELSE 1 END AS width FROM {counts}),
 hosts AS (
   SELECT host, n, s, CASE WHEN width = 2 THEN {labels_of(2)} ELSE split_part(host, '.', -1) END AS suffix,
     CASE WHEN dots < width THEN host WHEN width = 2 THEN {labels_of(3)} ELSE {labels_of(2)} END AS domain FROM suffixed),
@@ -96,10 +104,17 @@ posteriors AS (
   SELECT host, (of_host * mean + s) / (of_host + n) AS mean, of_host + n AS size
   FROM (SELECT h.host, h.n, h.s, m.mean, (SELECT of_host FROM strengths) AS of_host FROM hosts AS h JOIN domain_means AS m ON h.domain = m.domain) AS x),
 reputation AS (
-  SELECT host AS known, CASE WHEN mean - {z} * sqrt(mean * (1 - mean) / (size + 1)) >= {min_bound} THEN 'allow' ELSE 'block' END AS verdict FROM posteriors)
-SELECT page_id, host, path, {_rule_case(rules, 0)} AS rule, coalesce({_rule_case(rules, 1)}, verdict) AS verdict
-FROM urls LEFT JOIN reputation ON host = known
-"""
+  SELECT host AS known, CASE WHEN mean - {z} * sqrt(mean * (1 - mean) / (size + 1)) >= {min_bound} THEN 'allow' ELSE 'block' END AS verdict FROM posteriors)"""
+
+
+def _verdicts(reputation: str, rules) -> str:
+    return f"SELECT page_id, host, path, {_rule_case(rules, 0)} AS rule, coalesce({_rule_case(rules, 1)}, verdict) AS verdict FROM urls LEFT JOIN {reputation} ON host = known"
+
+
+def filter_sql(pages: str, labels: str, rules=RULES, min_bound: float = MIN_BOUND, z: float = Z, two_label_suffixes=TWO_LABEL_SUFFIXES) -> str:
+    """All of it as one statement, in SQL that Spark and other engines share."""
+    tree = _tree("counts", min_bound, z, two_label_suffixes)
+    return f"WITH {_outcomes(labels)},\n{_urls(pages)},\ncounts AS ({_COUNTS}),\n{tree}\n{_verdicts('reputation', rules)}"
 
 
 def filter_urls(pages: DataFrame, labels: DataFrame, rules=RULES, min_bound: float = MIN_BOUND, z: float = Z, two_label_suffixes=PUBLIC_SUFFIXES) -> DataFrame:
@@ -112,11 +127,21 @@ def filter_urls(pages: DataFrame, labels: DataFrame, rules=RULES, min_bound: flo
     aren't looked at, and without labels the means are one half. Domains are
     registered under two_label_suffixes, and else under the last label.
     """
-    own = pages.select("page_id", "url"), labels.select("doc_id", "quality", "toxic")
-    return pages.sparkSession.sql(filter_sql("{pages}", "{labels}", rules, min_bound, z, two_label_suffixes), pages=own[0], labels=own[1])
+    spark, own = pages.sparkSession, pages.select("page_id", "url")
+    counts = written(spark.sql(f"WITH {_outcomes('{labels}')}, {_urls('{pages}')} {_COUNTS}", pages=own, labels=labels.select("doc_id", "quality", "toxic")), "host-counts")
+    # Written too, so that the join deals a host with very many pages anew.
+    known = written(spark.sql(f"WITH {_tree('{counts}', min_bound, z, two_label_suffixes)} SELECT known, verdict FROM reputation", counts=counts), "reputation")
+    return spark.sql(f"WITH {_urls('{pages}')} {_verdicts('{known}', rules)}", pages=own, known=known)
 
 
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's verdict.
+
+    A url that is null or lacks ``://`` has an empty host and path; urls of any
+    length are read whole; repeated rows keep a row each; of several labels of
+    a page the worst holds; with no labels all means are one half, and no pages
+    give no row; columns beside page_id, url and the labels aren't looked at.
+    """
     return filter_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 

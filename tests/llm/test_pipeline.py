@@ -11,6 +11,7 @@ import pyarrow.parquet as pq
 
 import corpus_pipeline
 from spinewright.llm import quality
+from spinewright.llm.shared import written
 from spinewright.llm.tokens import public_tokenizer
 
 LOWER = {c: c + 32 for c in range(65, 91)}
@@ -152,7 +153,7 @@ def test_rows_equal_brute_force(spark, sf, tmp_path):
     assert rules and not ids[1] & set(range(5000, 5060)) and {6000, 7000, 9004} <= ids[1]
     assert ids[1] > ids[2] > ids[3] > ids[4] and 6004 not in ids[3] and 8000 in ids[3] - ids[4] and {6988, 6989, 6990} <= ids[4]
     for (name, stage), want in zip(corpus_pipeline.STAGES, kept):
-        at = corpus_pipeline.written(stage(spark, at, str(tmp_path)), name)
+        at = written(stage(spark, at, str(tmp_path)), name)
         key = lambda d: (d["doc_id"], d["text"], d["n_chars"])
         assert at.columns == tables[0].columns and sorted(map(key, at.toLocalIterator())) == sorted(map(key, want)), name
     got = corpus_pipeline.run(spark, str(tmp_path)).toPandas()

@@ -86,11 +86,10 @@ def test_contamination_equals_brute_force(spark, window):
     assert {r.doc_id for r in clean.collect()} == set(got.loc[got["n_hit"] == 0, "doc_id"])
 
 
-def test_chunks_of_the_benchmark_add_up(spark, monkeypatch):
+def test_chunks_of_the_benchmark_add_up(spark):
     docs, tests = frame(spark, ["a b c d", "c d e", "z"]), spark.createDataFrame([(1, "a b"), (2, "d e"), (2, "d e"), (None, "z")], "item_id bigint, text string")
     whole = decontaminate.find_contamination(docs, tests, 2).orderBy("doc_id").collect()
-    monkeypatch.setattr(decontaminate, "CHUNK_BYTES", 3)
-    assert decontaminate.find_contamination(docs, tests, 2).orderBy("doc_id").collect() == whole
+    assert decontaminate.find_contamination(docs, tests, 2, chunk_bytes=3).orderBy("doc_id").collect() == whole
     assert [(r.n_hit, r["items"]) for r in whole] == [(2, ["1"]), (2, ["2"]), (1, [])]
     assert decontaminate.find_contamination(docs, tests.where("false")).where("n_hit > 0").count() == 0
 
@@ -149,7 +148,9 @@ def test_rules_are_learned_and_become_columns(spark):
     docs = frame(spark, ["good words " * 40 + " ".join(f"w{i}" for i in range(90)), "x", None, ""])
     rule = quality.Rule([("n_words", False, 10.0), ("distinct_share", True, 0.2)])
     got = {g.doc_id: g for g in quality.judge(docs, [rule]).collect()}
-    assert got[0].kept is True or got[0].rule == 0
+    assert got[0].kept and got[0].n_distinct_words == 92 and quality.verdict([rule]) is not None
+    twice = quality.judge(docs.union(docs), [quality.Rule([("n_words", False, 10.0), ("distinct_share", True, 0.6)])]).where("doc_id = 0").collect()
+    assert [(g.rule, g.kept, g.base_failed) for g in twice] == [(0, False, False)] * 2
     assert not any(got[k].kept for k in (1, 2, 3)) and quality.fit(docs, spark.createDataFrame([], "doc_id bigint, quality int")) == []
     assert quality.keep_good(docs, []).columns == docs.columns
 
