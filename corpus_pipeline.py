@@ -10,12 +10,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spinewright.llm import decontaminate, neardup, packing, quality, suffixdedup
-from spinewright.llm.shared import written
+from spinewright.llm.shared import scratch_path, stage
 from spinewright.llm.tokens import public_tokenizer
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail the base or fit a rule learned from the labels go."""
+    """Documents that fail the base or fit a rule learned from the labels go.
+
+    Null and empty texts fail the base; repeated rows stay or go each.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return quality.keep_good(docs, quality.fit(docs, labels))
 
@@ -34,12 +37,12 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a window of a benchmark item go."""
+    """Documents that hold a window of a benchmark item go; null and empty texts stay, repeated rows stay or go each."""
     return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of power-of-two length, none across documents."""
+    """Sequences of power-of-two length, none across documents; a null or empty text is the end id alone, repeated rows are packed each."""
     return packing.pack(docs, public_tokenizer("byte_bpe_50k.json"))
 
 
@@ -51,8 +54,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written as Parquet and read again."""
+    """All stages over documents, each written as Parquet and read again; what else a stage wrote is removed after it."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), name)
+    for name, function in STAGES:
+        with stage(spark) as keep:
+            path = scratch_path(spark, name)
+            keep(path)
+            found = function(spark, docs, sf_dir)
+            found.write.parquet(path)
+        docs = spark.read.schema(found.schema).parquet(path)
     return docs
