@@ -2,9 +2,9 @@
 
 Documents with one and the same set of shingles become one node. Each tree of
 the forest sorts the nodes by its own sequence of min-hashes; the candidates of
-a node are its neighbour in that order and the first node of every longer run
-with a common prefix around it, so that the depth follows how crowded the
-region is, and each node has a handful of candidates however large its group.
+a node are its neighbour in that order and the first node of the run with the
+longest common prefix around it, so that the depth follows how crowded the
+region is, and each node has two candidates a tree however large its group.
 Candidates are confirmed on the full sets. The first trees join most of every
 group; the others then look only at nodes that aren't joined yet.
 
@@ -204,6 +204,7 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         new = at[max(k, 1) :]
         found = [np.stack([new, new - 1])[:, common[new] >= MIN_DEPTH]]
         firsts = []
+        deepest = np.arange(len(tree))[k:]  # the first row of the deepest run that a row is in behind another
         for j, depth in enumerate(depths):
             begins = np.where((common < depth) & (at >= k), at, -1)
             if k:
@@ -211,8 +212,9 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             else:
                 begins[0] = 0
             first = np.maximum.accumulate(begins[max(k - 1, 0) :])[-n:]
-            found.append(np.stack([at[k:], first])[:, first < at[k:]])
+            deepest = np.where(first < at[k:], first, deepest)
             firsts.append(first[-1])
+        found.append(np.stack([at[k:], deepest])[:, deepest < at[k:]])
         i, j = np.unique(np.concatenate(found, axis=1), axis=1)
         keep = component[i] != component[j]
         a, b = node[i[keep]], node[j[keep]]

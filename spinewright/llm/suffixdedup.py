@@ -18,8 +18,9 @@ No string is compared with all others, and no group need go to one task: a
 group of more than max_group suffixes is split by what its windows have in
 common. Windows with a to b bytes before the anchor all hold the a bytes before
 it and the length - b bytes from it on. Halves of the range hold more, so that
-fewer suffixes share them; those that share nothing drop out, small groups are
-sorted as any other, and a range of one window is settled by its digest.
+fewer suffixes share them: those that share nothing drop out, and small groups
+are sorted as any other. Of suffixes whose windows of the range are all the same
+one goes on for all, so that a long passage in very many places goes on once.
 """
 
 from __future__ import annotations
@@ -161,23 +162,27 @@ class Halves(Fetched):
     """Splits the range of (key, gram, around, range, place, pos) rows: a row for each half that a window of the suffix lies in.
 
     A range [a, b] of bytes before the anchor is one number, a * 2**32 + b; the
-    new key is the digest of what its windows have in common.
+    new key is the digest of what its windows have in common, and all of all
+    that they hold.
     """
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, left, right in self.sides(batches):
-            row, keys, ranges = [], [], []
+            row, keys, wholes, ranges = [], [], [], []
             for k, (key, both, l, r) in enumerate(zip(batch.column(0).to_pylist(), batch.column(3).to_pylist(), left, right)):
                 a, b = both >> 32, both & 0xFFFFFFFF
                 mid = (a + b) >> 1
                 for x, y in ((a, mid), (mid + 1, b)):
                     if x <= y and len(l) >= x and len(r) >= self.length - y:
                         row.append(k)
-                        keys.append(blake2b(key + l[:x] + b"|" + r[: self.length - y], digest_size=16, salt=(x << 32 | y).to_bytes(8, "little")).digest())
+                        salt = (x << 32 | y).to_bytes(8, "little")
+                        keys.append(blake2b(key + l[:x] + b"|" + r[: self.length - y], digest_size=16, salt=salt).digest())
+                        before, behind = l[:y], r[: self.length - x]
+                        wholes.append(blake2b(len(before).to_bytes(8, "little") + before + behind, digest_size=16, salt=salt).digest())
                         ranges.append(x << 32 | y)
             at = pa.array(row, pa.int64())
             gram, around, place, pos = (batch.column(k).take(at) for k in (1, 2, 4, 5))
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), gram, around, pa.array(ranges, pa.int64()), place, pos], names=["key", "gram", "around", "range", "place", "pos"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(wholes, pa.binary()), gram, around, pa.array(ranges, pa.int64()), place, pos], names=["key", "all", "gram", "around", "range", "place", "pos"])
 
 
 class Suffixes:
@@ -331,26 +336,27 @@ _FOUND = "gram bigint, around binary, least int, most int"
 def _again(rows: DataFrame, length: int, folder: str, tasks: int, max_group: int) -> DataFrame:
     """(gram, around, least, most) of the suffixes in rows (gram, around, place, pos) that share windows with others; a suffix may have several rows."""
     level = rows.select(F.unhex(F.hex("gram")).alias("key"), "gram", "around", F.lit(length - GRAM).cast("bigint").alias("range"), "place", "pos")
-    wide = F.shiftright("range", 32) < F.col("range").bitwiseAND(F.lit(0xFFFFFFFF))
     found = None
     while True:
         # Counts are written, so that the join deals a key with very many rows anew.
         counts = written(level.groupBy("key").agg(F.count("*").alias("kinds")).where(F.col("kinds") > 1), "counts")
-        # A range of one window: all that share it have it again.
-        parts = [level.where(~wide).join(counts, "key").select("gram", "around", F.shiftright("range", 32).cast("int").alias("least"), F.shiftright("range", 32).cast("int").alias("most"))]
         large = not counts.where(F.col("kinds") > max_group).isEmpty()
-        level = level.where(wide).join(counts, "key")
+        level = level.join(counts, "key")
         if large:
             level = written(level, "shared")
         few = level.where(F.col("kinds") <= max_group).drop("kinds").repartitionByRange(tasks, "place", "pos").sortWithinPartitions("place", "pos")
         around = "key binary, gram bigint, around binary, range bigint, left binary, right binary"
-        parts.append(few.mapInArrow(Surroundings(length, folder), around).repartition(tasks, "key").sortWithinPartitions("key").mapInArrow(Solver(length, BATCH), _FOUND))
-        for part in parts:
-            found = part if found is None else found.union(part)
+        part = few.mapInArrow(Surroundings(length, folder), around).repartition(tasks, "key").sortWithinPartitions("key").mapInArrow(Solver(length, BATCH), _FOUND)
+        found = part if found is None else found.union(part)
         if not large:
             return found
         many = level.where(F.col("kinds") > max_group).drop("kinds").repartitionByRange(tasks, "place", "pos").sortWithinPartitions("place", "pos")
-        level = written(many.mapInArrow(Halves(length, folder), "key binary, gram bigint, around binary, range bigint, place string, pos int"), "halves")
+        halves = written(many.mapInArrow(Halves(length, folder), "key binary, all binary, gram bigint, around binary, range bigint, place string, pos int"), "halves")
+        # Suffixes with all windows of the range the same have them again, and one goes on for the others.
+        one = written(halves.groupBy("key", "all").agg(F.count("*").alias("same"), F.min(F.struct("place", "pos", "gram", "around", "range")).alias("one")), "alike")
+        alike = one.where(F.col("same") > 1).select("key", "all")
+        found = found.union(halves.join(alike, ["key", "all"]).select("gram", "around", F.shiftright("range", 32).cast("int").alias("least"), F.col("range").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("most")))
+        level = one.select("key", "one.gram", "one.around", "one.range", "one.place", "one.pos")
 
 
 def _spans(docs: DataFrame, length: int, folder: str, keep: tuple[str, ...], id_col: str, text_col: str, max_group: int) -> DataFrame:
