@@ -472,10 +472,10 @@ def _groups(docs: DataFrame, words: int, percent: int, id_col: str, text_col: st
         if trees is None and new.isEmpty():
             break
         links = new if links is None else links.union(new)
-        parts = written(connected_components(links).toDF("of", "component"), "components")
+        parts = written(connected_components(links).toDF("of", "component"), "components", short=True)
         joined = nodes.join(parts, F.col("node") == F.col("of"), "left").select("set_a", "set_b", "node", "lead", "signature", "place", F.coalesce("component", "node").alias("component"))
     # The row with the smallest id leads, wherever it stands in the files.
-    leads = written(joined.groupBy("component").agg(F.min("lead").alias("lead")), "leads")
+    leads = written(joined.groupBy("component").agg(F.min("lead").alias("lead")), "leads", short=True)
     known = joined.select("set_a", "set_b", "component").join(leads, "component").select("set_a", "set_b", "lead")
     rows = signed.drop("signature", "parities").join(known, ["set_a", "set_b"], "left")
     wordy = F.col("n_shingles") > 0

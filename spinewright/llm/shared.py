@@ -79,13 +79,16 @@ def stage(spark: SparkSession) -> Iterator[Callable[[str], None]]:
         remove(spark, path)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, short: bool = False) -> DataFrame:
     """The same rows, read back from a table in the shared folder.
 
+    short: the rows are short and need no work but a sum or a join, so that an
+    eighth of the tasks writes them, in fewer and larger files.
+
     This cuts the lineage: what follows sees one and the same result, even if
     an executor is lost and df would not give its rows in the same way again.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    (df.coalesce(max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8)) if short else df).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -339,7 +339,7 @@ def _again(rows: DataFrame, length: int, folder: str, tasks: int, max_group: int
     found = None
     while True:
         # Counts are written, so that the join deals a key with very many rows anew.
-        counts = written(level.groupBy("key").agg(F.count("*").alias("kinds")).where(F.col("kinds") > 1), "counts")
+        counts = written(level.groupBy("key").agg(F.count("*").alias("kinds")).where(F.col("kinds") > 1), "counts", short=True)
         large = not counts.where(F.col("kinds") > max_group).isEmpty()
         level = level.join(counts, "key")
         if large:
@@ -353,7 +353,7 @@ def _again(rows: DataFrame, length: int, folder: str, tasks: int, max_group: int
         many = level.where(F.col("kinds") > max_group).drop("kinds").repartitionByRange(tasks, "place", "pos").sortWithinPartitions("place", "pos")
         halves = written(many.mapInArrow(Halves(length, folder), "key binary, all binary, gram bigint, around binary, range bigint, place string, pos int"), "halves")
         # Suffixes with all windows of the range the same have them again, and one goes on for the others.
-        one = written(halves.groupBy("key", "all").agg(F.count("*").alias("same"), F.min(F.struct("place", "pos", "gram", "around", "range")).alias("one")), "alike")
+        one = written(halves.groupBy("key", "all").agg(F.count("*").alias("same"), F.min(F.struct("place", "pos", "gram", "around", "range")).alias("one")), "alike", short=True)
         alike = one.where(F.col("same") > 1).select("key", "all")
         found = found.union(halves.join(alike, ["key", "all"]).select("gram", "around", F.shiftright("range", 32).cast("int").alias("least"), F.col("range").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("most")))
         level = one.select("key", "one.gram", "one.around", "one.range", "one.place", "one.pos")

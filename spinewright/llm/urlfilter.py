@@ -128,9 +128,9 @@ def filter_urls(pages: DataFrame, labels: DataFrame, rules=RULES, min_bound: flo
     registered under two_label_suffixes, and else under the last label.
     """
     spark, own = pages.sparkSession, pages.select("page_id", "url")
-    counts = written(spark.sql(f"WITH {_outcomes('{labels}')}, {_urls('{pages}')} {_COUNTS}", pages=own, labels=labels.select("doc_id", "quality", "toxic")), "host-counts")
+    counts = written(spark.sql(f"WITH {_outcomes('{labels}')}, {_urls('{pages}')} {_COUNTS}", pages=own, labels=labels.select("doc_id", "quality", "toxic")), "host-counts", short=True)
     # Written too, so that the join deals a host with very many pages anew.
-    known = written(spark.sql(f"WITH {_tree('{counts}', min_bound, z, two_label_suffixes)} SELECT known, verdict FROM reputation", counts=counts), "reputation")
+    known = written(spark.sql(f"WITH {_tree('{counts}', min_bound, z, two_label_suffixes)} SELECT known, verdict FROM reputation", counts=counts), "reputation", short=True)
     return spark.sql(f"WITH {_urls('{pages}')} {_verdicts('{known}', rules)}", pages=own, known=known)
 
 
