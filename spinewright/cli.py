@@ -57,15 +57,21 @@ def organise(spark: SparkSession, config: Config, log=print):
     dest = os.path.normpath(os.path.abspath(config.dest))
     dedup = book_dedup(files) if config.book_dedup else None
     if dedup:
+        for r in report.intra_lines(dedup.intra, dedup.editions).orderBy("edition_dir", "kept").toLocalIterator():
+            log(r.line)
         for r in report.decision_lines(dedup.rank, dedup.decisions).orderBy("group_author", "group_book").toLocalIterator():
             log(r.line)
     planned = plan(files, read_listing(spark, dest), dest, dedup).persist()
     for r in report.file_lines(with_destination(files, dest), config.show_quality).orderBy("path").toLocalIterator():
         log(r.line)
-    counts = counters(planned).first()
+    counts = counters(planned, dedup).first()
     done = apply(planned, os.path.abspath(config.source), dest, config.dupes, config.dry_run, config.covers, log)
     for line in report.summary(done, counts, config):
         log(line)
+    for kept in (planned, files):
+        kept.unpersist()
+    if dedup:
+        dedup.release()
     return done, counts
 
 

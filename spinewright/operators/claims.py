@@ -18,10 +18,12 @@ def _split(dest):
     return F.substr(dest, F.lit(1), F.length(dest) - F.length(ext)), ext
 
 
-def _free(base: str, ext: str, taken) -> str:
-    n = 2
+def _free(base: str, ext: str, taken, numbers: dict) -> str:
+    """The first free name; names are never freed, so that the search goes on where the last one for this base ended."""
+    n = numbers.get((base, ext), 2)
     while f"{base}.{n}{ext}" in taken:
         n += 1
+    numbers[base, ext] = n + 1
     return f"{base}.{n}{ext}"
 
 
@@ -29,6 +31,7 @@ def fold(rows: list[tuple]) -> list[tuple]:
     """The rule itself, over the (path, dest_file, fp, base, suffix) of one family in the order of their paths; rows without a path are what is there already."""
     disk = {dest: fp for path, dest, fp, _, _ in rows if path is None}
     claimed: dict[str, str] = {}
+    numbers: dict[tuple, int] = {}
     taken, out = set(disk), []
     for path, dest, fp, base, suffix in rows:
         if path is None:
@@ -38,7 +41,7 @@ def fold(rows: list[tuple]) -> list[tuple]:
             if fp == (claimed[dest] if dest in claimed else disk[dest]):
                 out.append((path, dest, "quarantine" if dest in claimed else "skip", dest))
                 continue
-            final = _free(base, suffix, taken)
+            final = _free(base, suffix, taken, numbers)
         claimed[final] = fp
         taken.add(final)
         out.append((path, dest, "proceed", final))

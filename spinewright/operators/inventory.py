@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.paths import infer_from_filename, infer_from_path
@@ -48,10 +48,10 @@ def editions(keyed: DataFrame) -> DataFrame:
     )
     out = out.withColumns({"group_author": normalise_author(F.col("author")), "group_book": normalise_book(F.col("book"))})
     blank = (F.col("group_author") == "") & (F.col("group_book") == "")
-    folders = out.where(blank).select("edition_dir").distinct()
-    began = out.join(folders, "edition_dir", "left_semi").groupBy(F.col("edition_dir").alias("began_dir")).agg(F.min("first_path").alias("began"))
-    last = out.where(blank).join(began, F.col("edition_dir") == F.col("began_dir")).agg(F.max_by("first_path", F.struct("began", "first_path")).alias("last"))
-    return out.where(~blank).unionByName(out.where(blank).join(last, F.col("first_path") == F.col("last"), "left_semi"))
+    # One row, which is nulls if no edition is blank.
+    began = F.min("first_path").over(Window.partitionBy("edition_dir"))
+    last = out.withColumn("began", began).where(blank).agg(F.max_by("first_path", F.struct("began", "first_path")).alias("last"))
+    return out.join(F.broadcast(last), F.lit(True)).where(~blank | (F.col("first_path") == F.col("last"))).drop("last")
 
 
 def recalculated(known: DataFrame, keyed: DataFrame, removed: DataFrame) -> DataFrame:

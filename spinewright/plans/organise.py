@@ -30,6 +30,11 @@ class BookDedup:
     def decisions(self) -> DataFrame:
         return reasons(self.rank)
 
+    def release(self) -> None:
+        """Let go of what is kept, once no plan needs it any more."""
+        for kept in (self.keyed, self.editions, self.intra, self.rank, self.cross):
+            kept.unpersist()
+
 
 def book_dedup(files: DataFrame) -> BookDedup:
     """Copies within editions first, then competing editions on what is left.
@@ -74,10 +79,11 @@ def plan(files: DataFrame, listing: DataFrame, root: str, dedup: BookDedup | Non
 
 
 def counters(planned: DataFrame, dedup: BookDedup | None = None) -> DataFrame:
-    """One row of counts, as a run reports them."""
+    """One row of counts, as a run reports them; book_dedup_groups: books of which one edition of several stays."""
+    groups = dedup.rank.where(F.col("rank") == 1).count() if dedup else 0
     is_ = lambda *names: F.count_if(F.col("outcome").isin(*names))
     out = planned.agg(
         F.count("*").alias("files"), is_("move").alias("moved"), is_("in_place", "existing_duplicate").alias("skipped"), is_("duplicate", "existing_duplicate").alias("dupe"), F.count_if((F.col("outcome") == "move") & (F.col("final") != F.col("dest_file"))).alias("conflict"),
-        is_("intra").alias("intra_dedup"), is_("cross").alias("book_dedup"), F.count_if((F.col("outcome") == "move") & F.col("no_meta")).alias("no_meta"),
+        is_("intra").alias("intra_dedup"), is_("cross").alias("book_dedup"), F.lit(groups).cast("bigint").alias("book_dedup_groups"), F.count_if((F.col("outcome") == "move") & F.col("no_meta")).alias("no_meta"),
     )
     return out

@@ -386,5 +386,5 @@ SELECT path, concat_ws(', ', nullif(parts, ''), {_length("duration")}) AS qualit
     "edition_summary": EDITIONS + f" SELECT {_ED}, concat_ws(', ', upper(format), nullif(year, ''), {_KBPS.format('avg_bitrate')} || 'kbps', {_length('total_duration')}, file_count || CASE WHEN file_count = 1 THEN ' file' ELSE ' files' END) AS summary FROM ed",
     "run_counters": CLAIMED
     + """ SELECT count(*) AS files, count(*) FILTER (action = 'proceed') AS moved, count(*) FILTER (action = 'skip') AS skipped, count(*) FILTER (action IN ('skip', 'quarantine')) AS dupe, count(*) FILTER (action = 'proceed' AND final <> dest_file) AS conflict,
-  CAST(0 AS BIGINT) AS intra_dedup, CAST(0 AS BIGINT) AS book_dedup, count(*) FILTER (action = 'proceed' AND no_meta) AS no_meta FROM claimed""",
+  CAST(0 AS BIGINT) AS intra_dedup, CAST(0 AS BIGINT) AS book_dedup, CAST(0 AS BIGINT) AS book_dedup_groups, count(*) FILTER (action = 'proceed' AND no_meta) AS no_meta FROM claimed""",
 }

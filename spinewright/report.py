@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .functions.text import edition_summary, format_quality
+from .operators.inventory import EDITION
 from .operators.ranking import GROUP
 
 
@@ -57,10 +58,26 @@ def decision_lines(rank: DataFrame, decisions: DataFrame) -> DataFrame:
     return out.select(*GROUP, F.concat_ws("\n", F.concat(F.lit("  "), "display"), F.array_join("lines", "\n"), F.concat(F.lit("    Reason: "), "reason")).alias("line"))
 
 
+def intra_lines(intra: DataFrame, known: DataFrame) -> DataFrame:
+    """(edition_dir, kept, line): for each cluster of copies within an edition what is kept, what isn't, and why."""
+    base = lambda c: F.regexp_extract(c, "(?s)([^/]*)$", 1)
+    title = F.when(F.col("book") != "", F.concat(F.lit('"'), F.col("book"), F.lit('"'))).otherwise("(unknown book)")
+    display = F.when(F.col("author") != "", F.concat(title, F.lit(" by "), F.col("author"))).otherwise(title)
+    found = intra.groupBy(*EDITION, "ext", "cluster_start", "kept").agg(F.array_sort(F.collect_list("path")).alias("lost"), F.first("reason").alias("reason")).join(known.select(*EDITION, display.alias("display")), list(EDITION))
+    lost = F.transform("lost", lambda p: F.concat(F.lit("    QUARANTINE: "), base(p)))
+    return found.select("edition_dir", "kept", F.concat_ws("\n", F.concat(F.lit("  "), "display", F.lit(" ["), base(F.col("edition_dir")), F.lit("]")), F.concat(F.lit("    KEEP:       "), base(F.col("kept"))), F.array_join(lost, "\n"), F.concat(F.lit("    Reason: "), "reason")).alias("line"))
+
+
 def summary(done, counts, config) -> Iterator[str]:
     yield "DRY RUN complete" if config.dry_run else "Complete"
     yield f"  {'Would move' if config.dry_run else 'Moved':14}: {done.moved} files"
     for label, n in (("Skipped", counts.skipped), ("Duplicates", counts.dupe), ("Conflicts", counts.conflict), ("Intra dedup", counts.intra_dedup), ("Book dedup", counts.book_dedup), ("Covers", done.covers), ("Failed", done.failed)):
         yield f"  {label:14}: {n}"
+    if counts.book_dedup_groups:
+        yield f"  {'Book groups':14}: {counts.book_dedup_groups} resolved"
     if done.no_meta:
         yield f"  WARNING: {done.no_meta} files had no tags, inferred from path or name"
+    if config.dry_run:
+        yield "  Run with --move to apply."
+    elif counts.dupe or counts.intra_dedup or counts.book_dedup:
+        yield f"  Review duplicates in {config.dupes}"

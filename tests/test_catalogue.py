@@ -5,7 +5,8 @@ import random
 import duckdb
 from pyspark.sql import functions as F
 
-from spinewright.operators.claims import claims
+from spinewright import report
+from spinewright.operators.claims import claims, fold
 from spinewright.operators.intra import clusters, intra_duplicates
 from spinewright.operators.inventory import editions, recalculated, with_edition
 from spinewright.operators.ranking import ranked, reasons
@@ -94,7 +95,7 @@ def test_counters_of_all_files_follow_the_sequential_rule(spark, sf):
     skipped = sum(a == "skip" for a, _ in done.values())
     want = {
         "files": len(rows), "moved": len(moved), "skipped": skipped, "dupe": skipped + sum(a == "quarantine" for a, _ in done.values()), "conflict": sum(done[r.path][1] != r.dest_file for r in moved),
-        "intra_dedup": len(intra), "book_dedup": len(cross), "no_meta": sum(r.no_meta for r in moved),
+        "intra_dedup": len(intra), "book_dedup": len(cross), "book_dedup_groups": dedup.decisions.count(), "no_meta": sum(r.no_meta for r in moved),
     }
     assert queries.QUERIES["run_counters_all"](spark, sf).first().asDict() == want
     assert intra and cross and any(r.title.endswith(".2") for r in rows)
@@ -111,6 +112,21 @@ def test_book_queries_take_copies_within_editions_out_first(spark, monkeypatch):
     assert [(r.ext, r.files, r.bytes) for r in got["book_kept_files"]] == [("mp3", 1, 10)]
 
 
+def test_copies_within_editions_are_reported(spark):
+    copies = [row(f"/lib/A/Long/x{end}.mp3", "A", "B", "2001", 64000) for end in ("", ".2", ".3")]
+    dedup = organise.book_dedup(spark.createDataFrame(copies, FILES))
+    lines = [r.line for r in report.intra_lines(dedup.intra, dedup.editions).collect()]
+    assert lines == ['  "B" by A [Long]\n    KEEP:       x.mp3\n    QUARANTINE: x.2.mp3\n    QUARANTINE: x.3.mp3\n    Reason: same duration, same format, 2 duplicate copies']
+    dedup.release()
+
+
+def test_very_many_conflicts_of_one_name():
+    rows = [(f"/s/{k:06}", "/d/x.m4b", str(k), "/d/x", ".m4b") for k in range(30_000)]
+    rows.insert(5, ("/s/000004b", "/d/x.7.m4b", "own", "/d/x.7", ".m4b"))
+    final = [r[3] for r in fold(rows)]
+    assert len(set(final)) == len(rows) and final[:9] == ["/d/x.m4b", "/d/x.2.m4b", "/d/x.3.m4b", "/d/x.4.m4b", "/d/x.5.m4b", "/d/x.7.m4b", "/d/x.6.m4b", "/d/x.8.m4b", "/d/x.9.m4b"]
+
+
 def test_queries_equal_their_sql(spark, sf):
     con = duckdb.connect()
     for t in ("part", "supplier", "events", "orders", "pages", "documents"):
