@@ -283,8 +283,9 @@ class Search:
                         order = np.lexsort((p, -n))
                         doc, first = np.unique(np.searchsorted(bounds, p[order], "right") - 1, return_index=True)
                         for k, i in zip(doc.tolist(), order[first].tolist()):
-                            if n[i] > best[k][0]:
-                                best[k] = int(n[i]), int(p[i] - bounds[k]), tests.ids[tests.item[t[i]]]
+                            at = int(p[i] - bounds[k])
+                            if n[i] > best[k][0] or n[i] == best[k][0] and at < best[k][1]:
+                                best[k] = int(n[i]), at, tests.ids[tests.item[t[i]]]
                 hit = np.cumsum(mark[:-1]) > 0
                 items = [sorted(i for i in found.get(k, ()) if i is not None) for k in range(e - d)]
                 starts, ends, at = K.segments(hit, bounds)
@@ -374,26 +375,31 @@ def drop_contaminated(docs: DataFrame, tests: DataFrame, window: int = WINDOW, t
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document against every benchmark item, in windows of ten words.
 
+    longest and longest_at: the words of the longest verbatim match and the
+    first word where one begins, from 0; 0 and -1 if there is none.
     Null and empty texts have no words; texts of any length are searched whole;
     repeated rows keep a row each; an empty benchmark hits nothing and empty
     documents give no row; columns beside ids and texts aren't looked at.
     """
     found = find_contamination(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), "items_sha256", (F.col("n_hit") > 0).alias("contaminated"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), "items_sha256", (F.col("n_hit") > 0).alias("contaminated"), "longest", F.coalesce("longest_at", F.lit(-1)).alias("longest_at"))
 
 
 ORACLE = {
     "op5_decontaminate": r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
-b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
-bw AS (SELECT item_id, n, array_to_string(w[i:i + n - 1], ' ') AS g FROM (SELECT item_id, w, least(len(w), 10) AS n, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS i FROM b WHERE len(w) > 0)),
+b AS (SELECT row_number() OVER () AS br, item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+bw AS (SELECT br, item_id, i AS j, n, array_to_string(w[i:i + n - 1], ' ') AS g FROM (SELECT br, item_id, w, least(len(w), 10) AS n, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS i FROM b WHERE len(w) > 0)),
 sizes AS (SELECT DISTINCT n FROM bw),
 dw AS (SELECT r, i, n, array_to_string(w[i:i + n - 1], ' ') AS g FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, sizes WHERE len(w) >= n)),
-hit AS (SELECT r, i, dw.n, item_id FROM dw JOIN bw ON dw.g = bw.g AND dw.n = bw.n),
+hit AS (SELECT r, i, br, j, dw.n, item_id FROM dw JOIN bw ON dw.g = bw.g AND dw.n = bw.n),
 words AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS p FROM hit) GROUP BY r),
+matches AS (SELECT r, count(*) + min(n) - 1 AS words, min(i) - 1 AS begins FROM (SELECT *, i - row_number() OVER (PARTITION BY r, br, i - j ORDER BY i) AS run FROM hit) GROUP BY r, br, i - j, run),
+best AS (SELECT r, max(words) AS longest, min(begins) FILTER (words = most) AS longest_at FROM (SELECT *, max(words) OVER (PARTITION BY r) AS most FROM matches) GROUP BY r),
 items AS (SELECT r, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS s FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS x FROM hit WHERE item_id IS NOT NULL) GROUP BY r)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
-  sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN words USING (r) LEFT JOIN items USING (r)
+  sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated,
+  CAST(coalesce(longest, 0) AS BIGINT) AS longest, CAST(coalesce(longest_at, -1) AS BIGINT) AS longest_at
+FROM d LEFT JOIN words USING (r) LEFT JOIN items USING (r) LEFT JOIN best USING (r)
 """
 }

@@ -81,6 +81,9 @@ def test_contamination_equals_brute_force(spark, window):
                 if n and tuple(w[k : k + n]) in windows:
                     hit |= set(range(k, k + n))
                     found.add(str(i))
+        runs = [(-m, k) for i, item in zip(ids, items) for v in [words(item)] if v for k in range(len(w)) for j in range(len(v)) for m in [next((x for x in range(min(len(w) - k, len(v) - j)) if w[k + x] != v[j + x]), min(len(w) - k, len(v) - j))] if m >= min(window, len(v))]
+        best = min(runs, default=None)
+        assert (row.longest, None if row.longest == 0 else row.longest_at) == ((-best[0], best[1]) if best else (0, None))
         assert (row.n_words, row.n_hit, row.items_sha256) == (len(w), len(hit), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest())
     clean = decontaminate.drop_contaminated(frame(spark, docs), spark.createDataFrame(list(zip(ids, items)), "item_id bigint, text string"), window)
     assert {r.doc_id for r in clean.collect()} == set(got.loc[got["n_hit"] == 0, "doc_id"])
