@@ -61,8 +61,9 @@ def organise(spark: SparkSession, config: Config, log=print):
             log(r.line)
         for r in report.decision_lines(dedup.rank, dedup.decisions).orderBy("group_author", "group_book").toLocalIterator():
             log(r.line)
-    planned = plan(files, read_listing(spark, dest), dest, dedup).persist()
-    for r in report.file_lines(with_destination(files, dest), config.show_quality).orderBy("path").toLocalIterator():
+    placed = with_destination(files, dest)
+    planned = plan(files, read_listing(spark, dest, placed), dest, dedup).persist()
+    for r in report.file_lines(placed, config.show_quality).orderBy("path").toLocalIterator():
         log(r.line)
     counts = counters(planned, dedup).first()
     done = apply(planned, os.path.abspath(config.source), dest, config.dupes, config.dry_run, config.covers, log)

@@ -2,21 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..fixed import CATALOGUE_ID, COPY_SUFFIX, EXTENSIONS, FORMAT_SCORE, LETTERS, NUMERIC_ID, PARENTHESES, PATH_CHARACTERS, PLACEHOLDERS, ROLES, TRACK_PREFIX, VOLUME
+from ..fixed import CATALOGUE_ID, COPY_SUFFIX, EXTENSIONS, FORMAT_SCORE, LETTERS, NUMERIC_ID, PARENTHESES, PATH_CHARACTERS, PLACEHOLDERS, ROLES, TAG_CHAINS, TRACK_PREFIX, VOLUME
 from ..functions import text as T
-from ..functions.paths import FIELDS, infer_from_filename, infer_from_path, resolve
+from ..functions.paths import FIELDS, infer_from_filename, infer_from_path, lower_keys, resolve
 from ..operators.claims import claims
 from ..operators.intra import clusters, intra_duplicates
 from ..operators.inventory import EDITION, editions, recalculated, with_edition
-from ..operators.ranking import cross_quarantine, ranked, reasons
+from ..operators.ranking import ranked
 from .organise import book_dedup, counters, plan
 from .virtual import LIBRARY, ROOT, library
 
 TAGS = {"album_artist": "raw_author", "talb": "raw_book", "title": "raw_title", "trck": "raw_track", "tpos": "raw_disc", "txxx:series": "raw_series", "movement": "raw_series_index", "tdrc": "raw_year"}
 
+TAG_NAMES = tuple(dict.fromkeys(k for chain in TAG_CHAINS.values() for k in chain))
+
+
+def _made_tag(n: int) -> str:
+    """A tag for the name at n in TAG_NAMES, in SQL that both engines share: absent, blank or a number with more behind."""
+    return f"CASE WHEN (h * {n + 1}) % 11 >= 3 THEN NULL WHEN (h + {n}) % 5 = 0 THEN '  ' ELSE ' ' || CAST((h + {n}) % 40 AS STRING) || '/{n} ' END"
+
 
 def audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files with an audio extension and their fields."""
@@ -48,6 +55,14 @@ def tag_chain_coalesce(spark, d):
     return audio(spark, d).select("path", *FIELDS)
 
 
+def tag_chain_order(spark, d):
+    """All fields of files that have some tags of every chain, some of them blank, some with names in capitals."""
+    files = library(spark, d)
+    held = F.array(*(F.struct(F.lit(k.upper() if n % 2 else k).alias("key"), F.expr(_made_tag(n)).alias("value")) for n, k in enumerate(TAG_NAMES)))
+    files = files.withColumn("tags", lower_keys(F.map_from_entries(F.filter(held, lambda e: e["value"].isNotNull()))))
+    return files.withColumns(resolve(F.col("tags"))).select("path", *FIELDS)
+
+
 def parse_int_leading(spark, d):
     orders = spark.read.parquet(f"{d}/orders.parquet")
     return orders.select("o_orderkey", T.leading_digits(F.col("o_orderpriority")).alias("digits"))
@@ -125,32 +140,17 @@ def edition_score_rank(spark, d):
 
 
 def edition_reason(spark, d):
-    return reasons(ranked(editions(keyed_files(spark, d))))
-
-
-def cross_quarantine_files(spark, d):
-    keyed = keyed_files(spark, d)
-    return cross_quarantine(ranked(editions(keyed)), keyed)
-
-
-def kept_files(spark, d):
-    keyed = keyed_files(spark, d)
-    lost = cross_quarantine(ranked(editions(keyed)), keyed)
-    return keyed.join(lost, "path", "left_anti").groupBy("ext").agg(F.count("*").alias("files"), F.sum("size").alias("bytes"))
-
-
-def book_reasons(spark, d):
-    """edition_reason after copies within editions are out."""
+    """Why one edition of a book stays, once copies within editions are out."""
     return book_dedup(audio(spark, d)).decisions
 
 
-def book_quarantine_files(spark, d):
-    """cross_quarantine_files after copies within editions are out."""
+def cross_quarantine_files(spark, d):
+    """The files of editions that lose, once copies within editions are out."""
     return book_dedup(audio(spark, d)).cross
 
 
-def book_kept_files(spark, d):
-    """kept_files without copies within editions too."""
+def kept_files(spark, d):
+    """What is left without copies within editions and editions that lose."""
     dedup = book_dedup(audio(spark, d))
     lost = dedup.intra.select("path").union(dedup.cross)
     return dedup.keyed.join(lost, "path", "left_anti").groupBy("ext").agg(F.count("*").alias("files"), F.sum("size").alias("bytes"))
@@ -162,14 +162,15 @@ def _claims(spark, d):
 
 
 def claim_window(spark, d):
-    """Claims of destinations whose family has no numbered name: SQL can say these."""
-    files = plan_files(audio(spark, d)).where(~F.col("title").endswith(".2") & ~T.has_copy_suffix(F.col("name")))
-    there = files.where(F.col("e") % 17 == 0).groupBy(F.col("dest_file").alias("dest")).agg(F.min("fp").alias("disk_fp"))
-    return claims(files, there)
+    """Claims of all audio files, those of families with numbered names included."""
+    return _claims(spark, d)
 
 
 def claim_family(spark, d):
-    return _claims(spark, d)
+    """How the claims of each destination ended."""
+    is_ = lambda *names: F.count_if(F.col("action").isin(*names))
+    renamed = F.count_if(F.col("final") != F.col("dest_file"))
+    return _claims(spark, d).groupBy("dest_file").agg(F.count("*").alias("files"), is_("proceed").alias("moved"), renamed.alias("renamed"), is_("quarantine").alias("quarantined"), is_("skip").alias("skipped"), F.max("final").alias("last_name"))
 
 
 def format_duration(spark, d):
@@ -194,24 +195,26 @@ def organise_plan(spark, d):
 
 
 def run_counters(spark, d):
-    """Counters of the files of claim_window, without book-level deduplication: SQL can say these. run_counters_all has the whole run."""
-    files = audio(spark, d).where(~F.col("title").endswith(".2") & ~T.has_copy_suffix(F.col("name")))
-    there = plan_files(files).where(F.col("e") % 17 == 0).groupBy(F.col("dest_file").alias("dest")).agg(F.min("fp").alias("disk_fp"))
-    return counters(plan(files, there, "/out"))
-
-
-def run_counters_all(spark, d):
     """Counters of all audio files, those kept out within and between editions included."""
     files = audio(spark, d)
     dedup = book_dedup(files)
     return counters(plan(files, listing(files), "/out", dedup), dedup)
 
 
+def organise_again(spark, d):
+    """The plan where every other destination's first file is there already, under its own path."""
+    files = plan_files(audio(spark, d))
+    first = F.row_number().over(Window.partitionBy("dest_file").orderBy("path")) == 1
+    files = files.withColumn("path", F.when(first & (F.col("e") % 2 == 0), F.col("dest_file")).otherwise(F.col("path")))
+    there = files.where(F.col("path") == F.col("dest_file")).select(F.col("dest_file").alias("dest"), F.col("fp").alias("disk_fp"))
+    return plan(files.drop("dest_dir", "dest_file", "no_meta"), there, "/out").select("path", "dest_file", "no_meta", "outcome", "final")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        edition_score_rank, ext_filter_scan, tag_chain_coalesce, parse_int_leading, sanitise_component, prefix_strip, normalise_author_key, normalise_book_key, accent_fold, infer_path, infer_filename, build_dest, fingerprint_text,
-        edition_inventory, intra_cluster, intra_duplicate_files, edition_stats_recalc, edition_reason, cross_quarantine_files, kept_files, book_reasons, book_quarantine_files, book_kept_files, claim_window, claim_family, format_duration, format_quality, edition_summary, organise_plan, run_counters, run_counters_all,
+        edition_score_rank, ext_filter_scan, tag_chain_coalesce, tag_chain_order, parse_int_leading, sanitise_component, prefix_strip, normalise_author_key, normalise_book_key, accent_fold, infer_path, infer_filename, build_dest, fingerprint_text,
+        edition_inventory, intra_cluster, intra_duplicate_files, edition_stats_recalc, edition_reason, cross_quarantine_files, kept_files, claim_window, claim_family, format_duration, format_quality, edition_summary, organise_plan, organise_again, run_counters,
     )
 }
 
@@ -328,14 +331,45 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY group_author, group_book OR
 
 
 RANKED = EDITIONS + _ranks("ed")
-_EASY = f"NOT ends_with(title, '.2') AND NOT regexp_matches(name, {q(_SUFFIX)})"
-CLAIMED = (
-    DEST
-    + f""", easy AS (SELECT * FROM dest WHERE {_EASY}), disk AS (SELECT dest_file, min(fp) AS disk_fp FROM easy WHERE e % 17 = 0 GROUP BY dest_file),
-judged AS (SELECT path, dest_file, dest_dir, ext, no_meta, CASE WHEN disk_fp IS NOT NULL THEN CASE WHEN fp = disk_fp THEN 'skip' ELSE 'rename' END WHEN row_number() OVER c = 1 THEN 'proceed' WHEN fp = first(fp) OVER c THEN 'quarantine' ELSE 'rename' END AS a
-  FROM easy LEFT JOIN disk USING (dest_file) WINDOW c AS (PARTITION BY dest_file ORDER BY path)),
-claimed AS (SELECT path, dest_file, no_meta, CASE WHEN a = 'rename' THEN 'proceed' ELSE a END AS action,
-  CASE WHEN a = 'rename' THEN left(dest_file, length(dest_file) - length(ext) - 1) || '.' || CAST(1 + sum(CASE WHEN a = 'rename' THEN 1 ELSE 0 END) OVER (PARTITION BY dest_file ORDER BY path) AS BIGINT) || '.' || ext ELSE dest_file END AS final FROM judged)"""
+BOOK_RANKED = (
+    CLUSTERS
+    + f""", totals AS (SELECT {_ED}, count(*) AS n, CAST(sum(bitrate) AS BIGINT) AS b, CAST(sum(CAST(round(duration * 1000000) AS BIGINT)) AS BIGINT) AS m, CAST(sum(size) AS BIGINT) AS s FROM keyed WHERE path NOT IN (SELECT path FROM intra) GROUP BY {_ED}),
+less AS (SELECT ed.* REPLACE (n AS file_count, b // n AS avg_bitrate, m / 1000000 AS total_duration, s AS total_size) FROM ed JOIN totals USING ({_ED}))"""
+    + _ranks("less")
+    + f""", lost AS (SELECT path FROM keyed JOIN (SELECT {_ED} FROM ranked WHERE rank > 1) USING ({_ED}) WHERE path NOT IN (SELECT path FROM intra))"""
+)
+
+
+def _fold(files: str, there: str) -> str:
+    """CTEs that end in claimed, by one step a file of each family: what is taken so far is in two lists, first what is there."""
+    name = "base || '.' || n || '.' || ext"
+    family = r"left(dest_file, length(dest_file) - length(ext) - 1) AS base, regexp_replace(base, '(\.\d+)+$', '') || '.' || ext AS family"
+    return f""", src AS (SELECT path, dest_file, fp, ext, {family}, row_number() OVER (PARTITION BY family ORDER BY path) AS rn FROM {files}),
+disk AS (SELECT family, list(dest_file) AS names, list(disk_fp) AS fps FROM (SELECT DISTINCT dest_file, disk_fp, {family} FROM {there}) GROUP BY family),
+steps AS (SELECT family, CAST(0 AS BIGINT) AS rn, coalesce(names, []) AS names, coalesce(fps, []) AS fps, len(coalesce(names, [])) AS there, '' AS path, '' AS dest_file, '' AS action, '' AS final FROM (SELECT DISTINCT family FROM src) LEFT JOIN disk USING (family)
+  UNION ALL SELECT family, rn, CASE WHEN action = 'proceed' THEN list_append(names, final) ELSE names END, CASE WHEN action = 'proceed' THEN list_append(fps, fp) ELSE fps END, there, path, dest_file, action, final FROM (
+    SELECT *, CASE WHEN pos = 0 OR fps[pos] <> fp THEN 'proceed' WHEN pos <= there THEN 'skip' ELSE 'quarantine' END AS action,
+      CASE WHEN pos = 0 OR fps[pos] = fp THEN dest_file ELSE list_filter(list_transform(range(2, len(names) + 3), lambda n: {name}), lambda x: NOT list_contains(names, x))[1] END AS final
+    FROM (SELECT src.*, names, fps, there, coalesce(list_position(names, src.dest_file), 0) AS pos FROM steps JOIN src ON src.family = steps.family AND src.rn = steps.rn + 1))),
+claimed AS (SELECT path, dest_file, action, final FROM steps WHERE rn > 0)"""
+
+
+_THERE = ", there AS (SELECT dest_file, any_value(ext) AS ext, min(fp) AS disk_fp FROM dest WHERE e % 17 = 0 GROUP BY dest_file)"
+CLAIMED = DEST.replace("WITH lib", "WITH RECURSIVE lib", 1) + _THERE + _fold("dest", "there")
+_OUTCOME = "CASE action WHEN 'proceed' THEN 'move' WHEN 'skip' THEN 'existing_duplicate' ELSE 'duplicate' END AS outcome, CASE WHEN action = 'proceed' THEN final END AS final"
+PLANNED = (
+    BOOK_RANKED
+    + DEST.removeprefix(AUDIO)
+    + _THERE
+    + ", left_over AS (SELECT * FROM dest WHERE path NOT IN (SELECT path FROM intra) AND path NOT IN (SELECT path FROM lost) AND path <> dest_file)"
+    + _fold("left_over", "there")
+    + f""", planned AS (SELECT path, dest_file, no_meta, CASE WHEN path IN (SELECT path FROM intra) THEN 'intra' WHEN path IN (SELECT path FROM lost) THEN 'cross' ELSE 'in_place' END AS outcome, CAST(NULL AS VARCHAR) AS final FROM dest WHERE path NOT IN (SELECT path FROM left_over)
+  UNION ALL SELECT path, claimed.dest_file, no_meta, {_OUTCOME} FROM claimed JOIN left_over USING (path))"""
+)
+AGAIN = (
+    DEST.replace("WITH lib", "WITH RECURSIVE lib", 1)
+    + ", moved AS (SELECT * REPLACE (CASE WHEN e % 2 = 0 AND row_number() OVER (PARTITION BY dest_file ORDER BY path) = 1 THEN dest_file ELSE path END AS path) FROM dest), there AS (SELECT dest_file, ext, fp AS disk_fp FROM moved WHERE path = dest_file), out_of_place AS (SELECT * FROM moved WHERE path <> dest_file)"
+    + _fold("out_of_place", "there")
 )
 _KBPS = "({} // 1000)"
 _FOLDED = "strip_accents(text)"
@@ -348,9 +382,21 @@ def _length(x: str) -> str:
     return f"CASE WHEN {x} <= 0 THEN '0s' WHEN {t} >= 3600 THEN printf('%dh%02dm%02ds', {t} // 3600, {t} % 3600 // 60, {t} % 60) WHEN {t} >= 60 THEN printf('%dm%02ds', {t} // 60, {t} % 60) ELSE printf('%ds', {t}) END"
 
 
+_CHAINS = {f: f"coalesce({', '.join(f'nullif(trim(t{TAG_NAMES.index(k)}), {q(str())})' for k in chain)}, '')" for f, chain in TAG_CHAINS.items()}
+_CHAINS |= {f: _DIGITS.format(_CHAINS[f]) for f in ("track", "disc", "series_index")} | {"year": f"left({_CHAINS['year']}, 4)"}
+_CHAINS["series"] = f"CASE WHEN {_CHAINS['series']} = {_CHAINS['book']} THEN '' ELSE {_CHAINS['series']} END"
+_REASONS = f""", pairs AS (SELECT l.group_author, l.group_book, l.rank, k.book AS kb, k.author AS ka, k.edition_dir AS kept_dir, concat_ws('; ',
+    CASE WHEN k.format_score > l.format_score THEN upper(k.format) || ' preferred over ' || upper(l.format) END,
+    CASE WHEN k.year_score > l.year_score AND k.year <> '' AND l.year <> '' THEN 'newer recording (' || k.year || ' vs ' || l.year || ')' WHEN k.year_score > l.year_score AND k.year <> '' THEN 'has year metadata (' || k.year || ')' END,
+    CASE WHEN k.avg_bitrate > l.avg_bitrate AND {_KBPS.format("k.avg_bitrate")} <> {_KBPS.format("l.avg_bitrate")} THEN 'higher bitrate (' || {_KBPS.format("k.avg_bitrate")} || 'kbps vs ' || {_KBPS.format("l.avg_bitrate")} || 'kbps)' END) AS why
+  FROM ranked AS l JOIN ranked AS k ON l.group_author = k.group_author AND l.group_book = k.group_book AND k.rank = 1 AND l.rank > 1)
+SELECT group_author, group_book, CASE WHEN kb <> '' THEN '"' || kb || '"' ELSE '(unknown book)' END || CASE WHEN ka <> '' THEN ' by ' || ka ELSE '' END AS display, kept_dir, count(*) AS losers,
+  coalesce(string_agg(nullif(why, ''), '; ' ORDER BY rank), 'higher overall score') AS reason FROM pairs GROUP BY group_author, group_book, kb, ka, kept_dir"""
+
 ORACLE_SQL = {
     "ext_filter_scan": AUDIO + " SELECT ext, count(*) AS files, CAST(sum(size) AS BIGINT) AS bytes FROM audio GROUP BY ext",
     "tag_chain_coalesce": AUDIO + " SELECT path, author, book, title, track, disc, series, series_index, '' AS narrator, year, '' AS subtitle, '' AS genre FROM audio",
+    "tag_chain_order": LIB + f", tagged AS (SELECT path, {', '.join(f'{_made_tag(n)} AS t{n}' for n in range(len(TAG_NAMES)))} FROM lib) SELECT path, {', '.join(f'{x} AS {f}' for f, x in _CHAINS.items())} FROM tagged",
     "parse_int_leading": f"SELECT o_orderkey, {_DIGITS.format('o_orderpriority')} AS digits FROM orders",
     "sanitise_component": f"SELECT page_id, {_sanitise('url')} AS safe FROM pages",
     "prefix_strip": LIB + f" SELECT path, regexp_replace({_STEM}, {q(TRACK_PREFIX)}, '') AS bare FROM lib",
@@ -368,23 +414,19 @@ ORACLE_SQL = {
     + f""" SELECT {_ED}, any_value(ed.format) AS format, count(*) AS file_count, CAST(sum(keyed.bitrate) AS BIGINT) // count(*) AS avg_bitrate, round(CAST(sum(CAST(round(duration * 1000000) AS BIGINT)) AS BIGINT) / 1000000, 3) AS total_duration, CAST(sum(size) AS BIGINT) AS total_size
   FROM keyed JOIN ed USING ({_ED}) WHERE keyed.path NOT IN (SELECT path FROM intra) GROUP BY {_ED}""",
     "edition_score_rank": RANKED + " SELECT group_author, group_book, edition_dir, first_path, format_score, year_score, avg_bitrate, root_loose, CAST(placeholder_hits AS INTEGER) AS placeholder_hits, author_mismatch, CAST(depth AS INTEGER) AS depth, CAST(rank AS INTEGER) AS rank FROM ranked",
-    "edition_reason": RANKED
-    + f""", pairs AS (SELECT l.group_author, l.group_book, l.rank, k.book AS kb, k.author AS ka, k.edition_dir AS kept_dir, concat_ws('; ',
-    CASE WHEN k.format_score > l.format_score THEN upper(k.format) || ' preferred over ' || upper(l.format) END,
-    CASE WHEN k.year_score > l.year_score AND k.year <> '' AND l.year <> '' THEN 'newer recording (' || k.year || ' vs ' || l.year || ')' WHEN k.year_score > l.year_score AND k.year <> '' THEN 'has year metadata (' || k.year || ')' END,
-    CASE WHEN k.avg_bitrate > l.avg_bitrate AND {_KBPS.format("k.avg_bitrate")} <> {_KBPS.format("l.avg_bitrate")} THEN 'higher bitrate (' || {_KBPS.format("k.avg_bitrate")} || 'kbps vs ' || {_KBPS.format("l.avg_bitrate")} || 'kbps)' END) AS why
-  FROM ranked AS l JOIN ranked AS k ON l.group_author = k.group_author AND l.group_book = k.group_book AND k.rank = 1 AND l.rank > 1)
-SELECT group_author, group_book, CASE WHEN kb <> '' THEN '"' || kb || '"' ELSE '(unknown book)' END || CASE WHEN ka <> '' THEN ' by ' || ka ELSE '' END AS display, kept_dir, count(*) AS losers,
-  coalesce(string_agg(nullif(why, ''), '; ' ORDER BY rank), 'higher overall score') AS reason FROM pairs GROUP BY group_author, group_book, kb, ka, kept_dir""",
-    "cross_quarantine_files": RANKED + f" SELECT path FROM keyed JOIN (SELECT {_ED} FROM ranked WHERE rank > 1) USING ({_ED})",
-    "kept_files": RANKED + f", lost AS (SELECT path FROM keyed JOIN (SELECT {_ED} FROM ranked WHERE rank > 1) USING ({_ED})) SELECT ext, count(*) AS files, CAST(sum(size) AS BIGINT) AS bytes FROM keyed ANTI JOIN lost USING (path) GROUP BY ext",
+    "edition_reason": BOOK_RANKED + _REASONS,
+    "cross_quarantine_files": BOOK_RANKED + " SELECT path FROM lost",
+    "kept_files": BOOK_RANKED + " SELECT ext, count(*) AS files, CAST(sum(size) AS BIGINT) AS bytes FROM keyed WHERE path NOT IN (SELECT path FROM intra) AND path NOT IN (SELECT path FROM lost) GROUP BY ext",
     "claim_window": CLAIMED + " SELECT path, dest_file, action, final FROM claimed",
+    "claim_family": CLAIMED + " SELECT dest_file, count(*) AS files, count(*) FILTER (action = 'proceed') AS moved, count(*) FILTER (final <> dest_file) AS renamed, count(*) FILTER (action = 'quarantine') AS quarantined, count(*) FILTER (action = 'skip') AS skipped, max(final) AS last_name FROM claimed GROUP BY dest_file",
     "format_duration": f"SELECT event_id, {_length('(value * 37)')} AS length FROM events",
     "format_quality": LIB
     + f""", p AS (SELECT path, duration, concat_ws(' ', CASE h % 3 WHEN 0 THEN 'MP3' WHEN 1 THEN 'AAC' END, {_KBPS.format("bitrate")} || 'kbps', CASE h % 5 WHEN 0 THEN '44.1kHz' WHEN 1 THEN '48kHz' WHEN 2 THEN '22.05kHz' END, CASE h % 3 WHEN 1 THEN 'mono' WHEN 2 THEN 'stereo' END) AS parts FROM lib)
 SELECT path, concat_ws(', ', nullif(parts, ''), {_length("duration")}) AS quality FROM p""",
     "edition_summary": EDITIONS + f" SELECT {_ED}, concat_ws(', ', upper(format), nullif(year, ''), {_KBPS.format('avg_bitrate')} || 'kbps', {_length('total_duration')}, file_count || CASE WHEN file_count = 1 THEN ' file' ELSE ' files' END) AS summary FROM ed",
-    "run_counters": CLAIMED
-    + """ SELECT count(*) AS files, count(*) FILTER (action = 'proceed') AS moved, count(*) FILTER (action = 'skip') AS skipped, count(*) FILTER (action IN ('skip', 'quarantine')) AS dupe, count(*) FILTER (action = 'proceed' AND final <> dest_file) AS conflict,
-  CAST(0 AS BIGINT) AS intra_dedup, CAST(0 AS BIGINT) AS book_dedup, CAST(0 AS BIGINT) AS book_dedup_groups, count(*) FILTER (action = 'proceed' AND no_meta) AS no_meta FROM claimed""",
+    "run_counters": PLANNED
+    + """ SELECT count(*) AS files, count(*) FILTER (outcome = 'move') AS moved, count(*) FILTER (outcome IN ('in_place', 'existing_duplicate')) AS skipped, count(*) FILTER (outcome IN ('duplicate', 'existing_duplicate')) AS dupe, count(*) FILTER (outcome = 'move' AND final <> dest_file) AS conflict,
+  count(*) FILTER (outcome = 'intra') AS intra_dedup, count(*) FILTER (outcome = 'cross') AS book_dedup, (SELECT count(*) FROM ranked WHERE rank = 1) AS book_dedup_groups, count(*) FILTER (outcome = 'move' AND no_meta) AS no_meta FROM planned""",
+    "organise_plan": PLANNED + " SELECT path, dest_file, no_meta, outcome, final FROM planned",
+    "organise_again": AGAIN + f" SELECT path, claimed.dest_file, no_meta, {_OUTCOME} FROM claimed JOIN out_of_place USING (path) UNION ALL SELECT path, dest_file, no_meta, 'in_place' AS outcome, NULL AS final FROM moved WHERE path = dest_file",
 }

@@ -93,11 +93,56 @@ def read_library(spark: SparkSession, root: str, partitions: int = 8) -> DataFra
     return files.withColumn("tags", lower_keys(F.col("tags"))).withColumns(resolve(F.col("tags")))
 
 
-def read_listing(spark: SparkSession, root: str) -> DataFrame:
-    """(dest, disk_fp) of everything under a library that is there already."""
-    root = os.path.normpath(os.path.abspath(root))
-    rows = [(p,) for p in walk(root, None)] if os.path.isdir(root) else []
-    if not rows:
-        return spark.createDataFrame([], "dest string, disk_fp string")
-    digest = F.udf(fingerprint)  # one call a file, and it reads the file
-    return spark.createDataFrame(rows, "dest string").withColumn("disk_fp", digest("dest"))
+class ListingReader(LibraryReader):
+    def partitions(self) -> list[Slice]:
+        paths = walk(self.root, None) if os.path.isdir(self.root) else []
+        n = max(1, -(-len(paths) // self.slices))
+        return [Slice(paths[k : k + n]) for k in range(0, len(paths), n)] or [Slice([])]
+
+    def read(self, partition: Slice) -> Iterator[pa.RecordBatch]:
+        for k in range(0, len(partition.paths), BATCH):
+            paths = partition.paths[k : k + BATCH]
+            sizes = [os.path.getsize(p) if os.path.exists(p) else 0 for p in paths]
+            yield pa.RecordBatch.from_pydict({"dest": paths, "size": sizes}, schema=pa.schema([("dest", pa.string()), ("size", pa.int64())]))
+
+
+class ListingSource(LibrarySource):
+    """``spark.read.format("library_listing").option("path", folder)``: all files, none of them opened."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "library_listing"
+
+    def schema(self) -> str:
+        return "dest string, size bigint"
+
+    def reader(self, schema) -> ListingReader:
+        return ListingReader(self.options)
+
+
+def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = []
+        for path, size in zip(*(c.to_pylist() for c in batch.columns)):  # reading the file is the cost here
+            try:
+                found.append(fingerprint(path))
+            except OSError:
+                found.append(f"{size}:")
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.string())], names=["dest", "disk_fp"])
+
+
+def read_listing(spark: SparkSession, root: str, files: DataFrame | None = None, partitions: int = 8) -> DataFrame:
+    """(dest, disk_fp) of everything under a library that is there already; a folder that isn't there has no files.
+
+    With files (dest_file, size), only what lies where a file of its own size
+    wants to be is opened. The rest can't be equal to any of them, and has its
+    size alone as fingerprint.
+    """
+    spark.dataSource.register(ListingSource)
+    rows = spark.read.format("library_listing").option("path", root).option("partitions", str(partitions)).load()
+    out = "dest string, disk_fp string"
+    if files is None:
+        return rows.mapInArrow(_hashed, out)
+    wanted = files.select(F.col("dest_file").alias("dest"), "size").distinct()
+    rest = rows.join(wanted, ["dest", "size"], "left_anti").select("dest", F.concat(F.col("size").cast("string"), F.lit(":")).alias("disk_fp"))
+    return rows.join(wanted, ["dest", "size"], "left_semi").select("dest", "size").mapInArrow(_hashed, out).unionByName(rest)

@@ -97,7 +97,7 @@ def test_counters_of_all_files_follow_the_sequential_rule(spark, sf):
         "files": len(rows), "moved": len(moved), "skipped": skipped, "dupe": skipped + sum(a == "quarantine" for a, _ in done.values()), "conflict": sum(done[r.path][1] != r.dest_file for r in moved),
         "intra_dedup": len(intra), "book_dedup": len(cross), "book_dedup_groups": dedup.decisions.count(), "no_meta": sum(r.no_meta for r in moved),
     }
-    assert queries.QUERIES["run_counters_all"](spark, sf).first().asDict() == want
+    assert queries.QUERIES["run_counters"](spark, sf).first().asDict() == want
     assert intra and cross and any(r.title.endswith(".2") for r in rows)
 
 
@@ -105,11 +105,11 @@ def test_book_queries_take_copies_within_editions_out_first(spark, monkeypatch):
     copies = [row(f"/lib/A/Long/x{end}.mp3", "A", "B", "2001", rate) for end, rate in (("", 64000), (".2", 256000), (".3", 256000))]
     rival = [row("/lib/A/Other/y.mp3", "A", "B", "2001", 128000)]
     monkeypatch.setattr(queries, "audio", lambda *_: spark.createDataFrame(copies + rival, FILES))
-    got = {name: queries.QUERIES[name](spark, "").collect() for name in ("book_reasons", "book_quarantine_files", "book_kept_files")}
+    got = {name: queries.QUERIES[name](spark, "").collect() for name in ("edition_reason", "cross_quarantine_files", "kept_files")}
     # Counted with its copies, the first edition would have the higher bitrate and win.
-    assert [(r.kept_dir, r.losers, r.reason) for r in got["book_reasons"]] == [("/lib/A/Other", 1, "higher bitrate (128kbps vs 64kbps)")]
-    assert [r.path for r in got["book_quarantine_files"]] == ["/lib/A/Long/x.mp3"]
-    assert [(r.ext, r.files, r.bytes) for r in got["book_kept_files"]] == [("mp3", 1, 10)]
+    assert [(r.kept_dir, r.losers, r.reason) for r in got["edition_reason"]] == [("/lib/A/Other", 1, "higher bitrate (128kbps vs 64kbps)")]
+    assert [r.path for r in got["cross_quarantine_files"]] == ["/lib/A/Long/x.mp3"]
+    assert [(r.ext, r.files, r.bytes) for r in got["kept_files"]] == [("mp3", 1, 10)]
 
 
 def test_copies_within_editions_are_reported(spark):
@@ -132,7 +132,7 @@ def test_queries_equal_their_sql(spark, sf):
     for t in ("part", "supplier", "events", "orders", "pages", "documents"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     rows = lambda df: sorted(map(repr, df.astype(object).where(df.notna(), None).values.tolist()))
-    for name in ("ext_filter_scan", "normalise_author_key", "normalise_book_key", "accent_fold", "build_dest", "edition_inventory", "intra_duplicate_files", "edition_reason", "claim_window", "format_quality"):
+    for name in ("ext_filter_scan", "tag_chain_order", "normalise_author_key", "normalise_book_key", "accent_fold", "build_dest", "edition_inventory", "intra_duplicate_files", "edition_reason", "claim_window", "claim_family", "organise_plan", "organise_again", "run_counters", "cross_quarantine_files", "kept_files", "format_quality"):
         want = con.execute(queries.ORACLE_SQL[name]).df()
         assert rows(queries.QUERIES[name](spark, sf).toPandas()[list(want.columns)]) == rows(want), name
 

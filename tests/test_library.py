@@ -1,5 +1,6 @@
 """Files with tags made here, read and organised."""
 
+import base64
 import io
 import struct
 
@@ -65,6 +66,58 @@ def test_mp4():
     assert info == {"bitrate": 64000, "duration": 5.5, "codec": "aac", "sample_rate": 44100, "channels": 2}
 
 
+def wide(text):
+    return text.encode("utf-16-le") + b"\0\0"
+
+
+def test_asf():
+    part = lambda kind, body: bytes.fromhex(kind) + struct.pack("<Q", len(body) + 24) + body
+    title, author = wide("One"), wide("Ann")
+    content = struct.pack("<5H", len(title), len(author), 0, 0, 0) + title + author
+    name, album, series, n = wide("WM/AlbumTitle"), wide("Book"), wide("SERIES"), struct.pack("<I", 3)
+    extended = struct.pack("<H", 2) + b"".join(struct.pack("<H", len(k)) + k + struct.pack("<HH", form, len(v)) + v for k, form, v in ((name, 0, album), (series, 3, n)))
+    properties = bytes(40) + struct.pack("<QQQ", 130_000_000, 0, 3000) + bytes(16)
+    stream = bytes.fromhex("409e69f84d5bcf11a8fd00805f5c442b") + bytes(38) + struct.pack("<HHII", 0x161, 2, 44100, 8000) + bytes(8)
+    body = part("3326b2758e66cf11a6d900aa0062ce6c", content) + part("40a4d0d207e3d21197f000a0c95ea850", extended) + part("a1dcab8c47a9cf118ee400c00c205365", properties) + part("9107dcb7b7a9cf118ee600c00c205365", stream)
+    head = bytes.fromhex("3026b2758e66cf11a6d900aa0062ce6c") + struct.pack("<QIBB", len(body) + 30, 4, 1, 2)
+    got, info, cover = tags.read(io.BytesIO(head + body))
+    assert got["title"] == "One" and got["album"] == "Book" and "Ann" in got.values() and "3" in got.values() and cover is None
+    assert info == {"bitrate": 64000, "duration": 10.0, "codec": "wma", "sample_rate": 44100, "channels": 2}
+    assert tags.read(io.BytesIO(head[:20]))[0] == {}
+
+
+def test_wav_and_aiff():
+    own = id3(text_frame("TIT2", "T"), picture(b"JPG"))
+    chunk = lambda end, name, body: name + struct.pack(end + "I", len(body)) + body + bytes(len(body) & 1)
+    wav = chunk("<", b"fmt ", struct.pack("<HHIIHH", 1, 2, 8000, 32000, 4, 16)) + chunk("<", b"data", bytes(64000)) + chunk("<", b"id3 ", own)
+    got, info, cover = tags.read(io.BytesIO(b"RIFF" + struct.pack("<I", len(wav) + 4) + b"WAVE" + wav))
+    assert got == {"tit2": "T"} and cover == b"JPG" and (info["duration"], info["bitrate"], info["channels"], info["sample_rate"]) == (2.0, 256000, 2, 8000)
+    hz = struct.pack(">HQ", 16383 + 15, 44100 << 48)  # 80 bits: an exponent of 15, and the mantissa with its highest bit set
+    aiff = chunk(">", b"COMM", struct.pack(">HIH", 1, 88200, 16) + hz) + chunk(">", b"SSND", bytes(11)) + chunk(">", b"ID3 ", own)
+    got, info, cover = tags.read(io.BytesIO(b"FORM" + struct.pack(">I", len(aiff) + 4) + b"AIFF" + aiff))
+    assert got == {"tit2": "T"} and cover == b"JPG" and (info["duration"], info["sample_rate"], info["bitrate"]) == (2.0, 44100, 705600)
+
+
+def test_ape():
+    item = lambda k, v, flags=0: struct.pack("<II", len(v), flags) + k + b"\0" + v
+    body = item(b"Title", "Öne".encode()) + item(b"Artist", b"Ann\0Bob") + item(b"Cover Art (Front)", b"\xff\xd8", 2)
+    foot = b"APETAGEX" + struct.pack("<IIII", 2000, len(body) + 32, 3, 0) + bytes(8)
+    assert tags.read(io.BytesIO(b"MAC \x96\x0f" + bytes(100) + body + foot))[0] == {"title": "Öne", "artist": "Ann"}
+    assert tags.read(io.BytesIO(b"MAC \x96\x0f" + bytes(100)))[0] == {}
+
+
+def test_pictures_of_flac_and_vorbis():
+    image = struct.pack(">II", 3, 10) + b"image/jpeg" + struct.pack(">I", 4) + b"name" + bytes(16) + struct.pack(">I", 3) + b"IMG"
+    block = lambda kind, b: bytes([kind]) + len(b).to_bytes(3, "big") + b
+    assert tags.read(io.BytesIO(b"fLaC" + block(0, bytes(34)) + block(6, image) + block(0x84, comments(TITLE="T"))))[::2] == ({"title": "T"}, b"IMG")
+    first = b"\x01vorbis" + struct.pack("<IBIiiiBB", 0, 2, 44100, 0, 96000, 0, 0xB8, 1)
+    page = lambda p, g: b"OggS\0\0" + struct.pack("<qIII", g, 1, 0, 0) + bytes([len(p) // 255 + 1]) + b"\xff" * (len(p) // 255) + bytes([len(p) % 255]) + p
+    read = lambda picture: tags.read(io.BytesIO(page(first, 0) + page(b"\x03vorbis" + comments(title="T", metadata_block_picture=picture), 88200)))
+    got, info, cover = read(base64.b64encode(image).decode())
+    assert cover == b"IMG" and got["title"] == "T" and (info["codec"], info["duration"], info["bitrate"], info["channels"]) == ("vorbis", 2.0, 96000, 2)
+    assert read("not base64!")[2] is None
+
+
 def make(root, path, *frames, extra=b""):
     p = root / path
     p.parent.mkdir(parents=True, exist_ok=True)
@@ -81,6 +134,16 @@ def test_hidden_names_are_read(spark, tmp_path):
     assert (r.folder, r.title, r.codec) == ("_Unknown Author", "_Unknown Author/a.mp3", "mp3") and r.fp.startswith(f"{r.size}:")
 
 
+def test_only_files_of_equal_size_are_opened(spark, tmp_path):
+    paths = [make(tmp_path, p, text_frame("TIT2", "t")) for p in ("a.mp3", "b.mp3", "c.mp3")]
+    size = paths[0].stat().st_size
+    claimed = spark.createDataFrame([(str(paths[0]), size), (str(paths[1]), size + 1)], "dest_file string, size bigint")
+    got = {r.dest: r.disk_fp for r in files.read_listing(spark, str(tmp_path), claimed).collect()}
+    assert got == {str(paths[0]): files.fingerprint(str(paths[0])), str(paths[1]): f"{size}:", str(paths[2]): f"{size}:"}
+    assert files.read_listing(spark, str(tmp_path / "none"), claimed).count() == 0
+    assert files.read_listing(spark, str(tmp_path / "none")).count() == 0
+
+
 def test_a_live_run_moves_and_a_dry_one_does_not(spark, tmp_path):
     src = tmp_path / "in"
     book = lambda *more: (text_frame("TPE1", "Ann"), text_frame("TALB", "Book"), text_frame("TIT2", "One"), *more)
