@@ -24,12 +24,20 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays, by five-word shingles and a similarity of 0.8."""
+    """One document of each group of near-duplicates stays, by five-word shingles and a similarity of 0.8.
+
+    Null texts and texts without words are near nothing and stay; of repeated
+    rows one stays; texts of any length count whole.
+    """
     return neardup.drop_near_duplicates(docs, words=5, percent=80)
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages that occur again are cut out; a document with nothing else goes."""
+    """Passages that occur again are cut out; a document with nothing else goes.
+
+    Null and empty texts have nothing to cut and stay; repeated rows and texts
+    of any length are cut whole. n_chars follows the text where it was cut.
+    """
     n_removed = "n_removed" + "_" * max(map(len, docs.columns))  # a name that no column has
     cut = suffixdedup.remove_repeats(docs, removed_col=n_removed).where((F.col(n_removed) == 0) | (F.length("text") > 0))
     n_chars = F.when(F.col(n_removed) > 0, F.length("text").cast("bigint")).otherwise(F.col("n_chars"))
