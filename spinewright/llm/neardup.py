@@ -9,7 +9,7 @@ Candidates are confirmed on the full sets. The first trees join most of every
 group; the others then look only at nodes that aren't joined yet.
 
 The forest leaves links out, so an exact join settles the rest. Shingles have
-one order, those rare in a sample first. Two linked sets share one of the first
+one order, the rare ones first. Two linked sets share one of the first
 shingles of both, and their first shared one stands so early that enough are
 left behind it. All nodes of different components that meet so are candidates.
 
@@ -37,8 +37,8 @@ from .shared import bounded, scratch_path, written
 from .textstore import StoreReader, StoreWriter
 
 TREES, FIRST_TREES, DEPTH, MIN_DEPTH = 16, 2, 6, 3
-#: Bits of a set's parities, and of the table that counts shingles of SAMPLE nodes, and its tasks.
-PARITIES, COUNTED_BITS, SAMPLE, SAMPLE_TASKS = 2048, 22, 20_000, 16
+#: Bits of a set's parities, and of the table that counts shingles, and the slices that it is added up in.
+PARITIES, COUNTED_BITS, SLICES = 2048, 22, 64
 #: Rows of the exact join looked at together, those of a shingle compared row by row, and pairs compared at once.
 MEET, SMALL, AT_ONCE = 500_000, 32, 2_000_000
 _rng = np.random.default_rng(0xF0E57)
@@ -257,7 +257,7 @@ def _read_sets(store: StoreReader, places: list[str], n: int) -> Iterator[tuple[
 
 
 class Counter:
-    """How many of the texts at (place) have shingles of each bucket."""
+    """How many of the texts at (place) have shingles of each bucket, by slices of the buckets."""
 
     def __init__(self, n: int, folder: str):
         self.n, self.folder = n, folder
@@ -268,18 +268,37 @@ class Counter:
             for *_, sets, _ in _read_sets(store, batch.column(0).to_pylist(), self.n):
                 counts += np.bincount((sets >> np.uint64(64 - COUNTED_BITS)).astype(np.int64), minlength=len(counts))
         store.close()
-        data = zstandard.ZstdCompressor(level=1).compress(np.minimum(counts, 65535).astype("<u2").tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array([data], pa.binary())], names=["counts"])
+        tool = zstandard.ZstdCompressor(level=1)
+        data = [tool.compress(x.tobytes()) for x in np.split(counts, SLICES)]
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(SLICES, dtype=np.int32)), pa.array(data, pa.binary())], names=["slice", "counts"])
 
 
-def _ranks(nodes: DataFrame, words: int, folder: str) -> np.ndarray:
-    """The place of each bucket of shingles in the order of the exact join, by logarithms of counts; any order gives the same links."""
-    share = max(1, nodes.count() // SAMPLE)
-    some = nodes.where(F.pmod(F.xxhash64("node"), F.lit(share)) == 0).select("place").repartition(SAMPLE_TASKS)
-    counts, tool = np.zeros(1 << COUNTED_BITS, np.int64), zstandard.ZstdDecompressor()
-    for row in some.mapInArrow(Counter(words, folder), "counts binary").toLocalIterator():
-        counts += np.frombuffer(tool.decompress(bytes(row.counts)), "<u2")
-    return np.minimum(12 * np.log2(1 + counts), 255).astype(np.uint8)
+def _ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Logarithms of the sums of each slice, in a byte a bucket; rows are sorted by slice."""
+    tool, of, counts = zstandard.ZstdDecompressor(), None, np.zeros(0, np.int64)
+    row = lambda: pa.RecordBatch.from_arrays([pa.array([of], pa.int32()), pa.array([np.minimum(8 * np.log2(1 + counts), 255).astype(np.uint8).tobytes()], pa.binary())], names=["slice", "ranks"])
+    for batch in batches:
+        for k, data in zip(*(c.to_pylist() for c in batch.columns)):
+            if k != of:
+                if of is not None:
+                    yield row()
+                of, counts = k, np.zeros((1 << COUNTED_BITS) // SLICES, np.int64)
+            counts += np.frombuffer(tool.decompress(data), np.int64)
+    if of is not None:
+        yield row()
+
+
+def _ranks(nodes: DataFrame, words: int, folder: str, tasks: int) -> np.ndarray:
+    """The place of each bucket of shingles in the order of the exact join, by logarithms of the counts over all nodes; any order gives the same links.
+
+    The driver gets one byte a bucket, 4 MB whatever the number of documents.
+    """
+    counts = nodes.select("place").mapInArrow(Counter(words, folder), "slice int, counts binary")
+    ranks = counts.repartition(min(tasks, SLICES), "slice").sortWithinPartitions("slice").mapInArrow(_ranked, "slice int, ranks binary")
+    out = np.zeros((SLICES, (1 << COUNTED_BITS) // SLICES), np.uint8)
+    for row in ranks.collect():
+        out[row.slice] = np.frombuffer(bytes(row.ranks), np.uint8)
+    return out.reshape(-1)
 
 
 class Prefixer:
@@ -388,7 +407,7 @@ class Differing:
 
 def _unmet(nodes: DataFrame, joined: DataFrame, words: int, percent: int, folder: str, tasks: int) -> DataFrame:
     """(a, b) pairs of nodes of different components, with all that are linked among them."""
-    rows = joined.select("node", "component", "place").mapInArrow(Prefixer(words, percent, folder, _ranks(nodes, words, folder)), "shingle bigint, node bigint, component bigint, size int, at int")
+    rows = joined.select("node", "component", "place").mapInArrow(Prefixer(words, percent, folder, _ranks(nodes, words, folder, tasks)), "shingle bigint, node bigint, component bigint, size int, at int")
     rows = rows.repartition(tasks, "shingle").sortWithinPartitions("shingle")
     pairs = rows.mapInArrow(Meeting(percent), "a bigint, b bigint").distinct()
     own = nodes.select("node", "n_shingles", "parities")

@@ -55,7 +55,8 @@ def test_remove_repeats_keeps_columns_and_whole_characters(spark):
     shared = "é" * 250
     df = spark.createDataFrame([(1, "one " + shared + " end", "x"), (2, "two " + shared + " fin", "y"), (3, None, None)], DOCS + ", place string")
     got = {r.doc_id: r for r in suffixdedup.remove_repeats(df).collect()}
-    assert (got[1].text, got[2].text, got[3].text) == ("one end", "two fin", None) or all(shared not in (got[k].text or "") for k in (1, 2))
+    kept = {k: got[k].text for k in (1, 2)}
+    assert all(len(x) < 20 and x.startswith(w) and x.endswith(e) for x, w, e in ((kept[1], "one", "end"), (kept[2], "two", "fin"))) and got[3].text is None
     assert (got[1].place, got[3].n_removed) == ("x", 0)
 
 
