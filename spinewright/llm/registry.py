@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, langid, lmscore, neardup, packing, quality, suffixdedup, tokens, urlfilter, warc
+from . import alignment, decontaminate, langid, lmscore, neardup, packing, quality, suffixdedup, tokens, urlfilter, warc
 
 QUERIES = {
     "op1_suffix_dedup": suffixdedup.op1_suffix_dedup,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_lm_scoring": lmscore.op8_lm_scoring,
     "op9_quality_rules": quality.op9_quality_rules,
     "op10_packing": packing.op10_packing,
+    "op11_token_alignment": alignment.op11_token_alignment,
 }
 
 ORACLE_SQL: dict[str, str] = {**urlfilter.ORACLE, **decontaminate.ORACLE, **warc.ORACLE}
