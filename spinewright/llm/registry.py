@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import alignment, collocation, decontaminate, langid, lmscore, neardup, packing, quality, suffixdedup, tokens, urlfilter, warc
+from . import alignment, collocation, decontaminate, langid, lmscore, maintext, neardup, packing, quality, suffixdedup, tokens, urlfilter, warc
 
 QUERIES = {
     "op1_suffix_dedup": suffixdedup.op1_suffix_dedup,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_packing": packing.op10_packing,
     "op11_token_alignment": alignment.op11_token_alignment,
     "op12_collocations": collocation.op12_collocations,
+    "op13_main_text": maintext.op13_main_text,
 }
 
 ORACLE_SQL: dict[str, str] = {**urlfilter.ORACLE, **decontaminate.ORACLE, **warc.ORACLE, **collocation.ORACLE}
