@@ -33,6 +33,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -42,8 +43,10 @@ from . import textkernel as K
 from .shared import bounded, written
 from .tokens import BLANK, public_tokenizer, separable, squeeze, unsqueeze
 
-#: Units whose alignment a worker keeps from block to block, and moves of the transducer.
-KEEP_UNITS, KEEP_MOVES = 50_000, 500_000
+#: Bytes of text in a block, unless one text is longer, and units whose groups are written at once.
+BLOCK_BYTES, AT_ONCE = 8 << 20, 1 << 16
+#: Moves of the transducer that a worker keeps from block to block.
+KEEP_MOVES = 1_000_000
 #: Fixed: the pre-tokens of byte-level BPE.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _BLOCK = "block bigint, links array<struct<bucket:int,packed:binary>>, ids array<bigint>, n_a array<bigint>, n_b array<bigint>, n_groups array<bigint>, sha array<string>, docs binary, places binary, times binary, unit_links binary, link_seats binary"
@@ -70,7 +73,7 @@ def piece_bytes(model, piece: int) -> bytes:
 
 
 class Transducer:
-    """Aligns two lists of tokens over the same bytes.
+    """Aligns lists of tokens over the same bytes, many pairs of lists in step.
 
     a_bytes, b_bytes: a token's bytes by its id, on each side.
     """
@@ -81,7 +84,9 @@ class Transducer:
 
     def _forget(self) -> None:
         #: State 0: nothing dangles, and A is read. Otherwise the side to be read and the other's dangling bytes.
-        self.states, self.numbers, self.moves = [(0, b"")], {(0, b""): 0}, {}
+        self.states, self.numbers = [(0, b"")], {(0, b""): 0}
+        self.side = np.zeros(1, np.int8)
+        self.keys, self.to = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def _move(self, state: int, token: int) -> int:
         side, dangling = self.states[state]
@@ -99,38 +104,79 @@ class Transducer:
             self.states.append(to)
         return self.numbers[to]
 
-    def align(self, a: list[int], b: list[int]) -> tuple[list[tuple[list[int], list[int]]], list[tuple[int, int]]] | None:
-        """The groups, as A's and B's ids, and the links; None if the bytes differ."""
-        if len(self.moves) > KEEP_MOVES:
+    def moves(self, state: np.ndarray, token: np.ndarray) -> np.ndarray:
+        """The states that tokens lead to; what wasn't met before is worked out and kept."""
+        key = state << 24 | token
+        at = np.searchsorted(self.keys, key)
+        known = self.keys[np.minimum(at, len(self.keys) - 1)] == key if len(self.keys) else np.zeros(len(key), bool)
+        if not known.all():
+            new = np.unique(key[~known])
+            to = np.fromiter((self._move(k >> 24, k & 0xFFFFFF) for k in new.tolist()), np.int64, len(new))
+            place = np.searchsorted(self.keys, new)
+            self.keys, self.to = np.insert(self.keys, place, new), np.insert(self.to, place, to)
+            self.side = np.concatenate([self.side, np.fromiter((s for s, _ in self.states[len(self.side) :]), np.int8)])
+            at = np.searchsorted(self.keys, key)
+        return self.to[at]
+
+    def align(self, a: np.ndarray, a_bounds: np.ndarray, b: np.ndarray, b_bounds: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Of each pair of lists, whether their bytes are the same; of each token, its group in the lists and the id it is linked with, or -1.
+
+        a, b: the ids of all lists; their n + 1 bounds. Returns good, A's groups
+        and links, B's groups and links. Of two tokens that are linked, the later
+        one names the other.
+        """
+        if len(self.keys) > KEEP_MOVES:
             self._forget()
-        moves, states = self.moves, self.states
-        at, tokens, ends = [0, 0], (a, b), (len(a), len(b))
-        groups, links, first, state = [], [], (0, 0), 0
-        while at[0] < ends[0] or at[1] < ends[1]:
-            side = states[state][0]
-            k = at[side]
-            if k == ends[side]:
-                return None
-            token = tokens[side][k]
-            if state:
-                other = tokens[1 - side][at[1 - side] - 1]
-                links.append((other, token) if side else (token, other))
-            key = state, token
-            state = moves.get(key)
-            if state is None:
-                state = moves[key] = self._move(*key)
-            if state < 0:
-                return None
-            at[side] = k + 1
-            if not state:
-                groups.append((a[first[0] : at[0]], b[first[1] : at[1]]))
-                first = tuple(at)
-        return None if state else (groups, links)
-
-
-def written_groups(groups: list[tuple[list[int], list[int]]]) -> str:
-    """Groups as ``a1,a2|b1;a3|b2,b3``."""
-    return ";".join(",".join(map(str, a)) + "|" + ",".join(map(str, b)) for a, b in groups)
+        n = len(a_bounds) - 1
+        good, group = np.zeros(n, bool), np.zeros(n, np.int64)
+        groups, links = (np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)), (np.full(len(a), -1, np.int64), np.full(len(b), -1, np.int64))
+        now, i, j, state = np.arange(n), a_bounds[:-1].copy(), b_bounds[:-1].copy(), np.zeros(n, np.int64)
+        while len(now):
+            side = self.side[state]
+            more = np.where(side, j < b_bounds[now + 1], i < a_bounds[now + 1])
+            if not more.all():
+                good[now[~more & (state == 0) & (j == b_bounds[now + 1])]] = True
+                now, i, j, state, side = now[more], i[more], j[more], state[more], side[more]
+            for k, (own, other, at, before) in enumerate(((a, b, i, j), (b, a, j, i))):
+                turn = np.flatnonzero(side == k)
+                place = at[turn]
+                groups[k][place] = group[now[turn]]
+                open_ = state[turn] > 0
+                links[k][place[open_]] = other[before[turn[open_]] - 1]
+                state[turn] = self.moves(state[turn], own[place])
+                at[turn] += 1
+            if (state < 0).any():
+                fits = state >= 0
+                now, i, j, state = now[fits], i[fits], j[fits], state[fits]
+            group[now] += state == 0
+        return good, groups[0], links[0], groups[1], links[1]
+
+
+class GroupWriter:
+    """Groups as ``a1,a2|b1;a3|b2,b3;``, ids in decimal."""
+
+    def __init__(self, a_size: int, b_size: int):
+        self.a_size, self.b_size = a_size, b_size
+        self.parts = pa.array([f"{i}{mark}" for n, marks in ((a_size, ",|"), (b_size, ",;")) for mark in marks for i in range(n)], pa.string())
+
+    def write(self, lists: int, a: np.ndarray, a_list: np.ndarray, a_group: np.ndarray, b: np.ndarray, b_list: np.ndarray, b_group: np.ndarray) -> pa.Array:
+        """The text of each of the lists, from each token's id, list and group in it; every group has tokens of both sides."""
+        per_list = np.zeros(lists, np.int64)
+        np.maximum.at(per_list, a_list, a_group + 1)
+        base = np.cumsum(per_list) - per_list
+        a_of, b_of, total = base[a_list] + a_group, base[b_list] + b_group, int(per_list.sum())
+        n_a, n_b = np.bincount(a_of, minlength=total), np.bincount(b_of, minlength=total)
+        a_first, b_first, start = np.cumsum(n_a) - n_a, np.cumsum(n_b) - n_b, np.cumsum(n_a + n_b) - n_a - n_b
+        a_in, b_in = np.arange(len(a)) - a_first[a_of], np.arange(len(b)) - b_first[b_of]
+        part = np.empty(len(a) + len(b), np.int64)
+        part[start[a_of] + a_in] = a + self.a_size * (a_in + 1 == n_a[a_of])
+        part[start[b_of] + n_a[b_of] + b_in] = 2 * self.a_size + b + self.b_size * (b_in + 1 == n_b[b_of])
+        size = np.bincount(a_list, minlength=lists) + np.bincount(b_list, minlength=lists)
+        at = np.append(0, np.cumsum(size))
+        out = [pa.array([], pa.large_string())]
+        for d, e in K.runs(at, 1 << 24):  # lists of strings have 32-bit places
+            out.append(pc.binary_join(pa.ListArray.from_arrays(pa.array(at[d : e + 1] - at[d], pa.int32()), self.parts.take(pa.array(part[at[d] : at[e]]))), "").cast(pa.large_string()))
+        return pa.concat_arrays(out)
 
 
 def unit_starts(data: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -148,7 +194,7 @@ def unit_starts(data: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 class Aligner:
-    """What is known of units; made once in each worker."""
+    """The two tokenizers and the transducer between them; made once in each worker."""
 
     def __init__(self, json_path: str, model_path: str):
         self.paths, self.ready = (json_path, model_path), False
@@ -164,35 +210,40 @@ class Aligner:
         self.bpe = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=vocab, special_tokens={})
         self.model = sentencepiece.SentencePieceProcessor(model_file=self.paths[1])
         self.blank = self.model.piece_to_id(BLANK)
-        self.transducer = Transducer({i: w for w, i in vocab.items()}, [piece_bytes(self.model, i) for i in range(self.model.get_piece_size())])
-        self.known, self.ready = {}, True
+        pieces = self.model.get_piece_size()
+        self.transducer = Transducer({i: w for w, i in vocab.items()}, [piece_bytes(self.model, i) for i in range(pieces)])
+        self.writer = GroupWriter(max(vocab.values()) + 1, pieces)
+        self.ready = True
 
-    def unit(self, raw: bytes) -> tuple | None:
-        """(ids of A, ids of B, groups, their text, ids of links one after another) of a unit, which begins with the blank; None if the bytes differ."""
-        text = raw.decode()
-        a = self.bpe.encode_ordinary(text)
-        # The library puts the blank there itself, but gives nothing for an empty string.
-        b = self.model.encode(text[1:]) if len(text) > 1 else [self.blank]
-        found = self.transducer.align(a, b)
-        if found is None:
-            return None
-        groups, links = found
-        return len(a), len(b), len(groups), written_groups(groups), [x for link in links for x in link]
-
-    def units(self, words: list[bytes]) -> list[tuple | None]:
+    def units(self, words: list[bytes]) -> tuple[np.ndarray, dict[str, np.ndarray], pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+        """Of distinct units, each with its blank in front: whether the bytes agree; numbers of tokens and groups; the groups' texts; of their links the unit, A's and B's id.
+
+        A unit whose bytes don't agree has no tokens.
+        """
         if not self.ready:
             self._load()
-        if len(self.known) > KEEP_UNITS:
-            self.known.clear()
-        known, out = self.known, []
-        for w in words:
-            got = known.get(w, 0)
-            if got == 0:
-                got = self.unit(w)
-                if len(known) < KEEP_UNITS and len(w) < 256:
-                    known[w] = got
-            out.append(got)
-        return out
+        texts = [w.decode() for w in words]
+        # The library puts the blank there itself, but gives nothing for an empty string.
+        piece_ids = self.model.encode([t[1:] for t in texts], num_threads=1)
+        ids = [[self.bpe.encode_ordinary(t) for t in texts], [b if len(t) > 1 else [self.blank] for t, b in zip(texts, piece_ids)]]
+        flat, bounds = [], []
+        for side in ids:
+            size = np.fromiter(map(len, side), np.int64, len(side))
+            bounds.append(np.append(0, np.cumsum(size)))
+            flat.append(np.fromiter(chain.from_iterable(side), np.int64, int(size.sum())))
+        good, a_group, a_link, b_group, b_link = self.transducer.align(flat[0], bounds[0], flat[1], bounds[1])
+        of = [np.repeat(np.arange(len(words)), np.diff(x)) for x in bounds]
+        fits = [good[x] for x in of]
+        (a, b), (a_of, b_of) = ([x[k] for x, k in zip(y, fits)] for y in (flat, of))
+        a_group, a_link, b_group, b_link = a_group[fits[0]], a_link[fits[0]], b_group[fits[1]], b_link[fits[1]]
+        n_groups = np.zeros(len(words), np.int64)
+        np.maximum.at(n_groups, a_of, a_group + 1)
+        numbers = {"n_a": np.bincount(a_of, minlength=len(words)), "n_b": np.bincount(b_of, minlength=len(words)), "n_groups": n_groups}
+        text = self.writer.write(len(words), a, a_of, a_group, b, b_of, b_group)
+        x, y = a_link >= 0, b_link >= 0
+        link_of, link_a, link_b = np.concatenate([a_of[x], b_of[y]]), np.concatenate([a[x], b_link[y]]), np.concatenate([a_link[x], b[y]])
+        order = np.argsort(link_of, kind="stable")
+        return good, numbers, text, link_of[order], link_a[order], link_b[order]
 
 
 def _parts(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, pa.Array]]:
@@ -215,36 +266,41 @@ def _block(data: np.ndarray, offsets: np.ndarray, aligner: Aligner, buckets: int
     seat, first = coded.indices.to_numpy().astype(np.int64), np.cumsum([0, *(len(x[2]) for x in found)])
     doc = np.concatenate([*(x[0] for x in found), np.zeros(0, np.int64)]).astype(np.int64)
     unit = np.concatenate([*(seat[x[1] + k] for x, k in zip(found, first)), np.zeros(0, np.int64)]).astype(np.int64)
-    words = K.strings(coded.dictionary)
-    held = np.bincount(unit, minlength=len(words)) > 0
-    known = aligner.units([w if h else b" " for w, h in zip(words, held.tolist())])
-    good = np.fromiter((u is not None for u in known), bool, len(known))
+    held = np.flatnonzero(np.bincount(unit, minlength=len(coded.dictionary)))  # what only gaps hold is no unit
+    words = K.strings(coded.dictionary.take(pa.array(held)))
+    unit = np.searchsorted(held, unit)
+    good, numbers, text, link_of, a, b = aligner.units(words)
     # A text of which a unit doesn't fit has no tokens at all.
     bad = np.bincount(doc[~good[unit]], minlength=n) > 0
     doc, unit = doc[~bad[doc]], unit[~bad[doc]]
-    known = [u or (0, 0, 0, "", []) for u in known]
     bounds = np.searchsorted(doc, np.arange(n + 1))
-    numbers = {k: K.sum_by(bounds, np.fromiter((u[i] for u in known), np.int64, len(known))[unit]).tolist() for i, k in enumerate(("n_a", "n_b", "n_groups"))}
-    texts = [u[3] for u in known]
     sha = []
-    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
-        # In steps, so that a long text's groups aren't held at once.
-        digest = hashlib.sha256()
-        for k in range(a, b, 1 << 16):
-            digest.update(((";" if k > a else "") + ";".join([texts[u] for u in unit[k : min(k + (1 << 16), b)].tolist()])).encode())
-        sha.append(digest.hexdigest() if b > a else "")
+    for d, e in K.runs(bounds, AT_ONCE):
+        for k in range(bounds[d], max(bounds[e], bounds[d] + 1), AT_ONCE):  # one long text's units come in several steps
+            part = text.take(pa.array(unit[k : min(k + AT_ONCE, bounds[e])]))
+            raw, off = K.column_bytes(part)
+            if e - d == 1:
+                digest = hashlib.sha256() if k == bounds[d] else digest
+                digest.update(raw[: len(raw) - (k + AT_ONCE >= bounds[e])])
+                if k + AT_ONCE >= bounds[e]:
+                    sha.append(digest.hexdigest() if bounds[e] > bounds[d] else "")
+            else:
+                at = off[bounds[d : e + 1] - bounds[d]].tolist()
+                sha += [hashlib.sha256(raw[x : y - 1]).hexdigest() if y > x else "" for x, y in zip(at, at[1:])]
     pair, times = np.unique(doc << 32 | unit, return_counts=True)
     held_by, used = np.bincount(pair >> 32, minlength=n), np.unique(unit)
-    # Units and links of texts without tokens are of no account.
-    size = np.fromiter((len(known[u][4]) // 2 for u in used.tolist()), np.int64, len(used))
-    ids = np.fromiter(chain.from_iterable(known[u][4] for u in used.tolist()), np.int64, 2 * int(size.sum()))
+    # Links of units that only texts without tokens have are of no account.
+    here = np.zeros(len(words), bool)
+    here[used] = True
+    a, b, link_of = a[here[link_of]], b[here[link_of]], link_of[here[link_of]]
+    size = np.bincount(link_of, minlength=len(words))[used]
     place = np.searchsorted(used, pair & 0xFFFFFFFF)
     total = np.zeros(len(used), np.int64)
     np.add.at(total, place, times)
-    a, b = ids[::2], ids[1::2]
     link, which = np.unique(b % buckets << 48 | b << 24 | a, return_inverse=True)
     count = np.zeros(len(link), np.int64)
     np.add.at(count, which, np.repeat(total, size))
+    numbers = {k: K.sum_by(bounds, x[unit]).tolist() for k, x in numbers.items()}
     edge = np.searchsorted(link >> 48, np.arange(buckets + 1))
     packed = lambda x, y: squeeze(np.concatenate([link[x:y] >> 24 & 0xFFFFFF, link[x:y] & 0xFFFFFF, count[x:y] & 0xFFFFFFFF, count[x:y] >> 32]))
     steps = np.diff(place, prepend=0)
@@ -263,15 +319,24 @@ class Blocks:
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
         number = (context.partitionId() if context else 0) << 32
-        for batch in batches:
-            data, offsets = K.column_bytes(batch.column(1))
-            some = np.diff(offsets) > 0
-            data = np.insert(data, offsets[:-1][some], 0x20)
-            offsets = offsets + np.append(0, np.cumsum(some))
-            row = {"block": number, "ids": batch.column(0).to_pylist()} | _block(data, offsets, self.aligner, self.buckets)
-            number += 1
-            yield pa.RecordBatch.from_arrays([pa.array([row[f.name]], f.type) for f in _SCHEMA], schema=_SCHEMA)
-            K.tidy()
+        waiting, size = [], 0
+        for batch in chain(batches, [None]):
+            if batch is not None:
+                waiting.append(batch)
+                size += batch.nbytes
+            if waiting and (batch is None or size >= BLOCK_BYTES):
+                table = pa.Table.from_batches(waiting)
+                waiting, size = [], 0
+                ids, texts = table.column(0), table.column(1).cast(pa.large_string()).combine_chunks()
+                data, offsets = K.column_bytes(texts)
+                for d, e in K.runs(offsets, BLOCK_BYTES):
+                    off = offsets[d : e + 1] - offsets[d]
+                    some = np.diff(off) > 0
+                    raw = np.insert(data[offsets[d] : offsets[e]], off[:-1][some], 0x20)
+                    row = {"block": number, "ids": ids.slice(d, e - d).to_pylist()} | _block(raw, off + np.append(0, np.cumsum(some)), self.aligner, self.buckets)
+                    number += 1
+                    yield pa.RecordBatch.from_arrays([pa.array([row[f.name]], f.type) for f in _SCHEMA], schema=_SCHEMA)
+                K.tidy()
 
 
 def _rows(packed: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:

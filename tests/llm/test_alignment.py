@@ -3,6 +3,7 @@
 import hashlib
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from spinewright.llm import alignment, tokens
@@ -93,10 +94,16 @@ def test_alignment_of_no_rows_and_repeated_ones(spark):
 
 def test_transducer_closes_groups_and_refuses_other_bytes():
     t = alignment.Transducer([b"ab", b"c", b"a", b"abcd"], [b"a", b"bc", b"abc", b"d"])
-    assert t.align([0, 1], [0, 1]) == ([([0, 1], [0, 1])], [(0, 0), (0, 1), (1, 1)])
-    assert t.align([3, 3], [2, 3, 2, 3]) == ([([3], [2, 3]), ([3], [2, 3])], [(3, 2), (3, 3)] * 2)
-    assert t.align([0, 1], [0]) is None and t.align([2], [1]) is None and t.align([], [0]) is None
-    assert t.align([], []) == ([], [])
+    cases = [([0, 1], [0, 1]), ([3, 3], [2, 3, 2, 3]), ([0, 1], [0]), ([2], [1]), ([], [0]), ([], []), ([0], [])]
+    flat = [np.array([x for c in cases for x in c[k]], np.int64) for k in (0, 1)]
+    bounds = [np.append(0, np.cumsum([len(c[k]) for c in cases])) for k in (0, 1)]
+    for _ in range(2):  # by moves worked out, and then by those kept
+        good, a_group, a_link, b_group, b_link = t.align(flat[0], bounds[0], flat[1], bounds[1])
+        assert good.tolist() == [True, True, False, False, False, True, False]
+        assert a_group[:4].tolist() == [0, 0, 0, 1] and b_group[:6].tolist() == [0, 0, 0, 0, 1, 1]
+        assert a_link[:4].tolist() == [-1, 1, -1, -1] and b_link[:6].tolist() == [0, 0, 3, 3, 3, 3]
+    texts = alignment.GroupWriter(4, 4).write(3, flat[0][:4], np.array([0, 0, 2, 2]), a_group[:4], flat[1][:6], np.array([0, 0, 2, 2, 2, 2]), b_group[:6])
+    assert texts.to_pylist() == ["0,1|0,1;", "", "3|2,3;3|2,3;"]
 
 
 def test_query_over_documents(spark, sf):
