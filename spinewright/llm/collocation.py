@@ -13,6 +13,10 @@ Popcounts are summed over the shards, three times: of words, of pairs of words
 that are frequent, and of longer phrases whose pairs all are. What isn't frequent
 everywhere can't be part of a frequent phrase, so nothing is lost. Words are
 known by their bytes, and then by numbers given to the frequent ones.
+
+A shard's words or phrases go packed to buckets, about one for each BUCKET_BYTES
+of text, so that a bucket's rows fit in a task whatever the input: it adds them
+up and then tells each shard which of its own are frequent.
 """
 
 from __future__ import annotations
@@ -21,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -28,10 +33,10 @@ from pyspark.sql import functions as F
 
 from . import textkernel as K
 from .shared import bounded, written
-from .tokens import squeeze, unsqueeze
+from .tokens import unsqueeze
 
-#: Bytes of text in a shard, unless one text is longer, and word occurrences for each bucket of phrases that are added up.
-SHARD_BYTES, BUCKET_WORDS = 16 << 20, 1 << 22
+#: Bytes of text in a shard, unless one text is longer, and for each bucket of words or phrases that are added up.
+SHARD_BYTES, BUCKET_BYTES = 32 << 20, 24 << 20
 #: Bytes of bitmaps that are extended at once.
 AT_ONCE = 1 << 18
 LEAST, LONGEST, TOP = 100, 5, 2000
@@ -82,10 +87,32 @@ def positions(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, pa.Arr
     return seat[line], coded.dictionary.take(pa.array(held)), times[held]
 
 
+def _squeezed(*columns: np.ndarray) -> bytes:
+    """Columns of integers below 2**32 as compressed byte planes."""
+    flat = np.concatenate(columns).astype("<u4")
+    return zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(flat.view(np.uint8).reshape(-1, 4).T).tobytes())
+
+
+def _pack_words(words: pa.Array, times: np.ndarray) -> bytes:
+    raw = b"".join(K.strings(words))
+    head = _squeezed(pc.binary_length(words).to_numpy(), times)
+    return len(head).to_bytes(4, "little") + head + zstandard.ZstdCompressor(level=3).compress(raw)
+
+
+def _unpack_words(packed: bytes) -> tuple[pa.Array, np.ndarray]:
+    n = 4 + int.from_bytes(packed[:4], "little")
+    length, times = unsqueeze(packed[4:n]).reshape(2, -1)
+    raw = zstandard.ZstdDecompressor().decompress(packed[n:])
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(length), [None, pa.py_buffer(np.append(0, np.cumsum(length))), pa.py_buffer(raw)]), times
+
+
 class Shards:
-    """(shard, lang, n, line, words) of (lang, text) rows."""
+    """(shard, lang, n, line, words) of (lang, text) rows; words are packed by bucket, and numbered in that order on the line."""
 
-    schema = pa.schema([("shard", pa.int64()), ("lang", pa.string()), ("n", pa.int64()), ("line", pa.binary()), ("words", pa.list_(pa.struct([("word", pa.string()), ("n", pa.int64())])))])
+    schema = pa.schema([("shard", pa.int64()), ("lang", pa.string()), ("n", pa.int64()), ("line", pa.binary()), ("words", pa.list_(pa.struct([("bucket", pa.int32()), ("packed", pa.binary())])))])
+
+    def __init__(self, buckets: int):
+        self.buckets = buckets
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
@@ -107,12 +134,66 @@ class Shards:
         texts = table.column(1).cast(pa.large_string()).combine_chunks()
         for k, lang in enumerate(langs.dictionary.to_pylist()):
             line, words, times = positions(*K.column_bytes(texts.take(pa.array(np.flatnonzero(langs.indices.to_numpy() == k)))))
-            words = pa.StructArray.from_arrays([words.cast(pa.binary()).cast(pa.string()), pa.array(times, pa.int64())], names=["word", "n"])
-            columns = [pa.array([number + k]), pa.array([lang]), pa.array([int(times.sum())]), pa.array([squeeze(line)], pa.binary()), pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words)]
-            yield pa.RecordBatch.from_arrays(columns, schema=self.schema)
+            digest = K.digests(words) if len(words) else np.zeros(0, np.uint64)
+            order = np.argsort(digest, kind="stable")
+            seat = np.zeros(len(words) + 1, np.int64)
+            seat[order + 1] = np.arange(1, len(words) + 1)
+            words, times = words.take(pa.array(order)), times[order]
+            edge = np.searchsorted(((digest[order] >> np.uint64(32)) * np.uint64(self.buckets)) >> np.uint64(32), np.arange(self.buckets + 1).astype(np.uint64))
+            packed = [{"bucket": b, "packed": _pack_words(words.slice(edge[b], edge[b + 1] - edge[b]), times[edge[b] : edge[b + 1]])} for b in np.flatnonzero(np.diff(edge)).tolist()]
+            row = {"shard": number + k, "lang": lang, "n": int(times.sum()), "line": _squeezed(seat[line]), "words": packed}
+            yield pa.RecordBatch.from_arrays([pa.array([row[f.name]], f.type) for f in self.schema], schema=self.schema)
+        K.tidy()
+
+
+class Gathered:
+    """Calls solved for each bucket of rows sorted by bucket, which come first in their rows, with the rows' other values."""
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, rows = None, []
+        for batch in batches:
+            for bucket, *row in zip(*(c.to_pylist() for c in batch.columns)):
+                if bucket != now and rows:
+                    yield from self.solved(now, rows)
+                    rows = []
+                now = bucket
+                rows.append(row)
+        if rows:
+            yield from self.solved(now, rows)
         K.tidy()
 
 
+class Words(Gathered):
+    """Of (bucket, shard, lang, packed) rows: (home, bucket, packed, words) with the numbers of the shard's words, 0 for those that aren't frequent, and with the frequent words where there is no home."""
+
+    schema = pa.schema([("home", pa.int64()), ("bucket", pa.int32()), ("packed", pa.binary()), ("words", pa.list_(pa.struct([("id", pa.int64()), ("lang", pa.string()), ("word", pa.string()), ("n", pa.int64())])))])
+
+    def __init__(self, buckets: int, least: int):
+        self.buckets, self.least = buckets, least
+
+    def solved(self, bucket: int, rows: list) -> Iterator[pa.RecordBatch]:
+        # A word is known by its language and itself, between which a blank is safe, as no word has one.
+        keyed = lambda lang, packed: pc.binary_join_element_wise(pa.scalar(lang.encode(), pa.large_binary()), _unpack_words(packed)[0], pa.scalar(b" ", pa.large_binary()))
+        keys, total = pa.array([], pa.large_binary()), np.zeros(0, np.int64)
+        for k in range(0, len(rows), 64):
+            part = rows[k : k + 64]
+            coded = pa.concat_arrays([keys, *(keyed(lang, packed) for _, lang, packed in part)]).dictionary_encode()
+            new = np.zeros(len(coded.dictionary), np.int64)
+            np.add.at(new, coded.indices.to_numpy(), np.concatenate([total, *(_unpack_words(packed)[1] for _, _, packed in part)]))
+            keys, total = coded.dictionary, new
+        often = np.flatnonzero(total >= self.least)
+        often = often[np.argsort(-total[often], kind="stable")]
+        ids = np.arange(len(often)) * self.buckets + bucket + 1
+        if len(ids) and ids[-1] >= 1 << 32:
+            raise ValueError("more than 2**32 frequent words")
+        known = keys.take(pa.array(often))
+        for home, lang, packed in rows:
+            at = pc.index_in(keyed(lang, packed), known).fill_null(-1).to_numpy()
+            yield pa.RecordBatch.from_pylist([{"home": home, "bucket": bucket, "packed": _squeezed(np.append(ids, 0)[at])}], schema=self.schema)
+        named = [(w.rpartition(b" "), i, n) for w, i, n in zip(K.strings(known), ids.tolist(), total[often].tolist())]
+        yield pa.RecordBatch.from_pylist([{"bucket": bucket, "words": [{"id": i, "lang": lang.decode(), "word": w.decode(), "n": n} for (lang, _, w), i, n in named]}], schema=self.schema)
+
+
 class Bitmaps:
     """Compressed position bitmaps of the numbers above 0 on a line.
 
@@ -199,22 +280,42 @@ def longer_phrases(line: np.ndarray, frequent: np.ndarray, longest: int) -> Iter
 
 
 def _dealt(words: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """The order of phrases by bucket and then by words, and the n + 1 bounds of the buckets in it."""
+    """The order of phrases by bucket and then by words, and the n + 1 bounds of the buckets in it.
+
+    The last word tells only roughly which bucket, so that phrases that differ
+    by it alone are often neighbours and pack well.
+    """
     h = np.zeros(len(words), np.uint64)
-    for column in words.T:
-        h = K.mix(h * np.uint64(K.BASE) + column.astype(np.uint64))
+    for k, column in enumerate(words.T):
+        h = K.mix(h * np.uint64(K.BASE) + (column >> 12 if k else column).astype(np.uint64))
     bucket = (((h >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
     order = np.lexsort((*words.T[::-1], bucket))
     return order, np.searchsorted(bucket[order], np.arange(buckets + 1))
 
 
 def _packed(words: np.ndarray, times: np.ndarray) -> bytes:
-    return squeeze(np.concatenate([*words.T, times & 0xFFFFFFFF, times >> 32]))
+    """Phrases in order and their counts: of each word the step from the one above, where all before it are the same."""
+    same, out = np.zeros(len(words), bool), []
+    same[1:] = True
+    for column in words.T:
+        step = np.diff(column, prepend=0)
+        out.append(np.where(same, step, column))
+        same &= step == 0
+    return _squeezed(*out, times & 0xFFFFFFFF, times >> 32)
 
 
 def _unpacked(b: bytes, width: int) -> tuple[np.ndarray, np.ndarray]:
     raw = unsqueeze(b).reshape(width + 2, -1)
-    return raw[:width].T, raw[width] | raw[width + 1] << 32
+    words = np.empty((raw.shape[1], width), np.int64)
+    head = np.zeros(raw.shape[1], bool)
+    head[:1] = True
+    for k in range(width):
+        first = np.flatnonzero(head)
+        total = np.cumsum(raw[k])
+        base = total[first] - raw[k][first]
+        words[:, k] = total - np.repeat(base, np.diff(np.append(first, len(head))))
+        head[1:] |= words[1:, k] != words[:-1, k]
+    return words, raw[width] | raw[width + 1] << 32
 
 
 def _messages(words: np.ndarray, times: np.ndarray, buckets: int) -> tuple[list[int], list[bytes]]:
@@ -223,31 +324,32 @@ def _messages(words: np.ndarray, times: np.ndarray, buckets: int) -> tuple[list[
     return held, [_packed(words[order[edge[k] : edge[k + 1]]], times[order[edge[k] : edge[k + 1]]]) for k in held]
 
 
-def _numbered(buckets: int):
-    """The shard's line by the words' numbers, 0 for those that aren't frequent, and its pairs by bucket."""
+def _numbered(shard: pa.Table, answers: pa.Table) -> np.ndarray:
+    """The shard's line by the words' numbers, 0 for those that aren't frequent."""
+    found = sorted(zip(answers.column("bucket").to_pylist(), answers.column("packed").to_pylist()))
+    return np.concatenate([np.zeros(1, np.int64), *(unsqueeze(b) for _, b in found)])[unsqueeze(shard.column("line")[0].as_py())]
+
 
-    def number(_key, shard: pa.Table, found: pa.Table) -> pa.Table:
-        line = unsqueeze(shard.column("line")[0].as_py())
-        ids = np.zeros(int(line.max(initial=0)) + 1, np.int64)
-        ids[found.column("seat").to_numpy() + 1] = found.column("id").to_numpy()
-        line = ids[line]
-        held, packed = _messages(*pairs(line), buckets)
-        links = pa.StructArray.from_arrays([pa.array(held, pa.int32()), pa.array(packed, pa.binary())], names=["bucket", "packed"])
-        return pa.table({"shard": shard.column("shard"), "line": pa.array([squeeze(line)], pa.binary()), "pairs": pa.ListArray.from_arrays(pa.array([0, len(held)], pa.int32()), links)})
+def _paired(buckets: int):
+    """The shard's pairs by bucket."""
 
-    return number
+    def pair(_key, shard: pa.Table, answers: pa.Table) -> pa.Table:
+        held, packed = _messages(*pairs(_numbered(shard, answers)), buckets)
+        return pa.table({"bucket": pa.array(held, pa.int32()), "shard": pa.array([shard.column("shard")[0].as_py()] * len(held), pa.int64()), "packed": pa.array(packed, pa.binary())})
+
+    return pair
 
 
 def _extended(buckets: int, longest: int):
     """The shard's phrases of 3 words and more by bucket."""
 
     def extend(_key, shard: pa.Table, answers: pa.Table) -> pa.Table:
-        line = unsqueeze(shard.column("line")[0].as_py())
+        line = _numbered(shard, answers.filter(pc.invert(answers.column("pairs"))))
         words, _ = pairs(line)
         order, edge = _dealt(words, buckets)
-        bits = dict(zip(answers.column("bucket").to_pylist(), answers.column("bits").to_pylist()))
+        bits = answers.filter(answers.column("pairs"))
         frequent = [np.zeros(0, np.int64)]
-        for k, b in bits.items():
+        for k, b in zip(bits.column("bucket").to_pylist(), bits.column("packed").to_pylist()):
             own = words[order[edge[k] : edge[k + 1]]][np.unpackbits(np.frombuffer(b, np.uint8), count=edge[k + 1] - edge[k]).astype(bool)]
             frequent.append(own[:, 0] << 32 | own[:, 1])
         out_bucket, out = [], []
@@ -260,90 +362,65 @@ def _extended(buckets: int, longest: int):
     return extend
 
 
-class Sums:
-    """(bucket, packed) of (bucket, packed) rows sorted by bucket: the phrases that occur least times in all of them."""
+def _added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct phrases of several lists, in order, and their counts in all."""
+    words, times = np.concatenate([w for w, _ in parts]), np.concatenate([t for _, t in parts])
+    order = np.lexsort(words.T[::-1])
+    words, times = words[order], times[order]
+    head = np.flatnonzero(np.append(True, (words[1:] != words[:-1]).any(axis=1))[: len(words)])
+    return words[head], np.add.reduceat(times, head) if len(head) else times
+
+
+class Sums(Gathered):
+    """Of (bucket, packed) rows: (ids, a) of the phrases of up to width words that occur least times."""
 
     def __init__(self, width: int, least: int):
         self.width, self.least = width, least
 
-    def added(self, waiting: list) -> list:
-        words, times = np.concatenate([w for w, _ in waiting]), np.concatenate([t for _, t in waiting])
-        order = np.lexsort(words.T[::-1])
-        words, times = words[order], times[order]
-        head = np.flatnonzero(np.append(True, (words[1:] != words[:-1]).any(axis=1)))
-        return [(words[head], np.add.reduceat(times, head))]
+    def total(self, rows: list) -> tuple[np.ndarray, np.ndarray]:
+        """The frequent phrases of a bucket, from rows whose last value packs some."""
+        found = (np.zeros((0, self.width), np.int64), np.zeros(0, np.int64))
+        for k in range(0, len(rows), 64):
+            found = _added([found, *(_unpacked(row[-1], self.width) for row in rows[k : k + 64])])
+        often = found[1] >= self.least
+        return found[0][often], found[1][often]
 
-    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, waiting, n = None, [], 0
+    def solved(self, bucket: int, rows: list) -> Iterator[pa.RecordBatch]:
+        words, times = self.total(rows)
+        size = (words > 0).sum(axis=1)
+        ids = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size)), pa.int32()), pa.array(words[words > 0], pa.int64()))
+        yield pa.RecordBatch.from_arrays([ids, pa.array(times, pa.int64())], names=["ids", "a"])
 
-        def row() -> pa.RecordBatch:
-            words, times = self.added(waiting)[0]
-            often = times >= self.least
-            return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([_packed(words[often], times[often])], pa.binary())], names=["bucket", "packed"])
-
-        for batch in batches:
-            for bucket, packed in zip(batch.column(0).to_pylist(), batch.column(1)):
-                if bucket != now:
-                    if waiting:
-                        yield row()
-                    now, waiting, n = bucket, [], 0
-                waiting.append(_unpacked(packed.as_buffer(), self.width))
-                n += len(waiting[-1][0])
-                if n > (1 << 20) + 2 * len(waiting[0][0]):
-                    waiting, n = self.added(waiting), 0
-        if waiting:
-            yield row()
-        K.tidy()
 
+class Pairs(Sums):
+    """Of (bucket, shard, packed) rows: (home, bucket, packed) that say which of the shard's pairs are frequent; without a home, the frequent pairs."""
 
-class Answers:
-    """(home, bucket, bits) for the (bucket, shard, packed) rows with a shard: which of its pairs are in the row without one, the first of a bucket."""
+    def __init__(self, least: int):
+        super().__init__(2, least)
 
-    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for bucket, shard, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                words, _ = _unpacked(packed.as_buffer(), 2)
-                code = words[:, 0] << 32 | words[:, 1]
-                if shard is None:
-                    known = code
-                    continue
-                at = np.minimum(np.searchsorted(known, code), max(len(known) - 1, 0))
-                bits = np.packbits(known[at] == code).tobytes() if len(known) else bytes((len(code) + 7) // 8)
-                yield pa.RecordBatch.from_arrays([pa.array([shard]), pa.array([bucket], pa.int32()), pa.array([bits], pa.binary())], names=["home", "bucket", "bits"])
-        K.tidy()
+    def solved(self, bucket: int, rows: list) -> Iterator[pa.RecordBatch]:
+        words, times = self.total(rows)
+        known = words[:, 0] << 32 | words[:, 1]
+        out = [(None, _packed(words, times))]
+        for home, packed in rows:
+            own, _ = _unpacked(packed, 2)
+            code = own[:, 0] << 32 | own[:, 1]
+            at = np.minimum(np.searchsorted(known, code), max(len(known) - 1, 0))
+            out.append((home, np.packbits(known[at] == code if len(known) else np.zeros(len(code), bool)).tobytes()))
+        yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in out], pa.int64()), pa.array([bucket] * len(out), pa.int32()), pa.array([p for _, p in out], pa.binary())], names=["home", "bucket", "packed"])
 
 
 class Phrases:
-    """(ids, a) of the phrases in (bucket, packed) rows."""
-
-    def __init__(self, width: int):
-        self.width = width
+    """(ids, a) of the pairs in (bucket, packed) rows."""
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for packed in batch.column(1):
-                words, times = _unpacked(packed.as_buffer(), self.width)
-                size = (words > 0).sum(axis=1)
-                ids = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size)), pa.int32()), pa.array(words[words > 0], pa.int64()))
+                words, times = _unpacked(packed.as_buffer(), 2)
+                ids = pa.ListArray.from_arrays(pa.array(np.arange(0, 2 * len(words) + 1, 2), pa.int32()), pa.array(words.ravel(), pa.int64()))
                 yield pa.RecordBatch.from_arrays([ids, pa.array(times, pa.int64())], names=["ids", "a"])
 
 
-def _with_numbers(words: DataFrame) -> DataFrame:
-    """The rows with a column id, numbers from 1 without gaps."""
-    spark = words.sparkSession
-    words = written(words.withColumn("part", F.spark_partition_id()), "frequent-words")
-    parts = sorted((r["part"], r["count"]) for r in words.groupBy("part").count().collect())  # a row for each partition
-    first, rows = 1, []
-    for part, n in parts:
-        rows.append((part, first))
-        first += n
-    if first > 1 << 32:
-        raise ValueError("more than 2**32 frequent words")
-    offsets = spark.createDataFrame(rows, "part int, first bigint")
-    place = F.row_number().over(Window.partitionBy("part").orderBy("lang", "word"))
-    return words.join(F.broadcast(offsets), "part").select((F.col("first") + place - 1).alias("id"), "lang", "word", "n")
-
-
 def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, lang_col: str = "lang", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
     """The phrases that occur least times in a language, as (ids, a); the words, as (id, lang, word, n); all occurrences, as (lang, n)."""
     if not 2 <= longest:
@@ -352,24 +429,22 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST
     bounded(spark)
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.coalesce(F.col(lang_col), F.lit("und")).alias("lang"), F.col(text_col).alias("text"))
-    shards = written(rows.mapInArrow(Shards(), "shard bigint, lang string, n bigint, line binary, words array<struct<word:string,n:bigint>>"), "phrase-shards")
+    buckets = max(width, (rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BUCKET_BYTES)
+    packed = "array<struct<bucket:int,packed:binary>>"
+    shards = written(rows.mapInArrow(Shards(buckets), f"shard bigint, lang string, n bigint, line binary, words {packed}"), "phrase-shards")
     langs = written(shards.groupBy("lang").agg(F.sum("n").alias("n")), "phrase-langs")
-    buckets = max(width, (langs.agg(F.sum("n")).first()[0] or 0) // BUCKET_WORDS)
-    held = shards.select("shard", "lang", F.posexplode("words").alias("seat", "w")).select("shard", "lang", "seat", "w.word", "w.n")
-    often = held.groupBy("lang", "word").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    words = written(_with_numbers(often), "phrase-words")
-    found = held.join(words.select("lang", "word", "id"), ["lang", "word"]).select(F.col("shard").alias("home"), "seat", "id")
-    lines = shards.select("shard", "line").groupBy("shard").cogroup(found.groupBy("home"))
-    lines = written(lines.applyInArrow(_numbered(buckets), "shard bigint, line binary, pairs array<struct<bucket:int,packed:binary>>"), "phrase-pairs")
-    messages = lines.select("shard", F.explode("pairs").alias("p")).select("p.bucket", "shard", "p.packed")
-    dealt = lambda df, *by: df.repartition(width, "bucket").sortWithinPartitions("bucket", *by)
-    two = written(dealt(messages.select("bucket", "packed")).mapInArrow(Sums(2, least), "bucket int, packed binary"), "phrase-sums")
-    both = messages.union(two.select("bucket", F.lit(None).cast("bigint"), "packed"))
-    answers = dealt(both, F.col("shard").asc_nulls_first()).mapInArrow(Answers(), "home bigint, bucket int, bits binary")
-    phrases = two.mapInArrow(Phrases(2), "ids array<bigint>, a bigint")
+    dealt = lambda df: df.repartition(width, "bucket").sortWithinPartitions("bucket")
+    held = shards.select("shard", "lang", F.explode("words").alias("w")).select("w.bucket", "shard", "lang", "w.packed")
+    found = written(dealt(held).mapInArrow(Words(buckets, least), "home bigint, bucket int, packed binary, words array<struct<id:bigint,lang:string,word:string,n:bigint>>"), "phrase-words")
+    words = found.where("home IS NULL").select(F.explode("words").alias("w")).select("w.id", "w.lang", "w.word", "w.n")
+    numbers, lines = found.where("home IS NOT NULL").select("home", "bucket", "packed"), shards.select("shard", "line").groupBy("shard")
+    both = lines.cogroup(numbers.groupBy("home")).applyInArrow(_paired(buckets), "bucket int, shard bigint, packed binary")
+    two = written(dealt(both).mapInArrow(Pairs(least), "home bigint, bucket int, packed binary"), "phrase-pairs")
+    phrases = two.where("home IS NULL").select("bucket", "packed").mapInArrow(Phrases(), "ids array<bigint>, a bigint")
     if longest > 2:
-        more = lines.select("shard", "line").groupBy("shard").cogroup(answers.groupBy("home")).applyInArrow(_extended(buckets, longest), "bucket int, packed binary")
-        phrases = phrases.union(dealt(more).mapInArrow(Sums(longest, least), "bucket int, packed binary").mapInArrow(Phrases(longest), "ids array<bigint>, a bigint"))
+        answers = numbers.withColumn("pairs", F.lit(False)).union(two.where("home IS NOT NULL").withColumn("pairs", F.lit(True)))
+        more = lines.cogroup(answers.groupBy("home")).applyInArrow(_extended(buckets, longest), "bucket int, packed binary")
+        phrases = phrases.union(dealt(more).mapInArrow(Sums(longest, least), "ids array<bigint>, a bigint"))
     return written(phrases, "phrases"), words, langs
 
 
