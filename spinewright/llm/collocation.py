@@ -36,9 +36,9 @@ from .shared import bounded, written
 from .tokens import unsqueeze
 
 #: Bytes of text in a shard, unless one text is longer, and for each bucket of words or phrases that are added up.
-SHARD_BYTES, BUCKET_BYTES = 32 << 20, 24 << 20
+SHARD_BYTES, BUCKET_BYTES = 16 << 20, 24 << 20
 #: Bytes of bitmaps that are extended at once.
-AT_ONCE = 1 << 18
+AT_ONCE = 1 << 17
 LEAST, LONGEST, TOP = 100, 5, 2000
 #: Between pieces: ``[.,;:!?\x0A-\x0D]``; between words also ``[\x20\x09]``.
 _PIECE = K.byte_set((0x0A, 0x0D))
