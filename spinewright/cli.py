@@ -7,12 +7,13 @@ import os
 import sys
 from dataclasses import dataclass
 
-from pyspark.sql import SparkSession
+from pyspark.sql import Row, SparkSession
 
 from . import report
-from .executor import apply
-from .plans.organise import book_dedup, counters, plan, with_destination
-from .sources.files import read_library, read_listing
+from .executor import Journal, apply
+from .operators.running import counted, cut, release
+from .plans.organise import book_dedup, counts, plan, with_destination
+from .sources.files import list_claimed, read_library
 
 
 @dataclass(frozen=True)
@@ -26,6 +27,7 @@ class Config:
     book_dedup: bool = False
     show_quality: bool = False
     workers: int = 0
+    journal: str = ""
 
 
 def parse(argv: list[str] | None = None) -> Config:
@@ -39,6 +41,7 @@ def parse(argv: list[str] | None = None) -> Config:
     p.add_argument("--book-dedup", action="store_true", help="keep one edition of each book")
     p.add_argument("--show-quality", action="store_true", help="log stream properties")
     p.add_argument("--workers", type=int, default=0, help="partitions to read by (0: as many as cores, 16 at most)")
+    p.add_argument("--journal", default="", help="a folder; a live run that was stopped goes on from what is in it")
     return Config(**vars(p.parse_args(argv)))
 
 
@@ -49,31 +52,38 @@ def organise(spark: SparkSession, config: Config, log=print):
     if not os.path.isdir(config.source):
         log(f"ERROR: source not found: {config.source}")
         sys.exit(1)
-    files = read_library(spark, config.source, config.workers or min(os.cpu_count() or 4, 16)).persist()
+    dest, source = os.path.normpath(os.path.abspath(config.dest)), os.path.abspath(config.source)
+    if config.journal and not config.dry_run and Journal(config.journal).exists():
+        log("Going on with the run that was stopped")
+        return apply(None, source, dest, config.dupes, False, config.covers, log, config.journal), None
+    kept: list[str] = []
+    files = cut(read_library(spark, config.source, config.workers or min(os.cpu_count() or 4, 16)).drop("fp", "cover"), kept)
     total = files.count()
     log(f"Found {total} audio file(s)")
     if not total:
+        release(kept)
         return None
-    dest = os.path.normpath(os.path.abspath(config.dest))
     dedup = book_dedup(files) if config.book_dedup else None
     if dedup:
-        for r in report.intra_lines(dedup.intra, dedup.editions).orderBy("edition_dir", "kept").toLocalIterator():
-            log(r.line)
-        for r in report.decision_lines(dedup.rank, dedup.decisions).orderBy("group_author", "group_book").toLocalIterator():
-            log(r.line)
+        for heading, lines, order in (
+            (report.intra_heading(dedup.intra), report.intra_lines(dedup.intra, dedup.editions), ("edition_dir", "kept")),
+            (report.decision_heading(dedup.rank), report.decision_lines(dedup.rank, dedup.decisions), ("group_author", "group_book")),
+        ):
+            log(heading)
+            for r in lines.orderBy(*order).toLocalIterator():
+                log(r.line)
     placed = with_destination(files, dest)
-    planned = plan(files, read_listing(spark, dest, placed), dest, dedup).persist()
+    groups = dedup.rank.where("rank = 1").count() if dedup else 0
+    planned, found = counted(plan(files, list_claimed(spark, dest, placed), dest, dedup), counts(groups), kept)
     for r in report.file_lines(placed, config.show_quality).orderBy("path").toLocalIterator():
         log(r.line)
-    counts = counters(planned, dedup).first()
-    done = apply(planned, os.path.abspath(config.source), dest, config.dupes, config.dry_run, config.covers, log)
-    for line in report.summary(done, counts, config):
+    done = apply(planned, source, dest, config.dupes, config.dry_run, config.covers, log, config.journal or None)
+    for line in report.summary(done, found, config):
         log(line)
-    for kept in (planned, files):
-        kept.unpersist()
+    release(kept)
     if dedup:
         dedup.release()
-    return done, counts
+    return done, Row(**found)
 
 
 def main(argv: list[str] | None = None) -> None:

@@ -1,12 +1,20 @@
-"""Carries a plan out, on the driver: tasks that are run again would move files twice."""
+"""Carries a plan out, on the driver: tasks that are run again would move files twice.
+
+With a journal, a run that was stopped goes on where it was: the plan is kept
+beside a log of what is done, since a plan made anew would see what had been
+moved and decide otherwise.
+"""
 
 from __future__ import annotations
 
+import json
 import os
 import shutil
-from collections.abc import Callable
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator
+from dataclasses import asdict, dataclass
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 
 from .sources import tags
@@ -49,37 +57,141 @@ def write_cover(source: str, folder: str) -> bool:
         return False
 
 
-def apply(plan: DataFrame, source: str, dest: str, dupes: str, dry_run: bool = True, covers: bool = True, log: Callable[[str], None] = lambda line: None) -> Done:
-    """Go through the plan in the order of paths; rows come one by one. Nothing is ever overwritten."""
-    done = Done()
-    for r in plan.orderBy("path").toLocalIterator():
-        if r.outcome in ("in_place", "existing_duplicate"):
-            done.skipped += 1
-            continue
-        if r.outcome in QUARANTINE:
-            to = os.path.join(dupes, os.path.relpath(r.path, source))
-            log(f"QUARANTINE ({QUARANTINE[r.outcome]}): {r.path} -> {to}")
-            done.quarantined += 1
+PLAN_COLUMNS = ("path", "no_meta", "outcome", "final", "error")
+
+
+class Journal:
+    """A plan and how far it is carried out, in a folder.
+
+    The plan is there in whole or not at all. A line is written before a file is
+    moved and one after, so that at most one move is in doubt when a run stops.
+    """
+
+    def __init__(self, folder: str):
+        self.plan, self.log = os.path.join(folder, "plan.parquet"), os.path.join(folder, "done.jsonl")
+        os.makedirs(folder, exist_ok=True)
+
+    def exists(self) -> bool:
+        """Whether a run was begun and not finished."""
+        return os.path.exists(self.plan)
+
+    def begin(self, rows: Iterator) -> None:
+        schema = pa.schema([(c, pa.bool_() if c == "no_meta" else pa.string()) for c in PLAN_COLUMNS])
+        with pq.ParquetWriter(self.plan + ".part", schema) as out:
+            held: list[dict] = []
+            for r in rows:
+                held.append({c: r[c] for c in PLAN_COLUMNS})
+                if len(held) == 10_000:
+                    out.write_table(pa.Table.from_pylist(held, schema))
+                    held = []
+            out.write_table(pa.Table.from_pylist(held, schema))
+        os.replace(self.plan + ".part", self.plan)
+
+    def rows(self) -> Iterator[dict]:
+        for batch in pq.ParquetFile(self.plan).iter_batches(10_000):
+            yield from batch.to_pylist()
+
+    def resume(self) -> tuple[int, Done, tuple[str, str] | None]:
+        """How many rows are finished, what was done in them, and the move that was in doubt."""
+        n, done, doubt = 0, Done(), None
+        if os.path.exists(self.log):
+            with open(self.log, encoding="utf-8") as f:
+                for line in f:
+                    if not line.endswith("\n"):  # the run stopped within it
+                        break
+                    r = json.loads(line)
+                    if "to" in r:
+                        doubt = r["path"], r["to"]
+                    else:
+                        n, done, doubt = r["row"], Done(**r["done"]), None
+        return n, done, doubt
+
+    def write(self, **row) -> None:
+        with open(self.log, "a", encoding="utf-8") as f:
+            f.write(json.dumps(row) + "\n")
+            f.flush()
+            os.fsync(f.fileno())
+
+    def end(self) -> None:
+        """The run is finished: a later one makes its own plan."""
+        for path in (self.plan, self.log):
+            if os.path.exists(path):
+                os.remove(path)
+
+
+def _settle(path: str, to: str) -> bool:
+    """Whether a move in doubt had ended; what it had begun is undone if it hadn't."""
+    if not os.path.exists(path):
+        return os.path.exists(to)
+    if os.path.exists(to):  # copied in part or whole, and the source still there
+        os.remove(to)
+    return False
+
+
+def apply(plan: DataFrame | None, source: str, dest: str, dupes: str, dry_run: bool = True, covers: bool = True, log: Callable[[str], None] = lambda line: None, journal: str | None = None) -> Done:
+    """Go through the plan in the order of paths; rows come one by one. Nothing is ever overwritten.
+
+    journal: a folder for what is needed to go on after a stop; a plan that is
+    in there goes on, and plan isn't looked at.
+    """
+    done, begun, doubt, kept = Done(), 0, None, None
+    if journal and not dry_run:
+        kept = Journal(journal)
+        if kept.exists():
+            begun, done, doubt = kept.resume()
         else:
-            to = r.final
-            log(f"{'[DRY RUN] ' if dry_run else ''}{r.path} -> {to}")
-            if not safe(to, dest):
-                log(f"FAILED: {to} is outside {dest}")
-                done.failed += 1
-                continue
-            done.moved += dry_run
-        if dry_run:
+            kept.begin(plan.select(*PLAN_COLUMNS).orderBy("path").toLocalIterator())
+        rows = kept.rows()
+    else:
+        rows = plan.select(*PLAN_COLUMNS).orderBy("path").toLocalIterator()
+    for n, r in enumerate(rows, 1):
+        if n <= begun:
             continue
-        try:
-            os.makedirs(os.path.dirname(to), exist_ok=True)
+        _carry_out(r, done, source, dest, dupes, dry_run, covers, log, kept, doubt)
+        doubt = None
+        if kept:
+            kept.write(row=n, done=asdict(done))
+    if kept:
+        kept.end()
+    return done
+
+
+def _carry_out(r, done: Done, source: str, dest: str, dupes: str, dry_run: bool, covers: bool, log: Callable[[str], None], journal: Journal | None, doubt: tuple[str, str] | None) -> None:
+    """One row of a plan."""
+    path = r["path"]
+    if r["outcome"] in ("in_place", "existing_duplicate"):
+        done.skipped += 1
+        return
+    if r["outcome"] == "failed":
+        log(f"ERROR processing {path}: {r['error']}")
+        done.failed += 1
+        return
+    if r["outcome"] in QUARANTINE:
+        to = os.path.join(dupes, os.path.relpath(path, source))
+        log(f"QUARANTINE ({QUARANTINE[r['outcome']]}): {path} -> {to}")
+        done.quarantined += 1
+    else:
+        to = r["final"]
+        log(f"{'[DRY RUN] ' if dry_run else ''}{path} -> {to}")
+        if not safe(to, dest):
+            log(f"FAILED: {to} is outside {dest}")
+            done.failed += 1
+            return
+        done.moved += dry_run
+    if dry_run:
+        return
+    try:
+        if doubt != (path, to) or not _settle(path, to):
             if os.path.exists(to):
                 raise OSError(f"{to} exists")
-            shutil.move(r.path, to)
-            if r.outcome == "move":
-                done.moved += 1
-                done.no_meta += r.no_meta
-                done.covers += covers and write_cover(to, os.path.dirname(to))
-        except OSError as e:
-            log(f"FAILED: {e}")
-            done.failed += 1
-    return done
+            os.makedirs(os.path.dirname(to), exist_ok=True)
+            if journal:
+                journal.write(path=path, to=to)
+            shutil.move(path, to)
+        if r["outcome"] == "move":
+            done.moved += 1
+            done.no_meta += r["no_meta"]
+            done.covers += covers and write_cover(to, os.path.dirname(to))
+    except OSError as e:
+        log(f"FAILED: {e}")
+        done.failed += 1

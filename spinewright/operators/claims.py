@@ -31,6 +31,12 @@ def _split(dest):
     return F.substr(dest, F.lit(1), F.length(dest) - F.length(ext)), ext
 
 
+def family(dest: Column) -> Column:
+    """What the names have in common that a rename can lead to from each other: all but the numbers behind the stem."""
+    base, suffix = _split(dest)
+    return F.concat(F.regexp_replace(base, r"(\.\d+)+$", ""), suffix)
+
+
 def _free(base: str, ext: str, taken, numbers: dict) -> str:
     """The first free name; names are never freed, so that the search goes on where the last one for this base ended."""
     n = numbers.get((base, ext), 2)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.paths import infer_from_filename, infer_from_path
 from ..functions.text import normalise_author, normalise_book, or_empty
+from .running import cut
 
 #: An edition is known by its folder and the keys of its files' own tags.
 EDITION = ("edition_dir", "tag_author_key", "tag_book_key")
@@ -47,6 +48,8 @@ def editions(keyed: DataFrame) -> DataFrame:
         (F.col("micros") / MICRO).alias("total_duration"), F.floor(F.col("bitrate") / F.col("file_count")).cast("bigint").alias("avg_bitrate"), "file_count", "total_size", "first_path", F.col("first.folder").alias("folder"), F.col("first.name").alias("first_name"),
     )
     out = out.withColumns({"group_author": normalise_author(F.col("author")), "group_book": normalise_book(F.col("book"))})
+    # Names are folded once; what follows looks at the keys twice.
+    out = cut(out)
     blank = (F.col("group_author") == "") & (F.col("group_book") == "")
     # One row, which is nulls if no edition is blank.
     began = F.min("first_path").over(Window.partitionBy("edition_dir"))

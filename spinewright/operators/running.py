@@ -2,28 +2,66 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructType
 
+_cut: dict[str, SparkSession] = {}
 
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows from a checkpoint in the folder that the cluster shares; a local session without one, as in tests, gets a folder of its own."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            folder = "file://" + tempfile.mkdtemp(prefix="spinewright-")
-        sc.setCheckpointDir(folder)
-    return df.checkpoint()
+
+def _folder(spark: SparkSession) -> str:
+    """The folder that the cluster shares; a local session without one, as in tests, gets a folder of its own."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
+    if not folder and not sc.getCheckpointDir():
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="spinewright-"))
+    return (folder or sc.getCheckpointDir()).rstrip("/")
+
+
+def cut(df: DataFrame, kept: list[str] | None = None) -> DataFrame:
+    """The same rows from a table in the shared folder, which is gone when the application ends, or when kept, to which its path is added, is released."""
+    spark = df.sparkSession
+    path = f"{_folder(spark)}/spinewright-plans/{uuid.uuid4().hex}"
+    _cut[path] = spark
+    if kept is not None:
+        kept.append(path)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def release(paths: list[str]) -> None:
+    """Delete tables that cut wrote."""
+    for path in paths:
+        spark = _cut.pop(path, None)
+        if spark is not None and spark.sparkContext._jsc is not None:
+            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    paths.clear()
+
+
+@atexit.register
+def _release_all() -> None:
+    try:
+        release(list(_cut))
+    except Exception:  # the session has gone; the folder is the cluster's to clear
+        return
+
+
+def counted(df: DataFrame, counts: dict, kept: list[str] | None = None) -> tuple[DataFrame, dict]:
+    """cut(df) and the values of the aggregates in counts, by name, which are taken while it is written."""
+    seen = Observation()
+    out = cut(df.observe(seen, *(c.alias(k) for k, c in counts.items())), kept)
+    return out, seen.get
 
 
 class Running:

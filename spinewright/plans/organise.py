@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,8 +12,10 @@ from ..operators.claims import claims
 from ..operators.intra import clusters, intra_duplicates
 from ..operators.inventory import editions, recalculated, with_edition
 from ..operators.ranking import cross_quarantine, ranked, reasons
+from ..operators.running import cut, release
+from ..sources.files import fingerprinted, met
 
-OUTCOMES = ("move", "in_place", "existing_duplicate", "duplicate", "intra", "cross")
+OUTCOMES = ("move", "in_place", "existing_duplicate", "duplicate", "intra", "cross", "failed")
 
 
 @dataclass(frozen=True)
@@ -25,28 +27,29 @@ class BookDedup:
     intra: DataFrame
     rank: DataFrame
     cross: DataFrame
+    kept: list[str] = field(default_factory=list)
 
     @property
     def decisions(self) -> DataFrame:
         return reasons(self.rank)
 
     def release(self) -> None:
-        """Let go of what is kept, once no plan needs it any more."""
-        for kept in (self.keyed, self.editions, self.intra, self.rank, self.cross):
-            kept.unpersist()
+        """Delete what is kept, once no plan needs it any more."""
+        release(self.kept)
 
 
 def book_dedup(files: DataFrame) -> BookDedup:
     """Copies within editions first, then competing editions on what is left.
 
-    Each step is used several times below it, and so kept: without that, tags
-    would be resolved and folded anew for every use.
+    Each step is used several times below it, and so written: without that, tags
+    would be resolved and folded anew for every use, and plans would grow.
     """
-    keyed = with_edition(files).persist()
-    known = editions(keyed).persist()
-    intra = intra_duplicates(clusters(keyed, known)).persist()
-    rank = ranked(recalculated(known, keyed, intra)).persist()
-    return BookDedup(keyed, known, intra, rank, cross_quarantine(rank, keyed, intra).persist())
+    kept: list[str] = []
+    keyed = cut(with_edition(files), kept)
+    known = cut(editions(keyed), kept)
+    intra = cut(intra_duplicates(clusters(keyed, known)), kept)
+    rank = cut(ranked(recalculated(known, keyed, intra)), kept)
+    return BookDedup(keyed, known, intra, rank, cut(cross_quarantine(rank, keyed, intra), kept), kept)
 
 
 def with_destination(files: DataFrame, root: str) -> DataFrame:
@@ -55,12 +58,19 @@ def with_destination(files: DataFrame, root: str) -> DataFrame:
 
 
 def plan(files: DataFrame, listing: DataFrame, root: str, dedup: BookDedup | None = None) -> DataFrame:
-    """(path, dest_file, no_meta, outcome, final) of each file; final: where it ends up if it moves to the library.
+    """(path, dest_file, no_meta, outcome, final, error) of each file; final: where it ends up if it moves to the library.
 
     Files kept out within or between editions never claim a destination, and
-    neither do files that are in place already.
+    neither do files that are in place already, or that fail: those with an
+    error, where files have that column. All others go on.
+
+    listing: (dest, disk_fp) of what is there. Where it has (dest, size)
+    instead, fingerprints are taken only of files that may be equal to another.
     """
-    left = with_destination(files, root).select("path", "dest_file", "no_meta", "fp").persist()
+    lazy = "disk_fp" not in listing.columns
+    placed = with_destination(files, root)
+    error = F.col("error") if "error" in files.columns else F.lit(None).cast("string")
+    left = cut(placed.select("path", "dest_file", "no_meta", "size" if lazy else "fp", error.alias("error")))
     parts = []
     if dedup:
         for outcome, paths in (("intra", dedup.intra), ("cross", dedup.cross)):
@@ -70,20 +80,34 @@ def plan(files: DataFrame, listing: DataFrame, root: str, dedup: BookDedup | Non
     there = F.col("path") == F.col("dest_file")
     parts.append(left.where(there).withColumn("outcome", F.lit("in_place")))
     left = left.where(~there)
+    if lazy:
+        listing = cut(listing)
+        left = cut(fingerprinted(left, listing))
+        listing = met(listing, left)
+    parts.append(left.where(F.col("error").isNotNull()).withColumn("outcome", F.lit("failed")))
+    left = left.where(F.col("error").isNull())
     done = claims(left, listing).select(F.col("path").alias("p"), "action", "final")
     outcome = F.when(F.col("action") == "proceed", "move").when(F.col("action") == "skip", "existing_duplicate").otherwise("duplicate")
-    out = left.join(done, F.col("path") == F.col("p")).select("path", "dest_file", "no_meta", outcome.alias("outcome"), F.when(F.col("action") == "proceed", F.col("final")).alias("final"))
+    out = left.join(done, F.col("path") == F.col("p")).select("path", "dest_file", "no_meta", outcome.alias("outcome"), F.when(F.col("action") == "proceed", F.col("final")).alias("final"), "error")
     for part in parts:
-        out = out.unionByName(part.drop("fp"), allowMissingColumns=True)
+        out = out.unionByName(part.drop("fp", "size"), allowMissingColumns=True)
     return out
 
 
-def counters(planned: DataFrame, dedup: BookDedup | None = None) -> DataFrame:
-    """One row of counts, as a run reports them; book_dedup_groups: books of which one edition of several stays."""
-    groups = dedup.rank.where(F.col("rank") == 1).count() if dedup else 0
+def counts(groups: int = 0) -> dict:
+    """The aggregates of a plan that a run reports, by name; groups: books of which one edition of several stays."""
     is_ = lambda *names: F.count_if(F.col("outcome").isin(*names))
-    out = planned.agg(
-        F.count("*").alias("files"), is_("move").alias("moved"), is_("in_place", "existing_duplicate").alias("skipped"), is_("duplicate", "existing_duplicate").alias("dupe"), F.count_if((F.col("outcome") == "move") & (F.col("final") != F.col("dest_file"))).alias("conflict"),
-        is_("intra").alias("intra_dedup"), is_("cross").alias("book_dedup"), F.lit(groups).cast("bigint").alias("book_dedup_groups"), F.count_if((F.col("outcome") == "move") & F.col("no_meta")).alias("no_meta"),
-    )
-    return out
+    return {
+        "files": F.count("*"), "moved": is_("move"), "skipped": is_("in_place", "existing_duplicate"), "dupe": is_("duplicate", "existing_duplicate"), "conflict": F.count_if((F.col("outcome") == "move") & (F.col("final") != F.col("dest_file"))),
+        "intra_dedup": is_("intra"), "book_dedup": is_("cross"), "book_dedup_groups": F.max(F.lit(groups).cast("bigint")), "failed": is_("failed"), "no_meta": F.count_if((F.col("outcome") == "move") & F.col("no_meta")),
+    }
+
+
+def counters(planned: DataFrame, dedup: BookDedup | None = None) -> DataFrame:
+    """One row of counts, as a run reports them."""
+    out = planned.agg(*(c.alias(k) for k, c in counts().items()))
+    if dedup is None:
+        return out.na.fill(0)
+    # Both sides are one row.
+    groups = dedup.rank.where("rank = 1").agg(F.count("*").alias("groups"))
+    return out.crossJoin(F.broadcast(groups)).withColumn("book_dedup_groups", F.col("groups")).drop("groups")

@@ -12,6 +12,7 @@ from ..operators.claims import claims
 from ..operators.intra import clusters, intra_duplicates
 from ..operators.inventory import EDITION, editions, recalculated, with_edition
 from ..operators.ranking import ranked
+from ..operators.running import cut
 from .organise import book_dedup, counters, plan
 from .virtual import LIBRARY, ROOT, library
 
@@ -25,26 +26,29 @@ def _made_tag(n: int) -> str:
     return f"CASE WHEN (h * {n + 1}) % 11 >= 3 THEN NULL WHEN (h + {n}) % 5 = 0 THEN '  ' ELSE ' ' || CAST((h + {n}) % 40 AS STRING) || '/{n} ' END"
 
 
-def audio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Files with an audio extension and their fields."""
-    files = library(spark, sf_dir).withColumn("ext", T.extension(F.col("name"))).where(F.col("ext").isin(*EXTENSIONS))
+def audio(spark: SparkSession, sf_dir: str, errors: bool = False) -> DataFrame:
+    """Files with an audio extension and their fields; errors: with those that can't be read."""
+    files = library(spark, sf_dir)
+    files = files if errors else files.drop("error")
+    files = files.withColumn("ext", T.extension(F.col("name"))).where(F.col("ext").isin(*EXTENSIONS))
     tags = F.create_map(*(x for k, c in TAGS.items() for x in (F.lit(k), F.col(c))))
-    return files.withColumn("tags", tags).withColumns(resolve(F.col("tags"))).persist()
+    return files.withColumn("tags", tags).withColumns(resolve(F.col("tags")))
 
 
 def listing(files: DataFrame) -> DataFrame:
     """What is said to be in the library already: some of the destinations, and some numbered names."""
-    return plan_files(files).where(F.col("e") % 17 == 0).groupBy(F.col("dest_file").alias("dest")).agg(F.min("fp").alias("disk_fp"))
+    placed = files if "dest_file" in files.columns else plan_files(files)
+    return placed.where(F.col("e") % 17 == 0).groupBy(F.col("dest_file").alias("dest")).agg(F.min("fp").alias("disk_fp"))
 
 
 def plan_files(files: DataFrame) -> DataFrame:
     from .organise import with_destination
 
-    return with_destination(files, "/out").persist()
+    return with_destination(files, "/out")
 
 
 def keyed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return with_edition(audio(spark, sf_dir)).persist()
+    return with_edition(audio(spark, sf_dir))
 
 
 def ext_filter_scan(spark, d):
@@ -113,8 +117,8 @@ def edition_inventory(spark, d):
 
 
 def _clusters(spark, d):
-    keyed = keyed_files(spark, d)
-    return clusters(keyed, editions(keyed)).persist()
+    keyed = cut(keyed_files(spark, d))
+    return clusters(keyed, editions(keyed))
 
 
 def intra_cluster(spark, d):
@@ -128,8 +132,8 @@ def intra_duplicate_files(spark, d):
 
 
 def edition_stats_recalc(spark, d):
-    keyed = keyed_files(spark, d)
-    known = editions(keyed).persist()
+    keyed = cut(keyed_files(spark, d))
+    known = cut(editions(keyed))
     new = recalculated(known, keyed, intra_duplicates(clusters(keyed, known)))
     return new.select(*EDITION, "format", "file_count", "avg_bitrate", F.round("total_duration", 3).alias("total_duration"), "total_size")
 
@@ -157,8 +161,8 @@ def kept_files(spark, d):
 
 
 def _claims(spark, d):
-    files = audio(spark, d)
-    return claims(plan_files(files), listing(files))
+    files = cut(plan_files(audio(spark, d)))
+    return claims(files, listing(files))
 
 
 def claim_window(spark, d):
@@ -190,20 +194,26 @@ def edition_summary(spark, d):
 
 
 def organise_plan(spark, d):
-    files = audio(spark, d)
+    files = cut(audio(spark, d))
     return plan(files, listing(files), "/out", book_dedup(files)).select("path", "dest_file", "no_meta", "outcome", "final")
 
 
+def organise_errors(spark, d):
+    """The plan of all audio files, some of which can't be read: they fail, and the others go on."""
+    files = cut(audio(spark, d, errors=True))
+    return plan(files, listing(files), "/out", book_dedup(files)).select("path", "dest_file", "no_meta", "outcome", "final", "error")
+
+
 def run_counters(spark, d):
-    """Counters of all audio files, those kept out within and between editions included."""
-    files = audio(spark, d)
+    """Counters of all audio files, those kept out within and between editions and those that can't be read included."""
+    files = cut(audio(spark, d, errors=True))
     dedup = book_dedup(files)
     return counters(plan(files, listing(files), "/out", dedup), dedup)
 
 
 def organise_again(spark, d):
     """The plan where every other destination's first file is there already, under its own path."""
-    files = plan_files(audio(spark, d))
+    files = cut(plan_files(audio(spark, d)))
     first = F.row_number().over(Window.partitionBy("dest_file").orderBy("path")) == 1
     files = files.withColumn("path", F.when(first & (F.col("e") % 2 == 0), F.col("dest_file")).otherwise(F.col("path")))
     there = files.where(F.col("path") == F.col("dest_file")).select(F.col("dest_file").alias("dest"), F.col("fp").alias("disk_fp"))
@@ -214,7 +224,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         edition_score_rank, ext_filter_scan, tag_chain_coalesce, tag_chain_order, parse_int_leading, sanitise_component, prefix_strip, normalise_author_key, normalise_book_key, accent_fold, infer_path, infer_filename, build_dest, fingerprint_text,
-        edition_inventory, intra_cluster, intra_duplicate_files, edition_stats_recalc, edition_reason, cross_quarantine_files, kept_files, claim_window, claim_family, format_duration, format_quality, edition_summary, organise_plan, organise_again, run_counters,
+        edition_inventory, intra_cluster, intra_duplicate_files, edition_stats_recalc, edition_reason, cross_quarantine_files, kept_files, claim_window, claim_family, format_duration, format_quality, edition_summary, organise_plan, organise_errors, organise_again, run_counters,
     )
 }
 
@@ -357,15 +367,20 @@ claimed AS (SELECT path, dest_file, action, final FROM steps WHERE rn > 0)"""
 _THERE = ", there AS (SELECT dest_file, any_value(ext) AS ext, min(fp) AS disk_fp FROM dest WHERE e % 17 = 0 GROUP BY dest_file)"
 CLAIMED = DEST.replace("WITH lib", "WITH RECURSIVE lib", 1) + _THERE + _fold("dest", "there")
 _OUTCOME = "CASE action WHEN 'proceed' THEN 'move' WHEN 'skip' THEN 'existing_duplicate' ELSE 'duplicate' END AS outcome, CASE WHEN action = 'proceed' THEN final END AS final"
-PLANNED = (
-    BOOK_RANKED
-    + DEST.removeprefix(AUDIO)
-    + _THERE
-    + ", left_over AS (SELECT * FROM dest WHERE path NOT IN (SELECT path FROM intra) AND path NOT IN (SELECT path FROM lost) AND path <> dest_file)"
-    + _fold("left_over", "there")
-    + f""", planned AS (SELECT path, dest_file, no_meta, CASE WHEN path IN (SELECT path FROM intra) THEN 'intra' WHEN path IN (SELECT path FROM lost) THEN 'cross' ELSE 'in_place' END AS outcome, CAST(NULL AS VARCHAR) AS final FROM dest WHERE path NOT IN (SELECT path FROM left_over)
-  UNION ALL SELECT path, claimed.dest_file, no_meta, {_OUTCOME} FROM claimed JOIN left_over USING (path))"""
-)
+def _planned(failed: str) -> str:
+    """The plan of all files; failed: which of those that are neither kept out nor in place fail."""
+    return (
+        BOOK_RANKED
+        + DEST.removeprefix(AUDIO)
+        + _THERE
+        + f", left_over AS (SELECT * FROM dest WHERE path NOT IN (SELECT path FROM intra) AND path NOT IN (SELECT path FROM lost) AND path <> dest_file AND NOT ({failed}))"
+        + _fold("left_over", "there")
+        + f""", planned AS (SELECT path, dest_file, no_meta, CASE WHEN path IN (SELECT path FROM intra) THEN 'intra' WHEN path IN (SELECT path FROM lost) THEN 'cross' WHEN path = dest_file THEN 'in_place' ELSE 'failed' END AS outcome, CAST(NULL AS VARCHAR) AS final, error FROM dest WHERE path NOT IN (SELECT path FROM left_over)
+  UNION ALL SELECT path, claimed.dest_file, no_meta, {_OUTCOME}, error FROM claimed JOIN left_over USING (path))"""
+    )
+
+
+PLANNED, PLANNED_WITH_ERRORS = _planned("false"), _planned("error IS NOT NULL")
 AGAIN = (
     DEST.replace("WITH lib", "WITH RECURSIVE lib", 1)
     + ", moved AS (SELECT * REPLACE (CASE WHEN e % 2 = 0 AND row_number() OVER (PARTITION BY dest_file ORDER BY path) = 1 THEN dest_file ELSE path END AS path) FROM dest), there AS (SELECT dest_file, ext, fp AS disk_fp FROM moved WHERE path = dest_file), out_of_place AS (SELECT * FROM moved WHERE path <> dest_file)"
@@ -424,9 +439,10 @@ ORACLE_SQL = {
     + f""", p AS (SELECT path, duration, concat_ws(' ', CASE h % 3 WHEN 0 THEN 'MP3' WHEN 1 THEN 'AAC' END, {_KBPS.format("bitrate")} || 'kbps', CASE h % 5 WHEN 0 THEN '44.1kHz' WHEN 1 THEN '48kHz' WHEN 2 THEN '22.05kHz' END, CASE h % 3 WHEN 1 THEN 'mono' WHEN 2 THEN 'stereo' END) AS parts FROM lib)
 SELECT path, concat_ws(', ', nullif(parts, ''), {_length("duration")}) AS quality FROM p""",
     "edition_summary": EDITIONS + f" SELECT {_ED}, concat_ws(', ', upper(format), nullif(year, ''), {_KBPS.format('avg_bitrate')} || 'kbps', {_length('total_duration')}, file_count || CASE WHEN file_count = 1 THEN ' file' ELSE ' files' END) AS summary FROM ed",
-    "run_counters": PLANNED
+    "run_counters": PLANNED_WITH_ERRORS
     + """ SELECT count(*) AS files, count(*) FILTER (outcome = 'move') AS moved, count(*) FILTER (outcome IN ('in_place', 'existing_duplicate')) AS skipped, count(*) FILTER (outcome IN ('duplicate', 'existing_duplicate')) AS dupe, count(*) FILTER (outcome = 'move' AND final <> dest_file) AS conflict,
-  count(*) FILTER (outcome = 'intra') AS intra_dedup, count(*) FILTER (outcome = 'cross') AS book_dedup, (SELECT count(*) FROM ranked WHERE rank = 1) AS book_dedup_groups, count(*) FILTER (outcome = 'move' AND no_meta) AS no_meta FROM planned""",
+  count(*) FILTER (outcome = 'intra') AS intra_dedup, count(*) FILTER (outcome = 'cross') AS book_dedup, (SELECT count(*) FROM ranked WHERE rank = 1) AS book_dedup_groups, count(*) FILTER (outcome = 'failed') AS failed, count(*) FILTER (outcome = 'move' AND no_meta) AS no_meta FROM planned""",
     "organise_plan": PLANNED + " SELECT path, dest_file, no_meta, outcome, final FROM planned",
+    "organise_errors": PLANNED_WITH_ERRORS + " SELECT path, dest_file, no_meta, outcome, final, error FROM planned",
     "organise_again": AGAIN + f" SELECT path, claimed.dest_file, no_meta, {_OUTCOME} FROM claimed JOIN out_of_place USING (path) UNION ALL SELECT path, dest_file, no_meta, 'in_place' AS outcome, NULL AS final FROM moved WHERE path = dest_file",
 }

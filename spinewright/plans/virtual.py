@@ -29,10 +29,10 @@ made AS (
     CASE WHEN g % 5 = 0 THEN 'Saga: One' WHEN g % 5 = 1 THEN p ELSE '' END AS raw_series,
     CASE g % 3 WHEN 0 THEN '' WHEN 1 THEN '3/5' ELSE '007' END AS raw_series_index,
     CASE WHEN g % 4 = 0 THEN '' ELSE CAST(2000 + g % 9 AS STRING) || '-05-01' END AS raw_year,
-    64000 + (g % 3) * 64000 + (g % 2) * 400 AS bitrate, 600 + (h % 4) * 0.7e0 AS duration, 1000 + h % 50 AS size, 'f' || CAST(h % 3 AS STRING) AS fp
+    64000 + (g % 3) * 64000 + (g % 2) * 400 AS bitrate, 600 + (h % 4) * 0.7e0 AS duration, 1000 + h % 50 AS size, 'f' || CAST(h % 3 AS STRING) AS fp, CASE WHEN h % 41 = 7 THEN 'unreadable' END AS error
   FROM named)
 SELECT e, h, folder, name, CASE WHEN folder = '' THEN '/lib/' || name ELSE '/lib/' || folder || '/' || name END AS path, raw_author, raw_book, raw_title, raw_track, raw_disc, raw_series, raw_series_index, raw_year,
-  CAST(bitrate AS BIGINT) AS bitrate, CAST(duration AS DOUBLE) AS duration, CAST(size AS BIGINT) AS size, fp FROM made
+  CAST(bitrate AS BIGINT) AS bitrate, CAST(duration AS DOUBLE) AS duration, CAST(size AS BIGINT) AS size, fp, error FROM made
 """
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import re
 import sys
 from collections.abc import Iterator
 
@@ -13,18 +15,33 @@ from .operators.inventory import EDITION
 from .operators.ranking import GROUP
 
 
+#: What a line is about, and how a terminal shows it: errors, what asks for attention, what is kept or moved, copies, files, what is passed over, headings.
+STYLES = (
+    (r"FAILED|ERROR", "31"), (r"\s*(WARNING|CONFLICT|Run with --move|Review duplicates)", "33"), (r"\s*(KEEP|MOVED)|/", "32"), (r"\s*QUARANTINE", "35"), (r"\s*FILE", "36"), (r"\s*EXISTING|\[DRY RUN\]", "2"),
+    (r"DRY RUN complete|Complete|[A-Z-]+ DEDUP: |Found ", "1"),
+)
+
+
 class Log:
-    """Lines to the terminal and to a file, which each run begins anew."""
+    """Lines to the terminal, in colours if it is one, and to a file without them, which each run begins anew."""
 
     def __init__(self, path: str):
+        os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
         self.file = open(path, "w", encoding="utf-8")
+        self.colours = sys.stdout.isatty()
+
+    def styled(self, line: str) -> str:
+        """Each line of the text in its style."""
+        styles = (next((style for pattern, style in STYLES if re.match(pattern, part)), None) for part in line.split("\n"))
+        return "\n".join(f"\x1b[{style}m{part}\x1b[0m" if style else part for part, style in zip(line.split("\n"), styles))
 
     def __call__(self, line: str = "") -> None:
+        shown = self.styled(line) if self.colours else line
         try:
-            print(line)
+            print(shown, flush=True)
         except UnicodeEncodeError:
             code = sys.stdout.encoding or "ascii"
-            print(line.encode(code, "replace").decode(code))
+            print(shown.encode(code, "replace").decode(code), flush=True)
         self.file.write(line + "\n")
         self.file.flush()
 
@@ -68,16 +85,33 @@ def intra_lines(intra: DataFrame, known: DataFrame) -> DataFrame:
     return found.select("edition_dir", "kept", F.concat_ws("\n", F.concat(F.lit("  "), "display", F.lit(" ["), base(F.col("edition_dir")), F.lit("]")), F.concat(F.lit("    KEEP:       "), base(F.col("kept"))), F.array_join(lost, "\n"), F.concat(F.lit("    Reason: "), "reason")).alias("line"))
 
 
+def intra_heading(intra: DataFrame) -> str:
+    """How many copies within editions there are, and in how many clusters."""
+    files, groups = intra.agg(F.count("*"), F.count_distinct(*EDITION, "ext", "cluster_start")).first()
+    return f"INTRA-EDITION DEDUP: {files} duplicate file(s) in {groups} edition(s)"
+
+
+def decision_heading(rank: DataFrame) -> str:
+    """How many books have several editions."""
+    return f"BOOK-LEVEL DEDUP: {rank.where('rank = 1').count()} book(s) with multiple editions"
+
+
 def summary(done, counts, config) -> Iterator[str]:
-    yield "DRY RUN complete" if config.dry_run else "Complete"
-    yield f"  {'Would move' if config.dry_run else 'Moved':14}: {done.moved} files"
-    for label, n in (("Skipped", counts.skipped), ("Duplicates", counts.dupe), ("Conflicts", counts.conflict), ("Intra dedup", counts.intra_dedup), ("Book dedup", counts.book_dedup), ("Covers", done.covers), ("Failed", done.failed)):
-        yield f"  {label:14}: {n}"
-    if counts.book_dedup_groups:
-        yield f"  {'Book groups':14}: {counts.book_dedup_groups} resolved"
+    """counts: what the plan says, by name; done: what was carried out."""
+    dry = config.dry_run
+    yield "DRY RUN complete" if dry else "Complete"
+    would = lambda told, did: f"({told})" if dry else did
+    rows = [
+        ("Would move" if dry else "Moved", done.moved, "files"), ("Skipped", counts["skipped"], would("already in place", "")), ("Covers", done.covers, "extracted") if not dry else None,
+        ("Duplicates", counts["dupe"], would(f"would quarantine to {config.dupes}", "quarantined")), ("Conflicts", counts["conflict"], would("would rename with suffix", "renamed")), ("Failed", done.failed, ""),
+        ("Intra dedup", counts["intra_dedup"], "duplicate files " + would("would quarantine", "quarantined")) if counts["intra_dedup"] else None,
+        ("Book dedup", f"{counts['book_dedup_groups']} groups resolved, {counts['book_dedup']}", "files " + would("would quarantine", "quarantined")) if counts["book_dedup_groups"] else None,
+    ]
+    for label, n, note in filter(None, rows):
+        yield f"  {label:14}: {n} {note}".rstrip()
     if done.no_meta:
         yield f"  WARNING: {done.no_meta} files had no tags, inferred from path or name"
-    if config.dry_run:
+    if dry:
         yield "  Run with --move to apply."
-    elif counts.dupe or counts.intra_dedup or counts.book_dedup:
+    elif counts["dupe"] or counts["intra_dedup"] or counts["book_dedup"]:
         yield f"  Review duplicates in {config.dupes}"

@@ -81,24 +81,25 @@ def test_every_file_has_one_outcome(spark, sf):
 
 
 def test_counters_of_all_files_follow_the_sequential_rule(spark, sf):
-    files = queries.audio(spark, sf)
+    files = queries.audio(spark, sf, errors=True)
     dedup = organise.book_dedup(files)
     intra, cross = ({r.path for r in x.select("path").collect()} for x in (dedup.intra, dedup.cross))
-    rows = queries.plan_files(files).select("path", "dest_file", "fp", "no_meta", "e", "title", "name").collect()
+    rows = queries.plan_files(files).select("path", "dest_file", "fp", "no_meta", "e", "title", "name", "error").collect()
     disk = {}
     for r in rows:
         if r.e % 17 == 0:
             disk[r.dest_file] = min(r.fp, disk.get(r.dest_file, r.fp))
-    left = [r for r in rows if r.path not in intra | cross]
+    left = [r for r in rows if r.path not in intra | cross and not r.error]
+    failed = sum(r.path not in intra | cross and bool(r.error) for r in rows)
     done = sequential([(r.path, r.dest_file, r.fp) for r in left], disk)
     moved = [r for r in left if done[r.path][0] == "proceed"]
     skipped = sum(a == "skip" for a, _ in done.values())
     want = {
         "files": len(rows), "moved": len(moved), "skipped": skipped, "dupe": skipped + sum(a == "quarantine" for a, _ in done.values()), "conflict": sum(done[r.path][1] != r.dest_file for r in moved),
-        "intra_dedup": len(intra), "book_dedup": len(cross), "book_dedup_groups": dedup.decisions.count(), "no_meta": sum(r.no_meta for r in moved),
+        "intra_dedup": len(intra), "book_dedup": len(cross), "book_dedup_groups": dedup.decisions.count(), "failed": failed, "no_meta": sum(r.no_meta for r in moved),
     }
     assert queries.QUERIES["run_counters"](spark, sf).first().asDict() == want
-    assert intra and cross and any(r.title.endswith(".2") for r in rows)
+    assert failed and intra and cross and any(r.title.endswith(".2") for r in rows)
 
 
 def test_book_queries_take_copies_within_editions_out_first(spark, monkeypatch):
@@ -132,7 +133,7 @@ def test_queries_equal_their_sql(spark, sf):
     for t in ("part", "supplier", "events", "orders", "pages", "documents"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     rows = lambda df: sorted(map(repr, df.astype(object).where(df.notna(), None).values.tolist()))
-    for name in ("ext_filter_scan", "tag_chain_order", "normalise_author_key", "normalise_book_key", "accent_fold", "build_dest", "edition_inventory", "intra_duplicate_files", "edition_reason", "claim_window", "claim_family", "organise_plan", "organise_again", "run_counters", "cross_quarantine_files", "kept_files", "format_quality"):
+    for name in ("ext_filter_scan", "tag_chain_order", "normalise_author_key", "normalise_book_key", "accent_fold", "build_dest", "edition_inventory", "intra_duplicate_files", "edition_reason", "claim_window", "claim_family", "organise_plan", "organise_errors", "organise_again", "run_counters", "cross_quarantine_files", "kept_files", "format_quality"):
         want = con.execute(queries.ORACLE_SQL[name]).df()
         assert rows(queries.QUERIES[name](spark, sf).toPandas()[list(want.columns)]) == rows(want), name
 
