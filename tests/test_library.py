@@ -2,9 +2,12 @@
 
 import base64
 import io
+import os
 import struct
 
-from spinewright import cli
+import pytest
+
+from spinewright import cli, executor, report
 from spinewright.sources import files, tags
 
 FRAMES = (bytes.fromhex("fffb9000") + bytes(413)) * 5
@@ -160,3 +163,133 @@ def test_a_live_run_moves_and_a_dry_one_does_not(spark, tmp_path):
     out = tmp_path / "out/Ann/Book"
     assert sorted(p.name for p in out.iterdir()) == ["One.2.mp3", "One.mp3", "cover.jpg"] and (tmp_path / "dupes/p/2.mp3").exists() and (src / "q/evil.mp3").exists()
     assert cli.parse(["--book-dedup"]).book_dedup and cli.parse([]).dry_run
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_files_are_opened_for_columns_and_rows_that_need_it(spark, tmp_path):
+    make(tmp_path, "a/1.mp3", text_frame("TIT2", "One"), picture(b"JPG"))
+    make(tmp_path, "b/2.flac")
+    lib = files.read_library(spark, str(tmp_path), 2)
+    assert "ArrowEvalPython" not in plan_of(lib.select("path", "size", "ext", "folder")) and "ArrowEvalPython" in plan_of(lib.select("title"))
+    # Filters on what a listing knows come before files are opened.
+    plan = plan_of(lib.where("ext = 'mp3'").select("title"))
+    assert plan.index("ArrowEvalPython") < plan.index("Filter")
+    assert [(r.title, bytes(r.cover)) for r in lib.where("ext = 'mp3'").select("title", "cover").collect()] == [("One", b"JPG")]
+    uri = files.read_library(spark, f"file://{tmp_path}", 2).select("path", "folder", "title", "fp").orderBy("path").collect()
+    own = lib.select("path", "folder", "title", "fp").orderBy("path").collect()
+    assert [(r.path, r.folder, r.title, r.fp) for r in uri] == [(f"file://{r.path}", r.folder, r.title, r.fp) for r in own]
+
+
+def test_folders_are_listed_level_by_level(spark, tmp_path):
+    paths = [f"{a}/{b}/{c}.mp3" for a in "xyz" for b in ("", "q", "q/r/s") for c in "12"]
+    for p in paths:
+        make(tmp_path, p)
+    (tmp_path / "x/link").symlink_to(tmp_path / "y")
+    (tmp_path / "x/gone.mp3").symlink_to(tmp_path / "nowhere")
+    got = {r.path.removeprefix(str(tmp_path) + "/") for r in files.list_files(spark, str(tmp_path)).collect()}
+    assert got == {p.replace("//", "/") for p in paths} | {"x/gone.mp3"}
+
+
+def noting(log):
+    """A hasher that writes down what it opens; workers get it by value."""
+
+    def note(path, log=str(log)):
+        with open(log, "a") as f:
+            f.write(path + "\n")
+        return files.fingerprint(path)
+
+    return note
+
+
+def test_only_rivals_are_hashed(spark, tmp_path):
+    names = {n: make(tmp_path / "in", f"{n}.mp3", text_frame("TIT2", n[0]), extra=b"+" * more) for n, more in (("a1", 0), ("a2", 0), ("b", 0), ("c", 9), ("d", 0))}
+    there = make(tmp_path / "out", "x/d.mp3", text_frame("TIT2", "d"))
+    make(tmp_path / "out", "unclaimed/e.mp3")
+    rows = [(str(p), str(tmp_path / "out/x" / f"{'a' if n in ('a1', 'a2', 'c') else n}.mp3"), p.stat().st_size, None) for n, p in names.items()]
+    placed = spark.createDataFrame(rows, "path string, dest_file string, size bigint, error string")
+    listing = files.list_claimed(spark, str(tmp_path / "out"), placed)
+    assert [r.dest for r in listing.collect()] == [str(there)]
+    got = {r.path: r.fp for r in files.fingerprinted(placed, listing, noting(tmp_path / "log")).collect()}
+    opened = set((tmp_path / "log").read_text().split())
+    # b wants a name of its own, and c has another size: neither is opened.
+    assert opened == {str(names[n]) for n in ("a1", "a2", "d")}
+    assert all(got[str(p)] == (files.fingerprint(str(p)) if n in ("a1", "a2", "d") else f"{p.stat().st_size}:") for n, p in names.items())
+    assert [(r.dest, r.disk_fp) for r in files.met(listing, placed, noting(tmp_path / "there")).collect()] == [(str(there), files.fingerprint(str(there)))]
+
+
+def library_to_move(root):
+    book = lambda title, *more: (text_frame("TPE1", "Ann"), text_frame("TALB", "Book"), text_frame("TIT2", title), *more)
+    for k in range(8):
+        make(root / "in", f"p/{k}.mp3", *book(f"T{k % 3}"), extra=b"x" * (k % 4))
+    (root / "in/p/broken.mp3").symlink_to(root / "nowhere")
+
+
+def state(root):
+    return {str(p.relative_to(root)): p.read_bytes() for folder in ("in", "out", "dupes") for p in sorted((root / folder).rglob("*")) if p.is_file()}
+
+
+def args(root, *more):
+    return cli.parse(["--source", str(root / "in"), "--dest", str(root / "out"), "--dupes", str(root / "dupes"), "--move", *more])
+
+
+def test_a_file_that_cannot_be_read_fails_and_the_run_goes_on(spark, tmp_path):
+    library_to_move(tmp_path)
+    lines = []
+    done, counts = cli.organise(spark, args(tmp_path), lines.append)
+    assert (done.failed, counts.failed, counts.files) == (1, 1, 9) and done.moved + done.quarantined == 8
+    assert any(x.startswith(f"ERROR processing {tmp_path}/in/p/broken.mp3: ") for x in lines) and "  Failed        : 1" in lines
+
+
+class Stop(BaseException):
+    pass
+
+
+def test_a_stopped_run_goes_on_where_it_was(spark, tmp_path, monkeypatch):
+    whole, parts = tmp_path / "whole", tmp_path / "parts"
+    for root in (whole, parts):
+        library_to_move(root)
+    wanted, _ = cli.organise(spark, args(whole), lambda line: None)
+    move, moves = executor.shutil.move, []
+
+    def stopping(path, to):
+        moves.append(path)
+        if len(moves) in (3, 6):  # within a move, once before and once after the source has gone
+            executor.shutil.copy(path, to)
+            if len(moves) == 6:
+                os.remove(path)
+            raise Stop
+        return move(path, to)
+
+    monkeypatch.setattr(executor.shutil, "move", stopping)
+    journal = str(tmp_path / "journal")
+    for _ in range(2):
+        with pytest.raises(Stop):
+            cli.organise(spark, args(parts, "--journal", journal), lambda line: None)
+    done, _ = cli.organise(spark, args(parts, "--journal", journal), lambda line: None)
+    assert state(parts) == state(whole) and done == wanted
+    assert not executor.Journal(journal).exists()
+
+
+def test_colours_are_for_terminals(tmp_path, capsys):
+    log = report.Log(str(tmp_path / "sub/run.log"))
+    log("FAILED: x")
+    log.colours = True
+    log('  "B" by A\n    KEEP:       x\n    QUARANTINE: y')
+    log.close()
+    assert capsys.readouterr().out == 'FAILED: x\n  "B" by A\n\x1b[32m    KEEP:       x\x1b[0m\n\x1b[35m    QUARANTINE: y\x1b[0m\n'
+    assert "\x1b" not in (tmp_path / "sub/run.log").read_text()
+
+
+def test_headings_count_what_follows(spark, tmp_path):
+    book = (text_frame("TPE1", "Ann"), text_frame("TALB", "Book"))
+    for p in ("e1/a.mp3", "e1/a.2.mp3", "e1/a.3.mp3", "e2/b.mp3"):
+        make(tmp_path / "in", p, *book)
+    lines = []
+    own = ["--source", str(tmp_path / "in"), "--dest", str(tmp_path / "out"), "--dupes", str(tmp_path / "dupes"), "--book-dedup"]
+    _, counts = cli.organise(spark, cli.parse(own), lines.append)
+    assert "INTRA-EDITION DEDUP: 2 duplicate file(s) in 1 edition(s)" in lines and "BOOK-LEVEL DEDUP: 1 book(s) with multiple editions" in lines
+    assert (counts.intra_dedup, counts.book_dedup, counts.book_dedup_groups) == (2, 1, 1)
+    assert "  Skipped       : 0 (already in place)" in lines and "  Book dedup    : 1 groups resolved, 1 files (would quarantine)" in lines
