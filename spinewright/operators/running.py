@@ -17,7 +17,7 @@ from pyspark.sql.types import IntegerType, LongType, StructType
 _cut: dict[str, SparkSession] = {}
 
 
-def _folder(spark: SparkSession) -> str:
+def shared_folder(spark: SparkSession) -> str:
     """The folder that the cluster shares; a local session without one, as in tests, gets a folder of its own."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
@@ -31,7 +31,7 @@ def _folder(spark: SparkSession) -> str:
 def cut(df: DataFrame, kept: list[str] | None = None) -> DataFrame:
     """The same rows from a table in the shared folder, which is gone when the application ends, or when kept, to which its path is added, is released."""
     spark = df.sparkSession
-    path = f"{_folder(spark)}/spinewright-plans/{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/spinewright-plans/{uuid.uuid4().hex}"
     _cut[path] = spark
     if kept is not None:
         kept.append(path)
@@ -39,6 +39,11 @@ def cut(df: DataFrame, kept: list[str] | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remembered(spark: SparkSession, path: str) -> None:
+    """Delete a path of the shared folder when the application ends."""
+    _cut[path] = spark
+
+
 def release(paths: list[str]) -> None:
     """Delete tables that cut wrote."""
     for path in paths:

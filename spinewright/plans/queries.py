@@ -13,6 +13,7 @@ from ..operators.intra import clusters, intra_duplicates
 from ..operators.inventory import EDITION, editions, recalculated, with_edition
 from ..operators.ranking import ranked
 from ..operators.running import cut
+from . import fixtures
 from .organise import book_dedup, counters, plan
 from .virtual import LIBRARY, ROOT, library
 
@@ -226,7 +227,7 @@ QUERIES = {
         edition_score_rank, ext_filter_scan, tag_chain_coalesce, tag_chain_order, parse_int_leading, sanitise_component, prefix_strip, normalise_author_key, normalise_book_key, accent_fold, infer_path, infer_filename, build_dest, fingerprint_text,
         edition_inventory, intra_cluster, intra_duplicate_files, edition_stats_recalc, edition_reason, cross_quarantine_files, kept_files, claim_window, claim_family, format_duration, format_quality, edition_summary, organise_plan, organise_errors, organise_again, run_counters,
     )
-}
+} | fixtures.QUERIES
 
 
 # DuckDB
@@ -445,4 +446,4 @@ SELECT path, concat_ws(', ', nullif(parts, ''), {_length("duration")}) AS qualit
     "organise_plan": PLANNED + " SELECT path, dest_file, no_meta, outcome, final FROM planned",
     "organise_errors": PLANNED_WITH_ERRORS + " SELECT path, dest_file, no_meta, outcome, final, error FROM planned",
     "organise_again": AGAIN + f" SELECT path, claimed.dest_file, no_meta, {_OUTCOME} FROM claimed JOIN out_of_place USING (path) UNION ALL SELECT path, dest_file, no_meta, 'in_place' AS outcome, NULL AS final FROM moved WHERE path = dest_file",
-}
+} | fixtures.ORACLE_SQL

@@ -10,7 +10,7 @@ from spinewright.operators.claims import claims, fold
 from spinewright.operators.intra import clusters, intra_duplicates
 from spinewright.operators.inventory import editions, recalculated, with_edition
 from spinewright.operators.ranking import ranked, reasons
-from spinewright.plans import organise, queries
+from spinewright.plans import fixtures, organise, queries
 from spinewright.streaming import intake
 
 FILES = "path string, folder string, name string, ext string, size bigint, author string, book string, year string, bitrate bigint, duration double"
@@ -133,7 +133,7 @@ def test_queries_equal_their_sql(spark, sf):
     for t in ("part", "supplier", "events", "orders", "pages", "documents"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     rows = lambda df: sorted(map(repr, df.astype(object).where(df.notna(), None).values.tolist()))
-    for name in ("ext_filter_scan", "tag_chain_order", "normalise_author_key", "normalise_book_key", "accent_fold", "build_dest", "edition_inventory", "intra_duplicate_files", "edition_reason", "claim_window", "claim_family", "organise_plan", "organise_errors", "organise_again", "run_counters", "cross_quarantine_files", "kept_files", "format_quality"):
+    for name in ("ext_filter_scan", "tag_chain_order", "normalise_author_key", "normalise_book_key", "accent_fold", "build_dest", "edition_inventory", "intra_duplicate_files", "edition_reason", "claim_window", "claim_family", "organise_plan", "organise_errors", "organise_again", "run_counters", "cross_quarantine_files", "kept_files", "format_quality", *fixtures.QUERIES):
         want = con.execute(queries.ORACLE_SQL[name]).df()
         assert rows(queries.QUERIES[name](spark, sf).toPandas()[list(want.columns)]) == rows(want), name
 
