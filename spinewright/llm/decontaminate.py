@@ -4,7 +4,10 @@ Each run of documents is a shard: its words become codes, and a suffix array
 over the codes is sorted by prefix doubling that goes on only where suffixes
 are still tied. Every suffix of the benchmark is looked for in every shard by
 binary search; an interval that still matches after a window is a verbatim
-occurrence, and narrowing it further gives the longest match and its place.
+occurrence. How far matches go on is found by halving, over the ranks of ever
+longer stretches of the words that were hit and of the items that hit them; the
+longest match of a document begins at a suffix whose nearest test suffix, in the
+order of all of these, has most in common with it.
 Shards are never gathered: the benchmark goes to the documents, in chunks of
 bounded size that tasks read from the shared folder one after another. A
 shard's array is built once and serves all chunks. Digests order the words;
@@ -179,32 +182,128 @@ class Shards:
         return np.stack([window, place])
 
 
-def longest(same: np.ndarray, bounds: np.ndarray, tests: Tests, window: np.ndarray, place: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Test word, document word and length of each match that can't begin earlier, as long as it goes on; a bounded number at a time.
+class Common:
+    """How far two places of a row of numbers go on alike.
 
-    same: the document words' numbers in the tests.
+    Each level ranks the stretches of twice the length of the one below, until
+    no two are the same; the last one is the order of the suffixes.
     """
-    doc = K.owner(bounds)
-    size = tests.items_from[window + 1] - tests.items_from[window]
-    total = np.cumsum(size)
-    a = 0
-    while a < len(window):
-        b = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + AT_ONCE, "right")))
-        w, s = window[a:b], size[a:b]
-        t = tests.places[np.arange(int(s.sum())) + np.repeat(tests.items_from[w] - (np.cumsum(s) - s), s)]
-        p, n = np.repeat(place[a:b], s), np.repeat(tests.depth[w], s)
-        before = (t > 0) & (p > 0)
-        before &= (tests.item[t - 1] == tests.item[t]) & (doc[p - 1] == doc[p])
-        before[before] = tests.code[t[before] - 1] == same[p[before] - 1]
-        t, p, n = t[~before], p[~before], n[~before]
-        room = np.minimum(tests.left[t], bounds[1:][doc[p]] - p)
-        going = np.flatnonzero(n < room)
-        while len(going):
-            going = going[tests.code[t[going] + n[going]] == same[p[going] + n[going]]]
-            n[going] += 1
-            going = going[n[going] < room[going]]
-        yield t, p, n
-        a = b
+
+    def __init__(self, code: np.ndarray):
+        rank = np.unique(code, return_inverse=True)[1].astype(np.int64)
+        self.levels, step = [], 1
+        while True:
+            self.levels.append(rank.astype(np.int32))
+            if not len(rank) or int(rank.max()) + 1 == len(rank):
+                return
+            after = np.zeros(len(rank), np.int64)
+            after[:-step] = rank[step:] + 1
+            rank = np.unique(rank * (len(rank) + 1) + after, return_inverse=True)[1].astype(np.int64)
+            step *= 2
+
+    def extension(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """The numbers that follow alike from each i and j: by halving, from the longest stretch down."""
+        n = np.zeros(len(i), np.int64)
+        for k in range(len(self.levels) - 1, -1, -1):
+            level, x, y = self.levels[k], i + n, j + n
+            within = np.flatnonzero((x < len(level)) & (y < len(level)))
+            n[within[level[x[within]] == level[y[within]]]] += 1 << k
+        return n
+
+
+class Hits:
+    """The words of some documents that windows hit, and the test items with these windows, on one row that nothing crosses.
+
+    same: the document words' numbers in the tests. A match of a window or more
+    lies in hit words, all of it.
+    """
+
+    def __init__(self, same: np.ndarray, bounds: np.ndarray, tests: Tests, window: np.ndarray, place: np.ndarray):
+        self.same, self.bounds, self.tests = same, bounds, tests
+        self.window, self.place = window, place
+        mark = np.zeros(len(same) + 1, np.int64)
+        np.add.at(mark, place, 1)
+        np.add.at(mark, place + tests.depth[window], -1)
+        self.doc_at, doc_row, n = self._laid(np.cumsum(mark[:-1]) > 0, bounds, 0)
+        item = np.zeros(len(tests.bounds) - 1, bool)
+        used = np.unique(window)
+        size = tests.items_from[used + 1] - tests.items_from[used]
+        item[tests.items[np.arange(int(size.sum())) + np.repeat(tests.items_from[used] - (np.cumsum(size) - size), size)]] = True
+        self.test_at, test_row, n = self._laid(item[tests.item], tests.bounds, n)
+        code = np.arange(n) + len(tests.distinct)  # what is between has a number of its own
+        code[self.doc_at[doc_row]], code[self.test_at[test_row]] = same[doc_row], tests.code[test_row]
+        self.doc_row, self.test_row, self.common = doc_row, test_row, Common(code)
+
+    @staticmethod
+    def _laid(inside: np.ndarray, bounds: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray, int]:
+        """Each word's place on the row, -1 for those left out; the words on it; the row's end. A gap is behind each run of words."""
+        starts, ends, _ = K.segments(inside, bounds)
+        size = ends - starts
+        at = np.full(len(inside), -1, np.int64)
+        words = np.arange(int(size.sum())) + np.repeat(starts - (np.cumsum(size) - size), size)
+        at[words] = first + np.arange(len(words)) + np.repeat(np.arange(len(size)), size)
+        return at, words, first + len(words) + len(size)
+
+    def best(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Document, length, place and item of the longest match of each document with hits; of equal ones the first place.
+
+        In the order of all suffixes, the test suffix that a document's suffix
+        has most in common with is the one before or after it.
+        """
+        tests, levels = self.tests, self.common.levels
+        long = self.test_row[np.diff(tests.bounds)[tests.item[self.test_row]] >= tests.window]
+        depth = tests.depth[self.window]
+        short = depth < tests.window
+        found = [(self.place[short], depth[short], tests.items[tests.items_from[self.window[short]]])]
+        if len(long):
+            rank = levels[-1]
+            word = np.full(len(rank), -1, np.int64)
+            word[rank[self.test_at[long]]] = long
+            slot = rank[self.doc_at[self.doc_row]]
+            filled = np.where(word >= 0, np.arange(len(word)), -1)
+            before = np.maximum.accumulate(filled)[slot]
+            filled = np.where(word >= 0, np.arange(len(word)), len(word))
+            after = np.minimum.accumulate(filled[::-1])[::-1][slot]
+            for near, there in ((before, before >= 0), (after, after < len(word))):
+                p, t = self.doc_row[there], word[near[there]]
+                n = self.common.extension(self.doc_at[p], self.test_at[t])
+                fits = n >= tests.window
+                found.append((p[fits], n[fits], tests.item[t[fits]]))
+        p, n, item = (np.concatenate([x[k] for x in found]) for k in range(3))
+        order = np.lexsort((item, p, -n))
+        doc, first = np.unique(np.searchsorted(self.bounds, p[order], "right") - 1, return_index=True)
+        order = order[first]
+        return doc, n[order], p[order], item[order]
+
+    def longest(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Test word, document word and length of each match that can't begin earlier, as long as it goes on; about AT_ONCE at a time.
+
+        Only pairs with different words before them are made: a window's places
+        are sorted by the word before, and of those a test word takes all but
+        the ones with its own.
+        """
+        tests, doc = self.tests, K.owner(self.bounds)
+        before = np.where(self.place > 0, self.same[np.maximum(self.place, 1) - 1], -1)
+        before[before < 0] = -1
+        before[(self.place == 0) | (doc[np.maximum(self.place, 1) - 1] != doc[self.place])] = -2
+        key = self.window * (len(tests.distinct) + 3) + before + 2
+        order = np.argsort(key, kind="stable")
+        key, place = key[order], self.place[order]
+        used = np.unique(self.window)
+        size = tests.items_from[used + 1] - tests.items_from[used]
+        t = tests.places[np.arange(int(size.sum())) + np.repeat(tests.items_from[used] - (np.cumsum(size) - size), size)]
+        w = np.repeat(used, size)
+        inner = (t > 0) & (tests.item[np.maximum(t, 1) - 1] == tests.item[t])
+        wide = len(tests.distinct) + 3
+        own = np.where(inner, w * wide + tests.code[np.maximum(t, 1) - 1] + 2, -1)
+        a, b = np.searchsorted(key, w * wide), np.searchsorted(key, (w + 1) * wide)
+        x, y = np.where(inner, np.searchsorted(key, own, "left"), b), np.where(inner, np.searchsorted(key, own, "right"), b)
+        t, lo, hi = np.concatenate([t, t]), np.concatenate([a, y]), np.concatenate([x, b])
+        t, lo, n = t[hi > lo], lo[hi > lo], (hi - lo)[hi > lo]
+        at = np.append(0, np.cumsum(n))
+        for d, e in K.runs(at, AT_ONCE):
+            tt, p = np.repeat(t[d:e], n[d:e]), place[np.arange(int(at[e] - at[d])) + np.repeat(lo[d:e] - (at[d:e] - at[d]), n[d:e])]
+            yield tt, p, self.common.extension(self.doc_at[p], self.test_at[tt])
 
 
 class Benchmark:
@@ -244,7 +343,7 @@ class Matches:
                 bounds = words.bounds
                 for tests in self.tests.chunks():
                     window, place, same = shards.occurrences(tests)
-                    for t, p, n in longest(same, bounds, tests, window, place):
+                    for t, p, n in Hits(same, bounds, tests, window, place).longest() if len(window) else ():
                         doc = np.searchsorted(bounds, p, "right") - 1
                         item = tests.item[t]
                         yield pa.RecordBatch.from_arrays(
@@ -279,13 +378,10 @@ class Search:
                     doc = np.searchsorted(bounds, place, "right") - 1
                     for k, g in np.unique(np.stack([doc, window]), axis=1).T.tolist():
                         found.setdefault(k, set()).update(tests.ids[i] for i in tests.items[tests.items_from[g] : tests.items_from[g + 1]].tolist())
-                    for t, p, n in longest(same, bounds, tests, window, place):
-                        order = np.lexsort((p, -n))
-                        doc, first = np.unique(np.searchsorted(bounds, p[order], "right") - 1, return_index=True)
-                        for k, i in zip(doc.tolist(), order[first].tolist()):
-                            at = int(p[i] - bounds[k])
-                            if n[i] > best[k][0] or n[i] == best[k][0] and at < best[k][1]:
-                                best[k] = int(n[i]), at, tests.ids[tests.item[t[i]]]
+                    for k, n, p, item in zip(*(x.tolist() for x in Hits(same, bounds, tests, window, place).best())):
+                        at = p - int(bounds[k])
+                        if n > best[k][0] or n == best[k][0] and at < best[k][1]:
+                            best[k] = n, at, tests.ids[item]
                 hit = np.cumsum(mark[:-1]) > 0
                 items = [sorted(i for i in found.get(k, ()) if i is not None) for k in range(e - d)]
                 starts, ends, at = K.segments(hit, bounds)

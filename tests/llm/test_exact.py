@@ -264,3 +264,44 @@ def test_buckets_are_written_by_length(spark, tmp_path):
     packing.write_buckets(packed, str(tmp_path / "out"))
     back = spark.read.parquet(str(tmp_path / "out"))
     assert back.count() == packed.count() and back.where("bucket <> length").count() == 0
+
+
+def test_matches_of_repeated_words_take_no_pairs(spark):
+    from spinewright.llm import decontaminate as D
+
+    docs = spark.createDataFrame([(1, "a " * 200_000), (2, "a b " * 3000), (3, "x " + "a " * 12)], "doc_id bigint, text string")
+    items = spark.createDataFrame([("i", "a " * 20_000), ("j", "a b " * 40), ("k", "a")], "item_id string, text string")
+    got = {r.doc_id: (r.longest, r.longest_at) for r in D.find_contamination(docs, items).collect()}
+    assert got == {1: (20_000, 0), 2: (80, 0), 3: (12, 1)}
+
+
+def test_longest_matches_equal_brute_force():
+    from spinewright.llm import decontaminate as D
+
+    r = random.Random(4)
+    for window in (2, 3, 5):
+        texts = [" ".join(r.choice("abc" if k % 2 else "abcdefg") for _ in range(r.randint(0, 60))) for k in range(25)]
+        items = [" ".join(r.choice("abc" if k % 2 else "abcdefg") for _ in range(r.randint(0, 25))) for k in range(12)]
+        tests = D.Tests([str(k) for k in range(len(items))], items, window)
+        words = D.Words(*K.column_bytes(pa.array(texts, pa.large_string())))
+        shards = D.Shards(words, window)
+        hits = D.Hits(*[shards.occurrences(tests)[k] for k in (2,)], words.bounds, tests, *shards.occurrences(tests)[:2])
+        got = {(int(t), int(p), int(n)) for part in hits.longest() for t, p, n in zip(*part)}
+        want, best = set(), {}
+        for d, text in enumerate(texts):
+            w = text.split()
+            for i, item in enumerate(items):
+                v = item.split()
+                for p in range(len(w)):
+                    for t in range(len(v)):
+                        if p and t and w[p - 1] == v[t - 1]:
+                            continue
+                        n = 0
+                        while p + n < len(w) and t + n < len(v) and w[p + n] == v[t + n]:
+                            n += 1
+                        if n and n >= min(window, len(v)):
+                            want.add((int(tests.bounds[i]) + t, int(words.bounds[d]) + p, n))
+                            best[d] = min(best.get(d, (0, 0)), (-n, p))
+        assert got == want
+        doc, n, p, _ = hits.best()
+        assert {int(k): (-int(x), int(y - words.bounds[k])) for k, x, y in zip(doc, n, p)} == best
