@@ -11,35 +11,28 @@ host, the tree is worked out over hosts alone, and one join gives the verdicts.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterable
+
 from pyspark.sql import DataFrame, SparkSession
 
 from .shared import written
 
 #: (host and path prefix, verdict): a rule fits its host and what is below it.
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
-#: Suffixes of two labels under which domains are registered.
+#: Suffixes of two labels under which domains are registered; suffixes_of reads a longer list.
 TWO_LABEL_SUFFIXES = ("co.uk", "com.au", "co.jp", "com.br", "co.nz")
-#: What most countries with such suffixes call them, by country; sites' own suffixes, like github.io, aren't among them.
-_COUNTRIES = {
-    "ac com edu gov mil net org": "ag ai am ar bd bh bo br by cn co cu cy do ec eg et fj ge gh gi gt hk hn jm jo kh kw kz lb lk lv ly mm mo mt mx my na ng ni np om pa pe ph pk pr ps py qa ro ru sa sg sl sv sy tj tn tr tt tw ua uy uz ve vn",
-    "ac co go ne or": "ao cr id jp ke kr th tz ug",
-    "ac co gov net nom org": "il im in nz uk za zm zw",
-    "com edu gov id net org asn": "au",
-    "com edu gov net org": "al ba cy gr mk pl pt",
-    "co gv or ac": "at",
-}
-PUBLIC_SUFFIXES = tuple(
-    sorted(
-        {f"{k}.{c}" for kinds, countries in _COUNTRIES.items() for c in countries.split() for k in kinds.split()}
-        | {*TWO_LABEL_SUFFIXES}
-        | set("ltd.uk me.uk nhs.uk plc.uk police.uk sch.uk geek.nz govt.nz iwi.nz kiwi.nz maori.nz school.nz ad.jp ed.jp gr.jp lg.jp firm.in gen.in ind.in nic.in res.in edu.in mil.in k12.il muni.il law.za school.za web.za blog.br eco.br ind.br art.br adv.br gob.ar gob.mx gob.es gob.pe gub.uy gob.ve gob.ec gob.bo gob.gt idv.tw idv.hk gen.tr bel.tr k12.tr web.tr biz.tr info.tr in.th mi.th sch.id web.id re.kr pe.kr mil.kr waw.pl asso.fr com.fr gouv.fr nom.fr com.es edu.es nom.es org.es com.hr ac.rs co.rs edu.rs gov.rs in.rs org.rs co.hu org.hu in.ua kiev.ua kyiv.ua".split())
-    )
-)
 MIN_BOUND, Z = 0.5, 1.645
 #: Limits of the correlation that a level's moments may give; they keep strengths between 1/9 and 999.
 LEAST_RHO, MOST_RHO = 0.001, 0.9
 
 
+def suffixes_of(lines: Iterable[str]) -> tuple[str, ...]:
+    """The suffixes of two labels in a list of public suffixes: one a line, in any case, with comments behind // and rules with * or ! left out."""
+    rules = {line.split("//")[0].strip().lower() for line in lines}
+    return tuple(sorted(r for r in rules if re.fullmatch(r"[^.*!\s]+\.[^.*!\s]+", r)))
+
+
 def _text(x: str) -> str:
     return "'" + x.replace("\\", "\\\\").replace("'", "''") + "'"
 
@@ -82,13 +75,15 @@ _COUNTS = "SELECT host, CAST(count(good) AS DOUBLE) AS n, CAST(coalesce(sum(good
 
 def _tree(counts: str, min_bound: float, z: float, two_label_suffixes) -> str:
     two = ", ".join(map(_text, two_label_suffixes)) or "''"
-    labels_of = lambda n: " || '.' || ".join(f"split_part(host, '.', {-k})" for k in range(n, 0, -1))
-    dots = "length(host) - length(replace(host, '.', ''))"
-    return f"""suffixed AS (
-  SELECT host, n, s, {dots} AS dots, CASE WHEN {dots} >= 1 AND {labels_of(2)} IN ({two}) THEN 2 ELSE 1 END AS width FROM {counts}),
+    labels_of = lambda n: " || '.' || ".join(f"split_part(name, '.', {-k})" for k in range(n, 0, -1))
+    dots = "length(name) - length(replace(name, '.', ''))"
+    return f"""named AS (
+  SELECT *, name <> '' AND regexp_replace(name, '^([0-9.]+|.*])$', '') = '' AS address FROM (SELECT host, n, s, regexp_replace(host, ':[0-9]*$', '') AS name FROM {counts}) AS x),
+suffixed AS (
+  SELECT host, name, n, s, address, {dots} AS dots, CASE WHEN {dots} >= 1 AND {labels_of(2)} IN ({two}) THEN 2 ELSE 1 END AS width FROM named),
 hosts AS (
-  SELECT host, n, s, CASE WHEN width = 2 THEN {labels_of(2)} ELSE split_part(host, '.', -1) END AS suffix,
-    CASE WHEN dots < width THEN host WHEN width = 2 THEN {labels_of(3)} ELSE {labels_of(2)} END AS domain FROM suffixed),
+  SELECT host, n, s, CASE WHEN address THEN 'address' WHEN width = 2 THEN {labels_of(2)} ELSE split_part(name, '.', -1) END AS suffix,
+    CASE WHEN address OR dots < width THEN name WHEN width = 2 THEN {labels_of(3)} ELSE {labels_of(2)} END AS domain FROM suffixed),
 domains AS (SELECT domain, suffix, {_SUMS} FROM hosts GROUP BY domain, suffix),
 suffixes AS (SELECT suffix, {_SUMS} FROM domains GROUP BY suffix),
 everything AS (SELECT {_SUMS} FROM suffixes),
@@ -117,7 +112,7 @@ def filter_sql(pages: str, labels: str, rules=RULES, min_bound: float = MIN_BOUN
     return f"WITH {_outcomes(labels)},\n{_urls(pages)},\ncounts AS ({_COUNTS}),\n{tree}\n{_verdicts('reputation', rules)}"
 
 
-def filter_urls(pages: DataFrame, labels: DataFrame, rules=RULES, min_bound: float = MIN_BOUND, z: float = Z, two_label_suffixes=PUBLIC_SUFFIXES) -> DataFrame:
+def filter_urls(pages: DataFrame, labels: DataFrame, rules=RULES, min_bound: float = MIN_BOUND, z: float = Z, two_label_suffixes=TWO_LABEL_SUFFIXES) -> DataFrame:
     """(page_id, host, path, rule, verdict) of each row of pages.
 
     labels (doc_id, quality, toxic) judge pages by id; of several labels of
@@ -125,7 +120,8 @@ def filter_urls(pages: DataFrame, labels: DataFrame, rules=RULES, min_bound: flo
     is null or lacks ``://`` has an empty host and path, and that host has a
     reputation like any other. Repeated rows keep a row each, extra columns
     aren't looked at, and without labels the means are one half. Domains are
-    registered under two_label_suffixes, and else under the last label.
+    registered under two_label_suffixes, and else under the last label; a port
+    belongs to the host alone, and an address is a domain of its own.
     """
     spark, own = pages.sparkSession, pages.select("page_id", "url")
     counts = written(spark.sql(f"WITH {_outcomes('{labels}')}, {_urls('{pages}')} {_COUNTS}", pages=own, labels=labels.select("doc_id", "quality", "toxic")), "host-counts", short=True)

@@ -35,13 +35,14 @@ def test_reputation_takes_after_the_domain(spark):
 
 def test_sites_below_country_suffixes_have_domains_of_their_own(spark):
     names = ["org.uk", "ac.uk", "co.in", "com.cn", "co.uk"]
+    listed = urlfilter.suffixes_of(["// a list", *(f"{n.upper()} // with a comment" for n in names), "*.ck", "!www.ck", "com", ""])
+    assert listed == tuple(sorted(names))
     for suffix in names:
         urls = [f"http://www.s{k}.{suffix}/{i}" for k in range(10) for i in range(20)]
         pages = spark.createDataFrame([*enumerate(urls), (900, f"http://new.s0.{suffix}/"), (901, f"http://new.s9.{suffix}/")], "page_id bigint, url string")
         labels = spark.createDataFrame([(i, int(i < 100), 0) for i in range(200)], "doc_id bigint, quality int, toxic int")
-        got = {r.page_id: r.verdict for r in urlfilter.filter_urls(pages, labels, rules=()).collect()}
+        got = {r.page_id: r.verdict for r in urlfilter.filter_urls(pages, labels, rules=(), two_label_suffixes=listed).collect()}
         assert (got[0], got[199], got[900], got[901]) == ("allow", "block", "allow", "block"), suffix
-    assert set(names) <= set(urlfilter.PUBLIC_SUFFIXES) and set(urlfilter.TWO_LABEL_SUFFIXES) <= set(urlfilter.PUBLIC_SUFFIXES)
 
 
 def moments(groups):
@@ -72,7 +73,7 @@ def test_reputation_equals_brute_force(spark):
         if i in labels:
             n[h] += 1
             s[h] += labels[i][0] and not labels[i][1]
-    suffix = lambda h: ".".join(h.split(".")[-2:]) if ".".join(h.split(".")[-2:]) in urlfilter.PUBLIC_SUFFIXES else h.split(".")[-1]
+    suffix = lambda h: ".".join(h.split(".")[-2:]) if ".".join(h.split(".")[-2:]) in urlfilter.TWO_LABEL_SUFFIXES else h.split(".")[-1]
     domain = lambda h: h if h.count(".") < len(suffix(h).split(".")) else ".".join(h.split(".")[-len(suffix(h).split(".")) - 1 :])
     known = {h for _, h in rows}
     total = lambda hs: (sum(n[h] for h in hs), sum(s[h] for h in hs))
@@ -153,3 +154,16 @@ def test_pipeline_stages_keep_columns_and_take_effect(spark, sf):
     ids = {r.doc_id for r in at.collect()}
     packed = corpus_pipeline.STAGES[-1][1](spark, at, sf)
     assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} == ids
+
+
+def test_ports_and_addresses(spark):
+    """A port is no part of the domain, and the parts of an address are no domains."""
+    urls = [f"http://a.com:80{k:02}/{i}" for k in range(10) for i in range(10)] + [f"http://10.0.{k}.1/{i}" for k in range(10) for i in range(10)]
+    pages = spark.createDataFrame([*enumerate(urls), (900, "https://new.a.com:1/"), (901, "http://10.0.77.1/"), (902, "http://[::1]:8080/x"), (903, "http://com:8000/")], "page_id bigint, url string")
+    labels = spark.createDataFrame([(i, int(i < 100), 0) for i in range(200)], "doc_id bigint, quality int, toxic int")
+    got = {r.page_id: (r.host, r.verdict) for r in urlfilter.filter_urls(pages, labels, rules=()).collect()}
+    assert got[0] == ("a.com:8000", "allow") and got[900] == ("new.a.com:1", "allow") and got[199][1] == "block"
+    assert got[901][0] == "10.0.77.1" and got[902][0] == "[::1]:8080"
+    tree = urlfilter._tree("counts", 0.5, 1.645, ("co.uk",)).split("domains AS (")[0].rstrip().rstrip(",")
+    hosts = {r.host: (r.domain, r.suffix) for r in spark.sql(f"WITH counts AS (SELECT explode(array('a.com:80', 'x.b.co.uk:1', '10.0.0.1:9', '[::1]:8080', 'com:1', '', 'w.a.com')) AS host, 0D AS n, 0D AS s), {tree} SELECT * FROM hosts").collect()}
+    assert hosts == {"a.com:80": ("a.com", "com"), "x.b.co.uk:1": ("b.co.uk", "co.uk"), "10.0.0.1:9": ("10.0.0.1", "address"), "[::1]:8080": ("[::1]", "address"), "com:1": ("com", "com"), "": ("", ""), "w.a.com": ("a.com", "com")}
