@@ -33,7 +33,8 @@ from .tokens import squeeze, unsqueeze
 ORDER = 5
 #: Weight of the lower order, in tokens of the target.
 STRENGTH = 5.0
-BLOCK_BYTES = 8 << 20
+#: Bytes of text in a block, and for each bucket of contexts, of which a task holds the distinct grams.
+BLOCK_BYTES, BUCKET_BYTES = 8 << 20, 16 << 20
 _BLOCK = "block bigint, place string, ids array<bigint>, sizes array<bigint>"
 _COUNTED = "block bigint, bucket int, grams binary, background binary, target binary, singles array<bigint>"
 
@@ -234,22 +235,24 @@ def score_documents(docs: DataFrame, target_ids: DataFrame, order: int = ORDER,
     """
     spark = docs.sparkSession
     bounded(spark)
-    folder, buckets = scratch_path(spark, "texts"), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    folder, parts = scratch_path(spark, "texts"), int(spark.conf.get("spark.sql.shuffle.partitions"))
     blocks = written(docs.select(F.col(id_col).cast("bigint"), F.col(text_col)).mapInArrow(BlockWriter(folder), _BLOCK), "lm-blocks")
+    # As many buckets as it takes for the distinct grams of one to fit in a task.
+    buckets = max(parts, (blocks.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("bigint"), lambda x, y: x + y))).first()[0] or 0) // BUCKET_BYTES)
     wanted = target_ids.select(F.col(id_col).cast("bigint").alias("wanted")).where(F.col("wanted").isNotNull()).distinct()
     hits = blocks.select(F.col("block").alias("home"), F.posexplode("ids").alias("k", "id")).join(wanted, F.col("id") == F.col("wanted"))
     hits = hits.groupBy("home").agg(F.collect_list("k").alias("hits"))
-    tasks = max(buckets, spark.sparkContext.defaultParallelism)
+    tasks = max(parts, spark.sparkContext.defaultParallelism)
     rows = blocks.join(hits, F.col("block") == F.col("home"), "left").select("block", "place", "sizes", "hits").repartition(tasks)  # few and short rows with much work each: not to be coalesced
     counted = written(rows.mapInArrow(Counter(order, buckets, folder), _COUNTED), "lm-counts")
     singles = np.zeros(512)
     for r in counted.where(F.col("bucket") < 0).select(F.posexplode("singles").alias("k", "n")).groupBy("k").agg(F.sum("n").alias("n")).collect():
         singles[r.k] = r.n
     grams = counted.where(F.col("bucket") >= 0)
-    solved = grams.select("bucket", "grams", "background", "target").repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    solved = grams.select("bucket", "grams", "background", "target").repartition(parts, "bucket").sortWithinPartitions("bucket")
     solved = written(solved.mapInArrow(Sums(singles.reshape(2, 256), strength), "bucket int, grams binary, losses binary"), "lm-losses")
     both = solved.select("bucket", F.lit(None).cast("bigint").alias("block"), "grams", "losses").union(grams.select("bucket", "block", "grams", F.lit(None).cast("binary")))
-    solved = both.repartition(buckets, "bucket").sortWithinPartitions("bucket", F.col("block").asc_nulls_first()).mapInArrow(Answers(), "home bigint, packed binary, losses binary")
+    solved = both.repartition(parts, "bucket").sortWithinPartitions("bucket", F.col("block").asc_nulls_first()).mapInArrow(Answers(), "home bigint, packed binary, losses binary")
     out = blocks.groupBy("block").cogroup(solved.groupBy("home")).applyInArrow(_scorer(order, folder), "id bigint, n_tokens bigint, score double")
     return out.withColumnRenamed("id", id_col)
 

@@ -244,6 +244,10 @@ def test_a_bucket_above_its_bounds_gives_the_same(spark, monkeypatch):
     assert got == [[len(model.encode(t.as_py().decode())) for t in h] for h in held]
     docs, ids = frame(spark, texts), spark.createDataFrame([(0,), (9,)], "doc_id bigint")
     whole = lmscore.score_documents(docs, ids).orderBy("doc_id").collect()
+    # More buckets than partitions, a few contexts each.
+    monkeypatch.setattr(lmscore, "BUCKET_BYTES", 50)
+    parts = lmscore.score_documents(docs, ids).orderBy("doc_id").collect()
+    assert parts == whole
     monkeypatch.setattr(lmscore, "WAITING", 10)
     monkeypatch.setattr(lmscore, "SOLVED_ROW", 50)
     grams = [np.unique(np.random.default_rng(k).integers(0, 500, 60).astype(np.uint64)) for k in range(6)]
