@@ -1,11 +1,14 @@
 """Claims, clusters and ranking against the rules one by one, and the whole plan's sums."""
 
+import os
 import random
+import urllib.parse
 
 import duckdb
 from pyspark.sql import functions as F
 
 from spinewright import report
+from spinewright.operators import running
 from spinewright.operators.claims import claims, fold
 from spinewright.operators.intra import clusters, intra_duplicates
 from spinewright.operators.inventory import editions, recalculated, with_edition
@@ -145,3 +148,21 @@ def test_destinations_of_a_stream(spark, tmp_path):
     q = intake.destinations(stream, "/out").select("dest_file").writeStream.format("memory").queryName("taken").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert [r.dest_file for r in spark.sql("SELECT * FROM taken").collect()] == ["/out/A/B/T.mp3"]
+
+
+def test_counts_are_taken_while_a_plan_is_written_and_steps_released(spark):
+    copies = [row(f"/lib/A/Long/x{end}.mp3", "A", "B", "2001", 64000) for end in ("", ".2", ".3")]
+    files = spark.createDataFrame([(*r, *[""] * 8, "f" + r[0], "bad" if ".3" in r[0] else None) for r in copies], FILES + ", title string, track string, disc string, series string, series_index string, narrator string, subtitle string, genre string, fp string, error string")
+    dedup = organise.book_dedup(files)
+    there = spark.createDataFrame([], "dest string, disk_fp string")
+    for known, groups in ((None, 0), (dedup, 7)):
+        planned = organise.plan(files, there, "/out", known)
+        kept = []
+        out, found = running.counted(planned, organise.counts(groups), kept)
+        assert found == planned.agg(*(c.alias(k) for k, c in organise.counts(groups).items())).first().asDict() and found["files"] == out.count() == 3
+        assert (found["failed"], found["intra_dedup"], found["book_dedup_groups"]) == ((1, 0, 0) if known is None else (0, 2, 7))
+    paths = [urllib.parse.urlparse(p).path for p in (*kept, *dedup.kept)]
+    assert len(paths) == 6 and all(map(os.path.exists, paths))
+    running.release(kept)
+    dedup.release()
+    assert not any(map(os.path.exists, paths))
