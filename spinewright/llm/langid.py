@@ -115,7 +115,8 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     Null texts and texts without a letter are ``und``; texts of any length are
     compressed whole; repeated rows keep a row each; on a tie the more frequent
     language wins; with nothing to learn from all is ``und``, and an empty table
-    gives no row; a null doc_id isn't held out.
+    gives no row; a null doc_id isn't held out; columns beside doc_id, text and
+    lang aren't looked at.
     """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     found = identify(docs, learn(docs.where(_fold(F.col("doc_id")) != 0)))

@@ -309,3 +309,23 @@ def test_longest_matches_equal_brute_force():
         assert got == want
         doc, n, p, _ = hits.best()
         assert {int(k): (-int(x), int(y - words.bounds[k])) for k, x, y in zip(doc, n, p)} == best
+
+
+def test_chunks_and_blocks_change_nothing(spark, monkeypatch):
+    """Matches of equal length in items of different chunks, and texts longer than a block."""
+    from spinewright.llm import decontaminate as D
+
+    r = random.Random(9)
+    words = [f"w{k}" for k in range(9)]
+    item = lambda k: " ".join(r.choice(words) for _ in range(14))
+    items = [(f"i{k}", item(k)) for k in range(12)]
+    texts = [" - ".join([*(items[k][1] for k in order), "end"]) for order in ([3, 1], [1, 3], [11, 0, 5], [7, 7])]
+    docs, tests = frame(spark, texts), spark.createDataFrame(items, "item_id string, text string")
+    rows = lambda size: sorted(map(repr, D.find_contamination(docs, tests, chunk_bytes=size).drop("longest_item").collect()))
+    assert rows(1) == rows(1 << 22)
+    long = frame(spark, ["a long text, " * 500, "short", "x" * 9000, None])
+    ids = spark.createDataFrame([(1,)], "doc_id bigint")
+    scored = lambda: sorted(map(repr, lmscore.score_documents(long, ids).collect()))
+    whole = scored()
+    monkeypatch.setattr(lmscore, "BLOCK_BYTES", 1000)
+    assert scored() == whole
