@@ -90,7 +90,11 @@ def main(argv: list[str] | None = None) -> None:
     config = parse(argv)
     log = report.Log(config.log)
     try:
-        organise(SparkSession.builder.getOrCreate(), config, log)
+        spark = SparkSession.builder.getOrCreate()
+        sc = spark.sparkContext
+        if sc.master.startswith("local") and not sc.getConf().contains("spark.sql.shuffle.partitions"):
+            spark.conf.set("spark.sql.shuffle.partitions", str(sc.defaultParallelism))  # one machine has no use for 200
+        organise(spark, config, log)
     except KeyboardInterrupt:
         log("Interrupted.")
     finally:
