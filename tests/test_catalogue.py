@@ -8,12 +8,14 @@ import duckdb
 from pyspark.sql import functions as F
 
 from spinewright import report
+from spinewright.functions.paths import lower_keys
 from spinewright.operators import running
 from spinewright.operators.claims import claims, fold
 from spinewright.operators.intra import clusters, intra_duplicates
 from spinewright.operators.inventory import editions, recalculated, with_edition
 from spinewright.operators.ranking import ranked, reasons
 from spinewright.plans import fixtures, organise, queries
+from spinewright.plans.virtual import library
 from spinewright.streaming import intake
 
 FILES = "path string, folder string, name string, ext string, size bigint, author string, book string, year string, bitrate bigint, duration double"
@@ -166,3 +168,12 @@ def test_counts_are_taken_while_a_plan_is_written_and_steps_released(spark):
     running.release(kept)
     dedup.release()
     assert not any(map(os.path.exists, paths))
+
+
+def test_tags_are_put_together_once_and_by_many_tasks(spark, sf):
+    """A step inside a lambda is worked out again for each element; library's events are one small file."""
+    made = queries.tag_chain_order(spark, sf)
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("map_entries(") == 1
+    assert library(spark, sf).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    row = spark.range(1).select(F.create_map(F.lit("A"), F.lit("1"), F.lit("b"), F.lit("2"), F.lit("a"), F.lit("3"), F.lit("Ab"), F.lit(None).cast("string")).alias("t"))
+    assert row.select(lower_keys(F.col("t"))).first()[0] == {"b": "2", "a": "3", "ab": None}
