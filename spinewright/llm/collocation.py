@@ -39,6 +39,10 @@ from .tokens import unsqueeze
 SHARD_BYTES, BUCKET_BYTES = 16 << 20, 24 << 20
 #: Bytes of bitmaps that are extended at once.
 AT_ONCE = 1 << 17
+#: Phrases that a shard holds back before it sends them, so that messages stay few however many buckets there are.
+HELD_BACK = 1 << 19
+#: Words or phrases, at least, that wait to be added to those a bucket has.
+WAITING = 1 << 17
 LEAST, LONGEST, TOP = 100, 5, 2000
 #: Between pieces: ``[.,;:!?\x0A-\x0D]``; between words also ``[\x20\x09]``.
 _PIECE = K.byte_set((0x0A, 0x0D))
@@ -174,13 +178,11 @@ class Words(Gathered):
     def solved(self, bucket: int, rows: list) -> Iterator[pa.RecordBatch]:
         # A word is known by its language and itself, between which a blank is safe, as no word has one.
         keyed = lambda lang, packed: pc.binary_join_element_wise(pa.scalar(lang.encode(), pa.large_binary()), _unpack_words(packed)[0], pa.scalar(b" ", pa.large_binary()))
-        keys, total = pa.array([], pa.large_binary()), np.zeros(0, np.int64)
-        for k in range(0, len(rows), 64):
-            part = rows[k : k + 64]
-            coded = pa.concat_arrays([keys, *(keyed(lang, packed) for _, lang, packed in part)]).dictionary_encode()
-            new = np.zeros(len(coded.dictionary), np.int64)
-            np.add.at(new, coded.indices.to_numpy(), np.concatenate([total, *(_unpack_words(packed)[1] for _, _, packed in part)]))
-            keys, total = coded.dictionary, new
+        found = Added(pa.array([], pa.large_binary()))
+        for _, lang, packed in rows:
+            found.add(keyed(lang, packed), _unpack_words(packed)[1])
+        found.settle()
+        keys, total = found.keys, found.times
         often = np.flatnonzero(total >= self.least)
         often = often[np.argsort(-total[often], kind="stable")]
         ids = np.arange(len(often)) * self.buckets + bucket + 1
@@ -282,30 +284,38 @@ def longer_phrases(line: np.ndarray, frequent: np.ndarray, longest: int) -> Iter
 def _dealt(words: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """The order of phrases by bucket and then by words, and the n + 1 bounds of the buckets in it.
 
-    The last word tells only roughly which bucket, so that phrases that differ
-    by it alone are often neighbours and pack well.
+    They come in the order of their words. The last word tells only roughly
+    which bucket, so that phrases that differ by it alone are often neighbours
+    and pack well.
     """
     h = np.zeros(len(words), np.uint64)
     for k, column in enumerate(words.T):
         h = K.mix(h * np.uint64(K.BASE) + (column >> 12 if k else column).astype(np.uint64))
     bucket = (((h >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
-    order = np.lexsort((*words.T[::-1], bucket))
+    if buckets <= 1 << 16:  # sorted by digits
+        bucket = bucket.astype(np.uint16)
+    order = np.argsort(bucket, kind="stable")
     return order, np.searchsorted(bucket[order], np.arange(buckets + 1))
 
 
-def _packed(words: np.ndarray, times: np.ndarray) -> bytes:
-    """Phrases in order and their counts: of each word the step from the one above, where all before it are the same."""
-    same, out = np.zeros(len(words), bool), []
-    same[1:] = True
-    for column in words.T:
+def _packed(words: np.ndarray, times: np.ndarray, edge: np.ndarray | None = None) -> list[bytes]:
+    """Phrases and their counts, between each two edges in order: of each word the step from the one above, where all before it are the same. The first byte is the number of words."""
+    edge = np.array([0, len(words)]) if edge is None else edge
+    same, out = np.ones(len(words), bool), np.empty((words.shape[1] + 2, len(words)), "<u4")
+    same[edge[edge < len(words)]] = False
+    for k, column in enumerate(words.T):
         step = np.diff(column, prepend=0)
-        out.append(np.where(same, step, column))
+        out[k] = np.where(same, step, column)
         same &= step == 0
-    return _squeezed(*out, times & 0xFFFFFFFF, times >> 32)
+    out[-2], out[-1] = times & 0xFFFFFFFF, times >> 32
+    head, compressor = bytes([words.shape[1]]), zstandard.ZstdCompressor(level=3)
+    planes = (np.ascontiguousarray(out[:, a:b]).view(np.uint8).reshape(-1, 4).T for a, b in zip(edge[:-1].tolist(), edge[1:].tolist()))
+    return [head + compressor.compress(x.tobytes()) for x in planes]
 
 
-def _unpacked(b: bytes, width: int) -> tuple[np.ndarray, np.ndarray]:
-    raw = unsqueeze(b).reshape(width + 2, -1)
+def _unpacked(b: bytes) -> tuple[np.ndarray, np.ndarray]:
+    width, raw = b[0], unsqueeze(b[1:])
+    raw = raw.reshape(width + 2, -1)
     words = np.empty((raw.shape[1], width), np.int64)
     head = np.zeros(raw.shape[1], bool)
     head[:1] = True
@@ -320,8 +330,8 @@ def _unpacked(b: bytes, width: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _messages(words: np.ndarray, times: np.ndarray, buckets: int) -> tuple[list[int], list[bytes]]:
     order, edge = _dealt(words, buckets)
-    held = np.flatnonzero(np.diff(edge)).tolist()
-    return held, [_packed(words[order[edge[k] : edge[k + 1]]], times[order[edge[k] : edge[k + 1]]]) for k in held]
+    held = np.flatnonzero(np.diff(edge))
+    return held.tolist(), _packed(words[order], times[order], np.append(edge[held], len(words)))
 
 
 def _numbered(shard: pa.Table, answers: pa.Table) -> np.ndarray:
@@ -352,23 +362,58 @@ def _extended(buckets: int, longest: int):
         for k, b in zip(bits.column("bucket").to_pylist(), bits.column("packed").to_pylist()):
             own = words[order[edge[k] : edge[k + 1]]][np.unpackbits(np.frombuffer(b, np.uint8), count=edge[k + 1] - edge[k]).astype(bool)]
             frequent.append(own[:, 0] << 32 | own[:, 1])
-        out_bucket, out = [], []
+        out_bucket, out, back = [], [], {}
+
+        def send() -> None:
+            # Of phrases of one length, those of later ranges are behind the others in order.
+            for parts in back.values():
+                held, packed = _messages(*(np.concatenate(x) for x in zip(*parts)), buckets)
+                out_bucket.extend(held)
+                out.extend(packed)
+            back.clear()
+
+        size = 0
         for w, times in longer_phrases(line, np.sort(np.concatenate(frequent)), longest):
-            held, packed = _messages(np.pad(w, ((0, 0), (0, longest - w.shape[1]))), times, buckets)
-            out_bucket += held
-            out += packed
+            back.setdefault(w.shape[1], []).append((w, times))
+            size += len(w)
+            if size >= HELD_BACK:
+                send()
+                size = 0
+        send()
         return pa.table({"bucket": pa.array(out_bucket, pa.int32()), "packed": pa.array(out, pa.binary())})
 
     return extend
 
 
-def _added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct phrases of several lists, in order, and their counts in all."""
-    words, times = np.concatenate([w for w, _ in parts]), np.concatenate([t for _, t in parts])
-    order = np.lexsort(words.T[::-1])
-    words, times = words[order], times[order]
-    head = np.flatnonzero(np.append(True, (words[1:] != words[:-1]).any(axis=1))[: len(words)])
-    return words[head], np.add.reduceat(times, head) if len(head) else times
+class Added:
+    """Distinct keys and their counts in all, as they come in.
+
+    What comes waits until it is as much as is there, so that each count is
+    added to ever larger sums a few times, however many lists come.
+    """
+
+    def __init__(self, none: pa.Array):
+        self.keys, self.times, self.waiting, self.size = none, np.zeros(0, np.int64), [], 0
+
+    def add(self, keys: pa.Array, times: np.ndarray) -> None:
+        self.waiting.append((keys, times))
+        self.size += len(keys)
+        if self.size >= max(WAITING, len(self.keys)):
+            self.settle()
+
+    def settle(self) -> None:
+        if self.waiting:
+            coded = pa.concat_arrays([self.keys, *(k for k, _ in self.waiting)]).dictionary_encode()
+            total = np.zeros(len(coded.dictionary), np.int64)
+            np.add.at(total, coded.indices.to_numpy(), np.concatenate([self.times, *(t for _, t in self.waiting)]))
+            self.keys, self.times, self.waiting, self.size = coded.dictionary, total, [], 0
+
+
+def _as_keys(words: np.ndarray, width: int) -> pa.Array:
+    """Phrases as strings of width 32-bit numbers."""
+    flat = np.zeros((len(words), width), "<u4")
+    flat[:, : words.shape[1]] = words
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * width), len(words), [None, pa.py_buffer(flat)])
 
 
 class Sums(Gathered):
@@ -379,11 +424,15 @@ class Sums(Gathered):
 
     def total(self, rows: list) -> tuple[np.ndarray, np.ndarray]:
         """The frequent phrases of a bucket, from rows whose last value packs some."""
-        found = (np.zeros((0, self.width), np.int64), np.zeros(0, np.int64))
-        for k in range(0, len(rows), 64):
-            found = _added([found, *(_unpacked(row[-1], self.width) for row in rows[k : k + 64])])
-        often = found[1] >= self.least
-        return found[0][often], found[1][often]
+        found = Added(_as_keys(np.zeros((0, self.width)), self.width))
+        for row in rows:
+            words, times = _unpacked(row[-1])
+            found.add(_as_keys(words, self.width), times)
+        found.settle()
+        often = np.flatnonzero(found.times >= self.least)
+        words = np.frombuffer(b"".join(found.keys.take(pa.array(often)).to_pylist()), "<u4").reshape(-1, self.width).astype(np.int64)
+        order = np.lexsort(words.T[::-1])
+        return words[order], found.times[often][order]
 
     def solved(self, bucket: int, rows: list) -> Iterator[pa.RecordBatch]:
         words, times = self.total(rows)
@@ -401,9 +450,9 @@ class Pairs(Sums):
     def solved(self, bucket: int, rows: list) -> Iterator[pa.RecordBatch]:
         words, times = self.total(rows)
         known = words[:, 0] << 32 | words[:, 1]
-        out = [(None, _packed(words, times))]
+        out = [(None, _packed(words, times)[0])]
         for home, packed in rows:
-            own, _ = _unpacked(packed, 2)
+            own, _ = _unpacked(packed)
             code = own[:, 0] << 32 | own[:, 1]
             at = np.minimum(np.searchsorted(known, code), max(len(known) - 1, 0))
             out.append((home, np.packbits(known[at] == code if len(known) else np.zeros(len(code), bool)).tobytes()))
@@ -416,7 +465,7 @@ class Phrases:
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for packed in batch.column(1):
-                words, times = _unpacked(packed.as_buffer(), 2)
+                words, times = _unpacked(packed.as_py())
                 ids = pa.ListArray.from_arrays(pa.array(np.arange(0, 2 * len(words) + 1, 2), pa.int32()), pa.array(words.ravel(), pa.int64()))
                 yield pa.RecordBatch.from_arrays([ids, pa.array(times, pa.int64())], names=["ids", "a"])
 

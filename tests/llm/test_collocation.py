@@ -100,3 +100,29 @@ def test_long_texts_are_cut_between_pieces(monkeypatch):
     whole = collocation.positions(text, np.array([0, len(text)]))
     named = lambda x: [(b"", *collocation.K.strings(x[1]))[k] for k in x[0].tolist()]
     assert named((line, words)) == named(whole) and times.sum() == whole[2].sum()
+
+
+def test_a_shard_sends_few_messages_and_a_bucket_adds_few_times(monkeypatch):
+    """Messages hang on buckets and lengths, not on how many ranges of bitmaps a shard has; sums are made anew only when they have doubled."""
+    import pyarrow as pa
+
+    line = np.random.default_rng(7).integers(0, 9, 4000)
+    monkeypatch.setattr(collocation, "AT_ONCE", 16)
+    held, packed = collocation._messages(*collocation.pairs(line), 4)
+    rows = [(b, np.packbits(np.ones(len(collocation._unpacked(p)[0]), bool)).tobytes(), True) for b, p in zip(held, packed)]
+    seats = collocation._squeezed(np.arange(1, 10))
+    answers = pa.table({"bucket": [0, *(r[0] for r in rows)], "packed": [seats, *(r[1] for r in rows)], "pairs": [False, *(r[2] for r in rows)]})
+    out = collocation._extended(4, 5)(None, pa.table({"line": [collocation._squeezed(line)]}), answers)
+    assert len(out) <= 3 * 4
+    found = collocation.Sums(5, 1).total([[p] for p in out.column("packed").to_pylist()])
+    want = Counter(tuple(line[i : i + m].tolist()) for m in (3, 4, 5) for i in range(len(line) - m + 1) if line[i : i + m].all())
+    assert {tuple(x for x in w if x): t for w, t in zip(found[0].tolist(), found[1].tolist())} == want
+
+    monkeypatch.setattr(collocation, "WAITING", 10)
+    added, settled = collocation.Added(pa.array([], pa.large_binary())), []
+    settle = added.settle
+    monkeypatch.setattr(added, "settle", lambda: (settled.append(1), settle()))
+    for k in range(1000):
+        added.add(pa.array([b"%d" % n for n in range(k, k + 10)], pa.large_binary()), np.ones(10, np.int64))
+    settle()
+    assert len(added.keys) == 1009 and added.times.sum() == 10_000 and len(settled) < 100
