@@ -9,10 +9,15 @@
    group's pages, with a mark at each block, are put one after another. Its
    suffixes are sorted by their first RUN tokens, by doubling; suffixes that
    agree so far are neighbours, and the pages that they come from are counted.
-3. Words covered by runs that lie on a share of the group's pages are removed,
+3. Words covered by runs that lie on a share of the host's pages are removed,
    and the unique runs are kept. Inside an article's element, where passages may
    be quoted or whole articles copied, the share is higher.
 
+A run on a share of a host's pages is on that share of the pages of one of its
+groups at least. So the groups of a large host first name the runs that are on
+the share of their own pages; all of its groups then count those, and the sums
+tell which are removed. The result is the same however pages are grouped.
+
 The suffix array alone can't tell an advert that each page has anew from the
 article, nor a copied article from a notice; that is what the markup is for.
 """
@@ -35,7 +40,7 @@ from .shared import bounded, written
 
 #: Tokens of a run; pages (least, share of the group's) that a run must be on outside an article's element and inside one.
 RUN, OUTSIDE, INSIDE = 6, (3, 0.5), (10, 0.8)
-#: Bytes of html in a group of a host's pages.
+#: Bytes of html in a group of a host's pages; what a group is hangs on it, and no result does.
 GROUP_BYTES = 16 << 20
 #: Hosts of more than one group that may be sent to all tasks, a name and a number each.
 FEW_HOSTS = 20_000
@@ -234,8 +239,77 @@ def repeated(page: np.ndarray, token: np.ndarray, need: np.ndarray, run: int = R
     return np.cumsum(edge[:-1]) > 0
 
 
-class HostArrays:
-    """(page_id, url, text) of (page_id, url, host, group, level, text) rows sorted by host and group."""
+def need(pages: int, bound: tuple[int, float]) -> int:
+    """On how many of a host's pages a run must be to be removed."""
+    return max(bound[0], int(np.ceil(bound[1] * pages)))
+
+
+class GroupText:
+    """The tokens of a group's pages: words by number, and a mark before each block's first."""
+
+    def __init__(self, text: pa.Array):
+        data, offsets = K.column_bytes(text)
+        self.data = np.ascontiguousarray(data)
+        self.starts, self.ends, self.bounds = K.segments((self.data != 0x20) & (self.data != 0x0A), offsets)
+        code, self.words = K.codes(self.data, self.starts, self.ends)
+        page = K.owner(self.bounds)
+        fresh = np.ones(len(self.starts), bool)
+        fresh[1:] = (self.data[self.starts[1:] - 1] == 0x0A) | (page[1:] != page[:-1])
+        self.place = np.arange(len(self.starts)) + np.cumsum(fresh)
+        self.token, self.page = np.zeros(len(self.starts) + int(fresh.sum()), np.int64), np.empty(len(self.starts) + int(fresh.sum()), np.int64)
+        self.token[self.place], self.page[self.place] = code + 1, page
+        self.page[self.place[fresh] - 1] = page[fresh]
+
+    def whole(self, run: int) -> np.ndarray:
+        """The places where a run begins that is within a page."""
+        n = max(len(self.token) - run + 1, 0)
+        return np.flatnonzero(self.page[:n] == self.page[run - 1 :][:n])
+
+    def pages_with(self, kind: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """On how many pages each of the kinds of runs, given for places, is."""
+        width = len(self.bounds)
+        return np.bincount(np.unique(kind * width + self.page[at]) // width)
+
+    def frequent(self, run: int, share: float) -> list[bytes]:
+        """The runs that are on a share of the pages, by their words, each with a blank behind it; a line feed is a mark."""
+        at = self.whole(run)
+        if not len(at):
+            return []
+        _, first, kind = np.unique(ranked_suffixes(self.token, run)[at], return_index=True, return_inverse=True)
+        often = at[first[self.pages_with(kind, at) >= share * (len(self.bounds) - 1) - 1e-6]]
+        words = [b"\n ", *(w + b" " for w in K.strings(self.words))]
+        return [b"".join([words[t] for t in self.token[a : a + run].tolist()]) for a in often.tolist()]
+
+    def among(self, runs: list[bytes], run: int) -> tuple[np.ndarray, np.ndarray]:
+        """The places where one of some runs begins, and which; the runs are sorted along with the suffixes."""
+        at = self.whole(run)
+        if not len(at) or not runs:
+            return at[:0], at[:0]
+        told = pa.array([w for r in runs for w in r.split(b" ")[:-1]], pa.large_binary())
+        code = pc.index_in(told, self.words).fill_null(len(self.words)).to_numpy().astype(np.int64) + 1
+        code[pc.equal(told, b"\n").to_numpy(zero_copy_only=False)] = 0
+        rank = ranked_suffixes(np.concatenate([self.token, code]), run)
+        seat = np.full(int(rank.max()) + 1, -1, np.int64)
+        seat[rank[len(self.token) :: run]] = np.arange(len(runs))
+        kind = seat[rank[at]]
+        return at[kind >= 0], kind[kind >= 0]
+
+    def without(self, gone: np.ndarray, text: pa.Array) -> pa.Array:
+        """The texts without tokens that are gone; a text of which nothing would be left is a copy, and stays."""
+        gone = gone[self.place]
+        some = np.bincount(K.owner(self.bounds)[gone], minlength=len(text))
+        cut = np.flatnonzero((some > 0) & (some < np.diff(self.bounds)))
+        if not len(cut):
+            return text
+        out, raw = text.to_pylist(), self.data.tobytes()
+        for d in cut.tolist():
+            own = np.flatnonzero(~gone[self.bounds[d] : self.bounds[d + 1]]) + self.bounds[d]
+            out[d] = b" ".join([raw[a:b] for a, b in zip(self.starts[own].tolist(), self.ends[own].tolist())]).decode()
+        return pa.array(out, pa.large_string())
+
+
+class Groups:
+    """Calls solved for each group of rows that begin with host and group and are sorted by them; waiting rows are Arrow slices."""
 
     def __init__(self, run: int, outside: tuple[int, float], inside: tuple[int, float]):
         self.run, self.bounds = run, (outside, outside, inside)
@@ -243,56 +317,82 @@ class HostArrays:
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, waiting = None, []
         for batch in batches:
-            key = pa.StructArray.from_arrays([batch.column(2), batch.column(3)], names=["host", "group"]).to_pylist()
+            key = pa.StructArray.from_arrays(batch.columns[:2], names=["host", "group"]).to_pylist()
             edges = [0, *(k for k in range(1, len(key)) if key[k] != key[k - 1]), len(key)]
             for a, b in zip(edges, edges[1:]):
                 if a == b:
                     continue
                 if waiting and key[a] != now:
-                    yield from self.solved(waiting)
+                    yield from self.solved(pa.Table.from_batches(waiting))
                     waiting = []
                 now = key[a]
                 waiting.append(batch.slice(a, b - a))
         if waiting:
-            yield from self.solved(waiting)
+            yield from self.solved(pa.Table.from_batches(waiting))
         K.tidy()
 
-    def solved(self, waiting: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(waiting)
-        text = table.column(5)
-        if table.column(2)[0].as_py() is not None and len(table) >= min(self.bounds[0][0], self.bounds[2][0]):
-            text = pa.chunked_array([self.unique(text.cast(pa.large_string()).combine_chunks(), table.column(4).to_numpy())])
+    def solved(self, table: pa.Table) -> Iterator[pa.RecordBatch]:
+        raise NotImplementedError
+
+    def shown(self, table: pa.Table, text: pa.Array | pa.ChunkedArray) -> Iterator[pa.RecordBatch]:
         text = pc.replace_substring(text, "\n", " ")
-        for k in pa.Table.from_arrays([table.column(0), table.column(1), text.cast(pa.string())], names=["page_id", "url", "text"]).to_batches(max_chunksize=512):
-            yield k
+        yield from pa.Table.from_arrays([table.column("page_id"), table.column("url"), text.cast(pa.string())], names=["page_id", "url", "text"]).to_batches(max_chunksize=512)
+
+
+def _texts(table: pa.Table) -> pa.Array:
+    return table.column("text").cast(pa.large_string()).combine_chunks()
+
+
+class HostArrays(Groups):
+    """(page_id, url, text) of (host, group, page_id, url, level, text) rows of hosts that are one group."""
+
+    def solved(self, table: pa.Table) -> Iterator[pa.RecordBatch]:
+        text = table.column("text")
+        if table.column("host")[0].as_py() is not None and len(table) >= min(self.bounds[0][0], self.bounds[2][0]):
+            text = _texts(table)
+            own = GroupText(text)
+            least = np.array([need(len(text), self.bounds[k]) for k in table.column("level").to_pylist()], np.int64)
+            text = own.without(repeated(own.page, own.token, least, self.run), text)
+        yield from self.shown(table, text)
+
+
+class NamedRuns(Groups):
+    """(host, run) of the runs that are on the lowest share of a group's pages."""
+
+    def solved(self, table: pa.Table) -> Iterator[pa.RecordBatch]:
+        often = GroupText(_texts(table)).frequent(self.run, min(b[1] for b in self.bounds))
+        yield pa.RecordBatch.from_arrays([pa.array([table.column("host")[0].as_py()] * len(often), pa.string()), pa.array(often, pa.binary())], names=["host", "run"])
 
-    def unique(self, text: pa.Array, level: np.ndarray) -> pa.Array:
-        """The texts without what is repeated; a text of which nothing would be left is a copy, and stays."""
-        data, offsets = K.column_bytes(text)
-        data = np.ascontiguousarray(data)
-        starts, ends, bounds = K.segments((data != 0x20) & (data != 0x0A), offsets)
-        if not len(starts):
-            return text
-        code, _ = K.codes(data, starts, ends)
-        page = K.owner(bounds)
-        # A mark before each block's first word.
-        fresh = np.ones(len(starts), bool)
-        fresh[1:] = (data[starts[1:] - 1] == 0x0A) | (page[1:] != page[:-1])
-        place = np.arange(len(starts)) + np.cumsum(fresh)
-        token, of = np.zeros(len(starts) + int(fresh.sum()), np.int64), np.empty(len(starts) + int(fresh.sum()), np.int64)
-        token[place], of[place] = code + 1, page
-        of[place[fresh] - 1] = page[fresh]
-        need = np.array([max(self.bounds[k][0], int(np.ceil(self.bounds[k][1] * len(text)))) for k in level.tolist()], np.int64)
-        gone = repeated(of, token, need, self.run)[place]
-        some = np.bincount(page[gone], minlength=len(text))
-        cut = np.flatnonzero((some > 0) & (some < np.diff(bounds)))
-        if not len(cut):
-            return text
-        out, raw = text.to_pylist(), data.tobytes()
-        for d in cut.tolist():
-            own = np.flatnonzero(~gone[bounds[d] : bounds[d + 1]]) + bounds[d]
-            out[d] = b" ".join([raw[a:b] for a, b in zip(starts[own].tolist(), ends[own].tolist())]).decode()
-        return pa.array(out, pa.large_string())
+
+class Counted:
+    """(host, run, pages) of a group's pages and its host's runs: on how many of the pages each of the runs is."""
+
+    def __init__(self, run: int):
+        self.run = run
+
+    def __call__(self, key: tuple, pages: pa.Table, told: pa.Table) -> pa.Table:
+        own, runs = GroupText(_texts(pages)), told.column("run").to_pylist()
+        at, kind = own.among(runs, self.run)
+        times = own.pages_with(kind, at)
+        found = np.flatnonzero(times)
+        return pa.table({"host": pa.array([key[0].as_py()] * len(found), pa.string()), "run": pa.array([runs[k] for k in found.tolist()], pa.binary()), "pages": pa.array(times[found], pa.int64())})
+
+
+class LargeHosts(Groups):
+    """(page_id, url, text) of a group's pages, given its host's runs with their sums; pages tells how many the host has."""
+
+    def __call__(self, key: tuple, pages: pa.Table, told: pa.Table) -> pa.Table:
+        text = _texts(pages)
+        own, total = GroupText(text), told.column("pages").to_numpy()
+        if len(told) and len(pages):
+            at, kind = own.among(told.column("run").to_pylist(), self.run)
+            least = np.array([need(pages.column("pages")[0].as_py(), self.bounds[k]) for k in pages.column("level").to_pylist()], np.int64)
+            hit = at[total[kind] >= least[own.page[at]]]
+            edge = np.zeros(len(own.token) + 1, np.int64)
+            np.add.at(edge, hit, 1)
+            np.add.at(edge, hit + self.run, -1)
+            text = own.without(np.cumsum(edge[:-1]) > 0, text)
+        return pa.Table.from_batches(self.shown(pages, text), pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string())]))
 
 
 def _host(url: Column) -> Column:
@@ -301,6 +401,11 @@ def _host(url: Column) -> Column:
     return F.when(host != "", F.lower(host))
 
 
+def _three(f):
+    """f as a function of key and two tables, which cogroup asks for."""
+    return lambda key, left, right: f(key, left, right)
+
+
 def main_text(pages: DataFrame, run: int = RUN, outside: tuple[int, float] = OUTSIDE, inside: tuple[int, float] = INSIDE, group_bytes: int = GROUP_BYTES, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(id, url, text) of each row of pages.
 
@@ -314,14 +419,30 @@ def main_text(pages: DataFrame, run: int = RUN, outside: tuple[int, float] = OUT
     bounded(pages.sparkSession)
     rows = pages.select(F.col(id_col).cast("bigint").alias("page_id"), F.col(url_col).alias("url"), _host(F.col(url_col)).alias("host"), F.col(html_col).alias("html"))
     # Only hosts of more than one group need a row here.
-    sizes = rows.where(F.col("host").isNotNull()).groupBy("host").agg(F.sum(F.octet_length("html")).alias("bytes")).where(F.col("bytes") > group_bytes).select("host", F.ceil(F.col("bytes") / group_bytes).alias("groups"))
+    sizes = rows.where(F.col("host").isNotNull()).groupBy("host").agg(F.sum(F.octet_length("html")).alias("bytes"), F.count("*").alias("pages")).where(F.col("bytes") > group_bytes).select("host", F.ceil(F.col("bytes") / group_bytes).alias("groups"), "pages")
     sizes = written(sizes, "large-hosts")
     # Sent to all tasks only if they are known to be few; pages are shuffled to them otherwise.
-    sizes = F.broadcast(sizes) if sizes.count() <= FEW_HOSTS else sizes
-    rows = rows.join(sizes, "host", "left").select("page_id", "url", "host", F.when(F.col("host").isNull(), F.xxhash64("page_id", "url")).otherwise(F.pmod(F.xxhash64("page_id", "url"), F.coalesce("groups", F.lit(1)))).alias("group"), "html")
-    parsed = rows.mapInArrow(Parse(), "page_id bigint, url string, host string, group bigint, level int, text string")
-    dealt = parsed.repartition("host", "group").sortWithinPartitions("host", "group")
-    return dealt.mapInArrow(HostArrays(run, outside, inside), "page_id bigint, url string, text string").withColumnsRenamed({"page_id": id_col, "url": url_col})
+    large = sizes.count()
+    near = F.broadcast(sizes) if large <= FEW_HOSTS else sizes
+    rows = rows.join(near, "host", "left")
+    group = F.when(F.col("host").isNull(), F.xxhash64("page_id", "url")).otherwise(F.pmod(F.xxhash64("page_id", "url"), F.coalesce("groups", F.lit(1))))
+    rows = rows.select("host", group.alias("group"), "page_id", "url", "pages", "html")
+    out, bounds = "page_id bigint, url string, text string", (run, outside, inside)
+    parsed = lambda df: df.mapInArrow(Parse(), "host string, group bigint, page_id bigint, url string, pages bigint, level int, text string")
+    dealt = parsed(rows.where("pages IS NULL") if large else rows).repartition("host", "group")
+    found = dealt.sortWithinPartitions("host", "group").mapInArrow(HostArrays(*bounds), out)
+    if large:
+        # One plan, so that the groups' texts are shuffled once for the three times that they are looked at.
+        width = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        texts = parsed(rows.where("pages IS NOT NULL")).repartition(width, "host", "group")
+        each = sizes.select("host", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("groups") - 1)).alias("group"))
+        with_runs = lambda runs: texts.groupBy("host", "group").cogroup(runs.join(each, "host").select("host", "group", "run", "pages").groupBy("host", "group"))
+        named = texts.sortWithinPartitions("host", "group").mapInArrow(NamedRuns(*bounds), "host string, run binary").distinct().withColumn("pages", F.lit(0).cast("bigint"))
+        counted = with_runs(named).applyInArrow(_three(Counted(run)), "host string, run binary, pages bigint")
+        sums = counted.groupBy("host", "run").agg(F.sum("pages").alias("pages")).join(sizes.select("host", F.col("pages").alias("all")), "host")
+        sums = sums.where(F.col("pages") >= min(outside[1], inside[1]) * F.col("all") - 1e-6).select("host", "run", "pages")
+        found = found.union(with_runs(sums).applyInArrow(_three(LargeHosts(*bounds)), out))
+    return found.withColumnsRenamed({"page_id": id_col, "url": url_col})
 
 
 def op13_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -111,3 +111,19 @@ def test_query_over_pages(spark, sf):
         spaced = re.sub(r"</?(?:p|h1|br)>", " ", article)
         want = " ".join(html.unescape(re.sub(r"<[^>]*>", "", spaced)).split())
         assert (r.text, r.n_chars, r.u) == (want, len(want), r.url)
+
+
+def test_texts_do_not_hang_on_the_size_of_groups(spark):
+    """Lines on 30 to 70 % of a host's pages, unevenly dealt: each goes or stays on all of them, however many groups there are."""
+    r = random.Random(3)
+    rows = []
+    for i in range(60):
+        lines = [f"line {k} that stands on some of the pages of this host {k}" for k in range(9) if r.random() < 0.3 + k * 0.05]
+        unique = " ".join(f"w{i}n{k}" for k in range(r.randint(3, 40)))
+        body = "".join(f"<p>{x}</p>" for x in [*lines, unique])
+        rows.append((i, f"http://a.org/{i}", f"<article>{body}</article>" if i % 5 == 0 else f"<div>{body}</div>", "t", "h", 1))
+    rows.append((99, "http://a.org/99", "", "t", "h", 1))
+    pages = spark.createDataFrame(rows, PAGES).repartition(3)
+    got = [sorted((x.page_id, x.text) for x in maintext.main_text(pages, group_bytes=size).collect()) for size in (1 << 20, 9000, 700)]
+    assert got[0] == got[1] == got[2]
+    assert any("line 8" not in t and i % 5 for i, t in got[0][:-1]) and any("line 0" in t for _, t in got[0])
