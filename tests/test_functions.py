@@ -67,3 +67,18 @@ def test_resolve_and_destination(spark):
     out = df.withColumns(paths.build_destination({f: F.col(f) for f in paths.FIELDS}, F.col("folder"), F.col("name"), F.lit("/out"))).orderBy("i").collect()
     assert [(r.dest_file, r.no_meta) for r in out] == [r[3:] for r in rows]
     assert (out[0].year, out[0].series_index, out[1].series) == ("2020", "1", "")
+
+
+def test_keys_of_odd_names(spark):
+    """Keys follow the rule for white space, digits and separators beyond ASCII, and for null."""
+    authors = {"A\x1cB ; C": "a b, c", "É – Narrators x; b": "b, e", "(x": "(x", None: "", "ß;ſ": "s, ss", ",;": ""}
+    assert values(spark, T.normalise_author, list(authors)) == list(authors.values())
+    books = {"١٢٣: Tale": "١٢٣: tale", "Ab: Tale": "ab: tale", "X - Tale: Vol  ２　end": "x vol 2", "Abc: d - e": "abc", "the  ": "the", "The \n A": "a", "Q: a: part x": "q part x", None: "", "[ABCDEFGHIJ": "[abcdefghij"}
+    assert values(spark, T.normalise_book, list(books)) == list(books.values())
+
+
+def test_safe_texts_are_sanitised_as_others(spark):
+    rows = {"a b": "a b", "a  b": "a b", " a": "a", "a.": "a.", ".a": "a", "a\n": "a", "x" * 181: "x" * 180, "": "", "a|b": "a│b", "~!": "~!", "a\\b": "a∕b"}
+    assert values(spark, T.sanitise, list(rows)) == list(rows.values())
+    bare = {"a b": "a b", "\x1fa\xa0": "a", "é ": "é", " ": "", "": "", "a ": "a"}
+    assert values(spark, T.strip, list(bare)) == list(bare.values())

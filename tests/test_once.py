@@ -1,5 +1,8 @@
 """What a plan writes, joins and works out no more than once."""
 
+import pandas as pd
+
+from spinewright.functions import folding
 from spinewright.operators.claims import claims
 
 FILES = "path string, folder string, name string, ext string, size bigint, author string, book string, year string, bitrate bigint, duration double, title string, track string, disc string, series string, series_index string, narrator string, subtitle string, genre string, fp string, more string"
@@ -19,3 +22,9 @@ def test_claims_join_files_and_names_once(spark):
     out = claims(files, spark.createDataFrame([("/o/1.mp3", "f1")], "dest string, disk_fp string"), ("own",))
     assert "Join Inner" not in optimized(out)
     assert all(r.path == f"/s/{r.own}" for r in out.collect()) and out.count() == 40
+
+
+def test_keys_of_repeated_names_are_made_once(spark):
+    folding.author_key.cache_clear()
+    assert set(folding.author_keys(pd.Series(["Zed; É", "Zed; É"] * 500))) == {"e, zed"}
+    assert folding.author_key.cache_info().misses == 1
