@@ -28,3 +28,13 @@ def test_keys_of_repeated_names_are_made_once(spark):
     folding.author_key.cache_clear()
     assert set(folding.author_keys(pd.Series(["Zed; É", "Zed; É"] * 500))) == {"e, zed"}
     assert folding.author_key.cache_info().misses == 1
+
+
+def test_clusters_are_found_by_lengths_alone(spark):
+    from spinewright.operators.intra import cluster_lengths
+    from spinewright.operators.inventory import editions, with_edition
+
+    keyed = with_edition(made(spark))
+    found = cluster_lengths(keyed, editions(keyed))
+    assert not {"path", "name"} & set(found.columns)
+    assert [(r.duration, r.cluster_start, r.files, r.suffixed) for r in found.orderBy("duration").collect()] == [(60.0 + 5 * k, 60.0 + 5 * k, 2, True) for k in range(6)]
