@@ -4,6 +4,7 @@ import pandas as pd
 
 from spinewright.functions import folding
 from spinewright.operators.claims import claims
+from spinewright.plans import organise
 
 FILES = "path string, folder string, name string, ext string, size bigint, author string, book string, year string, bitrate bigint, duration double, title string, track string, disc string, series string, series_index string, narrator string, subtitle string, genre string, fp string, more string"
 
@@ -38,3 +39,7 @@ def test_clusters_are_found_by_lengths_alone(spark):
     found = cluster_lengths(keyed, editions(keyed))
     assert not {"path", "name"} & set(found.columns)
     assert [(r.duration, r.cluster_start, r.files, r.suffixed) for r in found.orderBy("duration").collect()] == [(60.0 + 5 * k, 60.0 + 5 * k, 2, True) for k in range(6)]
+
+
+def test_book_dedup_keeps_only_what_it_looks_at(spark):
+    assert not {"more", "fp", "title", "genre"} & set(organise.book_dedup(made(spark)).keyed.columns)
