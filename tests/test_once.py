@@ -43,3 +43,11 @@ def test_clusters_are_found_by_lengths_alone(spark):
 
 def test_book_dedup_keeps_only_what_it_looks_at(spark):
     assert not {"more", "fp", "title", "genre"} & set(organise.book_dedup(made(spark)).keyed.columns)
+
+
+def test_plan_is_joined_once(spark):
+    files = made(spark)
+    there = spark.createDataFrame([], "dest string, disk_fp string")
+    out = organise.plan(files, there, "/out", organise.book_dedup(files))
+    assert not any(x in optimized(out) for x in ("LeftSemi", "LeftAnti", "Join Inner"))
+    assert sorted((r.outcome, r.path) for r in out.collect() if r.outcome == "intra") == [("intra", f"/lib/d/x{k}.2.mp3") for k in range(6)]
