@@ -72,9 +72,9 @@ def organise(spark: SparkSession, config: Config, log=print):
             log(heading)
             for r in lines.orderBy(*order).toLocalIterator():
                 log(r.line)
-    placed = with_destination(files, dest)
+    placed = cut(with_destination(files, dest), kept)
     groups = dedup.rank.where("rank = 1").count() if dedup else 0
-    planned, found = counted(plan(files, list_claimed(spark, dest, placed), dest, dedup), counts(groups), kept)
+    planned, found = counted(plan(placed, list_claimed(spark, dest, placed), dest, dedup), counts(groups), kept)
     for r in report.file_lines(placed, config.show_quality).orderBy("path").toLocalIterator():
         log(r.line)
     done = apply(planned, source, dest, config.dupes, config.dry_run, config.covers, log, config.journal or None)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..executor import apply
-from ..operators.running import remembered, shared_folder
+from ..operators.running import cut, remembered, shared_folder
 from ..sources.files import list_claimed, list_files, met, read_library
 from .organise import plan, with_destination
 
@@ -189,8 +189,9 @@ def carried_out(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = write_files(spark, sf_dir)
     source, dest, dupes = (f"{root}/{k}" for k in ("in", "out", "dupes"))
     files = read_library(spark, source, int(spark.conf.get("spark.sql.shuffle.partitions"))).drop("fp", "cover")
-    placed = with_destination(files, dest)
-    apply(plan(files, list_claimed(spark, dest, placed), dest), source, dest, dupes, dry_run=False)
+    # Tags are read once, for what is there and for the plan.
+    placed = cut(with_destination(files, dest).select("path", "size", "error", "dest_file", "no_meta"))
+    apply(plan(placed, list_claimed(spark, dest, placed), dest), source, dest, dupes, dry_run=False)
     left = read_library(spark, root, int(spark.conf.get("spark.sql.shuffle.partitions")), None)
     return left.select(F.concat_ws("/", "folder", "name").alias("path"), "fp")
 
