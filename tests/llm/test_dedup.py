@@ -60,6 +60,46 @@ def test_remove_repeats_keeps_columns_and_whole_characters(spark):
     assert (got[1].place, got[3].n_removed) == ("x", 0)
 
 
+def without_passages(texts, length, words):
+    """What is left without strings of so many bytes that also start elsewhere and words in a row that another text has too."""
+    seen, where = Counter(), {}
+    for k, t in enumerate(texts):
+        raw, w = (t or "").encode(), (t or "").encode().split()
+        seen.update(raw[i : i + length] for i in range(len(raw) - length + 1))
+        for i in range(len(w) - words + 1):
+            where.setdefault(tuple(w[i : i + words]), set()).add(k)
+    out = []
+    for t in texts:
+        raw = (t or "").encode()
+        mark, w = bytearray(len(raw)), [(m.start(), m.end(), m[0]) for m in re.finditer(rb"[^\x20\x09-\x0D]+", raw)]
+        for i in range(len(raw) - length + 1):
+            if seen[raw[i : i + length]] > 1:
+                mark[i : i + length] = b"\1" * length
+        for i in range(len(w) - words + 1):
+            if len(where[tuple(x[2] for x in w[i : i + words])]) > 1:
+                a, b = w[i][0], w[i + words - 1][1]
+                mark[a:b] = b"\1" * (b - a)
+        out.append((sum(mark), bytes(x for x, m in zip(raw, mark) if not m).decode(errors="ignore")))
+    return out
+
+
+@pytest.mark.parametrize("words", [51, 5])
+def test_passages_of_words_equal_brute_force(spark, words):
+    """Passages of fewer words, as many and more, set with other white space, once or more in a text, of one word over and over, or whole texts."""
+    r = random.Random(words)
+    own = lambda n: ["".join(r.choice("abcdé") for _ in range(r.randint(1, 6))) for _ in range(n)]
+    pool = [own(n) for n in (words - 1, words, words, words + 1, 2 * words, 3 * words)] + [["so"] * (2 * words)]
+    texts = []
+    for _ in range(60):
+        parts = [w for _ in range(r.randint(0, 3)) for w in (own(r.randint(0, 30)), r.choice(pool)[r.choice((0, 0, 1)) :])]
+        texts.append("".join(x + r.choice((" ", " ", "\n", " \t", "\u00a0" if r.random() < 0.01 else " ")) for p in parts for x in p))
+    texts += [None, "", " \n", " ".join(own(words)), " ".join(pool[1]), " ".join(pool[1]), "once " * (3 * words)]
+    df = spark.createDataFrame(list(enumerate(texts)), DOCS)
+    got = suffixdedup.remove_repeats(df, words=words).orderBy("doc_id").collect()
+    assert [(r.n_removed, r.text or "") for r in got] == without_passages(texts, 400, words)
+    assert [r.text is None for r in got] == [t is None for t in texts] and suffixdedup.remove_repeats(df.where("false"), words=words).count() == 0
+
+
 def test_mergesort_orders_suffixes():
     r = random.Random(4)
     strings = ["".join(r.choice("ab") for _ in range(r.randint(0, 9))).encode() for _ in range(500)]

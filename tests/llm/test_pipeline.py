@@ -165,3 +165,15 @@ def test_empty_tables_give_no_rows(spark, sf, tmp_path):
     for name in ("documents", "labels", "benchmark"):
         pq.write_table(pq.read_table(f"{sf}/{name}.parquet").slice(0, 0), tmp_path / f"{name}.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_passages_of_over_fifty_words_are_cut_below_400_bytes(spark):
+    r = random.Random(5)
+    own = lambda n: " ".join("".join(r.choice("abcdefghi") for _ in range(r.randint(2, 6))) for _ in range(n))
+    passage, short = own(60), own(50)
+    assert len(passage) < 400
+    texts = [f"{own(70)} {p} {own(70)}" for p in (passage, passage.replace(" ", "\n", 3), short, short, own(60))]
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in enumerate(texts)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    got = {d.doc_id: d for d in corpus_pipeline.suffix_dedup(spark, docs, "", words=51).collect()}
+    assert [len(got[k].text.split()) for k in range(5)] == [140, 140, 190, 190, 200]
+    assert all(d.n_chars == len(d.text) for d in got.values()) and [got[k].text for k in (2, 3, 4)] == texts[2:]
